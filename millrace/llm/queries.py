@@ -23,12 +23,51 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_documents(spark, folder))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from millrace.llm.license_scan import license_scan
+
+    return license_scan(_documents(spark, folder))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from millrace.llm.toxicity import learn, score
+
+    docs = _documents(spark, folder)
+    return score(docs, learn(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from millrace.llm.url_filter import dated_captures, dated_list, listed_at_fetch
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    found = listed_at_fetch(dated_captures(pages), dated_list(pages))
+    return found.withColumns({c: found[c].cast("string") for c in ("fetched_on", "listed_since")})
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.quality_rules import repetition
 
     return repetition(_documents(spark, folder))
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from millrace.llm.byte_pairs import round_trips
+
+    return round_trips(_documents(spark, folder))
+
+
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from millrace.llm.sharding import assign_shards
+
+    return assign_shards(_documents(spark, folder))
+
+
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from millrace.llm.best_fit import pack
+
+    return pack(_documents(spark, folder))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.secret_scan import find_secrets
 
@@ -40,7 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from millrace.llm import license_scan, url_filter
+
     return {
+        "op3_license_scan": license_scan.oracle(),
+        "op5_url_filter": url_filter.ORACLE,
         "op2_exact_dedup": r"""
             WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
             SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
