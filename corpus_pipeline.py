@@ -13,7 +13,7 @@ from millrace.llm.exact_dedup import deduplicate
 from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.quality_rules import keep_good
 from millrace.llm.secret_scan import redact
-from millrace.llm.work import Work
+from millrace.llm.work import Work, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document with the smallest id; documents without an id stay."""
     work = Work(spark, "near")
-    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(work.keep(gone, "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id"))
+    return without(docs, work.keep(gone, "gone"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.work import BitTable, Work
+from millrace.llm.work import BitTable, Work, routed
 
 #: Ranges of quotients that reducers merge; each range of each filter is one message.
 RANGES = 256
@@ -131,9 +131,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the one with the smallest id, repeated rows once."""
     work = Work(docs.sparkSession, "dedup")
-    kept = work.keep(exact_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    once = docs.join(kept.where("_rows = 1").select("_id"), same, "left_semi")
-    # ids that stand on several rows (none in a sound table): one row for each text that stays
-    again = docs.join(kept.where("_rows > 1").select("_id"), same, "left_semi").withColumn("_norm", normalised(F.col(text_col)))
-    return once.unionByName(again.dropDuplicates([id_col, "_norm"]).drop("_norm"))
+    verdict = work.keep(exact_duplicates(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"), "verdict")
+    # ids whose row goes, or that stand on several rows: only those are looked at again
+    asked = verdict.groupBy("doc_id").agg(F.min("kept").alias("all"), F.count("*").alias("rows")).where("not all or rows > 1")
+    asked = work.keep(asked.select(F.xxhash64("doc_id").alias("h")), "asked")
+    again, rest = routed(docs, F.xxhash64(F.col(id_col).cast("long")), asked, "h")
+    again = again.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
+    stay = verdict.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
+    stays = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    return rest.unionByName(again.join(stay, stays, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha"))

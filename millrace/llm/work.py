@@ -114,3 +114,20 @@ class BitTable:
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys.astype(np.int64, copy=False) & self.mask
         return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def routed(docs: DataFrame, key: F.Column, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose ``key`` may be among ``wanted``, and the rest, which no join needs to move."""
+    table = BitTable(wanted, column)
+
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        return pd.Series(table.has(keys.to_numpy()))
+
+    return docs.where(may(key)), docs.where(~may(key))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``gone`` (id); only rows that may be are shuffled."""
+    asked, rest = routed(docs, F.xxhash64(F.col(id_col).cast("long")), gone.select(F.xxhash64("id").alias("h")), "h")
+    return rest.unionByName(asked.join(gone, F.col(id_col).cast("long") == F.col("id"), "left_anti"))
