@@ -504,11 +504,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     first = work.keep(source.mapInArrow(_packed(percent, words, common, parts), "part long, message binary, uid long, doc_id long, n long, key binary, sketch binary"), "packed")
     every = first.where("n is not null")
-    classes = every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.count("*").alias("w"), F.min("doc_id").alias("least"))
+    # kept, so that a class of very many equal sets is a skewed join of plain tables
+    classes = work.keep(every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.count("*").alias("w"), F.min("doc_id").alias("least")), "classes")
     known = work.keep(every.where("n > 0").select("uid", "doc_id", "n", "key", "sketch").join(classes, "key"), "known")
 
     found = first.where("part is not null").select("part", "message", "uid").groupBy("part").applyInArrow(_regions, "region long, whole boolean, members array<long>")
     regions = work.keep(found.dropDuplicates(["region"]).select("region", "whole", F.explode("members").alias("uid")), "regions")
+    empty = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    empty = work.keep(empty, "empty")
+    work.drop(first)
     placed = regions.join(known.select("uid", "node", "n", "sketch"), "uid").select("region", "whole", "node", "n", "sketch")
     edges = work.keep(placed.repartition("region").sortWithinPartitions("region").mapInArrow(_clouds(percent), "a long, b long"), "cloud-edges")
     work.drop(regions)
@@ -536,5 +540,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce("component_id", "least").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"),
     )
-    empty = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(empty)
