@@ -62,6 +62,7 @@ def _duplicate_lines(text: bytes) -> tuple[int, int, int]:
 
 
 def _measure(lengths: dict[int, float], lines: float) -> Callable:
+    sizes = sorted({WINDOW, *lengths})
     kinds = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +85,17 @@ def _measure(lengths: dict[int, float], lines: float) -> Callable:
                     own, size = hashes[a:b], chars[a:b]
                     total = int(size.sum())
                     again, line_chars, all_chars = _duplicate_lines(texts[k])
-                    out[:, k] = b - a, total, symbols[edge[k - lo + 1] - 1] - symbols[edge[k - lo]], again, repeated_words(own, WINDOW).sum()
-                    for n, most in lengths.items():
-                        covered = size[repeated_words(own, n)].sum() / total if total else 0.0
-                        share[k] = max(share[k], covered)
-                        kept[k] &= covered <= most
+                    out[:4, k] = b - a, total, symbols[edge[k - lo + 1] - 1] - symbols[edge[k - lo]], again
+                    for n in sizes:
+                        inside = repeated_words(own, n)
+                        if not inside.any():  # a longer n-gram that repeats would hold one of these
+                            break
+                        if n == WINDOW:
+                            out[4, k] = inside.sum()
+                        if n in lengths:
+                            covered = size[inside].sum() / total
+                            share[k] = max(share[k], covered)
+                            kept[k] &= covered <= lengths[n]
                     worst[k] = line_chars / all_chars if all_chars else 0.0
                     kept[k] &= worst[k] <= lines
             failed = (out[0] < 20) | (100 * out[4] > 30 * out[0])
