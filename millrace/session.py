@@ -12,9 +12,16 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parent.parent
 
 
+#: Bytes of a batch that goes to Python at most (Spark's own setting, lowered where it is higher): rows may hold long texts.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Ship this package to the executors once per application."""
+    """Ship this package to the executors once per application, and bound the bytes of Arrow batches."""
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(context, "_millrace_shipped", False):
         return spark
     at = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
