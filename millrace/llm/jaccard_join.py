@@ -79,15 +79,15 @@ def _digest(s: np.ndarray) -> bytes:
 def _common(percent: int, n: int, least: int = 8) -> Callable:
     """Shingles that several documents of a message contain, and the number of prefix rows."""
 
+    def counted(sets: list[np.ndarray], rows: int) -> pa.RecordBatch:
+        value, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        often = count >= least
+        columns = [np.append(value[often].view(np.int64), 0), np.append(count[often].astype(np.int64), rows), np.append(np.zeros(often.sum(), bool), True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "count", "total"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sets, size, rows = set(), [], 0, 0
         for batch in batches:
-            seen, sets, size, rows = set(), [], 0, 0
-
-            def counted():
-                value, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                often = count >= least
-                return pa.RecordBatch.from_arrays([pa.array(np.append(value[often].view(np.int64), 0)), pa.array(np.append(count[often].astype(np.int64), rows)), pa.array(np.append(np.zeros(often.sum(), bool), True))], ["shingle", "count", "total"])
-
             for s in sh.shingle_sets(texts_of(batch, "text"), n):
                 key = _digest(s)
                 if len(s) and key not in seen:
@@ -96,9 +96,9 @@ def _common(percent: int, n: int, least: int = 8) -> Callable:
                     size += len(s)
                     rows += _prefix(len(s), percent)
                     if size > 4_000_000:
-                        yield counted()
+                        yield counted(sets, rows)
                         seen, sets, size, rows = set(), [], 0, 0
-            yield counted()
+        yield counted(sets, rows)
 
     return run
 
