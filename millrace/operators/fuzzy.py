@@ -23,9 +23,8 @@ def best_titles(left: DataFrame, right: DataFrame, cutoff: float = CUTOFF) -> Da
     Tables are (left_id, title_key) and (right_id, right_key).  An equal title wins; among the
     rest the highest sequence ratio from ``cutoff`` on, then the greatest title.  A ratio of
     ``cutoff`` leaves at most (1 - cutoff) * (la + lb) characters unmatched, so
-    lengths lie in a band, and a run of three characters is shared by titles of six and
-    more (shorter ones match when equal): pairs meet on shared runs, those of few titles
-    first, never all with all.
+    lengths lie in a band, and titles of more than a few characters share a run of three:
+    pairs meet on shared runs and must share enough of them before they are compared.
     """
     exact = left.join(right, left.title_key == right.right_key).select("left_id", "title_key", "right_id", "right_key", F.lit(1.0).alias("ratio"))
     open_ = left.join(exact.select("left_id").distinct(), "left_id", "left_anti")
