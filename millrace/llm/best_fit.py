@@ -31,7 +31,7 @@ def _pieces(capacity: int, end: int) -> Callable:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
-                ids = np.array([*encode(text.decode()), end], dtype="<u4")
+                ids = np.array([*encode(text.decode("utf-8", "replace")), end], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 starts = [0, *range(first, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):

@@ -124,7 +124,7 @@ def _digests(name: str) -> Callable:
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in texts_of(batch, "text"):
-                tokens = own.encode(text.decode())
+                tokens = own.encode(text.decode("utf-8", "replace"))
                 counts.append(len(tokens))
                 ids.append(hashlib.sha256(own.spelled(tokens).encode()).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(tokens)).hexdigest())
@@ -140,7 +140,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            ids = [own.encode(t.decode()) for t in texts_of(batch, "text")]
+            ids = [own.encode(t.decode("utf-8", "replace")) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

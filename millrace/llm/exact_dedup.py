@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.work import BitTable, Work, routed
+from millrace.llm.work import BitTable, Work, fresh_name, routed
 
 #: Ranges of quotients that reducers merge; each range of each filter is one message.
 RANGES = 256
@@ -136,7 +136,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     asked = verdict.groupBy("doc_id").agg(F.min("kept").alias("all"), F.count("*").alias("rows")).where("not all or rows > 1")
     asked = work.keep(asked.select(F.xxhash64("doc_id").alias("h")), "asked")
     again, rest = routed(docs, F.xxhash64(F.col(id_col).cast("long")), asked, "h")
-    again = again.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    stay = verdict.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    stays = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return rest.unionByName(again.join(stay, stays, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha"))
+    own, stay_id, stay_sha = (fresh_name(docs, n) for n in ("own_sha", "stay_id", "stay_sha"))
+    again = again.withColumn(own, F.sha2(normalised(F.col(text_col)), 256))
+    stay = verdict.where("kept").select(F.col("doc_id").alias(stay_id), F.col("text_sha256").alias(stay_sha))
+    stays = F.col(id_col).cast("long").eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_sha))
+    return rest.unionByName(again.join(stay, stays, "left_semi").dropDuplicates([id_col, own]).drop(own))

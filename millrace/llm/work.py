@@ -116,6 +116,14 @@ class BitTable:
         return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not use."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def routed(docs: DataFrame, key: F.Column, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two: rows whose ``key`` may be among ``wanted``, and the rest, which no join needs to move."""
     table = BitTable(wanted, column)
@@ -129,5 +137,6 @@ def routed(docs: DataFrame, key: F.Column, wanted: DataFrame, column: str) -> tu
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not in ``gone`` (id); only rows that may be are shuffled."""
-    asked, rest = routed(docs, F.xxhash64(F.col(id_col).cast("long")), gone.select(F.xxhash64("id").alias("h")), "h")
-    return rest.unionByName(asked.join(gone, F.col(id_col).cast("long") == F.col("id"), "left_anti"))
+    gone = gone.select(F.col("id").alias(own := fresh_name(docs, "gone")))
+    asked, rest = routed(docs, F.xxhash64(F.col(id_col).cast("long")), gone.select(F.xxhash64(own).alias("h")), "h")
+    return rest.unionByName(asked.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti"))

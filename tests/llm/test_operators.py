@@ -41,7 +41,7 @@ def made(seed: int = 1) -> list[tuple]:
 def table(spark, rows):
     """Columns beside the two that operators read have names they use themselves."""
     return spark.createDataFrame(
-        [(i, t, "en", "s", len(t or ""), 1, "x", 2.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, uid int, key string, node double"
+        [(i, t, "en", "s", len(t or ""), 1, "x", 2.0, 5, "y", "z") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, uid int, key string, node double, id int, gone string, own_sha string"
     )
 
 
