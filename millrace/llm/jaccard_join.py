@@ -47,6 +47,8 @@ PACK_DOCS, PACK_ROWS = 60_000, 1_000_000
 #: Shingles that many documents contain, placed last in the common order.  Any
 #: order gives the same links; this bounds the table that is sent to tasks.
 MOST_COMMON = 100_000
+#: Members of one singleton region in one message that are sent; of more, one is sent for all, and all go to one cloud.
+HOT = 64
 #: Bytes of packed rows for one reducer, about.
 REDUCER_BYTES = 24 << 20
 #: Members of a singleton region that are compared by sketch; beyond, all are put in one cloud.
@@ -103,7 +105,7 @@ def _common(percent: int, n: int, least: int = 8) -> Callable:
     return run
 
 
-def _packed(percent: int, n: int, common: np.ndarray, parts: int) -> Callable:
+def _packed(percent: int, n: int, common: np.ndarray, parts: int, most: int) -> Callable:
     """Document rows, and messages of prefix rows for each reducer."""
     order = np.argsort(common)
     sorted_common = common[order]
@@ -132,13 +134,24 @@ def _packed(percent: int, n: int, common: np.ndarray, parts: int) -> Callable:
                     return
                 value = sh.mix(np.concatenate(held))
                 member = np.repeat(np.array(at, dtype=np.uint64), [len(x) for x in held])
-                part = (value % np.uint64(parts)).astype(np.int64)
-                packed = (value & ~np.uint64(0xFFFF)) | member
-                by = np.argsort(part, kind="stable")
-                part, packed = part[by], packed[by]
-                start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                stop = np.append(start[1:], len(part))
-                yield _rows(part=part[start], message=[packed[a:b].tobytes() for a, b in zip(start, stop, strict=True)], uid=np.full(len(start), base + first))
+                _, place, count = np.unique(value, return_inverse=True, return_counts=True)
+                for hot in (False, True):
+                    here = np.flatnonzero((count[place] > most) == hot)
+                    if hot and len(here):
+                        here = here[np.argsort(place[here], kind="stable")]
+                        start = np.flatnonzero(np.append(True, place[here][1:] != place[here][:-1]))
+                        groups = np.split(member[here].astype(np.int64) + base + first, start[1:])
+                        once = {g.tobytes(): g for g in groups}
+                        yield _rows(region=[xxhash.xxh3_64_intdigest(g, seed=1) - (1 << 63) for g in once], members=list(once.values()))
+                        here = here[start]
+                    if len(here):
+                        part = (value[here] % np.uint64(parts)).astype(np.int64)
+                        packed = (value[here] & ~np.uint64(0xFFFF)) | member[here]
+                        by = np.argsort(part, kind="stable")
+                        part, packed = part[by], packed[by]
+                        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                        stop = np.append(start[1:], len(part))
+                        yield _rows(part=part[start], message=[packed[a:b].tobytes() for a, b in zip(start, stop, strict=True)], uid=np.full(len(start), base + first), hot=np.full(len(start), hot))
 
             for k, s in enumerate(sh.shingle_sets(texts_of(batch, "text"), n)):
                 size = len(s)
@@ -165,7 +178,7 @@ def _packed(percent: int, n: int, common: np.ndarray, parts: int) -> Callable:
     return run
 
 
-_ROW = pa.schema([("part", pa.int64()), ("message", pa.binary()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
+_ROW = pa.schema([("part", pa.int64()), ("message", pa.binary()), ("hot", pa.bool_()), ("region", pa.int64()), ("members", pa.list_(pa.int64())), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -173,30 +186,38 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if f.name not in columns else (c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type)) for f in _ROW], schema=_ROW)
 
 
-def _regions(table: pa.Table) -> pa.Table:
-    """Members of each singleton region with two or more, equal member lists once."""
-    packed, member = [], []
-    for message, first in zip(table.column("message").to_pylist(), table.column("uid").to_pylist(), strict=True):
-        rows = np.frombuffer(message, dtype=np.uint64)
-        packed.append(rows >> np.uint64(16))
-        member.append((rows & np.uint64(0xFFFF)).astype(np.int64) + first)
-    value, who = np.concatenate(packed), np.concatenate(member)
-    by = np.lexsort((who, value))
-    value, who = value[by], who[by]
-    new = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
-    start = np.flatnonzero(new)
-    stop = np.append(start[1:], len(value))
-    many = stop - start > 1
-    out: dict[bytes, tuple[bool, np.ndarray]] = {}
-    for a, b in zip(start[many].tolist(), stop[many].tolist(), strict=True):
-        if b - a <= REGION:
-            out.setdefault(who[a:b].tobytes(), (False, who[a:b]))
-        else:
-            for c in range(a + 1, b, REGION):
-                own = np.concatenate((who[a : a + 1], who[c : min(c + REGION, b)]))
-                out.setdefault(own.tobytes(), (True, own))
-    names = [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in out]
-    return pa.table({"region": pa.array(names, pa.int64()), "whole": pa.array([w for w, _ in out.values()], pa.bool_()), "members": pa.array([m for _, m in out.values()], pa.list_(pa.int64()))})
+def _regions(most: int) -> Callable:
+    """Members of each singleton region with two or more, equal member lists once.
+
+    A region that is very large, or of which a message has sent one member for many, is joined whole.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        packed, member, sent = [], [], []
+        for message, first, hot in zip(table.column("message").to_pylist(), table.column("uid").to_pylist(), table.column("hot").to_pylist(), strict=True):
+            rows = np.frombuffer(message, dtype=np.uint64)
+            packed.append(rows >> np.uint64(16))
+            member.append((rows & np.uint64(0xFFFF)).astype(np.int64) + first)
+            sent.append(np.full(len(rows), hot))
+        value, who, many_sent = np.concatenate(packed), np.concatenate(member), np.concatenate(sent)
+        by = np.lexsort((who, value))
+        value, who, many_sent = value[by], who[by], many_sent[by]
+        new = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], len(value))
+        many = stop - start > 1
+        out: dict[bytes, tuple[bool, np.ndarray]] = {}
+        for a, b in zip(start[many].tolist(), stop[many].tolist(), strict=True):
+            if b - a <= most and not many_sent[a:b].any():
+                out.setdefault(who[a:b].tobytes(), (False, who[a:b]))
+            else:
+                for c in range(a + 1, b, most):
+                    own = np.concatenate((who[a : a + 1], who[c : min(c + most, b)]))
+                    out[own.tobytes()] = (True, own)
+        names = [xxhash.xxh3_64_intdigest(k, seed=int(whole)) - (1 << 63) for k, (whole, _) in out.items()]
+        return pa.table({"region": pa.array(names, pa.int64()), "whole": pa.array([w for w, _ in out.values()], pa.bool_()), "members": pa.array([m for _, m in out.values()], pa.list_(pa.int64()))})
+
+    return run
 
 
 # --------------------------------------------------------------- second level
@@ -479,7 +500,7 @@ def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shin
     return out.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(_join(percent), "a long, b long, links long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES, region: int = REGION, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of
@@ -502,13 +523,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = max(1, -(-8 * rows // REDUCER_BYTES))
     common = often[::-1].copy().view(np.uint64)
 
-    first = work.keep(source.mapInArrow(_packed(percent, words, common, parts), "part long, message binary, uid long, doc_id long, n long, key binary, sketch binary"), "packed")
+    first = work.keep(source.mapInArrow(_packed(percent, words, common, parts, hot), "part long, message binary, hot boolean, region long, members array<long>, uid long, doc_id long, n long, key binary, sketch binary"), "packed")
     every = first.where("n is not null")
     # kept, so that a class of very many equal sets is a skewed join of plain tables
     classes = work.keep(every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.count("*").alias("w"), F.min("doc_id").alias("least")), "classes")
     known = work.keep(every.where("n > 0").select("uid", "doc_id", "n", "key", "sketch").join(classes, "key"), "known")
 
-    found = first.where("part is not null").select("part", "message", "uid").groupBy("part").applyInArrow(_regions, "region long, whole boolean, members array<long>")
+    found = first.where("part is not null").select("part", "message", "hot", "uid").groupBy("part").applyInArrow(_regions(region), "region long, whole boolean, members array<long>")
+    found = found.unionByName(first.where("region is not null").select("region", F.lit(True).alias("whole"), "members"))
     regions = work.keep(found.dropDuplicates(["region"]).select("region", "whole", F.explode("members").alias("uid")), "regions")
     empty = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     empty = work.keep(empty, "empty")

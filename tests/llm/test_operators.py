@@ -92,13 +92,13 @@ def test_jaccard_join(spark, leaf, seed):
     assert len(set(lowest)) < len({t for _, t in rows})
 
 
-def test_jaccard_join_of_large_regions(spark, monkeypatch):
-    from millrace.llm import jaccard_join
+@pytest.mark.parametrize("limits", [{"region": 3}, {"hot": 2}, {"region": 2, "hot": 1, "leaf": 3}])
+def test_jaccard_join_of_large_regions(spark, limits):
+    from millrace.llm.jaccard_join import jaccard_components
 
-    monkeypatch.setattr(jaccard_join, "REGION", 3)
     rows = made(3)
     _, lowest, links = components_of(rows)
-    got = jaccard_join.jaccard_components(table(spark, rows), leaf=3)
+    got = jaccard_components(table(spark, rows).coalesce(2), **limits)
     assert sorted(((r.component_id, r.n_links) for r in got.collect()), key=repr) == sorted(zip(lowest, links, strict=True), key=repr)
 
 
