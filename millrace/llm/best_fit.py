@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.ranking import with_ranks
-from millrace.llm.vocabulary import encoding
+from millrace.llm.vocabulary import ids_of
 from millrace.llm.work import Work, texts_of
 
 #: Tokens of a sequence, and the id that ends each document.
@@ -27,11 +27,10 @@ def _pieces(capacity: int, end: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        encode = encoding().encode_ordinary
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
-                ids = np.array([*encode(text.decode("utf-8", "replace")), end], dtype="<u4")
+                ids = np.array([*ids_of(text.decode("utf-8", "replace")), end], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 starts = [0, *range(first, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):

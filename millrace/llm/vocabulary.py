@@ -6,6 +6,7 @@ import base64
 from functools import lru_cache
 
 import public_tokenizers
+import regex
 import tiktoken
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -22,6 +23,20 @@ def encoding(name: str = RANKS) -> tiktoken.Encoding:
     return tiktoken.Encoding("millrace", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
 
 
+#: White space in one run from which texts are matched otherwise: tiktoken's matcher keeps a state for each character of a run and fails at a million.
+LONG_RUN = 500_000
+
+_PATTERN, _SPACE = regex.compile(public_tokenizers.PATTERN), regex.compile(r"\s+")
+
+
+def ids_of(text: str, name: str = RANKS) -> list[int]:
+    """Ids of a whole text of any kind, those of ``encode_ordinary`` wherever that does not fail."""
+    own = encoding(name)
+    if len(text) < LONG_RUN or all(m.end() - m.start() < LONG_RUN for m in _SPACE.finditer(text)):
+        return own.encode_ordinary(text)
+    return [token for m in _PATTERN.finditer(text) for token in own._encode_single_piece(m[0].encode())]
+
+
 @lru_cache(maxsize=4)
 def tokenizer(name: str = TOKENIZER):
     from tokenizers import Tokenizer

@@ -306,6 +306,15 @@ def test_packing(spark):
     check_packing(got, rows, tokenizer())
 
 
+def test_ids_of_very_long_white_space():
+    from millrace.llm.vocabulary import LONG_RUN, encoding, ids_of, tokenizer
+
+    for text in ("a" + " " * (LONG_RUN + 9) + "b c\u00a0 \n", "\n" * LONG_RUN + " x", "\u3000 " * (LONG_RUN // 2) + "y", "a b " * (LONG_RUN // 3)):
+        assert ids_of(text) == encoding().encode_ordinary(text)
+    text = "a" + " " * 1_200_000 + "b"  # encode_ordinary fails here
+    assert ids_of(text) == tokenizer().encode(text, add_special_tokens=False).ids
+
+
 def check_packing(got, rows, tokenizer, capacity=1024):
     want = Counter()
     total = 0
