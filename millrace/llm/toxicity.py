@@ -16,7 +16,7 @@ from millrace.session import ready
 
 #: Buckets of hashed terms, and bytes of a word's prefixes that are terms beside the word.
 BUCKETS, PREFIXES = 1 << 20, (3, 4, 5, 6, 7, 8, 9)
-#: Labelled documents that are learnt from, at most (about: those of smallest hashed id).
+#: Labelled documents that are learnt from, at most (about: those of smallest hashed id, whatever the number of labels).
 MOST_LABELLED = 12_000
 #: Terms with weights: those that differ most between the classes.  Length of their factors.
 TERMS, FACTORS = 768, 8
@@ -125,15 +125,16 @@ class FactorizationMachine:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_LABELLED) -> FactorizationMachine:
     """The machine learnt from labelled rows that are not held out: ``most`` of them, by hashed id.
 
-    Rows without a label, with a null label, null text or null id are not learnt from.  Without
+    Rows without a label, with a null label, null text or null id are not learnt from.  Of
+    several labels of one id the largest counts; repeated documents count each.  Without
     rows of both labels the machine gives every text the prior.
     """
     ready(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    count = known.count()
-    share = min(1.0, most / max(count, 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    # a share in 2**63, as it may be far below one in a million
+    share = most * (2**63 - 1) // max(known.count(), most)
+    known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 1) <= F.lit(share))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(known, "doc_id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -180,6 +180,20 @@ def test_toxicity(spark):
     assert FactorizationMachine.learnt(sets, np.zeros(3)).scores([b"idiot"])[0] < 0.5
 
 
+def test_toxicity_sample(spark):
+    from millrace.llm.toxicity import held_out, learn
+
+    docs = table(spark, [(k, "bad word" if k % 2 else "good word") for k in range(600)])
+    labels = [(k, k % 2) for k in range(600)]
+    twice = spark.createDataFrame([*labels, *[(k, 0) for k in range(600)]], "doc_id long, toxic int")
+    once = spark.createDataFrame(labels, "doc_id long, toxic int")
+    a, b = learn(docs, once), learn(docs, twice)
+    assert a.bias == b.bias and a.weight.tolist() == b.weight.tolist()  # of two labels the larger counts
+    free = once.where(~held_out(once.doc_id)).count()
+    few = learn(docs, once, most=free // 4)
+    assert 0.5 < few.scores([b"bad word"])[0] and few.scores([b"good word"])[0] < 0.5
+
+
 def test_url_filter(spark):
     from millrace.llm.url_filter import listed_at_fetch
 
