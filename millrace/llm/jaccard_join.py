@@ -563,3 +563,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"),
     )
     return full.unionByName(empty)
+
+
+def oracle(words: int = 5, percent: int = 80) -> str:
+    """The same as SQL, by plain self-join and closure; for small tables whose ids are unique."""
+    return rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        place AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS p FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + {words - 1}], ' ') AS shingle FROM place),
+        size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+        link AS (SELECT a, b FROM shared JOIN size na ON na.doc_id = a JOIN size nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+        reach(node, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, link.b FROM reach r JOIN link ON link.a = r.other),
+        root AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+        degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, root.component_id, coalesce(degree.n, 0) AS n_links
+        FROM d JOIN root ON root.node = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN degree ON degree.a = d.doc_id
+    """

@@ -139,3 +139,37 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield batch.filter(measured.column("kept"))
 
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+
+
+def oracle(lengths: dict[int, float] | None = None, lines: float = MOST_LINES) -> str:
+    """The same as SQL, by the words themselves; for tables whose ids are unique."""
+    limits = MOST_REPEATED if lengths is None else lengths
+    values = ", ".join(f"({n}, CAST({limits.get(n, 1)} AS DOUBLE))" for n in sorted({WINDOW, *limits}))
+    listed = ", ".join(map(str, sorted(limits)))
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM d),
+        line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+        once AS (SELECT doc_id, line, count(*) AS c, length(line) AS size FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+        dup AS (SELECT doc_id, sum(c - 1) AS n, sum((c - 1) * size) / sum(c * size) AS share FROM once GROUP BY doc_id),
+        lens(n, most) AS (VALUES {values}),
+        place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+        win AS (SELECT doc_id, n, most, p, length(w[p]) AS size, CASE WHEN p + n - 1 <= len(w) THEN array_to_string(w[p : p + n - 1], ' ') END AS gram FROM place, lens),
+        hit AS (SELECT doc_id, n, most, p, size, CAST(gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, n, gram) > 1 AS INTEGER) AS hit FROM win),
+        cover AS (
+            SELECT doc_id, n, most, size,
+                   CASE n {" ".join(f"WHEN {n} THEN max(hit) OVER (PARTITION BY doc_id, n ORDER BY p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in sorted({WINDOW, *limits}))} END AS inside
+            FROM hit),
+        by_n AS (SELECT doc_id, n, most, sum(inside) AS words, sum(size * inside) / sum(size) AS share FROM cover GROUP BY doc_id, n, most),
+        rep AS (
+            SELECT doc_id, max(words) FILTER (n = {WINDOW}) AS words, max(share) FILTER (n IN ({listed})) AS share, bool_or(share > most) FILTER (n IN ({listed})) AS over
+            FROM by_n GROUP BY doc_id),
+        total AS (
+            SELECT b.*, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.words, 0) AS BIGINT) AS n_repeat_words,
+                   coalesce(rep.share, 0.0) AS dup_ngram_share, coalesce(dup.share, 0.0) AS dup_line_share, coalesce(rep.over, FALSE) AS over
+            FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR over OR dup_line_share > CAST({lines} AS DOUBLE)) AS kept, dup_ngram_share, dup_line_share
+        FROM total
+    """

@@ -79,9 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from millrace.llm import license_scan, url_filter
+    from millrace.llm import jaccard_join, license_scan, quality_rules, url_filter
 
     return {
+        "op1_ngram_jaccard_join": jaccard_join.oracle(),
+        "op6_quality_rules": quality_rules.oracle(),
         "op3_license_scan": license_scan.oracle(),
         "op5_url_filter": url_filter.ORACLE,
         "op2_exact_dedup": r"""
