@@ -18,6 +18,8 @@ from millrace.session import ready
 BUCKETS, PREFIXES = 1 << 20, (3, 4, 5, 6, 7, 8, 9)
 #: Labelled documents that are learnt from, at most (about: those of smallest hashed id, whatever the number of labels).
 MOST_LABELLED = 12_000
+#: Sampled ids that are sent to all tasks, at most; a larger sample is joined by a shuffle.
+MOST_SENT = 100_000
 #: Terms with weights: those that differ most between the classes.  Length of their factors.
 TERMS, FACTORS = 768, 8
 #: A label is predicted from this score on.
@@ -135,6 +137,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a share in 2**63, as it may be far below one in a million
     share = most * (2**63 - 1) // max(known.count(), most)
     known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 1) <= F.lit(share))
+    if most <= MOST_SENT:
+        known = F.broadcast(known)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(known, "doc_id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
