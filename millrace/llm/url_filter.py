@@ -110,7 +110,7 @@ ORACLE = r"""
         UNION ALL SELECT key, 'allow', 2, DATE '2024-01-01' + (h % 150 + 10) FROM host WHERE h % 4 = 1
         UNION ALL SELECT key, 'block', 3, DATE '2024-01-01' + h % 100 FROM dom WHERE h % 5 = 0),
     asked AS (
-        SELECT c.*, n AS labels, array_to_string(list_slice(string_split(host, '.'), -n, NULL), '.') AS key
+        SELECT c.*, n AS labels, array_to_string(list_slice(string_split(host, '.'), -n, -1), '.') AS key
         FROM c, LATERAL (SELECT unnest(range(1, len(string_split(host, '.')) + 1)) AS n) WHERE host <> ''),
     latest AS (
         SELECT a.page_id, a.labels, a.key, e.action, e.listed_on,

@@ -423,3 +423,65 @@ def test_components(spark):
     random.Random(1).shuffle(path)
     got = {r.node: r.root for r in components(Work(spark, "t"), spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in [*range(100, 140), 200]}}
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op2_exact_dedup", "op3_license_scan", "op5_url_filter", "op6_quality_rules"])
+def test_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from millrace.llm.queries import oracle_sql, queries
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for kind in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {kind} AS SELECT * FROM '{folder}/{kind}.parquet'")
+    got, want = queries()[name](spark, folder), con.sql(oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    place = [want.columns.index(c) for c in columns]
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted((tuple(r[k] for k in place) for r in want.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_url_filter_and_its_sql_by_brute_force(spark, scale):
+    duckdb = pytest.importorskip("duckdb")
+    from datetime import timedelta
+
+    from millrace.llm.queries import oracle_sql, queries
+
+    folder, con, first = f"/root/testdata/{scale}", duckdb.connect(), date(2024, 1, 1)
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    rows = con.sql("SELECT page_id, url FROM pages").fetchall()
+
+    def number(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:6], 16)
+
+    def host_of(url):
+        found = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", url.lower())
+        return found[1].rstrip(".") if found else ""
+
+    hosts = {host_of(url) for _, url in rows} - {""}
+    listed = defaultdict(list)
+    for h in hosts:
+        k = number(h)
+        if k % 3 == 0:
+            for rank, action, days in ((3, "block", 0), (1, "remove", 50), (3, "block", 120)):
+                listed[h].append((first + timedelta(k % 200 + days), rank, action))
+        if k % 4 == 1:
+            listed[h].append((first + timedelta(k % 150 + 10), 2, "allow"))
+    for parent in {h.split(".", 1)[1] for h in hosts if "." in h}:
+        if "." in parent and number(parent) % 5 == 0:
+            listed[parent].append((first + timedelta(number(parent) % 100), 3, "block"))
+    want = []
+    for page, url in rows:
+        fetched, host = first + timedelta(number(url) % 365), host_of(url)
+        labels, verdict, key, since = host.split("."), "none", None, None
+        for k in range(len(labels)):
+            name = ".".join(labels[k:])
+            entry = max((e for e in listed[name] if e[0] <= fetched), default=None)
+            if entry and entry[2] != "remove":
+                verdict, key, since = entry[2], name, str(entry[0])
+                break
+        want.append((page, host, str(fetched), verdict, key, since))
+    columns = ["page_id", "host", "fetched_on", "verdict", "list_key", "listed_since"]
+    assert {w[3] for w in want} == {"none", "block", "allow"}
+    assert sorted(map(tuple, queries()["op5_url_filter"](spark, folder).select(*columns).collect())) == sorted(want)
+    assert sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql()['op5_url_filter']})").fetchall()) == sorted(want)
