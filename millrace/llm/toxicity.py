@@ -94,10 +94,15 @@ class FactorizationMachine:
         both = (yes + no) / len(labels)
         gain = np.abs(yes / n1 - no / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-9)
         gain[(yes + no < 4) | (gain < 3)] = 0
-        # of terms that stand in as many documents of each class, prefixes of one word mostly, the first is enough
-        best = np.argsort(-gain, kind="stable")[: 8 * terms]
+        # of terms that stand in the same documents, by a sum of hashed documents, the first is enough
+        best = np.argsort(-gain, kind="stable")
         best = best[gain[best] > 0]
-        _, once = np.unique(yes[best] * 1e7 + no[best], return_index=True)
+        place = np.full(BUCKETS, -1, dtype=np.int64)
+        place[best] = np.arange(len(best))
+        known = place[flat] >= 0
+        stands = np.zeros(len(best), dtype=np.uint64)
+        np.add.at(stands, place[flat[known]], sh.mix(doc[known].astype(np.uint64) + np.uint64(1)))
+        _, once = np.unique(stands, return_index=True)
         chosen = best[np.sort(once)][:terms]
         keep = np.full(BUCKETS, -1, dtype=np.int64)
         keep[chosen] = np.arange(len(chosen))

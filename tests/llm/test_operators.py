@@ -180,6 +180,16 @@ def test_toxicity(spark):
     assert FactorizationMachine.learnt(sets, np.zeros(3)).scores([b"idiot"])[0] < 0.5
 
 
+def test_toxicity_keeps_terms_of_equal_counts():
+    from millrace.llm.toxicity import FactorizationMachine, hashed_terms
+
+    # each of two words in 20 toxic documents of its own, so their counts are equal
+    texts = [b"a b c qzfoo"] * 20 + [b"a b c wkbar"] * 20 + [b"a b c"] * 160
+    machine = FactorizationMachine.learnt(list(hashed_terms(texts)), np.array([1] * 40 + [0] * 160))
+    for word in (b"qzfoo", b"wkbar"):
+        assert machine.scores([b"a b c " + word])[0] > 0.7 > machine.scores([b"a b c"])[0]
+
+
 def test_toxicity_sample(spark):
     from millrace.llm.toxicity import held_out, learn
 
