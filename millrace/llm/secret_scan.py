@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,15 @@ KNOWN = re.compile(
     r"|[0-9+/_=-]+|(?:[A-Za-z]+[/_-])+[A-Za-z]+|(.)\1*)\Z"
 )
 
+#: Parts of such a string, digests and identifiers that stand between other parts, and what a random part mixes (a first capital is no mix).
+PART = re.compile(r"[A-Za-z0-9]+")
+INSIDE = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    r"|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})(?![A-Za-z0-9])"
+)
+PLAIN = re.compile(r"(?:[0-9]+|[A-Z]?[a-z]+|[A-Z]+)\Z")
+LEAST_RANDOM = 20
+
 Span = tuple[str, int, int]
 
 
@@ -48,17 +59,87 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], _RANK[s[0]], s[2]))
 
 
-def _looks_random(own: str, least: float) -> bool:
+def _mixed(own: str) -> bool:
+    return bool(re.search("[0-9]", own)) + bool(re.search("[a-z]", own)) + bool(re.search("[A-Z]", own)) > 1
+
+
+def _looks_random(own: str, least: float, tokens: int) -> bool:
     """A low ratio of characters to tokens, for a string that mixes digits with letters or both cases throughout."""
-    if KNOWN.match(own):
-        return False
-    classes = bool(re.search("[0-9]", own)) + bool(re.search("[a-z]", own)) + bool(re.search("[A-Z]", own))
-    return classes > 1 and len(own) < least * len(encoding().encode_ordinary(own))
+    return not KNOWN.match(own) and _mixed(own) and len(own) < least * tokens
+
+
+def _random_parts(own: str, least: float, ends: list[int]) -> list[tuple[int, int]]:
+    """Where parts of a string look random that as a whole does not; ``ends`` are those of its tokens.
+
+    Looked at are each part of LEAST_RANDOM characters and more, and the shortest row of
+    parts of that length from each part on and up to each part.  Of a row, half the
+    characters must lie in mixed parts, so that names and numbers are none.  A part
+    also counts as a whole if a row of its tokens of that length looks random.
+    """
+    inside = [m.span() for m in INSIDE.finditer(own)]
+    parts, group = [], []
+    for m in PART.finditer(own):
+        k = bisect_right(inside, (m.start(), len(own)))
+        if k and m.start() < inside[k - 1][1]:
+            continue
+        parts.append(m.span())
+        group.append(k)
+    plain = [bool(PLAIN.match(own[a:b])) for a, b in parts]
+    mixed = [0, *accumulate(0 if p else b - a for p, (a, b) in zip(plain, parts, strict=True))]
+    chars = [0, *accumulate(b - a for a, b in parts)]
+    rows = {(k, k) for k, (a, b) in enumerate(parts) if b - a >= LEAST_RANDOM}
+    i = 0
+    for j in range(len(parts)):  # up to each part
+        while i < j and parts[j][1] - parts[i + 1][0] >= LEAST_RANDOM:
+            i += 1
+        if parts[j][1] - parts[i][0] >= LEAST_RANDOM:
+            rows.add((i, j))
+    j = 0
+    for i in range(len(parts)):  # from each part on
+        while j < len(parts) and parts[j][1] - parts[i][0] < LEAST_RANDOM:
+            j += 1
+        if j == len(parts):
+            break
+        rows.add((i, j))
+    found = []
+    for i, j in sorted(rows):
+        a, b = parts[i][0], parts[j][1]
+        if group[i] != group[j] or (i < j and 2 * (mixed[j + 1] - mixed[i]) < chars[j + 1] - chars[i]):
+            continue
+        first, last = bisect_right(ends, a), bisect_right(ends, b)
+        if _looks_random(own[a:b], least, last - first) or (i == j and not KNOWN.match(own[a:b]) and _worst_row(own, least, ends, a, first, last)):
+            if found and a <= found[-1][1]:
+                found[-1] = (found[-1][0], max(b, found[-1][1]))
+            else:
+                found.append((a, b))
+    return found
+
+
+def _worst_row(own: str, least: float, ends: list[int], a: int, first: int, last: int) -> bool:
+    """If some row of tokens ``first`` to ``last`` of LEAST_RANDOM characters looks random; the first begins at ``a``."""
+    starts = [a, *ends[first : last - 1]]
+    j = first
+    for i in range(first, last):
+        while j < last and ends[j] - starts[i - first] < LEAST_RANDOM:
+            j += 1
+        if j == last:
+            break
+        if _looks_random(own[starts[i - first] : ends[j]], least, j + 1 - i):
+            return True
+    return False
 
 
 def random_spans(text: str, least: float = FEWEST_CHARS_A_TOKEN) -> list[Span]:
-    """Strings of few characters a token, other than known digests and identifiers."""
-    return [("random", *m.span()) for m in CANDIDATE.finditer(text) if _looks_random(m[0], least)]
+    """Strings of few characters a token, other than known digests and identifiers, and such parts of other strings."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        tokens = encoding().encode_ordinary(m[0])
+        if _looks_random(m[0], least, len(tokens)):
+            found.append(("random", *m.span()))
+        elif _mixed(m[0]):
+            ends = list(accumulate(map(len, encoding().decode_tokens_bytes(tokens))))
+            found += [("random", m.start() + a, m.start() + b) for a, b in _random_parts(m[0], least, ends)]
+    return found
 
 
 def joined(spans: list[Span]) -> str:
@@ -87,7 +168,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of ``docs``, without a shuffle.
 
     ``spans`` lists kind:start:end in code points, by start and then kind; a span of
-    kind ``random`` is added where the vocabulary needs many tokens for the length.
+    kind ``random`` is added where the vocabulary needs many tokens for the length, of a
+    whole string or of a part between its separators.
 
     Null text counts as empty and has no spans.  Null ids and repeated rows are
     reported like any other; an empty table gives an empty result; other columns

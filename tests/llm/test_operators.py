@@ -415,6 +415,20 @@ def test_secret_scan(spark):
     assert all(r.n_chars == len(r.text or "") for r in clean.collect())
 
 
+@pytest.mark.parametrize("before", ["services/incoming-webhooks/production/notifications/", "projects/customer-portal/environments/production/access/", "database-connection-string="])
+def test_secret_behind_readable_text(before):
+    from millrace.llm.secret_scan import random_spans, redacted
+
+    rng = random.Random(9)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for size in (20, 24, 32):
+        for _ in range(100):
+            own = "".join(rng.choices(chars, k=size))
+            assert own not in redacted(f"see {before}{own}/settings/overview now")
+    assert random_spans(before + "settings/user_profile/Version2/2024-01-15/overview") == []
+    assert random_spans(before + "550e8400-e29b-41d4-a716-446655440000/overview/settings/notifications") == []
+
+
 def test_empty_tables(spark):
     from millrace.llm import best_fit, byte_pairs, exact_dedup, jaccard_join, license_scan, quality_rules, secret_scan, sharding, toxicity
 
