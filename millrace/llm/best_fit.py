@@ -23,7 +23,7 @@ _PIECE = "doc_id long, uid long, piece int, start long, length long, ids_crc32 l
 
 
 def _pieces(capacity: int, end: int) -> Callable:
-    """A row for each piece.  The same ids as the tokenizers library's: the rank file holds the same vocabulary."""
+    """A row for each piece.  The same ids as the tokenizers library's: the rank file holds the same vocabulary, added tokens aside, which ids_of() cuts out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40

@@ -339,6 +339,22 @@ def test_ids_of_very_long_white_space():
     assert ids_of(text) == tokenizer().encode(text, add_special_tokens=False).ids
 
 
+def test_packing_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.llm.best_fit import pack
+    from millrace.llm.vocabulary import TOKENIZER, ids_of
+
+    plain = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    mark = "<|endoftext|>"
+    texts = [f"foo {mark} bar", mark, mark * 3, f"a{mark}b  {mark}\n", f"  {mark}  x", "<|endoftext|", f"<{mark}>", f"<|{mark}endoftext|>", f"é{mark}\n\n y's", "<|EndOfText|>", ""]
+    for text in texts:
+        assert ids_of(text) == plain.encode(text, add_special_tokens=False).ids, text
+    rows = list(enumerate(texts))
+    check_packing(pack(table(spark, rows)).collect(), rows, plain)
+
+
 def check_packing(got, rows, tokenizer, capacity=1024):
     want = Counter()
     total = 0
