@@ -16,6 +16,10 @@ SPELLINGS = (("licence", "license"), ("licencing", "licensing"), ("sub-licens",
 # Lines of copyright, and what is not a letter or digit in ASCII.  Both engines' regular expressions read these alike.
 COPYRIGHT = r"(^|\n)[\x20\t*#/]*(copyright|\(c\)|©)[^\n]*"
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+MARKS_OF_LINES = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+# Lines of a licence's body that begin with the word, and lines that state a copyright (year, sign or holder).
+BODY = r"(^|\n)[\x20\t*#/]*copyright[\x20\t]+(notice|holder|owner|law|licen[cs]e)"
+STATEMENT = r"(^|\n)[\x20\t*#/]*(\(c\)|©|copyright(?=[^\n]*(\(c\)|©|[12][0-9]{3}))|copyright(?![\x20\t]+(notice|holder|owner|law|licen[cs]e)))[^\n]*"
 
 # The texts of short public licences, and notices that stand for a licence as a line.
 TEXTS: dict[str, str] = {
@@ -35,22 +39,42 @@ NOTICES: dict[str, str] = {
     "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
     "Licensed under CC BY 4.0.": "CC-BY-4.0",
 }
+#: Whole texts that are known beside those of the SQL, and the titles that stand above a whole text.
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+FURTHER: list[tuple[str, str]] = [
+    *[("BSD-2-Clause", _BSD.replace("1. R", f"{a}R").replace("2. R", f"{b}R").format("", who)) for a, b in (("1. ", "2. "), ("", "")) for who in ("HOLDER", "OWNER")],
+    *[("BSD-3-Clause", _BSD.replace("1. R", f"{a}R").replace("2. R", f"{b}R").format(_NAMES.replace("3. ", c), who)) for a, b, c in (("1. ", "2. ", "3. "), ("", "", "")) for who in ("HOLDER", "OWNER")],
+    ("ISC", TEXTS["ISC"].replace("and/or distribute", "and distribute")),
+]
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("Expat License", "The Expat License", "MIT/Expat License", "The MIT License (Expat)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "Zero Clause BSD License (0BSD)", "BSD Zero Clause License (0BSD)"),
+    "Zlib": ("The zlib/libpng License", "zlib/libpng License", "The zlib/libpng License (Zlib)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+}
 
 
-def canonical(text: str) -> str:
+def canonical(text: str, copyright_lines: str = COPYRIGHT) -> str:
     """Lower case, without copyright lines and punctuation, one spelling for each word."""
-    text = re.sub(COPYRIGHT, "\n", text.lower())
+    text = re.sub(copyright_lines, "\n", text.lower())
     for a, b in SPELLINGS:
         text = text.replace(a, b)
     return re.sub(MARKS, " ", text).strip(" ")
 
 
-def canonical_column(text: F.Column) -> F.Column:
-    """The same as a column; null is empty."""
-    text = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), COPYRIGHT, "\n")
+def _canonical_lines(text: F.Column, copyright_lines: str = COPYRIGHT) -> F.Column:
+    """The canonical text of each line; null is empty."""
+    text = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), copyright_lines, "\n")
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(text, MARKS, " "))
+    return F.transform(F.split(F.regexp_replace(text, MARKS_OF_LINES, " "), "\n"), lambda x: F.trim(x))
+
+
+def _as_one(lines: F.Column) -> F.Column:
+    """The canonical text of the whole, from that of its lines."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
 def known_digests(texts: Mapping[str, str] = TEXTS, notices: Mapping[str, str] = NOTICES) -> list[tuple[str, str]]:
@@ -59,36 +83,56 @@ def known_digests(texts: Mapping[str, str] = TEXTS, notices: Mapping[str, str] =
     return sorted({(hashlib.sha256(canonical(text).encode()).hexdigest(), name) for text, name in both})
 
 
+def whole_digests(texts: Mapping[str, str] = TEXTS, notices: Mapping[str, str] = NOTICES) -> list[tuple[str, str]]:
+    """(digest, licence) of what a whole text can be: all known texts, the further ones, both with titles too, and notices."""
+    found = dict(known_digests(texts, notices))
+    for name, text in [*texts.items(), *FURTHER]:
+        for title in ("", name, f"{name} License", f"The {name} License", f"{name} License ({name})", f"The {name} License ({name})", *TITLES.get(name, ())):
+            found.setdefault(hashlib.sha256(canonical(f"{title}\n{text}", STATEMENT).encode()).hexdigest(), name)
+    return sorted(found.items())
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: Mapping[str, str] = TEXTS, notices: Mapping[str, str] = NOTICES) -> DataFrame:
     """(doc_id, canonical_sha256, license, line_licenses, n_license_lines) for every row of ``docs``.
 
-    ``license`` is the licence whose canonical text the whole text is, else null.  A line
-    that is a known notice or text in whole counts in n_license_lines; line_licenses
-    lists their licences, distinct and sorted, joined by commas.  Only lines that
-    hold "licen" in any case, as each notice does, or that are the whole text can be one.
+    ``license`` is the licence whose canonical text the whole text is, with or without a title, or is once only
+    copyright statements are removed, not body lines that begin with that word; else null.
+    A line that is a known notice or text in whole counts in n_license_lines; line_licenses
+    lists their licences, distinct and sorted, joined by commas.  The SQL looks only at lines that
+    hold "licen", and knows neither titles nor wrapped body lines; where neither matters both agree.
 
     Null text counts as empty and is no licence.  Null ids and repeated rows are
     reported like any other.  An empty table gives an empty result.  Other columns are
     ignored.  Digests of known texts are a fixed table of a few rows, so it is broadcast.
     """
     work = Work(docs.sparkSession, "licenses")
+    known, wholes = known_digests(texts, notices), whole_digests(texts, notices)
+    # only lines as long as a known text are hashed, and only known digests are kept
+    sizes = sorted({len(canonical(t)) for t in [*texts.values(), *notices]} - {0})
+    digests = [digest for digest, _ in known]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).contains("licen"))
+    lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _canonical_lines(text).alias("lines"))
+    digest = F.sha2(_as_one(F.col("lines")), 256)
+    fine = F.when(F.lower("text").rlike(BODY), F.sha2(_as_one(_canonical_lines(F.col("text"), STATEMENT)), 256))
     rows = work.keep(
-        docs.select(
-            F.monotonically_increasing_id().alias("uid"),
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.sha2(canonical_column(text), 256).alias("canonical_sha256"),
-            F.transform(lines, lambda x: F.sha2(canonical_column(x), 256)).alias("lines"),
+        lines.select(
+            "uid",
+            "doc_id",
+            digest.alias("canonical_sha256"),
+            fine.alias("fine"),
+            F.filter(F.transform(F.filter("lines", lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256)), lambda x: x.isin(digests)).alias("lines"),
         ),
         "digests",
     )
-    known = F.broadcast(docs.sparkSession.createDataFrame(known_digests(texts, notices), "digest string, license string"))
-    found = rows.select("uid", F.explode("lines").alias("digest")).join(known, "digest")
+    spark = docs.sparkSession
+    table = F.broadcast(spark.createDataFrame(known, "digest string, license string"))
+    found = rows.select("uid", F.explode("lines").alias("digest")).join(table, "digest")
     found = found.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"), F.count("*").alias("n"))
-    whole = rows.drop("lines").join(known, rows.canonical_sha256 == known.digest, "left")
+    first = F.broadcast(spark.createDataFrame(wholes, "first string, license string"))
+    second = F.broadcast(spark.createDataFrame(wholes, "second string, fine_license string"))
+    whole = rows.drop("lines").join(first, F.col("canonical_sha256") == F.col("first"), "left").join(second, F.col("fine") == F.col("second"), "left")
     return whole.join(found, "uid", "left").select(
-        "doc_id", "canonical_sha256", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines")
+        "doc_id", "canonical_sha256", F.coalesce("license", "fine_license").alias("license"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines")
     )
 
 

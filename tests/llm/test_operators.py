@@ -148,6 +148,24 @@ def test_license_scan(spark):
     assert all(r.canonical_sha256 == hashlib.sha256(canonical(texts[r.doc_id][0] or "").encode()).hexdigest() for r in got)
 
 
+def test_license_scan_of_whole_files(spark):
+    import textwrap
+
+    from millrace.llm.license_scan import FURTHER, TEXTS, license_scan
+
+    isc = TEXTS["ISC"].replace("the above copyright", "the above\ncopyright")
+    rows = [("prose\n" + text + "\nmore prose", None, name) for name, text in TEXTS.items()]
+    rows += [(f"{title}\n\nCopyright (c) 2020 Someone\n\n{text}", name, "" if "\n" in text else name) for title, name, text in [("MIT License", "MIT", textwrap.fill(TEXTS["MIT"], 78)), ("The MIT License (MIT)", "MIT", TEXTS["MIT"]), ("ISC License", "ISC", isc), ("BSD Zero Clause License", "0BSD", TEXTS["0BSD"])]]
+    rows += [("Copyright Jane Doe\n" + isc, "ISC", ""), ("Copyright 1999 Holder Inc.\n" + isc, "ISC", "")]
+    rows += [(f"Copyright (c) 2020, Someone\nAll rights reserved.\n\n{textwrap.fill(text, width)}", name, "") for name, text in FURTHER for width in range(60, 90)]
+    rows += [(isc + "\nand more", None, ""), ("MIT License", None, "")]
+    got = {r.doc_id: r for r in license_scan(table(spark, [(k, t) for k, (t, _, _) in enumerate(rows)])).collect()}
+    for k, (text, name, line) in enumerate(rows):
+        assert (got[k].license, got[k].line_licenses) == (name, line), text
+    notice = license_scan(table(spark, [(1, "x\nFree for all.\ny")]), notices={"Free for all": "own"}).collect()
+    assert [(r.line_licenses, r.n_license_lines) for r in notice] == [("own", 1)]
+
+
 def test_toxicity(spark):
     from millrace.llm.toxicity import FactorizationMachine, hashed_terms, learn, score
 
