@@ -162,7 +162,7 @@ def _packed(percent: int, n: int, common: np.ndarray, parts: int, most: int) ->
                 if nth + 1 - first > PACK_DOCS or rows > PACK_ROWS:
                     yield from messages()
                     held, at, rows, first = [], [], 0, nth
-                if size > 3 and key not in seen:  # a smaller set links with equal sets alone
+                if 100 * size >= percent * (size + 1) and key not in seen:  # a smaller set links with equal sets alone
                     seen.add(key)
                     where = np.minimum(np.searchsorted(sorted_common, s), max(len(sorted_common) - 1, 0))
                     often = sorted_common[where] == s if len(sorted_common) else np.zeros(size, bool)

@@ -102,6 +102,15 @@ def test_jaccard_join_of_large_regions(spark, limits):
     assert sorted(((r.component_id, r.n_links) for r in got.collect()), key=repr) == sorted(zip(lowest, links, strict=True), key=repr)
 
 
+def test_jaccard_join_of_small_sets(spark):
+    from millrace.llm.jaccard_join import jaccard_components
+
+    # 3 of 4 shingles shared
+    docs = table(spark, [(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "p q r s t u v w")])
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs, percent=70).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_shingles_follow_chunks():
     from millrace.llm import shingles
 
