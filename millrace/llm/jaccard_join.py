@@ -1,31 +1,27 @@
 """Exact similarity join on word-shingle sets under the Jaccard distance.
 
-The Jaccard distance is a metric.  Regions are built in two levels.
-
-*Singleton pivots.*  Unrelated texts lie at distance exactly 1 from each other
-and from any document pivot, so cells of document pivots alone would hold the
-whole corpus in every boundary window.  The first pivots are therefore single
-shingles ``{s}``: a set of n shingles lies at ``1 - 1/n`` from each pivot that
-it contains and at 1 from all others.  All its pivots are equally near, so the
-window decides: a partner within the radius shares at least ``ceil(t * n)``
-shingles, hence the two meet in a region if each is replicated to its
-``n - ceil(t * n) + 1`` first pivots in one common order.  The order takes
-pivots that many documents contain last.
-
-*Clouds.*  Inside a region, parity sketches give a lower bound of the symmetric
-difference (the bound is a metric too).  Pairs that pass are joined into clouds;
-a cloud holds whole components.  What is unrelated never shares a cloud, and
-from here on distances tell texts apart.
-
-*Document pivots.*  A cloud too large for one task is cut into Voronoi regions of
-document pivots.  A member is replicated to region i when its distance to pivot
-i exceeds the one to its own pivot by at most twice the radius; by the triangle
-inequality both ends of every link meet in the home region of each.  Regions
-are cut again until they fit; a cloud that windows can't thin is joined by pairs
-of bounded blocks.  Every pair that is reported was compared exactly.
-
-Equal sets form one class and are compared once.  Links are counted with class
-sizes and never listed.
+The Jaccard distance is a metric.  Equal sets form one class and are compared once;
+the classes are joined in two steps.
+
+*Clouds.*  Unrelated texts lie at distance exactly 1 from each other and from any
+document pivot, so Voronoi cells of a whole corpus would hold all of it in every
+window.  Sets that may link are therefore first gathered by what they share: a
+set of n shingles stands under its ``n - ceil(t * n) + 1`` first shingles in one common
+order (rare ones first), and two sets within the radius meet under one of them.
+Among those that meet, parity sketches give a lower bound of the symmetric difference
+(a metric too); pairs that pass are joined into clouds, which hold whole components.
+
+Where very many sets of one message stand under a shingle, leaders absorb sets of nearly
+their sketch before anything is sent, and the region compares leaders only, with a
+bound widened by the triangle inequality by what leaders may have absorbed.
+
+*Voronoi regions.*  Every cloud is cut into regions of document pivots, with windows of
+twice the radius and an outer region, recursively, until cells are small (``voronoi``);
+both ends of each link meet in the home region of each, where they are compared exactly.
+Clouds too large for one task are cut the same way as tables first.  A region that
+windows do not thin, as its members all lie near each other, is compared in bounded blocks.
+
+Links are counted with class sizes and never listed.
 """
 
 from __future__ import annotations
@@ -40,21 +36,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles as sh
+from millrace.llm import voronoi as vo
 from millrace.llm.work import BitTable, Work, components, texts_of
 
 #: Documents and prefix rows that a mapper packs into one message.
-PACK_DOCS, PACK_ROWS = 60_000, 1_000_000
-#: Shingles that many documents contain, placed last in the common order.  Any
+PACK_DOCS, PACK_ROWS = 60_000, 400_000
+#: Shingles counted at one time, and in how many sets of those one must stand to count as common.
+COUNTED, LEAST = 1_000_000, 4
+#: Shingles that most documents contain, placed last in the common order.  Any
 #: order gives the same links; this bounds the table that is sent to tasks.
-MOST_COMMON = 100_000
-#: Members of one singleton region in one message that are sent; of more, one is sent for all, and all go to one cloud.
-HOT = 64
+MOST_COMMON = 500_000
+#: Sets under one shingle in one message beyond which leaders absorb others; leaders that one message tries.
+HOT, TRIES = 64, 2000
+#: Share of its leader's size by which an absorbed set's may differ.
+SLACK = 0.05
 #: Bytes of packed rows for one reducer, about.
-REDUCER_BYTES = 24 << 20
-#: Members of a singleton region that are compared by sketch; beyond, all are put in one cloud.
+REDUCER_BYTES = 6 << 20
+#: Members of a region that are compared as one; a larger one is compared by bands of sizes.
 REGION = 4096
 #: Members and shingles of a cloud that one task joins.
-LEAF, LEAF_SHINGLES = 4096, 4_000_000
+LEAF, LEAF_SHINGLES = 4096, 2_000_000
+#: Pivots of a cut between tasks at most, and the share of a cloud that its largest region may keep.
+PIVOTS, THIN = 64, 0.9
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -62,7 +65,7 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def _sketch_bits(n: int) -> int:
-    return max(256, 1 << max(0, n - 1).bit_length())
+    return max(256, 1 << (2 * n - 1).bit_length())
 
 
 def _sketch(s: np.ndarray, bits: int) -> bytes:
@@ -75,45 +78,107 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-# ---------------------------------------------------------------- first level
+# ---------------------------------------------------------------- candidates
 
 
-def _common(percent: int, n: int, least: int = 8) -> Callable:
-    """Shingles that several documents of a message contain, and the number of prefix rows."""
+def _common(percent: int, n: int, most: int = COUNTED, least: int = LEAST) -> Callable:
+    """Shingles that several sets contain, and the number of prefix rows."""
 
-    def counted(sets: list[np.ndarray], rows: int) -> pa.RecordBatch:
-        value, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def counted(flat: np.ndarray, rows: int) -> pa.RecordBatch:
+        flat.sort()
+        start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+        count = np.diff(np.append(start, len(flat)))
         often = count >= least
-        columns = [np.append(value[often].view(np.int64), 0), np.append(count[often].astype(np.int64), rows), np.append(np.zeros(often.sum(), bool), True)]
+        columns = [np.append(flat[start[often]].view(np.int64), 0), np.append(count[often], rows), np.append(np.zeros(often.sum(), bool), True)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "count", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sets, size, rows = set(), [], 0, 0
+        buffer, seen, size, rows = np.empty(most, dtype=np.uint64), set(), 0, 0
         for batch in batches:
             for s in sh.shingle_sets(texts_of(batch, "text"), n):
                 key = _digest(s)
                 if len(s) and key not in seen:
+                    if size and size + len(s) > most:
+                        yield counted(buffer[:size], rows)
+                        seen, size, rows = set(), 0, 0
                     seen.add(key)
-                    sets.append(s)
-                    size += len(s)
                     rows += _prefix(len(s), percent)
-                    if size > 4_000_000:
-                        yield counted(sets, rows)
-                        seen, sets, size, rows = set(), [], 0, 0
-        yield counted(sets, rows)
+                    for at in range(0, len(s), most):
+                        if size and at:
+                            yield counted(buffer[:size], rows)
+                            size, rows = 0, 0
+                        piece = s[at : at + most]
+                        buffer[size : size + len(piece)] = piece
+                        size += len(piece)
+        yield counted(buffer[:size], rows)
 
     return run
 
 
+def _often(counts: DataFrame, most: int) -> np.ndarray:
+    """The shingles of largest counts, most frequent last: all above the count beyond which there are at most ``most``."""
+    step = F.floor(F.log2("count") * 8).cast("int")
+    left, least = most, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        left -= row["n"]
+        if left < 0:
+            break
+        least = row["step"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64)
+    few = counts.where(step >= least).select("shingle", "count").toPandas().sort_values(["count", "shingle"])
+    return few["shingle"].to_numpy(dtype=np.int64).copy().view(np.uint64)
+
+
+def leaders(groups: list[np.ndarray], sizes: np.ndarray, sketches: list[bytes], percent: int, most: int, tries: int = TRIES) -> np.ndarray:
+    """For each set the one that stands for it in ``groups``: itself, or a leader that has absorbed it.
+
+    A leader L absorbs sets of its sketch length with ``H <= c |L|`` and a size within
+    SLACK of its own, H being the distance of sketches and ``c = (1 - t) / (1 + t)``.  Leaders are not
+    absorbed.  Sets x, y within the radius have ``H(x, y) <= c (|x| + |y|)``, so their leaders have
+    ``H <= c (2 + SLACK) (|L1| + |L2|)``, which is what ``_near`` holds them against.
+    """
+    lo, hi = 100 - percent, 100 + percent
+    stands, leads, dull = np.arange(len(sizes)), np.zeros(len(sizes), dtype=bool), np.zeros(len(sizes), dtype=bool)
+    length = np.array([len(x) for x in sketches])
+    for group in sorted(groups, key=len, reverse=True):
+        own = np.unique(stands[group])
+        if len(own) <= most:
+            continue
+        for width in np.unique(length[own]).tolist():
+            here = own[length[own] == width]
+            lines = np.frombuffer(b"".join([sketches[k] for k in here.tolist()]), dtype=np.uint64).reshape(len(here), -1)
+            free = ~leads[here]
+            for at in np.lexsort((sizes[here], ~leads[here])).tolist():
+                k = here[at]
+                if dull[k] or stands[k] != k:
+                    continue
+                if not tries or not free.any():
+                    break
+                tries -= 1
+                near = free & (np.abs(sizes[here] - sizes[k]) <= SLACK * sizes[k])
+                near[near] = np.bitwise_count(lines[near] ^ lines[at]).sum(axis=1, dtype=np.int64) * hi <= sizes[k] * lo
+                near[at] = False
+                if near.any():
+                    stands[here[near]] = k
+                    leads[k] = True
+                    free &= ~near
+                    free[at] = False
+                else:
+                    dull[k] = not leads[k]
+    return stands
+
+
 def _packed(percent: int, n: int, common: np.ndarray, parts: int, most: int) -> Callable:
-    """Document rows, and messages of prefix rows for each reducer."""
+    """Document rows, messages of prefix rows for each reducer, and who absorbed whom."""
     order = np.argsort(common)
     sorted_common = common[order]
 
-    def prefix(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    def prefix(s: np.ndarray) -> np.ndarray:
         want = _prefix(len(s), percent)
-        if not often.any():
+        if not len(sorted_common):
             return s[:want]
+        often = sorted_common[np.minimum(np.searchsorted(sorted_common, s), len(sorted_common) - 1)] == s
         rare = s[~often]
         if len(rare) >= want:
             return rare[:want]
@@ -121,64 +186,80 @@ def _packed(percent: int, n: int, common: np.ndarray, parts: int, most: int) ->
         rank = order[np.searchsorted(sorted_common, rest)]
         return np.concatenate((rare, rest[np.argsort(rank)[: want - len(rare)]]))
 
+    class Message:
+        def __init__(self, first: int):
+            self.first, self.held, self.at, self.sizes, self.sketches, self.rows = first, [], [], [], [], 0
+
+        def add(self, nth: int, s: np.ndarray, sketch: bytes) -> None:
+            self.held.append(prefix(s))
+            self.at.append(nth - self.first)
+            self.sizes.append(len(s))
+            self.sketches.append(sketch)
+            self.rows += len(self.held[-1])
+
+        def batches(self) -> Iterator[pa.RecordBatch]:
+            if not self.held:
+                return
+            value = sh.mix(np.concatenate(self.held)) & ~np.uint64(0xFFFF)
+            who = np.repeat(np.arange(len(self.held)), [len(x) for x in self.held])
+            by = np.argsort(value, kind="stable")
+            value, who = value[by], who[by]
+            start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            count = np.diff(np.append(start, len(value)))
+            hot = np.repeat(count > most, count)
+            at = np.array(self.at, dtype=np.uint64)
+            if hot.any():
+                groups = [who[a : a + c] for a, c in zip(start[count > most].tolist(), count[count > most].tolist(), strict=True)]
+                stands = leaders(groups, np.array(self.sizes), self.sketches, percent, most)
+                gone = np.flatnonzero(stands != np.arange(len(stands)))
+                if len(gone):
+                    gone = gone[np.argsort(stands[gone], kind="stable")]
+                    edge = np.flatnonzero(np.append(True, stands[gone][1:] != stands[gone][:-1]))
+                    stars = [np.append(at[stands[g[0]]], at[g]).astype(np.int64) + self.first for g in np.split(gone, edge[1:])]
+                    yield _rows(star=[g + self.base for g in stars])
+                hot_rows = np.unique(np.stack((value[hot].view(np.int64), stands[who[hot]])), axis=1)
+                value = np.concatenate((value[~hot], hot_rows[0].view(np.uint64)))
+                who = np.concatenate((who[~hot], hot_rows[1]))
+                hot = np.arange(len(value)) >= (~hot).sum()
+            packed = value | at[who]
+            for kind in (False, True):
+                own = packed[hot == kind]
+                if len(own):
+                    part = ((own >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+                    by = np.argsort(part, kind="stable")
+                    part, own = part[by], own[by]
+                    start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                    yield _rows(part=part[start], message=[x.tobytes() for x in np.split(own, start[1:])], uid=np.full(len(start), self.base + self.first), hot=np.full(len(start), kind))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 36
-        nth = 0
+        Message.base = base = TaskContext.get().partitionId() << 36
+        nth, message = 0, Message(0)
         for batch in batches:
-            ids = batch.column("doc_id")
-            keys, sizes, sketches, seen, first = [], [], [], set(), nth
-            held, at, rows = [], [], 0
-
-            def messages():
-                if not held:
-                    return
-                value = sh.mix(np.concatenate(held))
-                member = np.repeat(np.array(at, dtype=np.uint64), [len(x) for x in held])
-                _, place, count = np.unique(value, return_inverse=True, return_counts=True)
-                for hot in (False, True):
-                    here = np.flatnonzero((count[place] > most) == hot)
-                    if hot and len(here):
-                        here = here[np.argsort(place[here], kind="stable")]
-                        start = np.flatnonzero(np.append(True, place[here][1:] != place[here][:-1]))
-                        groups = np.split(member[here].astype(np.int64) + base + first, start[1:])
-                        once = {g.tobytes(): g for g in groups}
-                        yield _rows(region=[xxhash.xxh3_64_intdigest(g, seed=1) - (1 << 63) for g in once], members=list(once.values()))
-                        here = here[start]
-                    if len(here):
-                        part = (value[here] % np.uint64(parts)).astype(np.int64)
-                        packed = (value[here] & ~np.uint64(0xFFFF)) | member[here]
-                        by = np.argsort(part, kind="stable")
-                        part, packed = part[by], packed[by]
-                        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                        stop = np.append(start[1:], len(part))
-                        yield _rows(part=part[start], message=[packed[a:b].tobytes() for a, b in zip(start, stop, strict=True)], uid=np.full(len(start), base + first), hot=np.full(len(start), hot))
-
-            for k, s in enumerate(sh.shingle_sets(texts_of(batch, "text"), n)):
+            keys, sizes, sketches, seen = [], [], [], set()
+            for s in sh.shingle_sets(texts_of(batch, "text"), n):
                 size = len(s)
                 key = _digest(s)
                 keys.append(key if size else None)
                 sizes.append(size)
                 sketches.append(_sketch(s, _sketch_bits(size)) if size else None)
-                if nth + 1 - first > PACK_DOCS or rows > PACK_ROWS:
-                    yield from messages()
-                    held, at, rows, first = [], [], 0, nth
+                if nth + 1 - message.first > PACK_DOCS or message.rows > PACK_ROWS:
+                    yield from message.batches()
+                    message = Message(nth)
                 if 100 * size >= percent * (size + 1) and key not in seen:  # a smaller set links with equal sets alone
                     seen.add(key)
-                    where = np.minimum(np.searchsorted(sorted_common, s), max(len(sorted_common) - 1, 0))
-                    often = sorted_common[where] == s if len(sorted_common) else np.zeros(size, bool)
-                    held.append(prefix(s, often))
-                    at.append(nth - first)
-                    rows += len(held[-1])
+                    message.add(nth, s, sketches[-1])
                 nth += 1
-            yield from messages()
             if len(sizes):
-                start = nth - len(sizes)
-                yield _rows(uid=base + start + np.arange(len(sizes)), doc_id=ids, n=np.array(sizes, np.int64), key=keys, sketch=sketches)
+                uid = base + nth - len(sizes) + np.arange(len(sizes))
+                yield _rows(uid=uid, doc_id=batch.column("doc_id"), h=batch.column("h"), n=np.array(sizes, np.int64), key=keys, sketch=sketches)
+        yield from message.batches()
 
     return run
 
 
-_ROW = pa.schema([("part", pa.int64()), ("message", pa.binary()), ("hot", pa.bool_()), ("region", pa.int64()), ("members", pa.list_(pa.int64())), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
+_FIELDS = [("part", pa.int64()), ("message", pa.binary()), ("hot", pa.bool_()), ("star", pa.list_(pa.int64())), ("uid", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())]
+_ROW = pa.schema(_FIELDS)
+_PACKED = "part long, message binary, hot boolean, star array<long>, uid long, doc_id long, h long, n long, key binary, sketch binary"
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -186,43 +267,41 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if f.name not in columns else (c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type)) for f in _ROW], schema=_ROW)
 
 
-def _regions(most: int) -> Callable:
-    """Members of each singleton region with two or more, equal member lists once.
+#: How members of a region are compared: as sets, as leaders, or not (a star of an absorbing leader).
+PLAIN, LEADERS, STAR = 0, 1, 2
 
-    A region that is very large, or of which a message has sent one member for many, is joined whole.
-    """
+
+def _regions(most: int) -> Callable:
+    """Members of each region with two or more, equal member lists once (as far as one reducer sees them)."""
 
     def run(table: pa.Table) -> pa.Table:
-        packed, member, sent = [], [], []
-        for message, first, hot in zip(table.column("message").to_pylist(), table.column("uid").to_pylist(), table.column("hot").to_pylist(), strict=True):
-            rows = np.frombuffer(message, dtype=np.uint64)
-            packed.append(rows >> np.uint64(16))
-            member.append((rows & np.uint64(0xFFFF)).astype(np.int64) + first)
-            sent.append(np.full(len(rows), hot))
-        value, who, many_sent = np.concatenate(packed), np.concatenate(member), np.concatenate(sent)
-        by = np.lexsort((who, value))
-        value, who, many_sent = value[by], who[by], many_sent[by]
-        new = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        stop = np.append(start[1:], len(value))
-        many = stop - start > 1
-        out: dict[bytes, tuple[bool, np.ndarray]] = {}
-        for a, b in zip(start[many].tolist(), stop[many].tolist(), strict=True):
-            if b - a <= most and not many_sent[a:b].any():
-                out.setdefault(who[a:b].tobytes(), (False, who[a:b]))
-            else:
-                for c in range(a + 1, b, most):
-                    own = np.concatenate((who[a : a + 1], who[c : min(c + most, b)]))
-                    out[own.tobytes()] = (True, own)
-        names = [xxhash.xxh3_64_intdigest(k, seed=int(whole)) - (1 << 63) for k, (whole, _) in out.items()]
-        return pa.table({"region": pa.array(names, pa.int64()), "whole": pa.array([w for w, _ in out.values()], pa.bool_()), "members": pa.array([m for _, m in out.values()], pa.list_(pa.int64()))})
+        size = sum(len(m) // 8 for m in (x.as_py() for x in table.column("message")))
+        packed, who, hot = np.empty(size, np.uint64), np.empty(size, np.int64), np.empty(size, bool)
+        done = 0
+        for message, first, kind in zip(table.column("message"), table.column("uid"), table.column("hot"), strict=True):
+            rows = np.frombuffer(message.as_py(), dtype=np.uint64)
+            own = slice(done, done := done + len(rows))
+            packed[own], who[own], hot[own] = rows >> np.uint64(16), (rows & np.uint64(0xFFFF)).astype(np.int64) + first.as_py(), kind.as_py()
+        by = np.lexsort((who, packed))
+        packed, who, hot = packed[by], who[by], hot[by]
+        start = np.flatnonzero(np.append(True, packed[1:] != packed[:-1])) if size else np.zeros(0, np.int64)
+        count = np.diff(np.append(start, size))
+        kind = ((count > most) | (np.add.reduceat(hot, start, dtype=np.int64) > 0)).astype(np.int64) if size else count
+        # a list is named by two sums of hashed members; only lists that agree in both are one
+        names = [np.add.reduceat(sh.mix(who.view(np.uint64) + np.uint64(salt)), start) if size else np.zeros(0, np.uint64) for salt in (1, 1 << 62)]
+        names[0] = sh.mix(names[0] + kind.view(np.uint64))
+        many = np.flatnonzero(count > 1)
+        many = many[np.lexsort((names[1][many], names[0][many]))]
+        new = np.append(True, (names[0][many][1:] != names[0][many][:-1]) | (names[1][many][1:] != names[1][many][:-1])) if len(many) else np.zeros(0, bool)
+        many = many[new]
+        edge = np.concatenate(([0], np.cumsum(count[many])))
+        at = np.repeat(start[many] - edge[:-1], count[many]) + np.arange(edge[-1])
+        members = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(who[at]))
+        return pa.table({"region": pa.array(names[0][many].view(np.int64)), "other": pa.array(names[1][many].view(np.int64)), "kind": pa.array(kind[many].astype(np.int32)), "members": members})
 
     return run
 
 
-# --------------------------------------------------------------- second level
-
-
 def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``by``; a group may span batches."""
     held: list[pa.RecordBatch] = []
@@ -258,26 +337,13 @@ def _fold(x: int, bits: int, to: int) -> int:
     return x
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _near(sizes: np.ndarray, sketches: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, those j > i) that may be within the radius: by size, then by folded sketch.  ``sizes`` ascend."""
+def _near(sizes: np.ndarray, sketches: list[bytes], percent: int, kind: int = PLAIN) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those j > i) that may be within the radius (or, of leaders, that may have absorbed such): by size, then by folded sketch.  ``sizes`` ascend."""
     lo, hi = 100 - percent, 100 + percent
-    last = np.searchsorted(sizes * percent, sizes * 100, side="right")  # percent * larger <= 100 * smaller
+    ratio = float(percent)
+    if kind == LEADERS:
+        lo, ratio = lo * (2 + SLACK), percent * (1 - SLACK) / (1 + SLACK) - 1e-9
+    last = np.searchsorted(sizes * ratio, sizes * 100, side="right")  # ratio * larger <= 100 * smaller
     bits = [8 * len(x) for x in sketches]
     if len(sizes) <= 48:
         ints = [int.from_bytes(x, "little") for x in sketches]
@@ -306,201 +372,217 @@ def _near(sizes: np.ndarray, sketches: list[bytes], percent: int) -> Iterator[tu
                     yield i, found + i + 1
 
 
+def _bands(regions: DataFrame, percent: int) -> DataFrame:
+    """Regions of leaders by bands of sizes: a member stands in its band and the next, so those of like sizes meet."""
+    step = float(np.log(1.001 * 100 / percent * (1 + SLACK) / (1 - SLACK)))
+    band = F.floor(F.log("n") / F.lit(step)).cast("int")
+    plain = regions.where(F.col("kind") != LEADERS)
+    hot = regions.where(F.col("kind") == LEADERS).withColumn("band", F.explode(F.array(band, band + 1)))
+    return plain.unionByName(hot.withColumn("region", F.xxhash64("region", "band")).drop("band"))
+
+
 def _clouds(percent: int) -> Callable:
+    def out(a: list, b: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for group in _groups(batches, "region"):
             node, at = np.unique(group.column("node").to_numpy(), return_index=True)
+            kind = group.column("kind")[0].as_py()
             if len(node) < 2:
                 continue
-            if group.column("whole")[0].as_py():
+            if kind == STAR:
                 a += [int(node[0])] * (len(node) - 1)
                 b += node[1:].tolist()
             else:
                 sizes = group.column("n").to_numpy()[at]
                 by = np.argsort(sizes, kind="stable")
-                rank = node[by].tolist()
-                sketch = group.column("sketch")
-                forest = _Forest(len(rank))
-                for i, found in _near(sizes[by], [sketch[int(k)].as_py() for k in at[by]], percent):
-                    for j in found.tolist():
-                        if forest.join(i, j):
-                            a.append(rank[i])
-                            b.append(rank[j])
+                rank = node[by]
+                sketch = group.column("sketch").take(pa.array(at[by])).to_pylist()
+                forest = vo.Forest(len(rank))
+                for i, found in _near(sizes[by], sketch, percent, kind):
+                    joined = forest.join(i, found)
+                    a += [int(rank[i])] * len(joined)
+                    b += rank[joined].tolist()
             if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield out(a, b)
                 a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield out(a, b)
 
     return run
 
 
-# ---------------------------------------------------------------- third level
+# ------------------------------------------------------------ Voronoi regions
 
 
 def _fetch(n: int, table: BitTable) -> Callable:
-    """Sets of the documents whose class may be in a cloud, each once a message."""
+    """Sets of the documents that may stand for a class in a cloud."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, keys, sets, size = set(), [], [], 0
-            for s in sh.shingle_sets(texts_of(batch, "text"), n):
-                key = _digest(s)
-                if len(s) and key not in seen and table.has(np.frombuffer(key, dtype=">i8")[:1])[0]:
-                    seen.add(key)
-                    keys.append(key)
+            h = batch.column("h").to_numpy()
+            asked = np.flatnonzero(table.has(h))
+            few = batch.take(pa.array(asked))
+            keys, sets, names, size = [], [], [], 0
+            for name, s in zip(h[asked].tolist(), sh.shingle_sets(texts_of(few, "text"), n), strict=True):
+                if len(s):
+                    keys.append(_digest(s))
                     sets.append(s.tobytes())
+                    names.append(name)
                     size += len(sets[-1])
-                    if size > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
-                        keys, sets, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["h", "key", "set"])
+                        keys, sets, names, size = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["h", "key", "set"])
 
     return run
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, those j > i) within the radius, exactly.  ``sets`` ascend by size."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    cells = None
-    if len(sets) > 48:
-        every, place = np.unique(np.concatenate(sets), return_inverse=True)
-        shared = np.bincount(place) > 1
-        number = np.cumsum(shared) - 1
-        width = -(-int(shared.sum()) // 64)
-        if width * len(sets) <= 8_000_000:
-            cells = np.zeros((len(sets), max(width, 1) * 64), dtype=bool) if width * len(sets) <= 500_000 else None
-            rows = np.zeros((len(sets), max(width, 1)), dtype=np.uint64)
-            edge = np.concatenate(([0], np.cumsum(sizes)))
-            for k in range(len(sets)):
-                own = place[edge[k] : edge[k + 1]]
-                line = np.zeros(max(width, 1) * 64, dtype=bool) if cells is None else cells[k]
-                line[number[own[shared[own]]]] = True
-                rows[k] = np.packbits(line, bitorder="little").view(np.uint64)
-            cells = rows
-    for i, found in _near(sizes, [_sketch(s, _sketch_bits(len(s))) for s in sets], percent):
-        if cells is None:
-            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in found.tolist()])
-        else:
-            both = np.bitwise_count(cells[found] & cells[i]).sum(axis=1, dtype=np.int64)
-        close = 100 * both >= percent * (sizes[i] + sizes[found] - both)
-        if close.any():
-            yield i, found[close]
+_LINKS = "a long, b long, component long, links long"
+_NONE = np.iinfo(np.int64).max
 
 
-def _join(percent: int) -> Callable:
-    """Links of each group: a forest of them, and their number (by class size) for members at home.
+def _join(percent: int, cell: int) -> Callable:
+    """Links of each cloud by Voronoi regions.
 
-    ``side`` is 0 or 1 in a pair of blocks, where only pairs of both sides count, and null elsewhere.
+    Of a whole cloud: (a, component, links) for each member with links, the component named by its
+    smallest document.  Of a part of a cut one: (a, b) edges that join its components, and (a, links)
+    for members at home.  ``side`` is 0 or 1 in a pair of blocks, where only pairs of both sides count.
     """
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b", "component", "links"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, links = [], [], []
+        rows: list[tuple] = []
         for group in _groups(batches, "cloud"):
             node, at = np.unique(group.column("node").to_numpy(), return_index=True)
-            if len(node) > 1:
-                column = group.column("set")
-                sets = [np.frombuffer(column[int(k)].as_py(), dtype=np.uint64) for k in at]
-                by = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-                node, at = node[by], at[by]
-                weight, home = group.column("w").to_numpy()[at], group.column("home").to_numpy(zero_copy_only=False)[at]
-                side = np.array(group.column("side").fill_null(-1).to_numpy())[at]
-                total, forest = np.zeros(len(node), dtype=np.int64), _Forest(len(node))
-                for i, found in linked_pairs([sets[k] for k in by], percent):
-                    found = found[(side[found] != side[i]) | (side[i] < 0)]
-                    total[i] += weight[found].sum()
-                    total[found] += weight[i]
-                    for j in found.tolist():
-                        if forest.join(i, j):
-                            a.append(int(node[i]))
-                            b.append(int(node[j]))
-                            links.append(None)
-                for k in np.flatnonzero(home & (total > 0)).tolist():
-                    a.append(int(node[k]))
-                    b.append(None)
-                    links.append(int(total[k]))
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, links)], ["a", "b", "links"])
-                a, b, links = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, links)], ["a", "b", "links"])
+            if len(node) < 2:
+                continue
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("set").take(pa.array(at)).to_pylist()]
+            weight = group.column("w").to_numpy()[at]
+            if not group.column("cut")[0].as_py():
+                root, total = vo.links_of(sets, percent, weight, cell)
+                least = np.full(len(node), _NONE)
+                np.minimum.at(least, root, group.column("least").fill_null(_NONE).to_numpy()[at])
+                for k in np.flatnonzero(total).tolist():
+                    name = int(least[root[k]])
+                    rows.append((int(node[k]), None, None if name == _NONE else name, int(total[k])))
+            else:
+                home = group.column("home").to_numpy()[at]
+                side = group.column("side").fill_null(-1).to_numpy()[at]
+                total, forest = np.zeros(len(node), dtype=np.int64), vo.Forest(len(node))
+                for i, found, at_home, own in vo.linked(sets, percent, cell):
+                    other = (side[found] != side[i]) | (side[i] < 0)
+                    found, at_home = found[other], at_home[other]
+                    total[i] += weight[found].sum() if own else 0
+                    total[found[at_home]] += weight[i]
+                    rows += [(int(node[i]), int(node[j]), None, None) for j in forest.join(i, found).tolist()]
+                rows += [(int(node[k]), None, None, int(total[k])) for k in np.flatnonzero(home & (total > 0)).tolist()]
+            if len(rows) > 50_000:
+                yield out(rows)
+                rows = []
+        yield out(rows)
 
     return run
 
 
-def _distances(own: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
-    both = np.array([len(np.intersect1d(own, p, assume_unique=True)) for p in pivots])
-    sizes = np.array([len(p) for p in pivots])
-    return 1.0 - both / np.maximum(len(own) + sizes - both, 1)
+_MEMBER = ["cloud", "cut", "home", "node", "w", "least", "n", "set", "side"]
 
 
 def _voronoi(percent: int) -> Callable:
-    """A row for each region that a member belongs to: its home, and those whose window holds it."""
-    window = 2 * (100 - percent) / 100 + 1e-9
+    """A row for each region that a member belongs to: its home, and those whose window holds it.
+
+    Rows come sorted by (cloud, chunk), the pivots of the cloud before its members.
+    """
+
+    def near(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+        """Distances, pivot by member."""
+        every, place = np.unique(np.concatenate(pivots), return_inverse=True)
+        holds = np.zeros((len(every), len(pivots)), dtype=np.uint8)
+        holds[place, np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])] = 1
+        both = np.zeros((len(pivots), len(sets)), dtype=np.int64)
+        for k, s in enumerate(sets):
+            where = np.minimum(np.searchsorted(every, s), len(every) - 1)
+            both[:, k] = holds[where[every[where] == s]].sum(axis=0, dtype=np.int64)
+        return 1.0 - both / (np.array([len(p) for p in pivots])[:, None] + np.array([len(s) for s in sets]) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivots = None, []
         for batch in batches:
-            take, region, home = [], [], []
-            parsed: dict[int, list[np.ndarray]] = {}
-            column, pivots = batch.column("set"), batch.column("pivots")
-            for k, cloud in enumerate(batch.column("cloud").to_pylist()):
-                if cloud not in parsed:
-                    parsed = {cloud: [np.frombuffer(p, dtype=np.uint64) for p in pivots[k].as_py()]}
-                d = _distances(np.frombuffer(column[k].as_py(), dtype=np.uint64), parsed[cloud])
-                own = int(np.argmin(d))
-                for i in np.flatnonzero(d - d[own] <= window).tolist():
-                    take.append(k)
-                    region.append(i)
-                    home.append(i == own)
-            kept = batch.select(["node", "w", "n", "set", "side"]).take(pa.array(take, pa.int64()))
-            was = batch.column("home").take(pa.array(take, pa.int64())).to_numpy(zero_copy_only=False)
-            cloud = batch.column("cloud").take(pa.array(take, pa.int64())).to_numpy()
-            name = sh.mix(cloud.view(np.uint64) * np.uint64(31) + np.array(region, dtype=np.uint64)).view(np.int64) if take else cloud
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.array(home, dtype=bool) & was), *kept.columns, pa.array(cloud)], ["cloud", "home", "node", "w", "n", "set", "side", "parent"])
+            cloud, chunk, is_pivot = batch.column("cloud").to_numpy(), batch.column("chunk").to_numpy(), batch.column("pivot").to_numpy(zero_copy_only=False)
+            name = np.stack((cloud, chunk, is_pivot))
+            start = np.flatnonzero(np.append(True, (name[:, 1:] != name[:, :-1]).any(axis=0))) if batch.num_rows else []
+            for a, b in zip(start, [*start[1:], batch.num_rows], strict=True):
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("set").slice(a, b - a).to_pylist()]
+                if (cloud[a], chunk[a]) != now:
+                    now, pivots = (cloud[a], chunk[a]), []
+                if is_pivot[a]:
+                    pivots += sets
+                    continue
+                if pivots:
+                    home, inside = vo.windows(near(sets, pivots), percent)
+                else:
+                    home, inside = np.zeros(len(sets), np.int64), np.ones((1, len(sets)), bool)
+                region, take = np.nonzero(inside)
+                kept = batch.select(["node", "w", "least", "n", "set", "side"]).slice(a, b - a).take(pa.array(take))
+                was = batch.column("home").slice(a, b - a).to_numpy(zero_copy_only=False)[take]
+                names = sh.mix(np.full(len(take), cloud[a]).view(np.uint64) * np.uint64(31) + region.astype(np.uint64)).view(np.int64)
+                columns = [pa.array(names), pa.array(np.ones(len(take), bool)), pa.array((home[take] == region) & was), *kept.columns, pa.array(np.full(len(take), cloud[a]))]
+                yield pa.RecordBatch.from_arrays(columns, [*_MEMBER, "parent"])
 
     return run
 
 
-_MEMBER = "cloud long, home boolean, node long, w long, n long, set binary, side int"
-
-
-def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shingles: int) -> DataFrame:
-    """(a, b, links) rows of all clouds: small ones at once, large ones after Voronoi cuts."""
+def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shingles: int, cell: int) -> tuple[DataFrame, bool]:
+    """Rows of ``_join`` for all clouds, and whether any was cut between tasks."""
     ready, depth = [], 0
     while True:
         size = members.groupBy("cloud").agg(F.count("*").alias("many"), F.sum("n").alias("mass"))
-        large = work.keep(size.where((F.col("many") > leaf) | (F.col("mass") > leaf_shingles)), "large")
-        ready.append(members.join(F.broadcast(large.select("cloud")) if not large.head(1) else large.select("cloud"), "cloud", "left_anti"))
+        share = F.greatest(F.col("many") / leaf, F.col("mass") / leaf_shingles)
+        large = work.keep(size.where(share > 1).withColumn("share", share), "large")
         if not large.head(1):
+            ready.append(members)
             break
+        ready.append(members.join(large.select("cloud"), "cloud", "left_anti"))
         rest = members.join(large, "cloud")
-        pivots = rest.select("cloud", "many", "mass", F.struct(F.xxhash64("node", F.lit(depth)).alias("order"), "set").alias("p"))
-        # the pivots are the members of lowest hash: about two for each leaf that the cloud fills, 64 at most
-        share = F.greatest(F.col("many") / leaf, F.col("mass") / leaf_shingles)
-        count = F.least(F.lit(64.0), F.greatest(F.lit(2.0), F.ceil(2 * share).cast("double")))
-        cut = (count * 4 + 16) / F.col("many") * F.lit(2.0**64) - F.lit(2.0**63)
-        few = pivots.where(F.col("p.order").cast("double") <= cut).groupBy("cloud").agg(F.slice(F.array_sort(F.collect_list("p")), 1, F.max(count).cast("int")).alias("p"))
-        few = few.select("cloud", F.col("p.set").alias("pivots"))
-        cut_up = rest.drop("many", "mass").join(few, "cloud").select("cloud", "home", "node", "w", "n", "set", "side", "pivots")
-        cut_up = work.keep(cut_up.mapInArrow(_voronoi(percent), _MEMBER + ", parent long"), "voronoi")
-        # a cloud that did not shrink is joined by pairs of blocks
-        now = cut_up.groupBy("parent", "cloud").agg(F.count("*").alias("size"), F.max("home").alias("any"))
+        # the pivots are members of lowest hash: about two for each leaf that the cloud fills
+        chunks = F.ceil("share").cast("int")
+        want = F.least(F.lit(float(PIVOTS)), F.greatest(F.lit(2.0), F.ceil(2 * F.col("share")).cast("double")))
+        order = F.xxhash64("node", F.lit(depth))
+        cut = (want * 4 + 16) / F.col("many") * F.lit(2.0**64) - F.lit(2.0**63)
+        few = rest.where(order.cast("double") <= cut).groupBy("cloud", "share").agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("order"), "n", "set"))), 1, F.max(want).cast("int")).alias("p"))
+        few = few.select("cloud", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.explode("p").alias("p")).select("cloud", "chunk", F.lit(True).alias("pivot"), "p.n", "p.set")
+        own = rest.select(*_MEMBER, F.pmod(F.xxhash64("node", F.lit("chunk")), chunks).cast("int").alias("chunk"), F.lit(False).alias("pivot"))
+        both = own.unionByName(few, allowMissingColumns=True).repartition("cloud", "chunk").sortWithinPartitions("cloud", "chunk", F.desc("pivot"))
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.select(*_MEMBER).schema)
+        pieces = work.keep(both.mapInArrow(_voronoi(percent), f"{fields}, parent long"), "voronoi")
+        # of a region without members at home nothing is asked
+        now = pieces.groupBy("parent", "cloud").agg(F.count("*").alias("size"), F.max("home").alias("held")).where("held")
         grown = now.groupBy("parent").agg(F.max("size").alias("size"))
-        stuck = work.keep(large.join(grown, large.cloud == grown.parent, "left").where(F.col("size").isNull() | (F.col("size") > 0.7 * F.col("many"))).select("cloud", "many", "mass"), "stuck")
-        members = cut_up.join(stuck.select(F.col("cloud").alias("parent")), "parent", "left_anti").drop("parent")
-        blocks = rest.drop("many", "mass").join(stuck, "cloud")
-        share = F.ceil(F.lit(2.0) * F.greatest(F.col("many") / leaf, F.col("mass") / leaf_shingles)).cast("int")
-        own = F.pmod(F.xxhash64("node", F.lit("block")), share).cast("int")
-        blocks = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), share - 1)))
-        name = F.xxhash64("cloud", F.least("own", "other"), F.greatest("own", "other"))
-        ready.append(blocks.select(name.alias("cloud"), "home", "node", "w", "n", "set", F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int")).alias("side")))
+        stuck = work.keep(large.join(grown, large.cloud == grown.parent, "left").where(F.col("size").isNull() | (F.col("size") > THIN * F.col("many"))).select("cloud", "share"), "stuck")
+        pieces = pieces.join(now.select("cloud"), "cloud", "left_semi").join(stuck.select(F.col("cloud").alias("parent")), "parent", "left_anti").drop("parent")
+        # where windows do not thin, members lie near each other: pairs of blocks
+        blocks = rest.select(*_MEMBER).join(stuck, "cloud")
+        many = F.ceil(2 * F.col("share")).cast("int")
+        mine = F.pmod(F.xxhash64("node", F.lit("block")), many).cast("int")
+        blocks = blocks.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+        name = F.xxhash64("cloud", F.least("mine", "other"), F.greatest("mine", "other"))
+        side = F.when(F.col("mine") != F.col("other"), (F.col("mine") > F.col("other")).cast("int"))
+        ready.append(blocks.withColumns({"side": side, "cloud": name, "cut": F.lit(True)}).select(*_MEMBER))
+        members = work.keep(pieces.select(*_MEMBER), "members")
         depth += 1
     out = ready[0]
     for more in ready[1:]:
         out = out.unionByName(more)
-    return out.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(_join(percent), "a long, b long, links long")
+    return out.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(_join(percent, cell), _LINKS), depth > 0
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES, region: int = REGION, hot: int = HOT) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES, region: int = REGION, hot: int = HOT, cell: int = vo.CELL
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of
@@ -509,57 +591,64 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Fewer words than ``words``: the whole sequence is the only shingle.  Null or
     empty text, or white space alone: empty set, no links, its own component.
+    Very long texts are read in chunks; their sets are held one at a time.
     Null ids: the row is reported; its component_id is the smallest id known in
     its component, null if none is.  Repeated rows link with each other.  An
     empty table gives an empty result.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    work = Work(spark, "jaccard")
+    work = Work(docs.sparkSession, "jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    named = source.select("doc_id", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("h"), "text")
 
     counts = work.keep(source.select("text").mapInArrow(_common(percent, words), "shingle long, count long, total boolean").groupBy("shingle", "total").agg(F.sum("count").alias("count")), "common")
     rows = counts.where("total").agg(F.sum("count")).first()[0] or 0
-    often = counts.where("not total").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64)
+    common = _often(counts.where("not total"), MOST_COMMON)
     parts = max(1, -(-8 * rows // REDUCER_BYTES))
-    common = often[::-1].copy().view(np.uint64)
 
-    first = work.keep(source.mapInArrow(_packed(percent, words, common, parts, hot), "part long, message binary, hot boolean, region long, members array<long>, uid long, doc_id long, n long, key binary, sketch binary"), "packed")
-    every = first.where("n is not null")
+    first = work.keep(named.mapInArrow(_packed(percent, words, common, parts, hot), _PACKED), "packed")
+    work.drop(counts)
+    every = first.where("n > 0")
+    empty = work.keep(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")), "empty")
     # kept, so that a class of very many equal sets is a skewed join of plain tables
-    classes = work.keep(every.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.count("*").alias("w"), F.min("doc_id").alias("least")), "classes")
-    known = work.keep(every.where("n > 0").select("uid", "doc_id", "n", "key", "sketch").join(classes, "key"), "known")
-
-    found = first.where("part is not null").select("part", "message", "hot", "uid").groupBy("part").applyInArrow(_regions(region), "region long, whole boolean, members array<long>")
-    found = found.unionByName(first.where("region is not null").select("region", F.lit(True).alias("whole"), "members"))
-    regions = work.keep(found.dropDuplicates(["region"]).select("region", "whole", F.explode("members").alias("uid")), "regions")
-    empty = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    empty = work.keep(empty, "empty")
+    classes = work.keep(every.groupBy("key").agg(F.min(F.struct("uid", "h")).alias("node"), F.count("*").alias("w"), F.min("doc_id").alias("least")).select("key", "node.uid", "node.h", "w", "least"), "classes")
+    heads = classes.select("key", F.col("uid").alias("node"), F.col("h").alias("node_h"), "w", "least")
+    known = work.keep(every.select("uid", "doc_id", "n", "key", "sketch").join(heads, "key"), "known")
+
+    found = first.where("part is not null").select("part", "message", "hot", "uid").groupBy("part").applyInArrow(_regions(region), "region long, other long, kind int, members array<long>")
+    stars = first.where("star is not null").select(F.xxhash64("star").alias("region"), F.xxhash64("star", F.lit(1)).alias("other"), F.lit(STAR).alias("kind"), F.col("star").alias("members"))
+    regions = found.unionByName(stars).dropDuplicates(["region", "other"]).select("region", "kind", F.explode("members").alias("uid"))
+    regions = work.keep(regions, "regions")
     work.drop(first)
-    placed = regions.join(known.select("uid", "node", "n", "sketch"), "uid").select("region", "whole", "node", "n", "sketch")
+    placed = _bands(regions.join(known.select("uid", "node", "n", "sketch"), "uid").select("region", "kind", "node", "n", "sketch"), percent)
     edges = work.keep(placed.repartition("region").sortWithinPartitions("region").mapInArrow(_clouds(percent), "a long, b long"), "cloud-edges")
     work.drop(regions)
 
-    clouds = work.keep(components(work, edges).select("node", F.col("root").alias("cloud")), "clouds")
-    head = known.where("uid = node").select("node", "key", "w", "n")
-    wanted = work.keep(clouds.join(head, "node"), "wanted")
-    table = BitTable(wanted.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("k")), "k")
-    sets = source.select("text").mapInArrow(_fetch(words, table), "key binary, set binary")
-    members = sets.join(wanted, "key").select("cloud", F.lit(True).alias("home"), "node", "w", "n", "set", F.lit(None).cast("int").alias("side"))
-    members = work.keep(members.dropDuplicates(["node"]), "members")
-
-    result = work.keep(_resolved(work, members, percent, leaf, leaf_shingles), "links")
+    clouds = components(work, edges)
+    work.drop(edges)
+    head = known.where("uid = node").select("node", "key", F.col("node_h").alias("h"), "w", "least", "n")
+    wanted = work.keep(clouds.select("node", F.col("root").alias("cloud")).join(head, "node"), "wanted")
+    work.drop(clouds)
+    sets = named.mapInArrow(_fetch(words, BitTable(wanted, "h")), "h long, key binary, set binary")
+    members = sets.join(wanted, ["h", "key"]).withColumns({"cut": F.lit(False), "home": F.lit(True), "side": F.lit(None).cast("int")}).select(*_MEMBER)
+    members = work.keep(members, "members")
+    work.drop(wanted)
+
+    joined, cut = _resolved(work, members, percent, leaf, leaf_shingles, cell)
+    result = work.keep(joined, "links")
     work.drop(members)
-    roots = components(work, result.where("b is not null").select("a", "b"))
-    links = result.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = roots.join(classes.select("node", "least"), "node")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(lowest, "root").join(links, "node", "left").select("node", "component_id", "links")
-    named = work.keep(named, "named")
-
-    full = known.select("doc_id", "n", "node", "w", "least").join(named, "node", "left").select(
+    whole = result.where("links is not null").select(F.col("a").alias("node"), "component", "links")
+    if cut:
+        roots = components(work, result.where("b is not null").select("a", "b")).join(classes.select(F.col("uid").alias("node"), "least"), "node")
+        roots = work.keep(roots, "roots")
+        lowest = roots.groupBy("root").agg(F.min("least").alias("lowest"))
+        roots = roots.join(lowest, "root").select("node", "lowest")
+        whole = whole.groupBy("node").agg(F.min("component").alias("component"), F.sum("links").alias("links"))
+        whole = whole.join(roots, "node", "left").select("node", F.coalesce("component", "lowest").alias("component"), "links")
+    full = known.select("doc_id", "n", "node", "w", "least").join(work.keep(whole, "named"), "node", "left")
+    full = full.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "least").alias("component_id"),
+        F.coalesce("component", "least").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"),
     )
     return full.unionByName(empty)
