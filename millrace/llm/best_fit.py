@@ -1,4 +1,4 @@
-"""Best-fit packing of tokenised documents into sequences of fixed length."""
+"""Bulk-synchronous best-fit packing of tokenised documents into sequences of fixed length."""
 
 from __future__ import annotations
 
@@ -6,19 +6,23 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.ranking import with_ranks
 from millrace.llm.vocabulary import ids_of
 from millrace.llm.work import Work, texts_of
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 1024, 2
 
+#: Pieces and gaps that one task packs, about; share of its pieces and of its gaps that a task hands on, those of its emptiest sequences.
+LANE, AGAIN = 65_536, 0.25
+#: Lengths of one band differ by this factor at most; longer bands are placed first.
+BAND = 2
+
 _PIECE = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,74 +47,112 @@ def _pieces(capacity: int, end: int) -> Callable:
     return run
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, documents, first sequence, offset): where documents of each length go.
+def best_fit(lengths: np.ndarray, room: np.ndarray, capacity: int, band: float = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(sequence, offset) of each document, the room of each sequence afterwards, and the number of sweeps.
 
-    Bulk-synchronous best fit on classes: documents of one length and gaps of one
-    size are interchangeable, so classes stand for them and there are at most
-    ``capacity`` of each.  Lengths are swept in descending order, which is the
-    rank that resolves conflicts.  In each superstep the documents of a length
-    take their successor, the smallest gap that holds them, one document a gap;
-    gaps shrink; and the documents left over sweep again.  Where no gap holds
-    them, new sequences are opened.
+    Bulk-synchronous best fit.  Documents are sorted by length, longest first (their
+    rank), gaps by room.  In a sweep each document of the band asks for its successor, the
+    smallest room that holds it; of those that ask for gaps of one room as many as there are gaps
+    get one each, by rank; the gaps shrink; the others sweep again.  When none of the
+    band finds a gap, as many sequences are opened as its tokens fill.
     """
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # size -> runs of (first sequence, sequences)
-    room = np.zeros(capacity + 1, dtype=np.int64)
-    out, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            fits = np.flatnonzero(room[length:])
-            if not len(fits):
-                new = -(-left // (capacity // length))
-                gaps[capacity].append((opened, new))
-                room[capacity] += new
-                opened += new
+    room, sweeps = room.astype(np.int64), 0
+    order = np.argsort(-lengths, kind="stable")
+    ranked = -lengths[order]
+    sequence, offset = np.full(len(lengths), -1, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+    done = 0
+    while done < len(order):
+        stop = int(np.searchsorted(ranked, ranked[done] / band, side="right"))
+        todo = order[done:stop]
+        done = stop
+        while len(todo):
+            sweeps += 1
+            gaps = np.bincount(room, minlength=capacity + 1)
+            held = np.where(gaps > 0, np.arange(capacity + 1), capacity + 1)
+            successor = np.minimum.accumulate(held[::-1])[::-1][lengths[todo]]
+            asks = successor <= capacity
+            if not asks.any():
+                room = np.append(room, np.full(-(-int(lengths[todo].sum()) // capacity), capacity))
                 continue
-            gap = length + int(fits[0])
-            take = min(left, int(room[gap]))
-            left -= take
-            room[gap] -= take
-            room[gap - length] += take
-            while take:
-                first, many = gaps[gap].pop()
-                used = min(many, take)
-                out.append((length, rank, used, first, capacity - gap))
-                gaps[gap - length].append((first, used))
-                if used < many:
-                    gaps[gap].append((first + used, many - used))
-                rank += used
-                take -= used
-    return out
+            who, where = todo[asks], successor[asks]
+            by = np.argsort(where, kind="stable")
+            who, where = who[by], where[by]
+            turn = np.arange(len(who)) - np.searchsorted(where, where, side="left")
+            first = turn < gaps[where]
+            who, where, turn = who[first], where[first], turn[first]
+            at = np.argsort(room, kind="stable")[(np.cumsum(gaps) - gaps)[where] + turn]
+            sequence[who], offset[who] = at, capacity - room[at]
+            room[at] -= lengths[who]
+            todo = todo[sequence[todo] < 0]
+    return sequence, offset, room, sweeps
+
+
+_LANE = pa.schema(
+    [("doc_id", pa.int64()), ("uid", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("room", pa.int64()), ("again", pa.bool_())]
+)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def _packed(capacity: int, level: int, last: bool, share: float) -> Callable:
+    """A lane: its pieces (room is null) placed into its gaps (length is null) and into sequences of its own.
+
+    Unless it is the last, the pieces of its own emptiest sequences are handed on,
+    and so are the widest gaps of the other sequences.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        gap = table.column("length").is_null()
+        pieces, gaps = table.filter(pc.invert(gap)).sort_by("uid"), table.filter(gap).sort_by("sequence_id")
+        names, old = gaps.column("sequence_id").to_numpy(), gaps.num_rows
+        lengths = pieces.column("length").to_numpy()
+        sequence, offset, room, _ = best_fit(lengths, gaps.column("room").to_numpy(), capacity)
+        names = np.append(names, (level << 56) + (key[0].as_py() << 32) + np.arange(len(room) - old))
+        again, hand_on = np.zeros(len(room), dtype=bool), np.zeros(0, dtype=np.int64)
+        if not last:
+            own = old + np.argsort(-room[old:], kind="stable")
+            held = np.cumsum(np.bincount(sequence, minlength=len(room))[own])
+            again[own[(held <= share * len(lengths)) & (room[own] > 0)]] = True
+            wide = np.argsort(np.where(again, 0, -room), kind="stable")[: int(share * len(lengths))]
+            hand_on = wide[(room[wide] > 0) & ~again[wide]]
+        moved = again[sequence] if len(sequence) else np.zeros(0, dtype=bool)
+        placed = pieces.select(["doc_id", "uid", "piece", "start", "length", "ids_crc32"])
+        for name, column in (("sequence_id", pa.array(names[sequence] if len(sequence) else sequence, mask=moved)), ("offset", pa.array(offset, mask=moved)), ("room", pa.nulls(len(moved), pa.int64())), ("again", pa.array(moved))):
+            placed = placed.append_column(name, column)
+        columns = {"sequence_id": pa.array(names[hand_on]), "room": pa.array(room[hand_on]), "again": pa.array(np.ones(len(hand_on), dtype=bool))}
+        left = pa.table([columns.get(f.name, pa.nulls(len(hand_on), f.type)) for f in _LANE], schema=_LANE)
+        return pa.concat_tables([placed.cast(_LANE), left])
+
+    return run
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, lane: int = LANE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of ``docs``.
 
     A document is its ids and ``end``.  One of more than ``capacity`` tokens is cut
     into pieces of ``capacity``, the first of which may be shorter; full pieces
-    fill a sequence each, with negative numbers.  All other pieces are counted by length,
-    the sweep runs on those counts (under ``capacity`` numbers, whatever
-    the corpus), and each piece finds its place by its rank in its length.
-
-    Null text counts as empty: one piece that holds ``end`` alone.  Null ids and
-    repeated rows are packed like any other row.  An empty table gives an empty
-    result.  Other columns are ignored.
+    fill a sequence each, with negative numbers.  All other pieces are dealt to lanes of
+    about ``lane`` by a hash, so each lane holds all lengths.  In a superstep every lane sorts
+    its pieces and gaps and sweeps them (``best_fit``); pieces of the emptiest sequences and the widest
+    gaps, a quarter at most, meet in fewer lanes in the next one, until one lane is left:
+    no task ever holds more than a lane, and supersteps grow with the logarithm of the corpus.
+
+    Null text counts as empty: one piece that holds ``end`` alone.  A very long text is many
+    pieces.  Null ids and repeated rows are packed like any other row.  An empty table gives an
+    empty result.  Other columns are ignored.
     """
     work = Work(docs.sparkSession, "pack")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = work.keep(source.mapInArrow(_pieces(capacity, end), _PIECE), "pieces")
-    short = pieces.where(F.col("length") < capacity)
-    counts = {row["length"]: row["count"] for row in short.groupBy("length").count().collect()}
-    plan = np.array(sorted(best_fit(counts, capacity)), dtype=np.int64).reshape(-1, 5)
-    key = plan[:, 0] * (1 << 48) + plan[:, 1]
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(key, length.to_numpy() * (1 << 48) + rank.to_numpy(), side="right") - 1
-        return pd.DataFrame({"sequence_id": plan[at, 3] + rank.to_numpy() - plan[at, 1], "offset": plan[at, 4]})
-
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    placed = with_ranks(work, short, "length", "uid").select(*columns, place("length", "rank").alias("at")).select(*columns, "at.sequence_id", "at.offset")
-    full = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return placed.unionByName(full)
+    none = F.lit(None).cast("long")
+    todo = pieces.where(F.col("length") < capacity).withColumns({"sequence_id": none, "offset": none, "room": none})
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    full = pieces.where(F.col("length") == capacity).select(*columns[:-2], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    schema = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'boolean' if f.type == pa.bool_() else 'long'}" for f in _LANE)
+    out, level, lanes = full, 0, None
+    while lanes != 1:
+        lanes = max(1, -(-todo.count() // lane))
+        key = F.pmod(F.xxhash64(F.coalesce("uid", "sequence_id"), F.lit(level)), F.lit(lanes)).alias("lane")
+        step = work.keep(todo.withColumn("lane", key).groupBy("lane").applyInArrow(_packed(capacity, level, lanes == 1, AGAIN), schema), f"step{level}")
+        out = out.unionByName(step.where("not again").select(*columns))
+        todo = step.where("again").drop("again")
+        level += 1
+    return out

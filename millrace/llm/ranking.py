@@ -15,7 +15,8 @@ def with_ranks(work: Work, rows: DataFrame, by: str, uid: str, name: str = "rank
     """``rows`` (a kept table) with a gapless rank from 0 within each value of ``by``.
 
     Rows are ranked by ``uid``, unique, within hashed buckets; bucket counts, a
-    number for each bucket and class, give where each bucket starts.
+    number for each bucket and class, give where each bucket starts.  They grow with the rows
+    and are joined by bucket and class, as the rows already lie, never broadcast.
     """
     buckets = max(32, rows.count() // BUCKET_ROWS)
     placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(uid), F.lit(buckets)).cast("int"))
@@ -23,5 +24,5 @@ def with_ranks(work: Work, rows: DataFrame, by: str, uid: str, name: str = "rank
     counts = work.keep(placed.groupBy("_bucket", by).count(), "bucket-counts")
     before = F.sum("count").over(Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_bucket", by, F.coalesce(before, F.lit(0)).alias("_start"))
-    ranked = placed.withColumn("_own", own).join(starts, ["_bucket", by])
+    ranked = placed.withColumn("_own", own).join(starts.hint("merge"), ["_bucket", by])
     return ranked.withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_start")
