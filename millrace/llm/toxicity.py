@@ -20,8 +20,10 @@ BUCKETS, PREFIXES = 1 << 20, (3, 4, 5, 6, 7, 8, 9)
 MOST_LABELLED = 12_000
 #: Sampled ids that are sent to all tasks, at most; a larger sample is joined by a shuffle.
 MOST_SENT = 100_000
-#: Terms with weights: those that differ most between the classes.  Length of their factors.
-TERMS, FACTORS = 768, 8
+#: Terms with weights: those that differ most between the classes, and those that do so in pairs.  Length of their factors.
+TERMS, PAIRED, FACTORS = 768, 256, 8
+#: Most frequent terms whose pairs are looked at, beside the pairs of terms that tell alone; least gain of a pair, and how far it must exceed that of its terms.
+FREQUENT, PAIR_GAIN, PAIR_MORE = 1024, 6.0, 1.25
 #: A label is predicted from this score on.
 THRESHOLD = 0.7
 
@@ -62,6 +64,60 @@ def hashed_terms(texts: list[bytes], keep: np.ndarray | None = None) -> Iterator
             yield (pairs[stop[k] : stop[k + 1]] % BUCKETS).astype(np.int32)
 
 
+def gain(yes: np.ndarray, no: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """How far shares of toxic and other documents lie apart, in standard errors; none for what under four documents hold."""
+    both = (yes + no) / (n1 + n0)
+    out = np.abs(yes / n1 - no / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-9)
+    out[yes + no < 4] = 0
+    return out
+
+
+def distinct(ranked: np.ndarray, flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of ``ranked`` terms that stand in the same documents, by a sum of hashed documents, the first."""
+    place = np.full(BUCKETS, -1, dtype=np.int64)
+    place[ranked] = np.arange(len(ranked))
+    known = place[flat] >= 0
+    stands = np.zeros(len(ranked), dtype=np.uint64)
+    np.add.at(stands, place[flat[known]], sh.mix(doc[known].astype(np.uint64) + np.uint64(1)))
+    _, once = np.unique(stands, return_index=True)
+    return ranked[np.sort(once)]
+
+
+def paired(terms: np.ndarray, chosen: np.ndarray, alone: np.ndarray, flat: np.ndarray, doc: np.ndarray, labels: np.ndarray, most: int = PAIRED) -> np.ndarray:
+    """Terms beside ``chosen`` that tell only together with another of ``terms``, best pairs first.
+
+    Of a pair both counts of documents are taken, toxic and other, from products of
+    incidence matrices in blocks of documents, so any two of ``terms`` are looked at.
+    """
+    place = np.full(BUCKETS, -1, dtype=np.int64)
+    place[terms] = np.arange(len(terms))
+    known = place[flat] >= 0
+    column, row = place[flat[known]], doc[known]
+    count = np.zeros((2, len(terms), len(terms)), dtype=np.float32)
+    for lo in range(0, len(labels), 2048):
+        a, b = np.searchsorted(row, [lo, lo + 2048])
+        x = np.zeros((2048, len(terms)), dtype=np.float32)
+        x[row[a:b] - lo, column[a:b]] = 1
+        y = np.zeros(2048, dtype=bool)
+        y[: len(labels[lo : lo + 2048])] = labels[lo : lo + 2048] == 1
+        for k, part in enumerate((x[y], x[~y])):
+            count[k] += part.T @ part
+    own, used = alone[terms], np.isin(terms, chosen)
+    first, second, value = [], [], []
+    for i in range(len(terms) - 1):
+        z = gain(count[0, i, i + 1 :].astype(float), count[1, i, i + 1 :].astype(float), labels.sum(), len(labels) - labels.sum())
+        j = np.flatnonzero((z >= PAIR_GAIN) & (z > PAIR_MORE * np.maximum(own[i], own[i + 1 :])) & ~(used[i] & used[i + 1 :]))
+        first += [i] * len(j)
+        second += (j + i + 1).tolist()
+        value += z[j].tolist()
+    out: dict[int, None] = {}
+    for k in np.argsort(-np.array(value), kind="stable").tolist():
+        if len(out) + 2 > most:
+            break
+        out.update(dict.fromkeys(t for t in (first[k], second[k]) if not used[t]))
+    return terms[np.array(list(out), dtype=np.int64)]
+
+
 class FactorizationMachine:
     """b + sum of w_i + sum over pairs of <v_i, v_j>, for sets of terms, through a logistic."""
 
@@ -91,19 +147,13 @@ class FactorizationMachine:
         yes = np.bincount(flat[labels[doc] == 1], minlength=BUCKETS).astype(np.float64)
         no = np.bincount(flat[labels[doc] == 0], minlength=BUCKETS).astype(np.float64)
         n1, n0 = labels.sum(), len(labels) - labels.sum()
-        both = (yes + no) / len(labels)
-        gain = np.abs(yes / n1 - no / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-9)
-        gain[(yes + no < 4) | (gain < 3)] = 0
-        # of terms that stand in the same documents, by a sum of hashed documents, the first is enough
-        best = np.argsort(-gain, kind="stable")
-        best = best[gain[best] > 0]
-        place = np.full(BUCKETS, -1, dtype=np.int64)
-        place[best] = np.arange(len(best))
-        known = place[flat] >= 0
-        stands = np.zeros(len(best), dtype=np.uint64)
-        np.add.at(stands, place[flat[known]], sh.mix(doc[known].astype(np.uint64) + np.uint64(1)))
-        _, once = np.unique(stands, return_index=True)
-        chosen = best[np.sort(once)][:terms]
+        alone = gain(yes, no, n1, n0)
+        told = np.where(alone < 3, 0, alone)
+        best = np.argsort(-told, kind="stable")[: int((told > 0).sum())]
+        chosen = distinct(best, flat, doc)[:terms]
+        often = np.argsort(-np.where(yes + no > 0.6 * len(labels), 0, yes + no), kind="stable")[: FREQUENT * 2]
+        often = distinct(often[(yes + no)[often] >= 4], flat, doc)[:FREQUENT]
+        chosen = np.concatenate((chosen, paired(np.union1d(chosen, often), chosen, alone, flat, doc, labels)))
         keep = np.full(BUCKETS, -1, dtype=np.int64)
         keep[chosen] = np.arange(len(chosen))
         x = np.zeros((len(sets), len(chosen)), dtype=np.float32)
