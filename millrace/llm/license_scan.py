@@ -17,9 +17,9 @@ SPELLINGS = (("licence", "license"), ("licencing", "licensing"), ("sub-licens",
 COPYRIGHT = r"(^|\n)[\x20\t*#/]*(copyright|\(c\)|©)[^\n]*"
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MARKS_OF_LINES = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-# Lines of a licence's body that begin with the word, and lines that state a copyright (year, sign or holder).
-BODY = r"(^|\n)[\x20\t*#/]*copyright[\x20\t]+(notice|holder|owner|law|licen[cs]e)"
-STATEMENT = r"(^|\n)[\x20\t*#/]*(\(c\)|©|copyright(?=[^\n]*(\(c\)|©|[12][0-9]{3}))|copyright(?![\x20\t]+(notice|holder|owner|law|licen[cs]e)))[^\n]*"
+# Lines of a licence's body that begin with the word or are its clause (c), and lines that state a copyright (year, sign or holder).
+BODY = r"(^|\n)[\x20\t*#/]*(copyright[\x20\t]+(notice|holder|owner|law|licen[cs]e)|\(c\)(?![^\n]*[12][0-9]{3}))"
+STATEMENT = r"(^|\n)[\x20\t*#/]*(\(c\)(?=[^\n]*[12][0-9]{3})|©|copyright(?=[^\n]*(\(c\)|©|[12][0-9]{3}))|copyright(?![\x20\t]+(notice|holder|owner|law|licen[cs]e)))[^\n]*"
 
 # The texts of short public licences, and notices that stand for a licence as a line.
 TEXTS: dict[str, str] = {
@@ -47,6 +47,29 @@ FURTHER: list[tuple[str, str]] = [
     *[("BSD-3-Clause", _BSD.replace("1. R", f"{a}R").replace("2. R", f"{b}R").format(_NAMES.replace("3. ", c), who)) for a, b, c in (("1. ", "2. ", "3. "), ("", "", "")) for who in ("HOLDER", "OWNER")],
     ("ISC", TEXTS["ISC"].replace("and/or distribute", "and distribute")),
 ]
+# SHA-256 of the canonical texts (without statements of copyright) of long public licences as their publishers
+# wrap them, whole and, where they end with advice on how to apply them, without that.
+LONG: list[tuple[str, str]] = [
+    ("Apache-2.0", "ef9aa6097e8b8724e8bedf9a9a264cbc3142b55ef97f3c3f079b7aa1aeac425c"),
+    ("Apache-2.0", "ed44d69699f98d45c0c3e52ef4574fb05d6045eb6e2cd0e5e3810f6177e87f84"),
+    ("Artistic-1.0", "d1ce9579b2c8d32b706b421d9c42208152298e00849e57ce7da8e906ed3802f2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "f6eaf8069e6992495ee63002d3cf837d745ad9c33d0c2129f4dd67750ebe0094"),
+    ("GPL-3.0", "7e1ec759902e79fd98df32aeafb56e0fcc9348cebf7b52c7a875052ac012ad4a"),
+    ("LGPL-2.0", "9645df35bc8e107839fb024e61e6728ee32745a72194667211f31f7bad57b7d8"),
+    ("LGPL-2.0", "5b76795361ffca92776bfb6f87f31cc8c230526d08f639d965de248bd171ca59"),
+    ("LGPL-2.1", "a5875b4abd0df481e41a66665de9bea2d629872285f8f890c7ff03f4f87cb0ef"),
+    ("LGPL-2.1", "e8fff5aab68f3784c88bdf6c7d677d555dbfc3274d7e0a03da4870604bf989ed"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13"),
+]
 TITLES: dict[str, tuple[str, ...]] = {
     "MIT": ("Expat License", "The Expat License", "MIT/Expat License", "The MIT License (Expat)"),
     "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "Zero Clause BSD License (0BSD)", "BSD Zero Clause License (0BSD)"),
@@ -89,6 +112,8 @@ def whole_digests(texts: Mapping[str, str] = TEXTS, notices: Mapping[str, str] =
     for name, text in [*texts.items(), *FURTHER]:
         for title in ("", name, f"{name} License", f"The {name} License", f"{name} License ({name})", f"The {name} License ({name})", *TITLES.get(name, ())):
             found.setdefault(hashlib.sha256(canonical(f"{title}\n{text}", STATEMENT).encode()).hexdigest(), name)
+    for name, digest in LONG:
+        found.setdefault(digest, name)
     return sorted(found.items())
 
 
@@ -145,9 +170,10 @@ def oracle() -> str:
             text = f"replace({text}, '{a}', '{b}')"
         return f"trim(regexp_replace({text}, '{MARKS}', ' ', 'g'), ' ')"
 
-    known = ", ".join(f"('{digest}', '{name}')" for digest, name in known_digests())
+    quoted = ", ".join("('{}', '{}')".format(text.replace("'", "''"), name) for text, name in [*((t, n) for n, t in TEXTS.items()), *NOTICES.items()])
     return f"""
-        WITH known(digest, license) AS (VALUES {known}),
+        WITH listed(text, license) AS (VALUES {quoted}),
+        known AS (SELECT DISTINCT sha256({canon("text")}) AS digest, license FROM listed),
         d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
         found AS (

@@ -175,6 +175,25 @@ def test_license_scan_of_whole_files(spark):
     assert [(r.line_licenses, r.n_license_lines) for r in notice] == [("own", 1)]
 
 
+def test_license_scan_of_published_files(spark):
+    from pathlib import Path
+
+    from millrace.llm.license_scan import license_scan
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    files = [(name, (folder / f).read_text(errors="replace")) for f, name in names.items() if (folder / f).exists()]
+    if not files:
+        pytest.skip("no licence files here")
+    rows = [(k, text) for k, (_, text) in enumerate(files)]
+    rows += [(100 + k, text.upper()) for k, text in rows] + [(200 + k, "Copyright 2020 Someone\n\n" + text) for k, text in rows] + [(300 + k, text + "\nand more") for k, text in rows]
+    got = {r.doc_id: r.license for r in license_scan(table(spark, rows)).collect()}
+    assert got == {i: None if i >= 300 else files[i % 100][0] for i, _ in rows}
+    apache = next((t for n, t in files if n == "Apache-2.0"), None)
+    if apache:  # its clause (c) is no statement of copyright
+        assert license_scan(table(spark, [(1, apache.replace("(c) You must retain", "(c) You need not retain"))])).first().license is None
+
+
 def test_toxicity(spark):
     from millrace.llm.toxicity import FactorizationMachine, hashed_terms, learn, score
 
