@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import shingles as sh
 from millrace.llm import voronoi as vo
-from millrace.llm.work import BitTable, Work, components, texts_of
+from millrace.llm.work import BitTable, Work, components, fresh_name, routed, texts_of
 
 #: Documents and prefix rows that a mapper packs into one message.
 PACK_DOCS, PACK_ROWS = 60_000, 400_000
@@ -64,14 +64,15 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sketch_bits(n: int) -> int:
-    return max(256, 1 << (2 * n - 1).bit_length())
+def _sketches(s: np.ndarray) -> tuple[bytes, bytes]:
+    """Parity of the number of members in each of several buckets (low bits of the fingerprint).
 
-
-def _sketch(s: np.ndarray, bits: int) -> bytes:
-    """Parity of the number of members in each of ``bits`` buckets (low bits of the fingerprint)."""
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    One bit and more for each member tells sets within the radius from unrelated ones; two and more
+    also do so for leaders, which are held against a wider bound.
+    """
+    bits = max(256, 1 << (len(s) - 1).bit_length())
+    odd = (np.bincount((s & np.uint64(2 * bits - 1)).astype(np.int64), minlength=2 * bits) & 1).astype(bool)
+    return tuple(np.packbits(x, bitorder="little").tobytes() for x in (odd[:bits] ^ odd[bits:], odd))
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -235,31 +236,32 @@ def _packed(percent: int, n: int, common: np.ndarray, parts: int, most: int) ->
         Message.base = base = TaskContext.get().partitionId() << 36
         nth, message = 0, Message(0)
         for batch in batches:
-            keys, sizes, sketches, seen = [], [], [], set()
+            keys, sizes, sketches, wide, seen = [], [], [], [], set()
             for s in sh.shingle_sets(texts_of(batch, "text"), n):
                 size = len(s)
                 key = _digest(s)
                 keys.append(key if size else None)
                 sizes.append(size)
-                sketches.append(_sketch(s, _sketch_bits(size)) if size else None)
+                for column, sketch in zip((sketches, wide), _sketches(s) if size else (None, None), strict=True):
+                    column.append(sketch)
                 if nth + 1 - message.first > PACK_DOCS or message.rows > PACK_ROWS:
                     yield from message.batches()
                     message = Message(nth)
                 if 100 * size >= percent * (size + 1) and key not in seen:  # a smaller set links with equal sets alone
                     seen.add(key)
-                    message.add(nth, s, sketches[-1])
+                    message.add(nth, s, wide[-1])
                 nth += 1
             if len(sizes):
                 uid = base + nth - len(sizes) + np.arange(len(sizes))
-                yield _rows(uid=uid, doc_id=batch.column("doc_id"), h=batch.column("h"), n=np.array(sizes, np.int64), key=keys, sketch=sketches)
+                yield _rows(uid=uid, doc_id=batch.column("doc_id"), h=batch.column("h"), n=np.array(sizes, np.int64), key=keys, sketch=sketches, wide=wide)
         yield from message.batches()
 
     return run
 
 
-_FIELDS = [("part", pa.int64()), ("message", pa.binary()), ("hot", pa.bool_()), ("star", pa.list_(pa.int64())), ("uid", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())]
+_FIELDS = [("part", pa.int64()), ("message", pa.binary()), ("hot", pa.bool_()), ("star", pa.list_(pa.int64())), ("uid", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary()), ("wide", pa.binary())]
 _ROW = pa.schema(_FIELDS)
-_PACKED = "part long, message binary, hot boolean, star array<long>, uid long, doc_id long, h long, n long, key binary, sketch binary"
+_PACKED = "part long, message binary, hot boolean, star array<long>, uid long, doc_id long, h long, n long, key binary, sketch binary, wide binary"
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -580,10 +582,15 @@ def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shin
     return out.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(_join(percent, cell), _LINKS), depth > 0
 
 
+def row_name(id_col: str, text_col: str) -> F.Column:
+    """64 bits of a row's id and text."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.col(text_col).cast("string"))
+
+
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES, region: int = REGION, hot: int = HOT, cell: int = vo.CELL
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES, region: int = REGION, hot: int = HOT, cell: int = vo.CELL, row_hash: bool = False
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``; with ``row_hash`` also ``row_name`` of the row.
 
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of
     distinct ``words``-word shingles, ASCII letters lower-cased.  component_id is
@@ -598,7 +605,7 @@ def jaccard_components(
     """
     work = Work(docs.sparkSession, "jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    named = source.select("doc_id", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("h"), "text")
+    named = source.select("doc_id", row_name("doc_id", "text").alias("h"), "text")
 
     counts = work.keep(source.select("text").mapInArrow(_common(percent, words), "shingle long, count long, total boolean").groupBy("shingle", "total").agg(F.sum("count").alias("count")), "common")
     rows = counts.where("total").agg(F.sum("count")).first()[0] or 0
@@ -608,18 +615,19 @@ def jaccard_components(
     first = work.keep(named.mapInArrow(_packed(percent, words, common, parts, hot), _PACKED), "packed")
     work.drop(counts)
     every = first.where("n > 0")
-    empty = work.keep(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")), "empty")
+    empty = work.keep(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("h").alias("row_name")), "empty")
     # kept, so that a class of very many equal sets is a skewed join of plain tables
     classes = work.keep(every.groupBy("key").agg(F.min(F.struct("uid", "h")).alias("node"), F.count("*").alias("w"), F.min("doc_id").alias("least")).select("key", "node.uid", "node.h", "w", "least"), "classes")
     heads = classes.select("key", F.col("uid").alias("node"), F.col("h").alias("node_h"), "w", "least")
-    known = work.keep(every.select("uid", "doc_id", "n", "key", "sketch").join(heads, "key"), "known")
+    known = work.keep(every.select("uid", "doc_id", F.col("h").alias("row_name"), "n", "key", "sketch", "wide").join(heads, "key"), "known")
 
     found = first.where("part is not null").select("part", "message", "hot", "uid").groupBy("part").applyInArrow(_regions(region), "region long, other long, kind int, members array<long>")
     stars = first.where("star is not null").select(F.xxhash64("star").alias("region"), F.xxhash64("star", F.lit(1)).alias("other"), F.lit(STAR).alias("kind"), F.col("star").alias("members"))
     regions = found.unionByName(stars).dropDuplicates(["region", "other"]).select("region", "kind", F.explode("members").alias("uid"))
     regions = work.keep(regions, "regions")
     work.drop(first)
-    placed = _bands(regions.join(known.select("uid", "node", "n", "sketch"), "uid").select("region", "kind", "node", "n", "sketch"), percent)
+    sketch = F.when(F.col("kind") == LEADERS, F.col("wide")).when(F.col("kind") == PLAIN, F.col("sketch")).alias("sketch")
+    placed = _bands(regions.join(known.select("uid", "node", "n", "sketch", "wide"), "uid").select("region", "kind", "node", "n", sketch), percent)
     edges = work.keep(placed.repartition("region").sortWithinPartitions("region").mapInArrow(_clouds(percent), "a long, b long"), "cloud-edges")
     work.drop(regions)
 
@@ -644,14 +652,31 @@ def jaccard_components(
         roots = roots.join(lowest, "root").select("node", "lowest")
         whole = whole.groupBy("node").agg(F.min("component").alias("component"), F.sum("links").alias("links"))
         whole = whole.join(roots, "node", "left").select("node", F.coalesce("component", "lowest").alias("component"), "links")
-    full = known.select("doc_id", "n", "node", "w", "least").join(work.keep(whole, "named"), "node", "left")
+    full = known.select("doc_id", "row_name", "n", "node", "w", "least").join(work.keep(whole, "named"), "node", "left")
     full = full.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "least").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"),
+        "row_name",
     )
-    return full.unionByName(empty)
+    out = full.unionByName(empty)
+    return out if row_hash else out.drop("row_name")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component those with its smallest id.
+
+    Rows are dropped one by one, so an id that stands on rows of different texts loses only the rows that
+    are near a smaller one.  Rows without an id and rows without words stay.  An empty table gives an
+    empty one; all columns are kept, whatever their names.
+    """
+    work = Work(docs.sparkSession, "near")
+    found = jaccard_components(docs, id_col, text_col, row_hash=True)
+    id_name, name = fresh_name(docs, "gone_id"), fresh_name(docs, "gone_name")
+    gone = work.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_name), F.col("row_name").alias(name)), "gone")
+    asked, rest = routed(docs, row_name(id_col, text_col), gone, name)
+    return rest.unionByName(asked.join(gone, (F.col(id_col).cast("long") == F.col(id_name)) & (row_name(id_col, text_col) == F.col(name)), "left_anti"))
 
 
 def oracle(words: int = 5, percent: int = 80) -> str:

@@ -157,10 +157,3 @@ def routed(docs: DataFrame, key: F.Column, wanted: DataFrame, column: str) -> tu
         return pd.Series(table.has(keys.to_numpy()))
 
     return docs.where(may(key)), docs.where(~may(key))
-
-
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``gone`` (id); only rows that may be are shuffled."""
-    gone = gone.select(F.col("id").alias(own := fresh_name(docs, "gone")))
-    asked, rest = routed(docs, F.xxhash64(F.col(id_col).cast("long")), gone.select(F.xxhash64(own).alias("h")), "h")
-    return rest.unionByName(asked.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti"))

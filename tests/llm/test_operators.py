@@ -56,7 +56,7 @@ def shingle_set(text):
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
 
 
-def components_of(rows):
+def components_of(rows, percent=80):
     sets = [shingle_set(t) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -69,7 +69,7 @@ def components_of(rows):
     for a in range(len(rows)):
         for b in range(a):
             both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-            if both and 100 * both >= 80 * either:
+            if both and 100 * both >= percent * either:
                 links[a] += 1
                 links[b] += 1
                 up[find(a)] = find(b)
@@ -102,6 +102,80 @@ def test_jaccard_join_of_large_regions(spark, limits):
     assert sorted(((r.component_id, r.n_links) for r in got.collect()), key=repr) == sorted(zip(lowest, links, strict=True), key=repr)
 
 
+@pytest.mark.parametrize(("percent", "limits"), [(50, {"leaf": 4, "cell": 2}), (60, {}), (75, {"leaf": 3, "hot": 2}), (95, {"leaf": 2, "region": 3})])
+def test_jaccard_join_at_other_thresholds(spark, percent, limits):
+    from millrace.llm.jaccard_join import jaccard_components
+
+    rows = made(percent) + [(5000 + k, " ".join(f"s{j}" for j in range(k))) for k in range(1, 20)]
+    _, lowest, links = components_of(rows, percent)
+    got = jaccard_components(table(spark, rows), percent=percent, **limits)
+    assert sorted(((r.component_id, r.n_links) for r in got.collect()), key=repr) == sorted(zip(lowest, links, strict=True), key=repr)
+
+
+def family(rng, size, copies, edits):
+    base, out = rng.integers(0, 2**63, size).astype(np.uint64), []
+    for _ in range(copies):
+        own = base.copy()
+        at = rng.choice(size, rng.integers(0, min(size, edits) + 1), replace=False)
+        own[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+        out.append(np.unique(own[: rng.integers(max(1, size * 7 // 10), size + 1)]))
+    return out
+
+
+@pytest.mark.parametrize("cell", [2, 8, 100])
+@pytest.mark.parametrize("percent", [50, 65, 80, 95])
+def test_voronoi_regions(percent, cell):
+    from millrace.llm import voronoi
+
+    rng = np.random.default_rng(percent + cell)
+    sets = [s for _ in range(25) for s in family(rng, int(rng.integers(3, 60)), int(rng.integers(1, 25)), 6)]
+    rng.shuffle(sets := np.array(sets, dtype=object))
+    sets, weight, cuts = list(sets), rng.integers(1, 5, len(sets)), voronoi.Cuts()
+    plain = [set(s.tolist()) for s in sets]
+    linked = np.array([[a is not b and 100 * len(a & b) >= percent * len(a | b) for a in plain] for b in plain])
+    root, total = voronoi.links_of(sets, percent, weight, cell, cuts)
+    assert (linked @ weight == total).all()
+    assert cuts.regions > 1 and cuts.home >= len(sets) and cuts.replicas > 0
+    # both ends of a link meet in the home region of each
+    own = voronoi.Sets.of(sets)
+    parts = voronoi.regions(own, percent, 12)
+    home = np.full(len(sets), -1)
+    for k, (members, at_home) in enumerate(parts):
+        assert (home[members[at_home]] == -1).all()
+        home[members[at_home]] = k
+    assert (home >= 0).all()
+    for a, b in np.argwhere(linked):
+        assert b in parts[home[a]][0]
+    label = np.arange(len(sets))
+    while (new := np.array([min(label[k], label[linked[k]].min(initial=len(sets))) for k in range(len(sets))])).tolist() != label.tolist():
+        label = new
+    assert (label == root).all()
+
+
+def test_leaders_of_hot_regions_stand_for_all_links():
+    from millrace.llm.jaccard_join import LEADERS, _near, _sketches, leaders
+
+    rng = np.random.default_rng(4)
+    sets = [s for _ in range(6) for s in family(rng, 300, 60, 12)]
+    sizes, wide = np.array([len(s) for s in sets]), [_sketches(s)[1] for s in sets]
+    stands = leaders([np.arange(len(sets)), np.arange(0, len(sets), 2)], sizes, wide, 80, 10)
+    kept = np.unique(stands)
+    assert len(kept) < len(sets) / 2 and (stands[kept] == kept).all()
+    kept = kept[np.argsort(sizes[kept], kind="stable")]
+    near = {(int(kept[i]), int(kept[j])) for i, found in _near(sizes[kept], [wide[k] for k in kept], 80, LEADERS) for j in found}
+    plain = [set(s.tolist()) for s in sets]
+    links = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b]):
+                x, y = int(stands[a]), int(stands[b])
+                links += 1
+                assert x == y or (x, y) in near or (y, x) in near
+    assert links > 1000
+    # unrelated families stay apart
+    assert all(a // 60 == b // 60 for a, b in near)
+
+
 def test_jaccard_join_of_small_sets(spark):
     from millrace.llm.jaccard_join import jaccard_components
 
@@ -125,7 +199,7 @@ def test_shingles_follow_chunks():
 
 
 def test_exact_dedup(spark):
-    from millrace.llm.exact_dedup import QuotientFilter, deduplicate, exact_duplicates
+    from millrace.llm.exact_dedup import deduplicate, exact_duplicates
 
     rows = made()
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
@@ -140,10 +214,30 @@ def test_exact_dedup(spark):
     assert kept.columns == docs.columns
     assert Counter(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in kept.collect()) == Counter(set(norm))
 
-    rng = np.random.default_rng(0)
-    values = rng.integers(0, 50, 500).astype(np.uint64) << np.uint64(58) | rng.integers(0, 9, 500).astype(np.uint64)
-    merged = QuotientFilter(values[:300]).merge(QuotientFilter(values[300:], q=3))
-    assert dict(zip(merged.fingerprints().tolist(), merged.count.tolist(), strict=True)) == Counter(values.tolist())
+
+@pytest.mark.parametrize("q", [4, 7, 20])
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_quotient_filters_merge_without_loss(q, ranges):
+    from millrace.llm.exact_dedup import QuotientFilter, merged
+
+    rng = np.random.default_rng(q)
+    values = rng.integers(0, 50, 2000).astype(np.uint64) << np.uint64(58) | rng.integers(0, 9, 2000).astype(np.uint64)
+    values = np.concatenate((values, np.full(700, 2**64 - 1, np.uint64), rng.integers(0, 2**63, 500).astype(np.uint64), [np.uint64(0)]))
+    rng.shuffle(values)
+    parts = defaultdict(list)
+    for piece in [*np.split(values, [3, 4, 900, 901, 2500]), values[:0]]:
+        own = QuotientFilter.of(piece, q)
+        assert own.run.sum() == len(own.remainder) and (own.remainder >> np.uint64(64 - q) == 0).all()
+        for k, data in own.slices(ranges):
+            parts[k].append(QuotientFilter.read(data))
+    got, last = Counter(), -1
+    for k in sorted(parts):
+        whole = merged(iter(parts[k]))
+        fingerprints = whole.fingerprints().tolist()
+        assert fingerprints == sorted(set(fingerprints)) and fingerprints[0] > last
+        last = fingerprints[-1]
+        got.update(dict(zip(fingerprints, whole.count.tolist(), strict=True)))
+    assert got == Counter(values.tolist())
 
 
 def test_license_scan(spark):
