@@ -6,14 +6,13 @@ Each stage takes all that its predecessor kept, written as Parquet and read agai
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm.best_fit import pack
 from millrace.llm.exact_dedup import deduplicate
-from millrace.llm.jaccard_join import jaccard_components
+from millrace.llm.jaccard_join import without_near_duplicates
 from millrace.llm.quality_rules import keep_good
 from millrace.llm.secret_scan import redact
-from millrace.llm.work import Work, without
+from millrace.llm.work import Work, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document with the smallest id; documents without an id stay."""
-    work = Work(spark, "near")
-    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id"))
-    return without(docs, work.keep(gone, "gone"))
+    return without_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +47,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage wrote for itself, and its input, goes when its output stands.
+
+    Null or empty texts fail the quality rules; null ids and repeated rows pass through like any other
+    until exact dedup leaves equal texts once.  An empty table gives an empty result.  Further columns are kept
+    until packing, which ignores them.
+    """
     work = Work(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch():
+            docs = work.keep(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "kept_at"):
+            work.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
