@@ -22,6 +22,8 @@ WINDOW = 8
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+#: Bytes that begin a code point.
+_POINT = (np.arange(256) & 0xC0) != 0x80
 
 
 def repeated_words(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -33,7 +35,7 @@ def repeated_words(hashes: np.ndarray, n: int) -> np.ndarray:
     order = np.argsort(windows, kind="stable")
     ranked = windows[order]
     same = ranked[1:] == ranked[:-1]
-    twice = np.zeros(len(windows) + 1, dtype=np.int64)
+    twice = np.zeros(len(windows) + 1, dtype=np.int32)
     hit = np.zeros(len(windows), dtype=bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
@@ -74,18 +76,16 @@ def _measure(lengths: dict[int, float], lines: float) -> Callable:
                 data = np.frombuffer(b"\n".join(texts[lo:hi]), dtype=np.uint8)
                 starts, ends = sh.word_spans(data)
                 hashes = sh.span_hashes(data, starts, ends)
-                # code points: bytes that do not continue one
-                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))
-                chars = points[ends] - points[starts]
+                chars = sh.counts_before(_POINT, data, ends) - sh.counts_before(_POINT, data, starts)
                 edge = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])
+                symbols = sh.counts_before(_SYMBOL, data, np.minimum(edge, len(data)))
                 cut = np.searchsorted(starts, edge)
                 for k in range(lo, hi):
                     a, b = cut[k - lo], cut[k - lo + 1]
                     own, size = hashes[a:b], chars[a:b]
                     total = int(size.sum())
                     again, line_chars, all_chars = _duplicate_lines(texts[k])
-                    out[:4, k] = b - a, total, symbols[edge[k - lo + 1] - 1] - symbols[edge[k - lo]], again
+                    out[:4, k] = b - a, total, symbols[k - lo + 1] - symbols[k - lo], again
                     for n in sizes:
                         inside = repeated_words(own, n)
                         if not inside.any():  # a longer n-gram that repeats would hold one of these
@@ -114,7 +114,8 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exceed that length's share of all word characters, or where duplicated
     lines exceed theirs.
 
-    Null or empty text has no words and fails the base rule.  Null ids and
+    Null or empty text has no words and fails the base rule.  A very long text is measured
+    whole, beside a few numbers for each of its words.  Null ids and
     repeated rows are reported like any other.  An empty table gives an
     empty result.  Other columns are ignored.
     """
@@ -127,7 +128,11 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that the rules keep, with all their columns, in one pass without a shuffle.
+
+    Null, empty and short texts go.  Null ids and repeated rows are judged like any other; an
+    empty table gives an empty one; columns keep their names, whatever they are.
+    """
     ready(docs.sparkSession)
     columns, schema = docs.columns, docs.schema
     measure = _measure(MOST_REPEATED, MOST_LINES)

@@ -23,7 +23,6 @@ _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U64(2) + _U64(1)
-_PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * _U64(2) + _U64(1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -46,11 +45,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte of each word of ``data`` (uint8)."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    """Start and end byte of each word of ``data`` (uint8), in bounded memory beside them."""
+    starts, ends, before = [], [], True
+    for lo in range(0, len(data), CHUNK):
+        space = _SPACE[data[lo : lo + CHUNK]]
+        edge = np.flatnonzero(space != np.append(before, space[:-1])) + lo
+        opens = ~space[edge - lo]
+        starts.append(edge[opens])
+        ends.append(edge[~opens])
+        before = bool(space[-1])
+    if not before:
+        ends.append(np.array([len(data)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends])
+
+
+def counts_before(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bytes of ``data`` before each position of ``at`` (ascending) are marked in ``table``, in bounded memory."""
+    out, base = np.zeros(len(at), dtype=np.int64), 0
+    for lo in range(0, len(data) + 1, CHUNK):
+        run = np.concatenate(([0], np.cumsum(table[data[lo : lo + CHUNK]], dtype=np.int32)))
+        a, b = np.searchsorted(at, [lo, lo + CHUNK])
+        out[a:b] = base + run[at[a:b] - lo]
+        base += int(run[-1])
+    return out
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -78,14 +96,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints of each run of ``n`` word fingerprints (``len(words) - n + 1`` of them)."""
+    """Fingerprints of each run of ``n`` word fingerprints (``len(words) - n + 1`` of them).
+
+    A rolling hash: differences of running sums of a polynomial in the words, so a window costs the same whatever its length.
+    """
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(m, dtype=np.uint64)
-    for k in range(n):
-        total += mix(words[k : k + m] + _PLACE[k]) * _PLACE[k]
-    return mix(total)
+    out = np.empty(m, dtype=np.uint64)
+    step = max(1, CHUNK - n)
+    for lo in range(0, m, step):
+        size = min(step, m - lo)
+        part = words[lo : lo + size + n - 1]
+        run = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * _UP[: len(part)], out=run[1:])
+        out[lo : lo + size] = (run[n:] - run[:-n]) * _DOWN[:size]
+    return mix(out + _U64(n))
 
 
 def batches(texts: list[bytes], size: int = 2 * CHUNK) -> Iterator[tuple[int, int]]:
