@@ -134,7 +134,11 @@ def _digests(name: str) -> Callable:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = RANKS) -> DataFrame:
-    """(doc_id, ids) for every row of ``docs``; the edge cases are those of ``round_trips``."""
+    """(doc_id, ids) for every row of ``docs``, without a shuffle.
+
+    Null and empty texts have no ids.  A very long text is encoded by halves.  Null ids and repeated rows are
+    encoded like any other; an empty table gives an empty result; other columns are ignored.
+    """
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: A random string of letters and digits takes about two characters a token; words and names take three and more.
 FEWEST_CHARS_A_TOKEN = 2.3
+#: The same for strings of capitals or of small letters alone, as long made-up words take few characters a token too.
+FEWEST_UNMIXED = 2.0
 #: Digests and identifiers that are no secrets: hexadecimal digests of usual lengths, UUIDs, plain numbers and dates.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -68,6 +70,11 @@ def _looks_random(own: str, least: float, tokens: int) -> bool:
     return not KNOWN.match(own) and _mixed(own) and len(own) < least * tokens
 
 
+def _looks_random_unmixed(own: str, least: float, tokens: int) -> bool:
+    """The same for a string of one letter case."""
+    return own.isalpha() and not KNOWN.match(own) and not _mixed(own) and len(own) < min(least, FEWEST_UNMIXED) * tokens
+
+
 def _random_parts(own: str, least: float, ends: list[int]) -> list[tuple[int, int]]:
     """Where parts of a string look random that as a whole does not; ``ends`` are those of its tokens.
 
@@ -107,7 +114,8 @@ def _random_parts(own: str, least: float, ends: list[int]) -> list[tuple[int, in
         if group[i] != group[j] or (i < j and 2 * (mixed[j + 1] - mixed[i]) < chars[j + 1] - chars[i]):
             continue
         first, last = bisect_right(ends, a), bisect_right(ends, b)
-        if _looks_random(own[a:b], least, last - first) or (i == j and not KNOWN.match(own[a:b]) and _worst_row(own, least, ends, a, first, last)):
+        part = own[a:b]
+        if _looks_random(part, least, last - first) or (i == j and not KNOWN.match(part) and (_looks_random_unmixed(part, least, last - first) or _worst_row(own, least, ends, a, first, last))):
             if found and a <= found[-1][1]:
                 found[-1] = (found[-1][0], max(b, found[-1][1]))
             else:
@@ -134,9 +142,9 @@ def random_spans(text: str, least: float = FEWEST_CHARS_A_TOKEN) -> list[Span]:
     found = []
     for m in CANDIDATE.finditer(text):
         tokens = encoding().encode_ordinary(m[0])
-        if _looks_random(m[0], least, len(tokens)):
+        if _looks_random(m[0], least, len(tokens)) or _looks_random_unmixed(m[0], least, len(tokens)):
             found.append(("random", *m.span()))
-        elif _mixed(m[0]):
+        elif not m[0].isalpha() or _mixed(m[0]):
             ends = list(accumulate(map(len, encoding().decode_tokens_bytes(tokens))))
             found += [("random", m.start() + a, m.start() + b) for a, b in _random_parts(m[0], least, ends)]
     return found
@@ -169,9 +177,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``spans`` lists kind:start:end in code points, by start and then kind; a span of
     kind ``random`` is added where the vocabulary needs many tokens for the length, of a
-    whole string or of a part between its separators.
+    whole string or of a part between its separators.  Strings of one letter case must
+    need more tokens than others.
 
-    Null text counts as empty and has no spans.  Null ids and repeated rows are
+    Null text counts as empty and has no spans.  Very long texts are scanned whole.  Null ids and repeated rows are
     reported like any other; an empty table gives an empty result; other columns
     are ignored.
     """
@@ -191,7 +200,11 @@ def redacted(text: str, mark: str = "[secret]", least: float = FEWEST_CHARS_A_TO
 
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """``docs`` with secrets replaced by a mark, and ``size_col``, where there is one, counted anew for texts that changed."""
+    """``docs`` with secrets replaced by a mark, and ``size_col``, where there is one, counted anew for texts that changed.
+
+    Null and empty texts stay as they are.  Null ids, repeated rows and very long texts are treated like any other; an
+    empty table gives an empty one; columns keep their names, whatever they are.
+    """
     ready(docs.sparkSession)
     schema, names = docs.schema, docs.columns
 

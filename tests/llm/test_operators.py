@@ -198,6 +198,27 @@ def test_shingles_follow_chunks():
     assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
 
 
+def test_word_spans_and_counts_follow_chunks():
+    from millrace.llm import shingles
+
+    rng = np.random.default_rng(1)
+    for size in (0, 1, shingles.CHUNK - 1, shingles.CHUNK, shingles.CHUNK + 1, 2 * shingles.CHUNK + 7):
+        data = rng.choice(np.frombuffer(b"ab \n#", np.uint8), size)
+        text = data.tobytes().decode()
+        starts, ends = shingles.word_spans(data)
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [m.span() for m in WORDS.finditer(text)]
+        table = np.zeros(256, dtype=bool)
+        table[ord("#")] = True
+        at = np.unique(np.concatenate((rng.integers(0, size + 1, 50), [0, size])))
+        assert shingles.counts_before(table, data, at).tolist() == [text.count("#", 0, k) for k in at.tolist()]
+    words = rng.integers(0, 5, 3 * shingles.CHUNK // 2).astype(np.uint64)
+    for n in (1, 5, 10):
+        windows = shingles.window_hashes(words, n)
+        names = sum(words[k : len(words) - n + 1 + k].astype(np.int64) * 5**k for k in range(n))
+        assert len(windows) == len(names) and len(np.unique(windows)) == len(np.unique(names))
+        assert len(np.unique(np.stack((windows.view(np.int64), names)), axis=1)[0]) == len(np.unique(names))
+
+
 def test_exact_dedup(spark):
     from millrace.llm.exact_dedup import deduplicate, exact_duplicates
 
@@ -627,6 +648,49 @@ def test_secret_scan(spark):
     assert all(r.n_chars == len(r.text or "") for r in clean.collect())
 
 
+def test_random_spans_of_plain_runs():
+    """Runs without separators, held against the rules said plainly."""
+    from millrace.llm.secret_scan import random_spans
+    from millrace.llm.vocabulary import encoding
+
+    def low(own, unmixed):
+        kinds = sum(bool(re.search(c, own)) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+        known = re.fullmatch(r"[0-9]+|(.)\1*", own) or (re.fullmatch("[0-9a-fA-F]+", own) and len(own) in (32, 40, 56, 64, 96, 128))
+        limit = 2.3 if kinds > 1 else 2.0 if unmixed and own.isalpha() else 0
+        return not known and len(own) < limit * len(encoding().encode_ordinary(own))
+
+    def plain(run):
+        if len(run) < 20 or low(run, True):
+            return len(run) >= 20
+        if re.fullmatch(r"[0-9]+|(.)\1*", run) or (re.fullmatch("[0-9a-fA-F]+", run) and len(run) in (32, 40, 56, 64, 96, 128)) or run.isalpha() and (run.islower() or run.isupper()):
+            return False
+        tokens = [encoding().decode([t]) for t in encoding().encode_ordinary(run)]
+        for i in range(len(tokens)):
+            for j in range(i + 1, len(tokens) + 1):
+                row = "".join(tokens[i:j])
+                if len(row) >= 20:
+                    kinds = sum(bool(re.search(c, row)) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+                    if kinds > 1 and len(row) < 2.3 * (j - i) and not re.fullmatch("[0-9]+", row) and not (re.fullmatch("[0-9a-fA-F]+", row) and len(row) in (32, 40, 56, 64, 96, 128)):
+                        return True
+                    break
+        return False
+
+    rng = random.Random(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    words = ["international", "understanding", "configuration", "notification", "Development", "SERVICE", "response", "2024", "v2"]
+    runs = ["".join(rng.choices(alphabet, k=rng.randint(15, 70))) for alphabet in (lower, upper, digits, lower + digits, upper + digits, lower + upper, lower + upper + digits, "0123456789abcdef") for _ in range(60)]
+    runs += ["".join(rng.choices(words, k=rng.randint(1, 6))) + "".join(rng.choices(lower + digits, k=rng.choice([0, 0, 10, 25]))) for _ in range(200)]
+    rng.shuffle(runs)
+    text, want, hits = "é ", [], 0
+    for run in runs:
+        if plain(run):
+            want.append(("random", len(text), len(text) + len(run)))
+        text += run + rng.choice([" ", "\n", ". ", " é "])
+    assert random_spans(text) == want
+    assert 200 < len(want) < len(runs) - 100
+    assert random_spans("x " * 200_000 + text) == [(k, a + 400_000, b + 400_000) for k, a, b in want]
+
+
 @pytest.mark.parametrize("before", ["services/incoming-webhooks/production/notifications/", "projects/customer-portal/environments/production/access/", "database-connection-string="])
 def test_secret_behind_readable_text(before):
     from millrace.llm.secret_scan import random_spans, redacted
