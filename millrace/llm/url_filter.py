@@ -12,6 +12,8 @@ from millrace.llm.work import Work
 
 #: Of entries of one key and day, the last of these holds.
 ACTIONS = ("remove", "allow", "block")
+#: Copies of what is active for a key and a day.
+SALTS = 16
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -45,21 +47,28 @@ def listed_at_fetch(captures: DataFrame, entries: DataFrame, id_col: str = "page
     entry that holds on the day of the fetch, the day it was listed included.  The
     most specific one decides; without any the verdict is ``none``.
 
-    A key that many captures share is a skewed join of a few intervals, which
-    adaptive execution splits on the side of the captures; no group is gathered.
+    What holds depends on key and day alone, so captures are thinned to distinct hosts and
+    days, and those to distinct keys and days, before anything is joined: a key that most captures share
+    is as many rows as there are days, and a long history meets each day once.  What is then active
+    is dealt to SALTS copies, so the hosts under one such key are spread over as many tasks.
 
     Null or malformed URLs have an empty host, a null day meets no interval: ``none``.
-    Null ids and repeated rows are reported like any other.  Empty tables give an empty
-    result, or ``none`` throughout for an empty list.  Other columns are ignored.
+    Very long URLs are read whole.  Null ids and repeated rows are reported like any other.  Empty
+    tables give an empty result, or ``none`` throughout for an empty list.  Other columns are ignored,
+    whatever their names.
     """
     work = Work(captures.sparkSession, "urls")
-    rows = captures.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), F.col(day_col).alias("fetched_on"))
+    rows = captures.select(F.col(id_col).alias("page_id"), host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), F.col(day_col).alias("fetched_on"))
     rows = work.keep(rows, "captures")
-    spans = work.keep(intervals(entries), "intervals")
-    asked = rows.select("uid", "fetched_on", F.explode(host_keys(F.col("host"))).alias("k")).select("uid", "fetched_on", "k.key", "k.labels")
+    spans = intervals(entries)
+    visits = rows.where("host <> '' and fetched_on is not null").select("host", "fetched_on").distinct()
+    asked = work.keep(visits.select("host", "fetched_on", F.explode(host_keys(F.col("host"))).alias("k")).select("host", "fetched_on", "k.key", "k.labels"), "asked")
     held = (F.col("fetched_on") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("fetched_on") < F.col("to_day")))
-    active = asked.join(spans, "key").where(held).groupBy("uid").agg(F.max(F.struct("labels", "key", "action", "from_day")).alias("best"))
-    return rows.join(active, "uid", "left").select(
+    active = asked.select("key", "fetched_on").distinct().join(spans, "key").where(held).select("key", "fetched_on", "action", "from_day")
+    active = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int"))
+    best = salted.join(active, ["key", "fetched_on", "salt"]).groupBy("host", "fetched_on").agg(F.max(F.struct("labels", "key", "action", "from_day")).alias("best"))
+    return rows.join(best, ["host", "fetched_on"], "left").select(
         "page_id",
         "host",
         "fetched_on",

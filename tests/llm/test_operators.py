@@ -420,6 +420,11 @@ def test_url_filter(spark):
     assert {r.verdict for r in listed_at_fetch(pages, listed.limit(0)).collect()} == {"none"}
     plan = listed_at_fetch(pages, listed)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    # names the operator uses itself, ids of another type, and a very long URL
+    clash = pages.selectExpr("string(page_id) page_id", "url", "fetched_on", "1 as host", "2 as uid", "3 as labels", "4 as best", "5 as salt", "'k' as key", "6 as action")
+    clash = clash.union(clash.limit(1).selectExpr("'long'", f"concat('http://b.org/', repeat('x', {1 << 20}))", "date'2024-01-05'", *map(str, range(7))))
+    again = listed_at_fetch(clash, listed).collect()
+    assert sorted(map(str, ((r.page_id, r.verdict) for r in again))) == sorted(map(str, [*((None if r.page_id is None else str(r.page_id), r.verdict) for r in got), ("long", "block")]))
 
 
 def test_quality_rules(spark):
