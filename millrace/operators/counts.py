@@ -1,4 +1,9 @@
-"""Counts, shares, pivots and period changes over (row, year, topics) tables."""
+"""Counts, shares, pivots and period changes over (row, year, topics) tables.
+
+Null and empty topic lists count as none; a topic that stands twice in a row counts once.  Rows of no year are
+rows of the year null.  Repeated rows count each.  Empty tables give empty results, or zeros where a
+result has one row.  Columns that an operator does not name are ignored.
+"""
 
 from __future__ import annotations
 
@@ -12,18 +17,21 @@ def topic_rows(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def topic_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, topic, n): rows with each topic."""
     return topic_rows(rows, *by).groupBy(*by, "topic").agg(F.count("*").alias("n"))
 
 
 def ranked(counts: DataFrame, *by: str, k: int | None = None, ties: tuple[str, ...] = ("first_ord",)) -> DataFrame:
-    """Rank within ``by`` by count, then by first encounter; rows beyond ``k`` are cut early in each partition."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), *ties))
-    out = counts.withColumn("rank", rank)
+    """``rank`` within ``by`` by count, then by first encounter; rows beyond ``k`` are cut early in each partition.
+
+    A column ``rank`` that is there already is replaced.
+    """
+    out = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), *ties)))
     return out.where(F.col("rank") <= k) if k else out
 
 
 def top(counts: DataFrame, k: int, ties: tuple[str, ...] = ("first_ord",)) -> DataFrame:
-    """The ``k`` largest of all, by a sorted heap in each task, with their rank."""
+    """The ``k`` largest of all, by a sorted heap in each task, with their ``rank``; fewer where there are fewer."""
     few = counts.orderBy(F.desc("n"), *ties).limit(k)
     return few.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), *ties)))
 
@@ -43,6 +51,7 @@ def cooccurrence(rows: DataFrame, column: str, ord: str = "row_ord") -> DataFram
 
 
 def year_counts(rows: DataFrame) -> DataFrame:
+    """(year, n): rows of each year."""
     return rows.groupBy("year").agg(F.count("*").alias("n"))
 
 
@@ -56,15 +65,23 @@ def share(n, total):
     return F.when(total > 0, n / total * 100).otherwise(F.lit(0.0))
 
 
-def topic_year_pivot(rows: DataFrame, base: DataFrame) -> DataFrame:
+def topic_year_pivot(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """(year, topic, n, year_total, share, topic_rank): every year with every topic of ``base``, zeros included.
 
-    Years and topics are aggregates of bounded size, so their product is too.
+    Without ``base`` the topics are those of ``rows``, and all comes from one aggregate by year and topic.
+    Years and topics are aggregates of bounded size, so their product is too.  Rows without
+    topics count in ``year_total`` only; an empty table gives an empty result.
     """
-    topics = topic_counts(base).withColumn("topic_rank", F.row_number().over(Window.orderBy(F.desc("n"), "topic"))).select("topic", "topic_rank")
-    total = year_counts(rows).withColumnRenamed("n", "year_total")
+    of = lambda df: df.select("year", F.explode_outer(F.array_distinct(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("topics", F.array().cast("array<string>"))))).alias("topic"))
+    # the null topic stands on every row, so its count is that of the rows
+    cells = of(rows).groupBy("year", "topic").agg(F.count("*").alias("n"))
+    known = cells if base is None else topic_counts(base, "year")
+    topics = known.where("topic is not null").groupBy("topic").agg(F.sum("n").alias("n"))
+    topics = topics.select("topic", F.row_number().over(Window.orderBy(F.desc("n"), "topic")).alias("topic_rank"))
+    total = cells.where("topic is null").select("year", F.col("n").alias("year_total"))
     grid = total.crossJoin(F.broadcast(topics))
-    out = grid.join(topic_counts(rows, "year"), ["year", "topic"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    own = cells.where("topic is not null").select(F.col("year").alias("y"), F.col("topic").alias("t"), "n")
+    out = grid.join(own, F.col("year").eqNullSafe(F.col("y")) & (F.col("topic") == F.col("t")), "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return out.select("year", "topic", "n", "year_total", share(F.col("n"), F.col("year_total")).alias("share"), "topic_rank")
 
 
@@ -99,10 +116,12 @@ def latest_comparable(rows: DataFrame) -> DataFrame:
     return adjacent_years(rows).where("comparable").groupBy().agg(F.max_by(F.struct("from_year", "to_year"), "to_year").alias("p")).select("p.*")
 
 
-def default_pair(rows: DataFrame, preferred: tuple[int, int] = (2017, 2026)) -> DataFrame:
-    has = lambda y: F.max((F.col("year") == y).cast("int")) == 1
-    both = has(preferred[0]) & has(preferred[1])
-    return rows.agg(F.when(both, preferred[0]).otherwise(F.min("year")).alias("from_year"), F.when(both, preferred[1]).otherwise(F.max("year")).alias("to_year"))
+def default_pair(rows: DataFrame, preferred: tuple[int, int] | None = None) -> DataFrame:
+    """(from_year, to_year): ``preferred`` if there are rows of both, else the first and last year."""
+    if preferred is None:
+        return rows.agg(F.min("year").alias("from_year"), F.max("year").alias("to_year"))
+    both = F.coalesce(F.bool_or(F.col("year") == preferred[0]) & F.bool_or(F.col("year") == preferred[1]), F.lit(False))
+    return rows.agg(*[F.when(both, F.lit(p)).otherwise(end("year")).alias(name) for p, end, name in zip(preferred, (F.min, F.max), ("from_year", "to_year"), strict=True)])
 
 
 def kpis(rows: DataFrame, matches) -> DataFrame:

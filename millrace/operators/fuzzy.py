@@ -3,43 +3,111 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Least sequence ratio of a match.
 CUTOFF = 0.86
 
 
-def trigrams(key):
-    padded = F.length(key)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(padded - 2, F.lit(1))), lambda k: F.substring(key, k, 3)))
+@F.pandas_udf(ArrayType(StringType()))
+def _runs(keys: pd.Series) -> pd.Series:
+    """Runs of three characters, each with its number among equal ones before it."""
+
+    def own(key: str) -> list[str]:
+        seen: Counter = Counter()
+        out = []
+        for k in range(len(key) - 2):
+            run = key[k : k + 3]
+            out.append(f"{run}{seen[run]}")
+            seen[run] += 1
+        return out
+
+    return keys.map(own)
+
+
+def _shorter(depth: int):
+    """The key with up to ``depth`` characters left out, in every way."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(keys: pd.Series) -> pd.Series:
+        def own(key: str) -> list[str]:
+            found = level = {key}
+            for _ in range(depth):
+                level = {k[:i] + k[i + 1 :] for k in level for i in range(len(k))}
+                found = found | level
+            return sorted(found)
+
+        return keys.map(own)
+
+    return run
 
 
 def best_titles(left: DataFrame, right: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(left_id, title_key, right_id, right_key, ratio): each left title's best right title.
 
     Tables are (left_id, title_key) and (right_id, right_key).  An equal title wins; among the
-    rest the highest sequence ratio from ``cutoff`` on, then the greatest title.  A ratio of
-    ``cutoff`` leaves at most (1 - cutoff) * (la + lb) characters unmatched, so
-    lengths lie in a band, and titles of more than a few characters share a run of three:
-    pairs meet on shared runs and must share enough of them before they are compared.
+    rest the highest sequence ratio from ``cutoff`` on, then the greatest title, then id.
+
+    Exact, for ``cutoff`` above 0.8: a ratio of c leaves at most u = (1 - c) T of the T characters of both
+    unmatched, so what matches falls into u + 1 pieces at most and the two share at least
+    c T / 2 - 2 (u + 1) runs of three, equal ones counted as often as they occur.  Pairs therefore
+    meet on the rarest runs of each, as many as it can lose and one more, and must share enough.  Where that number
+    is none the titles are so short that they meet once a character or two are left out.
+
+    Null and empty titles match nothing but, if empty, each other; repeated rows match like any other.
+    Empty tables give an empty result; other columns are ignored.
     """
+    if not 0.8 < cutoff <= 1:
+        raise ValueError("cutoff must lie above 0.8")
+    left, right = left.select("left_id", "title_key").where("title_key is not null"), right.select("right_id", "right_key").where("right_key is not null")
     exact = left.join(right, left.title_key == right.right_key).select("left_id", "title_key", "right_id", "right_key", F.lit(1.0).alias("ratio"))
+    # of equal titles the greatest id is the best: one row for each left title, so a title that stands often multiplies nothing
+    exact = exact.groupBy("left_id", "title_key").agg(F.max(F.struct("right_id", "right_key")).alias("r")).select("left_id", "title_key", "r.right_id", "r.right_key", F.lit(1.0).alias("ratio"))
     open_ = left.join(exact.select("left_id").distinct(), "left_id", "left_anti")
-    a = open_.select("left_id", "title_key", F.explode(trigrams(F.col("title_key"))).alias("g"))
-    b = right.select("right_id", "right_key", F.explode(trigrams(F.col("right_key"))).alias("g"))
+    keys = right.groupBy("right_key").agg(F.max("right_id").alias("right_id"))
+    asked = open_.select("title_key").distinct()
+
+    loss = cutoff / 2 - 2 * (1 - cutoff)
+    short = 1 / (1.25 * cutoff - 1)  # titles of so many characters together may share no run at all
+    depth = math.floor((1 - cutoff) * short + 1e-9)
+    band = cutoff / (2 - cutoff)
+
+    def prefix(rows: DataFrame, key: str) -> DataFrame:
+        """The rarest runs of each title: those it may lack to a partner of the least length, and one more."""
+        n = F.length(key)
+        need = F.greatest(F.ceil(F.lit(loss) * n * (1 + band) - 2 - 1e-9), F.lit(1))
+        runs = rows.where(n * (1 + 1 / band) > short).select(key, _runs(key).alias("runs"))
+        each = runs.select(key, "runs", F.explode("runs").alias("run")).join(often, "run", "left")
+        ranked = each.groupBy(key).agg(F.first("runs").alias("runs"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))).alias("p"))
+        return ranked.select(key, "runs", F.explode(F.slice(F.col("p.run"), F.lit(1), F.greatest(F.size("p") - need.cast("int") + 1, F.lit(1)))).alias("run"))
+
+    often = keys.select(F.explode(_runs("right_key")).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    a = prefix(asked, "title_key").withColumnRenamed("runs", "own")
+    b = prefix(keys.select("right_key"), "right_key")
     la, lb = F.length("title_key"), F.length("right_key")
-    pairs = a.join(b, "g").where(F.least(la, lb) >= F.greatest(la, lb) * (cutoff / (2 - cutoff)))
-    pairs = pairs.groupBy("left_id", "right_id").agg(F.first("title_key").alias("title_key"), F.first("right_key").alias("right_key"), F.count("*").alias("shared"))
-    # distinct runs repeat within long titles, so the bound on their number is halved
-    pairs = pairs.where(F.col("shared") >= (cutoff / 2 * (la + lb) - 2 * ((1 - cutoff) * (la + lb) + 1)) / 2)
+    near = F.least(la, lb) >= F.greatest(la, lb) * F.lit(band - 1e-9)
+    pairs = a.join(b, "run").where(near & (F.size(F.array_intersect("own", "runs")) >= F.lit(loss) * (la + lb) - 2 - 1e-9)).select("title_key", "right_key")
+    few = lambda rows, key: rows.where(F.length(key) * (1 + band) <= short).select(key, F.explode(_shorter(depth)(F.col(key))).alias("less"))
+    close = few(asked, "title_key").join(few(keys.select("right_key"), "right_key"), "less").where(near).select("title_key", "right_key")
+    pairs = pairs.unionByName(close).distinct()
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, q, p).ratio() for p, q in zip(x, y, strict=True)])
+        def own(p: str, q: str) -> float:
+            matcher = difflib.SequenceMatcher(None, q, p)
+            return matcher.ratio() if matcher.quick_ratio() >= cutoff else 0.0
+
+        return pd.Series([own(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    scored = pairs.select("left_id", "title_key", "right_id", "right_key", ratio("title_key", "right_key").alias("ratio")).where(F.col("ratio") >= cutoff)
-    best = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("ratio"), F.desc("right_key"), F.desc("right_id")))
-    return exact.unionByName(scored).withColumn("_b", best).where("_b = 1").drop("_b")
+    scored = pairs.withColumn("ratio", ratio("title_key", "right_key")).where(F.col("ratio") >= cutoff)
+    top = scored.groupBy("title_key").agg(F.max(F.struct("ratio", "right_key")).alias("best")).select("title_key", "best.ratio", "best.right_key")
+    found = open_.join(top, "title_key").join(keys, "right_key").select("left_id", "title_key", "right_id", "right_key", "ratio")
+    once = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("ratio"), F.desc("right_key"), F.desc("right_id")))
+    nth = "nth"
+    return exact.unionByName(found).withColumn(nth, once).where(f"{nth} = 1").drop(nth)

@@ -97,15 +97,18 @@ class FacetQuery:
             state = replace(state, search="")
         return replace(state, highlighted=key or state.highlighted)
 
-    def with_delta_years(self, available: list[int]) -> FacetQuery:
-        """One selected year: it and the available year before it (the first two for the first); else fill what is unset."""
+    def with_delta_years(self, available: list[int], preferred: tuple[int, int] | None = None) -> FacetQuery:
+        """One selected year: it and the available year before it (the first two for the first); else fill what is unset.
+
+        What is unset becomes ``preferred``, if both of its years are available, else the first and last.
+        """
         years = sorted(available)
         if len(self.years) == 1 and self.years[0] in years and len(years) > 1:
             at = max(1, years.index(self.years[0]))
             return replace(self, delta=(years[at - 1], years[at]))
         if not years:
             return self
-        start, stop = (2017, 2026) if {2017, 2026} <= set(years) else (years[0], years[-1])
+        start, stop = preferred if preferred and set(preferred) <= set(years) else (years[0], years[-1])
         return replace(self, delta=(self.delta[0] or start, self.delta[1] or stop))
 
     # -- labels
@@ -135,6 +138,30 @@ class FacetQuery:
         return re.sub(" +", "-", normalize_search(self.label()))[:60] or "all-submissions"
 
 
+    def note(self, points: int, highlighted: int) -> str:
+        """What is said under the map."""
+        if self.highlighted:
+            return "Jumped to the highlighted submission"
+        return f"{points} papers on map · {highlighted} highlighted · {self.label()}" if self.active else f"{points} submissions, colored by year"
+
+    # -- lists
+
+    def paper_list(self, rows: DataFrame) -> DataFrame:
+        """(row_key, title, source_url, meta, topics, highlighted) of the rows that match; topics sorted, ``meta`` of year, poster and authors."""
+        filled = lambda c, before="": F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), F.col(c)))
+        meta = F.concat_ws(" · ", F.col("year").cast("string"), filled("poster_number", "Poster "), filled("authors"))
+        topics = F.array_sort(F.coalesce("topics", F.array().cast("array<string>")))
+        own = F.col("row_key") == F.lit(self.highlighted) if self.highlighted else F.lit(False)
+        return self.filtered(rows).select("row_key", "title", "source_url", meta.alias("meta"), topics.alias("topics"), own.alias("highlighted"))
+
+    def drawn_points(self, points: DataFrame) -> DataFrame:
+        """Points with whether they match, those that do last, so that they are drawn on top."""
+        return points.withColumn("match", self.matches()).orderBy("match", "row_ord")
+
+    def results_label(self, count: int) -> str:
+        return f"{count} papers · {self.topic_label()}" if self.topics else f"{count} matching submissions"
+
+
 def _collation(text: str) -> tuple[str, str]:
     plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return plain.casefold(), text

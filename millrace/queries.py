@@ -90,14 +90,12 @@ _PIVOT = """
 
 @query("topic_year_pivot", _PIVOT + "SELECT year, topic, n, year_total, n / year_total * 100 AS share, topic_rank FROM p", lines=True)
 def topic_year_pivot(spark, folder):
-    rows = submissions(spark, folder)
-    return counts.topic_year_pivot(rows, rows)
+    return counts.topic_year_pivot(submissions(spark, folder))
 
 
 @query("topic_year_stack", _PIVOT + ", e AS (SELECT year, topic, n, CAST(sum(n) OVER (PARTITION BY year ORDER BY topic_rank) AS BIGINT) AS y1 FROM p) SELECT year, topic, n, y1 - n AS y0, y1 FROM e", lines=True)
 def topic_year_stack(spark, folder):
-    rows = submissions(spark, folder)
-    return counts.stacked(counts.topic_year_pivot(rows, rows))
+    return counts.stacked(counts.topic_year_pivot(submissions(spark, folder)))
 
 
 @query(

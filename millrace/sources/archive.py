@@ -7,10 +7,10 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import join_list, title_key
+from millrace.functions.text import clean_text, join_list, normalize_field, title_key
 
 SUBMISSION = (
     "id string, year int, title string, authors string, abstract string, author_keywords array<string>, extracted_keywords array<string>, "
@@ -21,7 +21,11 @@ EXPORT = ("id", "year", "title", "author", "keywords", "assigned_topics", "autho
 
 
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
-    """Submissions of a JSON payload, nulls as empty values."""
+    """Submissions of a JSON payload, nulls as empty values: one object with ``submissions``, or a folder that ``write_payload`` wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(at).isDirectory():
+        return spark.read.schema(f"row_ord int, {SUBMISSION}").json(f"{path}/submissions").na.fill("")
     payload = spark.read.schema(f"submissions array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split() for x in SUBMISSION.split(', ')))}>>").json(path, multiLine=True)
     rows = payload.select(F.posexplode("submissions").alias("row_ord", "s")).select("row_ord", "s.*")
     return rows.na.fill("")
@@ -63,8 +67,72 @@ def write_explorer(rows: DataFrame, path: str) -> None:
     export_columns(rows).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def write_payload(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def payload_metadata(rows: DataFrame, **more: str) -> DataFrame:
+    """One row: when it was made, the years that have keywords, sorted, the number of rows, and constants."""
+    with_keywords = F.when(F.size(F.coalesce("keywords", F.array().cast("array<string>"))) > 0, F.col("year"))
+    made = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return rows.agg(F.array_sort(F.collect_set(with_keywords)).alias("years"), F.count("*").alias("total_count")).select(made.alias("scraped_at"), "years", "total_count", *[F.lit(v).alias(k) for k, v in more.items()])
+
+
+def write_payload(rows: DataFrame, path: str, stats: dict[str, DataFrame] | None = None, **metadata: str) -> None:
+    """A payload as a folder: a line of JSON for each submission, metadata, and statistics in long form.
+
+    One object for all would be one task's work, so ``read_payload`` reads both forms.
+    """
+    rows.write.mode("overwrite").json(f"{path}/submissions")
+    payload_metadata(rows, **metadata).write.mode("overwrite").json(f"{path}/metadata")
+    for name, table in (stats or {}).items():
+        table.write.mode("overwrite").json(f"{path}/stats/{name}")
+
+
+def export_stamp(day: Column | None = None) -> Column:
+    """A day as in names of exported files."""
+    return F.date_format(F.current_date() if day is None else day, "yyyyMMdd")
+
+
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """(title_key, title, track, abstract) of a table of pending rows; of equal titles the last."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"').select(*[clean_text(F.col(c)).alias(c) for c in ("title", "track", "abstract")])
+    return by_title(rows.withColumn("row_ord", F.monotonically_increasing_id())).drop("row_ord")
+
+
+# -------------------------------------------------------------- labels and points
+
+CACHE = "row_key string, assigned_topics array<string>, model string, assigned_at timestamp"
+
+
+def append_labels(fresh: DataFrame, path: str, model: str) -> None:
+    """New labels (row_key, assigned_topics) added to a cache, with the model and the time; what stands there stays."""
+    fresh.select("row_key", "assigned_topics", F.lit(model).alias("model"), F.current_timestamp().alias("assigned_at")).write.mode("append").parquet(path)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(row_key, assigned_topics) of a cache, the last label of each row; a cache that is not there is empty."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "row_key string, assigned_topics array<string>")
+    return spark.read.schema(CACHE).parquet(path).groupBy("row_key").agg(F.max_by("assigned_topics", "assigned_at").alias("assigned_topics"))
+
+
+def embedding_points(rows: DataFrame) -> DataFrame:
+    """(id, x, y, year, title, poster_number) of rows with coordinates, titles repaired."""
+    placed = rows.where("umap_x is not null and umap_y is not null")
+    return placed.select("id", F.col("umap_x").alias("x"), F.col("umap_y").alias("y"), "year", normalize_field(F.col("title")).alias("title"), "poster_number")
+
+
+def write_embeddings(rows: DataFrame, path: str, method: str) -> None:
+    """Points, and their metadata: number, years and method."""
+    points = embedding_points(rows)
+    points.write.mode("overwrite").json(f"{path}/points")
+    points.agg(F.count("*").alias("count"), F.array_sort(F.collect_set("year")).alias("years")).withColumns({"method": F.lit(method), "generated_at": F.current_timestamp().cast("string")}).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def repair_embeddings(points: DataFrame) -> DataFrame:
+    """Points with repaired titles."""
+    return points.withColumn("title", normalize_field(F.col("title")))
+
+
+# ------------------------------------------------------------------ pages, PDFs
 
 
 def cache_name(url, suffix: str = ".pdf"):
@@ -76,30 +144,60 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 4) == F.lit(b"%PDF"))
 
 
-def fetched(urls: DataFrame, get: Callable[[str], str] | None = None, retries: int = 3, wait: float = 1.5, tasks: int = 8) -> DataFrame:
-    """(url, body, error): each URL read in a task, again after growing waits; one that fails keeps its row."""
+def _get(url: str) -> bytes:
+    with urllib.request.urlopen(url, timeout=45) as answer:
+        return answer.read()
+
 
-    def default(url: str) -> str:
-        with urllib.request.urlopen(url, timeout=45) as answer:
-            return answer.read().decode("utf-8", "replace")
+def fetched(urls: DataFrame, get: Callable[[str], bytes | str] | None = None, retries: int = 3, wait: float = 1.5, tasks: int = 8) -> DataFrame:
+    """(url, body, error): each URL read in a task, again after growing waits; one that fails keeps its row.
 
-    read = get or default
+    ``body`` is binary, as it came; ``body_text`` reads it as text.  A null URL is an error of its row.
+    """
+    read = get or _get
+
+    def once(url: str | None) -> tuple[bytes | None, str | None]:
+        error = None
+        for n in range(1, retries + 1):
+            try:
+                body = read(url)
+                return (body.encode() if isinstance(body, str) else bytes(body)), None
+            except Exception as e:  # noqa: BLE001 - the error is a value of the row
+                error = str(e)
+                if n < retries:
+                    time.sleep(wait * n)
+        return None, error
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for url in frame["url"]:
-                error = None
-                for n in range(1, retries + 1):
-                    try:
-                        rows.append((url, read(url), None))
-                        break
-                    except Exception as e:  # noqa: BLE001 - the error is a value of the row
-                        error = str(e)
-                        if n < retries:
-                            time.sleep(wait * n)
-                else:
-                    rows.append((url, None, error))
-            yield pd.DataFrame(rows, columns=["url", "body", "error"])
-
-    return urls.select("url").repartition(tasks).mapInPandas(run, "url string, body string, error string")
+            answers = [once(url) for url in frame["url"]]
+            yield pd.DataFrame({"url": frame["url"], "body": [a for a, _ in answers], "error": [e for _, e in answers]})
+
+    return urls.select("url").repartition(tasks).mapInPandas(run, "url string, body binary, error string")
+
+
+def body_text(body: Column) -> Column:
+    """A body as text; bytes that are no UTF-8 are replaced."""
+    return F.make_valid_utf8(body.cast("string"))
+
+
+def paper_texts(urls: DataFrame, extract: Callable[[bytes], str], get: Callable[[str], bytes | str] | None = None, known: DataFrame | None = None, **how) -> DataFrame:
+    """(url, text): what ``extract`` reads out of each PDF; from ``known`` (url, text) where it stands there.
+
+    Bodies that are no PDF, that can't be fetched or read, give an empty text.
+    """
+    asked = urls.select("url").where("url <> ''").distinct()
+    open_ = asked if known is None else asked.join(known.select("url"), "url", "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def own(body: bytes | None) -> str:
+            try:
+                return extract(bytes(body)).encode("utf-8", "replace").decode() if body is not None and bytes(body[:4]) == b"%PDF" else ""
+            except Exception:  # noqa: BLE001 - a paper that can't be read has no text
+                return ""
+
+        for frame in frames:
+            yield pd.DataFrame({"url": frame["url"], "text": [own(b) for b in frame["body"]]})
+
+    fresh = fetched(open_, get, **how).mapInPandas(run, "url string, text string")
+    return fresh if known is None else fresh.unionByName(known.join(asked, "url", "left_semi").select("url", "text"))

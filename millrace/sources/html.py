@@ -92,6 +92,26 @@ def anchors(page: str, base: str, link: str, least: int = 5) -> list[dict]:
     return list(rows.values())
 
 
+def paper_listing(page: str, base: str, link: str = r"abstract_(\w+)\.pdf", cells: int = 4) -> list[dict]:
+    """Rows of a table that link a paper: (id, title, authors, url), the last of each number."""
+    rows: dict[str, dict] = {}
+    for row in _Page(page).rows:
+        found = next(((h, m[1]) for h in row["links"] if (m := re.search(link, h))), None)
+        if found and len(row["cells"]) >= cells:
+            text = [_one_space(c) for c in row["cells"]]
+            rows[found[1]] = {"id": found[1], "title": text[1], "authors": text[2], "url": urljoin(base, found[0])}
+    return list(rows.values())
+
+
+def paper_link(page: str, base: str) -> str:
+    """The address of the paper that a page links, or opens in a window; empty without one."""
+    hit = next((a["href"] for a in _Page(page).links if re.search(r"(?i)\.pdf(?:$|[?#])", a["href"])), None)
+    if hit is None:
+        opened = re.search(r"""window\.open\(\s*['"]([^'"]+)""", page or "")
+        hit = opened[1] if opened else None
+    return urljoin(base, hit) if hit else ""
+
+
 def detail(page: str) -> dict:
     """Title (h1 to h3), abstract (longest free paragraph over 120 characters), and labelled paragraphs."""
     out = {"title": "", "abstract": "", "authors": "", "keywords": "", "topic_area": "", "presenter": ""}
@@ -130,6 +150,7 @@ def pdf_links(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
+    """Addresses of links, as they stand in the page."""
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit('<a href="([^"]*)"'), F.lit(1))
 
 
