@@ -78,34 +78,40 @@ def best_titles(left: DataFrame, right: DataFrame, cutoff: float = CUTOFF) -> Da
     depth = math.floor((1 - cutoff) * short + 1e-9)
     band = cutoff / (2 - cutoff)
 
-    def prefix(rows: DataFrame, key: str) -> DataFrame:
+    def prefix(rows: DataFrame, key: str, name: str) -> DataFrame:
         """The rarest runs of each title: those it may lack to a partner of the least length, and one more."""
-        n = F.length(key)
-        need = F.greatest(F.ceil(F.lit(loss) * n * (1 + band) - 2 - 1e-9), F.lit(1))
-        runs = rows.where(n * (1 + 1 / band) > short).select(key, _runs(key).alias("runs"))
-        each = runs.select(key, "runs", F.explode("runs").alias("run")).join(often, "run", "left")
-        ranked = each.groupBy(key).agg(F.first("runs").alias("runs"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))).alias("p"))
-        return ranked.select(key, "runs", F.explode(F.slice(F.col("p.run"), F.lit(1), F.greatest(F.size("p") - need.cast("int") + 1, F.lit(1)))).alias("run"))
+        own = rows.select(F.xxhash64(key).alias(name), F.length(key).alias(f"{name}_n"), _runs(key).alias("runs")).where(F.col(f"{name}_n") * (1 + 1 / band) > short)
+        each = own.select(name, f"{name}_n", F.explode("runs").alias("run")).join(often, "run", "left")
+        ranked = each.groupBy(name, f"{name}_n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))).alias("p"))
+        need = F.greatest(F.ceil(F.lit(loss * (1 + band)) * F.col(f"{name}_n") - 2 - 1e-9).cast("int"), F.lit(1))
+        return ranked.select(name, f"{name}_n", F.explode(F.slice(F.col("p.run"), F.lit(1), F.greatest(F.size("p") - need + 1, F.lit(1)))).alias("run"))
 
     often = keys.select(F.explode(_runs("right_key")).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
-    a = prefix(asked, "title_key").withColumnRenamed("runs", "own")
-    b = prefix(keys.select("right_key"), "right_key")
-    la, lb = F.length("title_key"), F.length("right_key")
-    near = F.least(la, lb) >= F.greatest(la, lb) * F.lit(band - 1e-9)
-    pairs = a.join(b, "run").where(near & (F.size(F.array_intersect("own", "runs")) >= F.lit(loss) * (la + lb) - 2 - 1e-9)).select("title_key", "right_key")
+    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(band - 1e-9)
+    met = prefix(asked, "title_key", "a").join(prefix(keys, "right_key", "b"), "run").where(near(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+    # names are hashes: titles that share one are all compared
+    pairs = met.join(asked.withColumn("a", F.xxhash64("title_key")), "a").join(keys.select("right_key", F.xxhash64("right_key").alias("b")), "b").select("title_key", "right_key")
     few = lambda rows, key: rows.where(F.length(key) * (1 + band) <= short).select(key, F.explode(_shorter(depth)(F.col(key))).alias("less"))
-    close = few(asked, "title_key").join(few(keys.select("right_key"), "right_key"), "less").where(near).select("title_key", "right_key")
-    pairs = pairs.unionByName(close).distinct()
+    close = few(asked, "title_key").join(few(keys.select("right_key"), "right_key"), "less").where(near(F.length("title_key"), F.length("right_key"))).select("title_key", "right_key").distinct()
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        counted: dict[str, Counter] = {}
+
+        def runs(key: str) -> Counter:
+            if key not in counted:
+                counted[key] = Counter(key[k : k + 3] for k in range(len(key) - 2))
+            return counted[key]
+
         def own(p: str, q: str) -> float:
+            if (runs(p) & runs(q)).total() < loss * (len(p) + len(q)) - 2 - 1e-9:
+                return 0.0
             matcher = difflib.SequenceMatcher(None, q, p)
             return matcher.ratio() if matcher.quick_ratio() >= cutoff else 0.0
 
         return pd.Series([own(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    scored = pairs.withColumn("ratio", ratio("title_key", "right_key")).where(F.col("ratio") >= cutoff)
+    scored = pairs.unionByName(close).distinct().withColumn("ratio", ratio("title_key", "right_key")).where(F.col("ratio") >= cutoff)
     top = scored.groupBy("title_key").agg(F.max(F.struct("ratio", "right_key")).alias("best")).select("title_key", "best.ratio", "best.right_key")
     found = open_.join(top, "title_key").join(keys, "right_key").select("left_id", "title_key", "right_id", "right_key", "ratio")
     once = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("ratio"), F.desc("right_key"), F.desc("right_id")))

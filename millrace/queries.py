@@ -308,7 +308,12 @@ def search_substring(spark, folder):
     return FacetQuery(search=" The AND ").filtered(rows).select("doc_id")
 
 
-@query("search_folded")
+@query(
+    "search_folded",
+    r"""WITH f AS (SELECT doc_id, lower(strip_accents(text)) AS low FROM documents)
+    SELECT doc_id FROM f WHERE contains(regexp_replace(low, '[^a-z0-9]+', ' ', 'g'), 'element')
+        OR len(list_filter(regexp_extract_all(low, '[a-z0-9]+(?:[^a-z0-9\s]+[a-z0-9]+)+'), lambda x: contains(regexp_replace(x, '[^a-z0-9]+', '', 'g'), 'element'))) > 0""",
+)
 def search_folded(spark, folder):
     rows = _read(spark, folder, "documents").select("doc_id", text.search_index(F.col("text")).alias("search_text"))
     return FacetQuery(search="élement").filtered(rows).select("doc_id")
@@ -356,25 +361,37 @@ def embedding_texts(spark, folder):
     return rows.select("doc_id", text.embedding_text(F.col("title"), F.col("title"), F.array("lang")).alias("body"))
 
 
-@query("mojibake_repaired")
+@query(
+    "mojibake_repaired",
+    "SELECT doc_id, trim(regexp_replace(replace(regexp_replace(translate(text, '‘’‚‛“”„‟′″' || chr(160), '''''''''\"\"\"\"''\" '),"
+    r" '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\x{00ad}\x{200e}\x{200f}]', '', 'g'), 'Â', ''), '\s+', ' ', 'g')) AS plain FROM documents",
+)
 def mojibake_repaired(spark, folder):
     return _read(spark, folder, "documents").select("doc_id", text.normalize_field(F.col("text")).alias("plain"))
 
 
-@query("author_normalise")
+@query(
+    "author_normalise",
+    r"""WITH f AS (SELECT c_custkey, c_name, lower(c_name) || ' 1 ( a@b.edu ), Jane o''neil 2 ; 1 University of ' || n_name AS field FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    p AS (SELECT *, list_transform(string_split(regexp_replace(split_part(field, ';', 1), '\([^)]*@[^)]*\)', ' ', 'g'), ','), lambda x: trim(regexp_replace(x, '[\s0-9#]+$', ''))) AS parts FROM f),
+    n AS (SELECT *, list_transform(parts, lambda x: list_aggregate(list_transform(string_split(x, ' '), lambda w: list_aggregate(list_transform(string_split(w, ''''), lambda y: upper(y[1]) || lower(y[2:])), 'string_agg', '''')), 'string_agg', ' ')) AS names FROM p),
+    c AS (SELECT *, len(regexp_extract_all(field, '\b[A-Z][A-Za-z''.-]*(?:\s+[A-Z][A-Za-z''.-]*){1,3}\b')) AS pairs FROM n)
+    SELECT c_custkey, list_aggregate(names, 'string_agg', ', ') AS authors, names[1] AS first,
+           4 + 2 + 3 + 1 + CASE WHEN pairs >= 2 THEN 5 WHEN pairs = 1 THEN 1 ELSE 0 END + CAST(least(length(field) // 40, 6) AS INTEGER) AS score, TRUE AS thin FROM c""",
+)
 def author_normalise(spark, folder):
     rows = _read(spark, folder, "customer").join(_read(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     field = F.concat(F.lower("c_name"), F.lit(" 1 ( a@b.edu ), Jane o'neil 2 ; 1 University of "), F.col("n_name"))
     return rows.select("c_custkey", authors.normalize_authors(field).alias("authors"), authors.first_author(field).alias("first"), authors.block_score(field).alias("score"), authors.authors_are_thin(F.col("c_name")).alias("thin"))
 
 
-@query("keyword_sanitise")
+@query("keyword_sanitise", "SELECT p_partkey, lower(p_name) || '|' || lower(p_brand) || '|' || lower(p_type) AS keywords FROM part")
 def keyword_sanitise(spark, folder):
     rows = _read(spark, folder, "part")
     return rows.select("p_partkey", F.array_join(keywords.sanitize_keywords(F.array("p_name", "p_brand", F.lower("p_type"), F.lit("the poster"))), "|").alias("keywords"))
 
 
-@query("keyword_parse")
+@query("keyword_parse", "SELECT p_partkey, lower(p_name) || '|' || lower(p_brand) || '|' || lower(p_type) AS keywords FROM part")
 def keyword_parse(spark, folder):
     rows = _read(spark, folder, "part")
     return rows.select("p_partkey", F.array_join(keywords.parse_keywords(F.concat_ws("; ", "p_name", "p_brand", "p_type")), "|").alias("keywords"))
@@ -388,7 +405,14 @@ def fuzzy_title_match(spark, folder):
     return fuzzy.best_titles(left, right)
 
 
-@query("offline_labels")
+@query(
+    "offline_labels",
+    r"""WITH t AS (SELECT doc_id, lang, string_split(text, chr(10))[1] AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, length(string_split(text, chr(10))[1]) + 2) ELSE '' END AS abstract FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+    w AS (SELECT doc_id, regexp_split_to_array(lower(title || ' ' || title || ' ' || abstract || ' ' || lang), '\s+') AS words FROM t),
+    v(place, topic) AS (VALUES (0, 'reading thing'), (1, 'ration tion'), (2, 'elle quelle'), (3, 'keit heit')),
+    s AS (SELECT doc_id, place, topic, len(list_filter(words, lambda x: list_contains(string_split(topic, ' '), x))) AS score FROM w, v)
+    SELECT CAST(doc_id AS VARCHAR) AS row_key, coalesce(string_agg(topic, '|' ORDER BY score DESC, place) FILTER (score > 0), 'reading thing') AS assigned, FALSE AS failed FROM s GROUP BY doc_id""",
+)
 def offline_labels(spark, folder):
     rows = texts(spark, folder).select(F.col("doc_id").cast("string").alias("row_key"), F.col("doc_id").alias("row_ord"), "title", "abstract", F.array("lang").alias("keywords"))
     cache = _read(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("row_key"))
@@ -416,7 +440,13 @@ def page_main_text(spark, folder):
     return html.extracted(_read(spark, folder, "pages"), lambda page, url: [html.detail(page)], "title string, abstract string, authors string, keywords string, topic_area string")
 
 
-@query("page_anchors")
+@query(
+    "page_anchors",
+    r"""WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS site, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages),
+    u AS (SELECT page_id, site, unnest(h) AS href, unnest(t) AS title, generate_subscripts(h, 1) AS i FROM a)
+    SELECT page_id, regexp_extract(href, '/([\p{L}\p{N}_]+)$', 1) AS id, arg_max(title, i) AS title, arg_max(site || href, i) AS url
+    FROM u WHERE regexp_matches(href, '/[\p{L}\p{N}_]+$') AND title <> '' GROUP BY 1, 2""",
+)
 def page_anchors(spark, folder):
     return html.extracted(_read(spark, folder, "pages"), lambda page, url: html.anchors(page, url, r"/(\w+)$", least=1), "id string, title string, url string")
 
@@ -466,3 +496,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from millrace import extraction_queries  # noqa: E402, F401 - registers its queries

@@ -36,10 +36,72 @@ def test_against_sql(spark, duck, name):
     assert plain(got.columns, map(tuple, got.collect())) == plain(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(archive.QUERIES) - set(archive.SQL)))
-def test_runs(spark, name):
-    got = archive.QUERIES[name](spark, FOLDER)
-    assert len(got.collect()) >= 0 and got.columns == archive.QUERIES[name](spark, FOLDER).columns
+def read(name):
+    return duckdb.sql(f"SELECT * FROM '{FOLDER}/{name}.parquet'").df()
+
+
+def test_fuzzy_title_match(spark):
+    """Against every pair whose bounds of the ratio allow a match."""
+    import difflib
+
+    def ratio(a, b):
+        matcher = difflib.SequenceMatcher(None, b, a)
+        return matcher.ratio() if matcher.real_quick_ratio() >= 0.86 and matcher.quick_ratio() >= 0.86 else 0.0
+
+    folder = "/root/testdata/sf0.01"
+    first = lambda t: " ".join(t.split(".")[0].lower().split())
+    left, right = (duckdb.sql(f"SELECT {c}, text FROM '{folder}/{n}.parquet'").fetchall() for c, n in (("item_id", "benchmark"), ("doc_id", "documents")))
+    keys = {first(t) for _, t in right} - {""}
+    best = {i: max((1.0 if first(t) == b else ratio(first(t), b), b) for b in keys) for i, t in left}
+    got = {r.left_id: (r.ratio, r.right_key) for r in archive.QUERIES["fuzzy_title_match"](spark, folder).collect()}
+    assert set(got) == {i for i, b in best.items() if b[0] >= 0.86}
+    assert all(got[i][0] == pytest.approx(best[i][0]) and got[i][1] == best[i][1] for i in got)
+
+
+def test_page_main_text(spark):
+    """Against the pages cut at their tags."""
+    import html
+    import re
+
+    want = {}
+    for page_id, page in zip(read("pages").page_id, read("pages").html, strict=True):
+        page = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", page)
+        blocks, open_ = [], []
+        for tag, text in re.findall(r"<(/?[a-z0-9]+)[^>]*>([^<]*)", page):
+            name = tag.strip("/")
+            if tag[0] == "/":
+                if name in open_:
+                    del open_[len(open_) - 1 - open_[::-1].index(name) :]
+            else:
+                if name in ("p", "h1", "h2", "h3", "title"):
+                    blocks.append([name, ""])
+                if name not in ("br", "img", "meta", "link", "input", "hr"):
+                    open_.append(name)
+            if blocks and blocks[-1][0] in open_:
+                blocks[-1][1] += html.unescape(text)
+        plain = [(n, " ".join(t.split())) for n, t in blocks]
+        longest = max((t for n, t in plain if n == "p" and len(t) > 120), key=len, default="")
+        want[int(page_id)] = (next((t for n, t in plain if n[0] == "h" and t), ""), longest)
+    got = {r.page_id: (r.title, r.abstract) for r in archive.QUERIES["page_main_text"](spark, FOLDER).collect()}
+    assert got == want
+
+
+def test_embedding_layout(spark):
+    """A point for each document with terms; equal texts meet; the spread is the asked one."""
+    docs = read("documents")
+    got = {r.doc_id: (r.x, r.y) for r in archive.QUERIES["embedding_layout"](spark, FOLDER).collect()}
+    assert set(got) <= set(docs.doc_id) and len(got) > 0.9 * len(docs)
+    for _, same in docs.groupby("text").doc_id:
+        placed = [got[i] for i in same if i in got]
+        assert all(p == pytest.approx(placed[0], abs=1e-6) for p in placed)
+    for axis in (0, 1):
+        values = [p[axis] for p in got.values()]
+        mean = sum(values) / len(values)
+        assert abs(mean) < 1e-6 and (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5 == pytest.approx(10)
+
+
+def test_every_query_is_held_against_something():
+    assert set(archive.QUERIES) - set(archive.SQL) == {"fuzzy_title_match", "page_main_text", "embedding_layout"}
 
 
 def test_entry(spark):
