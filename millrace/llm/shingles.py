@@ -8,7 +8,7 @@ loop runs over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -95,6 +95,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out ^ ((ends - starts).astype(np.uint64) * _U64(_BASE)))
 
 
+def hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``span_hashes`` of ``data`` for any spans, also ones that overlap; running sums are taken once where they fit a chunk."""
+    if len(data) > CHUNK:
+        return lambda starts, ends: span_hashes(data, starts, ends)
+    run = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _UP[: len(data)], out=run[1:])
+    return lambda starts, ends: mix(((run[ends] - run[starts]) * _DOWN[starts]) ^ ((ends - starts).astype(np.uint64) * _U64(_BASE)))
+
+
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of each run of ``n`` word fingerprints (``len(words) - n + 1`` of them).
 

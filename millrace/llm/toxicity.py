@@ -44,11 +44,11 @@ def hashed_terms(texts: list[bytes], keep: np.ndarray | None = None) -> Iterator
         edge = np.diff(np.concatenate(([False], _WORD[data], [False])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         cut = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]]))
-        terms, places = [], []
+        terms, places, hashes = [], [], sh.hasher(data)
         for n in (0, *PREFIXES):
             here = np.arange(len(starts)) if not n else np.flatnonzero(ends - starts >= n)
             a = starts[here]
-            value = sh.span_hashes(data, a, ends[here] if not n else a + n)
+            value = hashes(a, ends[here] if not n else a + n)
             bucket = (sh.mix(value + np.uint64(bool(n))) >> _BITS).astype(np.int64)
             if keep is not None:
                 bucket = keep[bucket]

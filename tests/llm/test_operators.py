@@ -211,6 +211,7 @@ def test_word_spans_and_counts_follow_chunks():
         table[ord("#")] = True
         at = np.unique(np.concatenate((rng.integers(0, size + 1, 50), [0, size])))
         assert shingles.counts_before(table, data, at).tolist() == [text.count("#", 0, k) for k in at.tolist()]
+        assert (shingles.hasher(data)(starts, ends) == shingles.span_hashes(data, starts, ends)).all()
     words = rng.integers(0, 5, 3 * shingles.CHUNK // 2).astype(np.uint64)
     for n in (1, 5, 10):
         windows = shingles.window_hashes(words, n)
