@@ -50,7 +50,8 @@ def listed_at_fetch(captures: DataFrame, entries: DataFrame, id_col: str = "page
     What holds depends on key and day alone, so captures are thinned to distinct hosts and
     days, and those to distinct keys and days, before anything is joined: a key that most captures share
     is as many rows as there are days, and a long history meets each day once.  What is then active
-    is dealt to SALTS copies, so the hosts under one such key are spread over as many tasks.
+    is dealt to SALTS copies, so the hosts under one such key are spread over as many tasks.  List and
+    captures grow alike, so neither is broadcast.
 
     Null or malformed URLs have an empty host, a null day meets no interval: ``none``.
     Very long URLs are read whole.  Null ids and repeated rows are reported like any other.  Empty
@@ -64,11 +65,11 @@ def listed_at_fetch(captures: DataFrame, entries: DataFrame, id_col: str = "page
     visits = rows.where("host <> '' and fetched_on is not null").select("host", "fetched_on").distinct()
     asked = work.keep(visits.select("host", "fetched_on", F.explode(host_keys(F.col("host"))).alias("k")).select("host", "fetched_on", "k.key", "k.labels"), "asked")
     held = (F.col("fetched_on") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("fetched_on") < F.col("to_day")))
-    active = asked.select("key", "fetched_on").distinct().join(spans, "key").where(held).select("key", "fetched_on", "action", "from_day")
+    active = asked.select("key", "fetched_on").distinct().join(spans.hint("merge"), "key").where(held).select("key", "fetched_on", "action", "from_day")
     active = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = asked.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int"))
-    best = salted.join(active, ["key", "fetched_on", "salt"]).groupBy("host", "fetched_on").agg(F.max(F.struct("labels", "key", "action", "from_day")).alias("best"))
-    return rows.join(best, ["host", "fetched_on"], "left").select(
+    best = salted.join(active.hint("merge"), ["key", "fetched_on", "salt"]).groupBy("host", "fetched_on").agg(F.max(F.struct("labels", "key", "action", "from_day")).alias("best"))
+    return rows.join(best.hint("merge"), ["host", "fetched_on"], "left").select(
         "page_id",
         "host",
         "fetched_on",
