@@ -188,19 +188,28 @@ def _packed(percent: int, n: int, common: np.ndarray, parts: int, most: int) ->
         return np.concatenate((rare, rest[np.argsort(rank)[: want - len(rare)]]))
 
     class Message:
-        def __init__(self, first: int):
-            self.first, self.held, self.at, self.sizes, self.sketches, self.rows = first, [], [], [], [], 0
+        """Documents from ``first`` on, and the prefixes of those whose set is new among them."""
 
-        def add(self, nth: int, s: np.ndarray, sketch: bytes) -> None:
-            self.held.append(prefix(s))
-            self.at.append(nth - self.first)
-            self.sizes.append(len(s))
-            self.sketches.append(sketch)
-            self.rows += len(self.held[-1])
+        def __init__(self, base: int, first: int):
+            self.base, self.first, self.docs, self.held, self.at, self.wide, self.rows = base, first, [], [], [], [], 0
+
+        def add(self, doc: tuple, s: np.ndarray | None, wide: bytes | None) -> None:
+            if s is not None:
+                self.held.append(prefix(s))
+                self.at.append(len(self.docs))
+                self.wide.append(wide)
+                self.rows += len(self.held[-1])
+            self.docs.append(doc)
 
         def batches(self) -> Iterator[pa.RecordBatch]:
-            if not self.held:
-                return
+            wide: list[bytes | None] = [None] * len(self.docs)
+            if self.held:
+                yield from self._prefixes(wide)
+            if self.docs:
+                ids, h, sizes, keys, sketches = zip(*self.docs, strict=True)
+                yield _rows(uid=self.base + self.first + np.arange(len(self.docs)), doc_id=ids, h=h, n=sizes, key=keys, sketch=sketches, wide=wide)
+
+        def _prefixes(self, wide: list[bytes | None]) -> Iterator[pa.RecordBatch]:
             value = sh.mix(np.concatenate(self.held)) & ~np.uint64(0xFFFF)
             who = np.repeat(np.arange(len(self.held)), [len(x) for x in self.held])
             by = np.argsort(value, kind="stable")
@@ -210,17 +219,23 @@ def _packed(percent: int, n: int, common: np.ndarray, parts: int, most: int) ->
             hot = np.repeat(count > most, count)
             at = np.array(self.at, dtype=np.uint64)
             if hot.any():
+                sizes = np.array([self.docs[k][2] for k in self.at])
+                for k in np.unique(who[hot]).tolist():  # leaders are held against a wider bound, so they take wider sketches along
+                    wide[self.at[k]] = self.wide[k]
                 groups = [who[a : a + c] for a, c in zip(start[count > most].tolist(), count[count > most].tolist(), strict=True)]
-                stands = leaders(groups, np.array(self.sizes), self.sketches, percent, most)
+                stands = leaders(groups, sizes, self.wide, percent, most)
                 gone = np.flatnonzero(stands != np.arange(len(stands)))
                 if len(gone):
                     gone = gone[np.argsort(stands[gone], kind="stable")]
                     edge = np.flatnonzero(np.append(True, stands[gone][1:] != stands[gone][:-1]))
                     stars = [np.append(at[stands[g[0]]], at[g]).astype(np.int64) + self.first for g in np.split(gone, edge[1:])]
                     yield _rows(star=[g + self.base for g in stars])
-                hot_rows = np.unique(np.stack((value[hot].view(np.int64), stands[who[hot]])), axis=1)
-                value = np.concatenate((value[~hot], hot_rows[0].view(np.uint64)))
-                who = np.concatenate((who[~hot], hot_rows[1]))
+                hot_value, hot_who = value[hot], stands[who[hot]]
+                by = np.lexsort((hot_who, hot_value))
+                hot_value, hot_who = hot_value[by], hot_who[by]
+                once = np.append(True, (hot_value[1:] != hot_value[:-1]) | (hot_who[1:] != hot_who[:-1]))
+                value = np.concatenate((value[~hot], hot_value[once]))
+                who = np.concatenate((who[~hot], hot_who[once]))
                 hot = np.arange(len(value)) >= (~hot).sum()
             packed = value | at[who]
             for kind in (False, True):
@@ -233,27 +248,27 @@ def _packed(percent: int, n: int, common: np.ndarray, parts: int, most: int) ->
                     yield _rows(part=part[start], message=[x.tobytes() for x in np.split(own, start[1:])], uid=np.full(len(start), self.base + self.first), hot=np.full(len(start), kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Message.base = base = TaskContext.get().partitionId() << 36
-        nth, message = 0, Message(0)
+        base = TaskContext.get().partitionId() << 36
+        nth, message = 0, Message(base, 0)
         for batch in batches:
-            keys, sizes, sketches, wide, seen = [], [], [], [], set()
-            for s in sh.shingle_sets(texts_of(batch, "text"), n):
+            seen = set()
+            texts, ids, names = texts_of(batch, "text"), batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
+            for k, s in enumerate(sh.shingle_sets(texts, n)):
                 size = len(s)
-                key = _digest(s)
-                keys.append(key if size else None)
-                sizes.append(size)
-                for column, sketch in zip((sketches, wide), _sketches(s) if size else (None, None), strict=True):
-                    column.append(sketch)
-                if nth + 1 - message.first > PACK_DOCS or message.rows > PACK_ROWS:
+                if len(message.docs) >= PACK_DOCS or message.rows > PACK_ROWS:
                     yield from message.batches()
-                    message = Message(nth)
-                if 100 * size >= percent * (size + 1) and key not in seen:  # a smaller set links with equal sets alone
-                    seen.add(key)
-                    message.add(nth, s, wide[-1])
+                    message = Message(base, nth)
+                if not size:
+                    message.add((ids[k], names[k], 0, None, None), None, None)
+                else:
+                    key = _digest(s)
+                    sketch, wide = _sketches(s)
+                    # a smaller set links with equal sets alone
+                    new = 100 * size >= percent * (size + 1) and key not in seen
+                    if new:
+                        seen.add(key)
+                    message.add((ids[k], names[k], size, key, sketch), s if new else None, wide)
                 nth += 1
-            if len(sizes):
-                uid = base + nth - len(sizes) + np.arange(len(sizes))
-                yield _rows(uid=uid, doc_id=batch.column("doc_id"), h=batch.column("h"), n=np.array(sizes, np.int64), key=keys, sketch=sketches, wide=wide)
         yield from message.batches()
 
     return run
@@ -626,7 +641,7 @@ def jaccard_components(
     regions = found.unionByName(stars).dropDuplicates(["region", "other"]).select("region", "kind", F.explode("members").alias("uid"))
     regions = work.keep(regions, "regions")
     work.drop(first)
-    sketch = F.when(F.col("kind") == LEADERS, F.col("wide")).when(F.col("kind") == PLAIN, F.col("sketch")).alias("sketch")
+    sketch = F.when(F.col("kind") == LEADERS, F.coalesce("wide", "sketch")).when(F.col("kind") == PLAIN, F.col("sketch")).alias("sketch")
     placed = _bands(regions.join(known.select("uid", "node", "n", "sketch", "wide"), "uid").select("region", "kind", "node", "n", sketch), percent)
     edges = work.keep(placed.repartition("region").sortWithinPartitions("region").mapInArrow(_clouds(percent), "a long, b long"), "cloud-edges")
     work.drop(regions)

@@ -711,6 +711,33 @@ def test_secret_behind_readable_text(before):
     assert random_spans(before + "550e8400-e29b-41d4-a716-446655440000/overview/settings/notifications") == []
 
 
+def test_very_long_texts(spark):
+    """A text of some megabytes beside short ones, a near copy and a copy of it, through every operator that reads texts."""
+    from millrace.llm import best_fit, byte_pairs, exact_dedup, jaccard_join, license_scan, quality_rules, secret_scan, sharding
+    from millrace.llm.vocabulary import encoding
+
+    long = " ".join(f"w{k * 7919 % 1_000_003}" for k in range(450_000))
+    secret = "qZ7xP0vK2mW9sT4bN8rJ1yL6hG3f"
+    rows = [(1, long), (2, long + f" {secret} the end"), (3, long.replace(" ", "\n")), (4, "short"), (5, None)]
+    docs = table(spark, rows)
+    assert len(long) > 3 << 20
+    joined = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert joined == {1: (449_996, 1, 2), 2: (449_999, 1, 2), 3: (449_996, 1, 2), 4: (1, 4, 0), 5: (0, 5, 0)}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()} == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1), 5: (5, 1)}
+    assert {r.doc_id: r.license for r in license_scan.license_scan(docs).collect()} == dict.fromkeys(range(1, 6))
+    measured = {r.doc_id: (r.n_words, r.word_chars, r.n_repeat_words, r.kept) for r in quality_rules.repetition(docs).collect()}
+    assert measured[1] == (450_000, len(long) - 449_999, 0, True) and measured[3] == measured[1] and not measured[5][3]
+    found = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs).collect()}
+    assert found[1] == "" and found[2] == f"random:{len(long) + 1}:{len(long) + 1 + len(secret)}"
+    shards = {r.doc_id: (r.size, r.shard) for r in sharding.assign_shards(docs, 2).collect()}
+    assert shards[1] == (len(long) + 8, shards[1][1]) and shards[1][1] != shards[2][1] and shards[4] == (13, shards[4][1])
+    want = len(encoding().encode_ordinary(long))
+    assert {r.doc_id: r.n_tokens for r in byte_pairs.round_trips(docs.where("doc_id in (1, 4)")).collect()} == {1: want, 4: 1}
+    packed = best_fit.pack(docs.where("doc_id in (1, 5)")).collect()
+    assert sum(r.length for r in packed if r.doc_id == 1) == want + 1 and [r.length for r in packed if r.doc_id == 5] == [1]
+    assert len({r.sequence_id for r in packed}) <= -(-(want + 2) // 1024) + 1
+
+
 def test_empty_tables(spark):
     from millrace.llm import best_fit, byte_pairs, exact_dedup, jaccard_join, license_scan, quality_rules, secret_scan, sharding, toxicity
 
