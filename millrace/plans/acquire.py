@@ -25,6 +25,7 @@ from millrace.sources import archive, html, papers
 from millrace.tables import Work
 
 Get = Callable[[str], bytes | str]
+Post = Callable[[str, dict[str, str]], bytes | str]
 Extract = Callable[[bytes], str]
 
 #: How a listing is read: a table of posters, links of an older site, a table of papers.
@@ -36,12 +37,16 @@ _LISTS = ("author_keywords", "extracted_keywords", "keywords")
 
 @dataclass(frozen=True)
 class YearSource:
-    """Where a year is listed, how the listing is read, and what its links look like."""
+    """Where a year is listed, how the listing is read, and what its links look like.
+
+    With ``form`` the listing is the answer to a posted form.  A year of several pages has a source for each.
+    """
 
     year: int
     url: str
     kind: str = "table"
     link: str | None = None
+    form: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -55,14 +60,16 @@ class Rules:
     keywords: keywords.KeywordRules = field(default=keywords.DEFAULT)
 
 
-def listings(spark: SparkSession, sources: list[YearSource], get: Get | None = None, **how) -> tuple[DataFrame, DataFrame]:
+def listings(spark: SparkSession, sources: list[YearSource], get: Get | None = None, post: Post | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """Rows (year, id, title, presenter, authors, topic, poster_number, url) of all listings, and failures (year, url, error).
 
     A listing without rows is a failure.
     """
     asked = spark.createDataFrame([(s.year, s.url, s.kind, s.link) for s in sources], "year int, url string, kind string, link string")
     work = Work(spark, "listings")
-    pages = work.keep(archive.fetched(asked.select("url").distinct(), get, **how).join(asked, "url"), "pages")
+    forms, read, send = {s.url: s.form for s in sources if s.form}, get or archive.get, post or archive.post
+    answer = lambda url: send(url, dict(forms[url])) if url in forms else read(url)
+    pages = work.keep(archive.fetched(asked.select("url").distinct(), answer, **how).join(asked, "url"), "pages")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -70,13 +77,13 @@ def listings(spark: SparkSession, sources: list[YearSource], get: Get | None = N
             for r in frame.itertuples(index=False):
                 page = bytes(r.body).decode("utf-8", "replace") if r.body is not None else ""
                 link = {"link": r.link} if isinstance(r.link, str) else {}
-                out += [(r.year, *[row.get(c) for c in _LISTED]) for row in KINDS[r.kind](page, r.url, **link)]
-            yield pd.DataFrame(out, columns=["year", *_LISTED])
+                out += [(r.year, r.url, *[row.get(c) for c in _LISTED]) for row in KINDS[r.kind](page, r.url, **link)]
+            yield pd.DataFrame(out, columns=["year", "listing", *_LISTED])
 
-    rows = work.keep(pages.select("year", "url", "kind", "link", "body").mapInPandas(run, "year int, " + ", ".join(f"{c} string" for c in _LISTED)), "rows")
-    found = rows.groupBy("year").agg(F.count("*").alias("n"))
-    failed = pages.join(found, "year", "left").where("n is null").select("year", "url", F.coalesce("error", F.lit("no rows")).alias("error"))
-    return rows, failed
+    rows = work.keep(pages.select("year", "url", "kind", "link", "body").mapInPandas(run, "year int, listing string, " + ", ".join(f"{c} string" for c in _LISTED)), "rows")
+    found = rows.select("year", F.col("listing").alias("url")).distinct()
+    failed = pages.join(found, ["year", "url"], "left_anti").select("year", "url", F.coalesce("error", F.lit("no rows")).alias("error"))
+    return rows.drop("listing"), failed
 
 
 def details(rows: DataFrame, get: Get | None = None, **how) -> DataFrame:
@@ -101,7 +108,7 @@ def _texts(spark: SparkSession, urls: DataFrame, extract: Extract | None, get: G
     return archive.paper_texts(urls, extract, get, known, **how)
 
 
-def scrape(spark: SparkSession, sources: list[YearSource], get: Get | None = None, extract: Extract | None = None, rules: Rules = Rules(), known_texts: DataFrame | None = None, prior: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def scrape(spark: SparkSession, sources: list[YearSource], get: Get | None = None, extract: Extract | None = None, rules: Rules = Rules(), known_texts: DataFrame | None = None, prior: DataFrame | None = None, post: Post | None = None, **how) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """Submissions of all sources, with ``row_ord`` in the order of years and posters, and failures (year, url, error).
 
     Authors are the page's if they are not thin, else the paper's, the listing's and the presenter. Keywords are the
@@ -109,7 +116,7 @@ def scrape(spark: SparkSession, sources: list[YearSource], get: Get | None = Non
     track, abstract), by exact or close title, within the year or from rows of no year.
     """
     work = Work(ready(spark), "scrape")
-    listed, failed = listings(spark, sources, get, **how)
+    listed, failed = listings(spark, sources, get, post, **how)
     is_paper = F.col("url").rlike(r"(?i)\.pdf(?:$|[?#])")
     pages = work.keep(details(listed.where(~is_paper), get, **how), "details")
     d = pages.select("url", *[F.col(c).alias(f"d_{c}") for c in _DETAIL])
@@ -223,7 +230,7 @@ def main() -> None:
     asked = parser.parse_args()
     spark = ready(SparkSession.builder.getOrCreate())
     with open(asked.sources, encoding="utf-8") as file:
-        sources = [YearSource(**s) for s in json.load(file)]
+        sources = [YearSource(**(s | {"form": tuple(map(tuple, s.get("form", ())))})) for s in json.load(file)]
     chosen = [s for s in sources if not asked.years or s.year in asked.years]
     old = archive.read_payload(spark, asked.payload) if asked.payload else None
     if asked.refresh_keywords:

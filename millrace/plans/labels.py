@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import listed
+from millrace.functions.text import label_prompt, parse_answer
 from millrace.operators.merge import assignment, unlabelled
 
 
@@ -32,25 +34,47 @@ class LexicalClassifier:
         return (order[0], order[1:5]) if order else ("", [])
 
 
+def _tried(ask: Callable, row: tuple, attempts: int, wait: float):
+    """What ``ask`` answers for a row, again after doubling waits; None if it never does."""
+    for n in range(attempts):
+        try:
+            return ask(*row)
+        except Exception:  # noqa: BLE001 - a failed row stays open
+            if n + 1 < attempts:
+                time.sleep(wait * 2**n)
+    return None
+
+
 def classify(rows: DataFrame, cache: DataFrame, classifier: Classifier, topics: list[str], fallback: str, limit: int | None = None, refresh: bool = False, attempts: int = 4, wait: float = 2.0) -> DataFrame:
-    """(row_key, assigned_topics, failed) for rows to be labelled; each is tried ``attempts`` times with doubling waits."""
+    """(row_key, assigned_topics, failed) for rows to be labelled; each is tried ``attempts`` times with doubling waits.
+
+    Null titles and abstracts count as empty, null keywords as none.  A row that fails keeps the fallback and ``failed``.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for row in frame.itertuples(index=False):
-                for n in range(attempts):
-                    try:
-                        primary, secondary = classifier(row.title or "", row.abstract or "", list(row.keywords) if row.keywords is not None else [])
-                        out.append((row.row_key, primary, list(secondary), False))
-                        break
-                    except Exception:  # noqa: BLE001 - a failed row stays open
-                        if n + 1 < attempts:
-                            time.sleep(wait * 2**n)
-                else:
-                    out.append((row.row_key, None, [], True))
+            for r in frame.itertuples(index=False):
+                found = _tried(classifier, (r.title or "", r.abstract or "", list(r.keywords) if r.keywords is not None else []), attempts, wait)
+                out.append((r.row_key, found[0] if found else None, list(found[1]) if found else [], found is None))
             yield pd.DataFrame(out, columns=["row_key", "primary_theme", "secondary_topics", "failed"])
 
     asked = unlabelled(rows, cache, limit, refresh).select("row_key", "title", "abstract", "keywords")
     labelled = asked.mapInPandas(run, "row_key string, primary_theme string, secondary_topics array<string>, failed boolean")
     return labelled.select("row_key", assignment(F.col("primary_theme"), F.col("secondary_topics"), topics, fallback).alias("assigned_topics"), "failed")
+
+
+def classify_by_prompt(rows: DataFrame, cache: DataFrame, ask: Callable[[str], str], topics: list[str], fallback: str, limit: int | None = None, refresh: bool = False, attempts: int = 4, wait: float = 2.0) -> DataFrame:
+    """The same with a service that is asked in words: ``ask`` takes the prompt of a row and answers in JSON.
+
+    An answer that can't be read counts as failed.  Which service, model and key there are is the caller's.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"row_key": frame["row_key"], "answer": [_tried(ask, (prompt,), attempts, wait) for prompt in frame["prompt"]]})
+
+    prompt = label_prompt(F.col("title"), F.col("abstract"), listed(F.col("keywords")), topics)
+    asked = unlabelled(rows, cache, limit, refresh).select("row_key", prompt.alias("prompt"))
+    answered = asked.mapInPandas(run, "row_key string, answer string").select("row_key", parse_answer(F.col("answer")).alias("a"))
+    return answered.select("row_key", assignment(F.col("a.primary_theme"), F.col("a.secondary_topics"), topics, fallback).alias("assigned_topics"), F.col("a.primary_theme").isNull().alias("failed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -144,17 +145,24 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 4) == F.lit(b"%PDF"))
 
 
-def _get(url: str) -> bytes:
+def get(url: str) -> bytes:
+    """What an address answers."""
     with urllib.request.urlopen(url, timeout=45) as answer:
         return answer.read()
 
 
-def fetched(urls: DataFrame, get: Callable[[str], bytes | str] | None = None, retries: int = 3, wait: float = 1.5, tasks: int = 8) -> DataFrame:
+def post(url: str, form: dict[str, str]) -> bytes:
+    """What an address answers to a form."""
+    with urllib.request.urlopen(url, data=urllib.parse.urlencode(form).encode(), timeout=120) as answer:
+        return answer.read()
+
+
+def fetched(urls: DataFrame, read: Callable[[str], bytes | str] | None = None, retries: int = 3, wait: float = 1.5, tasks: int = 8) -> DataFrame:
     """(url, body, error): each URL read in a task, again after growing waits; one that fails keeps its row.
 
     ``body`` is binary, as it came; ``body_text`` reads it as text.  A null URL is an error of its row.
     """
-    read = get or _get
+    read = read or get
 
     def once(url: str | None) -> tuple[bytes | None, str | None]:
         error = None
@@ -181,7 +189,7 @@ def body_text(body: Column) -> Column:
     return F.make_valid_utf8(body.cast("string"))
 
 
-def paper_texts(urls: DataFrame, extract: Callable[[bytes], str], get: Callable[[str], bytes | str] | None = None, known: DataFrame | None = None, **how) -> DataFrame:
+def paper_texts(urls: DataFrame, extract: Callable[[bytes], str], read: Callable[[str], bytes | str] | None = None, known: DataFrame | None = None, **how) -> DataFrame:
     """(url, text): what ``extract`` reads out of each PDF; from ``known`` (url, text) where it stands there.
 
     Bodies that are no PDF, that can't be fetched or read, give an empty text.
@@ -199,5 +207,5 @@ def paper_texts(urls: DataFrame, extract: Callable[[bytes], str], get: Callable[
         for frame in frames:
             yield pd.DataFrame({"url": frame["url"], "text": [own(b) for b in frame["body"]]})
 
-    fresh = fetched(open_, get, **how).mapInPandas(run, "url string, text string")
+    fresh = fetched(open_, read, **how).mapInPandas(run, "url string, text string")
     return fresh if known is None else fresh.unionByName(known.join(asked, "url", "left_semi").select("url", "text"))

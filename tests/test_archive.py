@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import authors, keywords, text
 from millrace.operators import counts, fuzzy, merge
 from millrace.plans.facets import FacetQuery
-from millrace.plans.labels import classify
+from millrace.plans.labels import classify, classify_by_prompt
 from millrace.sources import archive, html
 
 
@@ -217,6 +217,15 @@ def test_classify(spark):
     assert got == {"k1": (["B", "A"], False), "k2": (["A"], True)}
     assert classify(rows, cache, own, ["A", "B"], "A", limit=1, wait=0.0).count() == 1
 
+    def ask(prompt):
+        if "Title: bad" in prompt:
+            return "I can't tell"
+        assert "- A\n- B" in prompt
+        return '```json\n{"primary_theme": "B", "secondary_topics": ["x", "A"]}\n```'
+
+    got = {r.row_key: (r.assigned_topics, r.failed) for r in classify_by_prompt(rows, cache, ask, ["A", "B"], "A", wait=0.0).collect()}
+    assert got == {"k1": (["B", "A"], False), "k2": (["A"], True)}
+
 
 def test_fuzzy(spark):
     import difflib
@@ -346,6 +355,10 @@ def test_acquire(spark, tmp_path):
     assert (got["2"].title, got["2"].authors, got["2"].keywords) == ("Title number two", "Grace Hopper, Mary Shaw", ["working memory", "vision"])
     assert (got["3"].authors, got["3"].keywords, got["3"].abstract, got["3"].track) == ("Pres Enter", ["vision"], "Old abstract", "Vision")
 
+    posted = acquire.YearSource(2020, "http://a/search", form=(("q", "all"),))
+    rows_2020, none = acquire.listings(spark, [posted, acquire.YearSource(2020, "http://a/list")], site.__getitem__, lambda url, form: listing if form == {"q": "all"} else "", wait=0.0, retries=1, tasks=1)
+    assert rows_2020.count() == 8 and none.count() == 0
+
     bare = rows.withColumns({c: F.array().cast("array<string>") for c in ("author_keywords", "extracted_keywords", "keywords")})
     again = {r.id: (r.gained, r.keywords) for r in acquire.refresh_keywords(bare, **how).collect()}
     assert again == {"1": (True, ["fmri", "deep nets"]), "2": (True, ["working memory", "vision"]), "3": (False, ["vision"])}
