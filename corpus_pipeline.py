@@ -16,27 +16,45 @@ from millrace.llm.work import Work, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep, with all their columns.
+
+    Null, empty and short texts go; long texts are measured whole; null ids and repeated rows are judged like any
+    other; an empty table gives an empty one.
+    """
     return keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the smallest id."""
+    """Of documents with equal texts, the one with the smallest id, repeated rows once.
+
+    All empty and null texts are equal; a null id is larger than any other; an empty table gives an empty one.
+    """
     return deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id; documents without an id stay."""
+    """Of each component of near duplicates, the document with the smallest id.
+
+    Documents without an id or without words stay; an id on rows of several texts loses only rows that are
+    near a smaller id; an empty table gives an empty one.
+    """
     return without_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark, and ``n_chars`` of changed ones counted anew.
+
+    Null and empty texts, null ids and repeated rows stay as they are; an empty table gives an empty one.
+    """
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document: its sequence and place."""
+    """A row for each piece of each document: its sequence and place.
+
+    Null and empty texts are one piece that holds the end mark; long ones are many pieces; null ids and repeated
+    rows are packed like any other; an empty table gives an empty result.
+    """
     return pack(docs)
 
 
