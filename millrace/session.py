@@ -13,7 +13,7 @@ _ROOT = Path(__file__).resolve().parent.parent
 
 
 #: Bytes of a batch that goes to Python at most (Spark's own setting, lowered where it is higher): rows may hold long texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
