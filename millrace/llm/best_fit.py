@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.vocabulary import ids_of
-from millrace.llm.work import Work, texts_of
+from millrace.llm.work import Work, texts_of, tidy
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 1024, 2
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """
     work = Work(docs.sparkSession, "pack")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = work.keep(source.mapInArrow(_pieces(capacity, end), _PIECE), "pieces")
+    pieces = work.keep(source.mapInArrow(tidy(_pieces(capacity, end)), _PIECE), "pieces")
     none = F.lit(None).cast("long")
     todo = pieces.where(F.col("length") < capacity).withColumns({"sequence_id": none, "offset": none, "room": none})
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

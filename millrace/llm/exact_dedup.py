@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.work import BitTable, Work, fresh_name, routed
+from millrace.llm.work import BitTable, Work, fresh_name, routed, tidy
 
 #: Rows whose fingerprints one reducer merges, about; each filter sends one message for each reducer.
 RANGE_ROWS = 1_000_000
@@ -161,7 +161,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # as many quotients as a partition has rows, about
     bits = max(4, min(MOST_BITS, (rows // max(1, lean.rdd.getNumPartitions())).bit_length()))
     ranges = max(1, min(1 << bits, -(-rows // RANGE_ROWS)))
-    filters = lean.select("fp").mapInArrow(_build(bits, ranges), "part int, slots binary")
+    filters = lean.select("fp").mapInArrow(tidy(_build(bits, ranges)), "part int, slots binary")
     often = work.keep(filters.groupBy("part").applyInArrow(_merge, "fp long, seen long"), "often")
     table = BitTable(often, "fp")
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import shingles as sh
 from millrace.llm import voronoi as vo
-from millrace.llm.work import BitTable, Work, components, fresh_name, routed, texts_of
+from millrace.llm.work import BitTable, Work, components, fresh_name, release, routed, texts_of, tidy
 
 #: Documents and prefix rows that a mapper packs into one message.
 PACK_DOCS, PACK_ROWS = 60_000, 400_000
@@ -314,6 +314,8 @@ def _regions(most: int) -> Callable:
         edge = np.concatenate(([0], np.cumsum(count[many])))
         at = np.repeat(start[many] - edge[:-1], count[many]) + np.arange(edge[-1])
         members = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(who[at]))
+        del packed, who, hot, by, at
+        release()
         return pa.table({"region": pa.array(names[0][many].view(np.int64)), "other": pa.array(names[1][many].view(np.int64)), "kind": pa.array(kind[many].astype(np.int32)), "members": members})
 
     return run
@@ -575,7 +577,7 @@ def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shin
         own = rest.select(*_MEMBER, F.pmod(F.xxhash64("node", F.lit("chunk")), chunks).cast("int").alias("chunk"), F.lit(False).alias("pivot"))
         both = own.unionByName(few, allowMissingColumns=True).repartition("cloud", "chunk").sortWithinPartitions("cloud", "chunk", F.desc("pivot"))
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.select(*_MEMBER).schema)
-        pieces = work.keep(both.mapInArrow(_voronoi(percent), f"{fields}, parent long"), "voronoi")
+        pieces = work.keep(both.mapInArrow(tidy(_voronoi(percent)), f"{fields}, parent long"), "voronoi")
         # of a region without members at home nothing is asked
         now = pieces.groupBy("parent", "cloud").agg(F.count("*").alias("size"), F.max("home").alias("held")).where("held")
         grown = now.groupBy("parent").agg(F.max("size").alias("size"))
@@ -594,7 +596,7 @@ def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shin
     out = ready[0]
     for more in ready[1:]:
         out = out.unionByName(more)
-    return out.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(_join(percent, cell), _LINKS), depth > 0
+    return out.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(tidy(_join(percent, cell)), _LINKS), depth > 0
 
 
 def row_name(id_col: str, text_col: str) -> F.Column:
@@ -622,12 +624,12 @@ def jaccard_components(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = source.select("doc_id", row_name("doc_id", "text").alias("h"), "text")
 
-    counts = work.keep(source.select("text").mapInArrow(_common(percent, words), "shingle long, count long, total boolean").groupBy("shingle", "total").agg(F.sum("count").alias("count")), "common")
+    counts = work.keep(source.select("text").mapInArrow(tidy(_common(percent, words)), "shingle long, count long, total boolean").groupBy("shingle", "total").agg(F.sum("count").alias("count")), "common")
     rows = counts.where("total").agg(F.sum("count")).first()[0] or 0
     common = _often(counts.where("not total"), MOST_COMMON)
     parts = max(1, -(-8 * rows // REDUCER_BYTES))
 
-    first = work.keep(named.mapInArrow(_packed(percent, words, common, parts, hot), _PACKED), "packed")
+    first = work.keep(named.mapInArrow(tidy(_packed(percent, words, common, parts, hot)), _PACKED), "packed")
     work.drop(counts)
     every = first.where("n > 0")
     empty = work.keep(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("h").alias("row_name")), "empty")
@@ -643,7 +645,7 @@ def jaccard_components(
     work.drop(first)
     sketch = F.when(F.col("kind") == LEADERS, F.coalesce("wide", "sketch")).when(F.col("kind") == PLAIN, F.col("sketch")).alias("sketch")
     placed = _bands(regions.join(known.select("uid", "node", "n", "sketch", "wide"), "uid").select("region", "kind", "node", "n", sketch), percent)
-    edges = work.keep(placed.repartition("region").sortWithinPartitions("region").mapInArrow(_clouds(percent), "a long, b long"), "cloud-edges")
+    edges = work.keep(placed.repartition("region").sortWithinPartitions("region").mapInArrow(tidy(_clouds(percent)), "a long, b long"), "cloud-edges")
     work.drop(regions)
 
     clouds = components(work, edges)
@@ -651,7 +653,7 @@ def jaccard_components(
     head = known.where("uid = node").select("node", "key", F.col("node_h").alias("h"), "w", "least", "n")
     wanted = work.keep(clouds.select("node", F.col("root").alias("cloud")).join(head, "node"), "wanted")
     work.drop(clouds)
-    sets = named.mapInArrow(_fetch(words, BitTable(wanted, "h")), "h long, key binary, set binary")
+    sets = named.mapInArrow(tidy(_fetch(words, BitTable(wanted, "h"))), "h long, key binary, set binary")
     members = sets.join(wanted, ["h", "key"]).withColumns({"cut": F.lit(False), "home": F.lit(True), "side": F.lit(None).cast("int")}).select(*_MEMBER)
     members = work.keep(members, "members")
     work.drop(wanted)

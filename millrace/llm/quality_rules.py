@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles as sh
-from millrace.llm.work import texts_of
+from millrace.llm.work import texts_of, tidy
 from millrace.session import ready
 
 #: n-gram length -> largest share of word characters inside n-grams that occur twice or more.
@@ -122,7 +122,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ready(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(
-        _measure(MOST_REPEATED if lengths is None else lengths, lines),
+        tidy(_measure(MOST_REPEATED if lengths is None else lengths, lines)),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_ngram_share double, dup_line_share double",
     )
 
@@ -143,7 +143,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             (measured,) = measure(iter([source]))
             yield batch.filter(measured.column("kept"))
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(tidy(run), schema)
 
 
 def oracle(lengths: dict[int, float] | None = None, lines: float = MOST_LINES) -> str:

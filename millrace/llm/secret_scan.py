@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.vocabulary import encoding
+from millrace.llm.work import tidy
 from millrace.session import ready
 
 # Patterns of the base kinds, with the least length of a match or of its value.
@@ -186,7 +187,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ready(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_scan(least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.mapInArrow(tidy(_scan(least)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(text: str, mark: str = "[secret]", least: float = FEWEST_CHARS_A_TOKEN) -> str:
@@ -220,4 +221,4 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -
                 columns[k] = pa.array(sizes, columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(tidy(run), schema)

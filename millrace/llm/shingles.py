@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Bytes of text that are held as 64-bit lanes at one time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)

@@ -39,7 +39,7 @@ def hashed_terms(texts: list[bytes], keep: np.ndarray | None = None) -> Iterator
 
     With ``keep`` (bucket -> term or -1), the distinct terms instead.
     """
-    for lo, hi in sh.batches(texts, sh.CHUNK // 2):
+    for lo, hi in sh.batches(texts, sh.CHUNK):
         data = _LOWER[np.frombuffer(b"\n".join(texts[lo:hi]), dtype=np.uint8)]
         edge = np.diff(np.concatenate(([False], _WORD[data], [False])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

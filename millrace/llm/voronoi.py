@@ -28,6 +28,8 @@ CELL = 8
 PIVOTS = 32
 #: A cut whose largest region holds more than this share of the members is not worth a further one.
 THIN = 0.9
+#: Bytes of lines of bits that are held at one time; where they would need more, sets are compared one with all others.
+MOST_BYTES = 32 << 20
 _EPS = 1e-9
 
 
@@ -112,7 +114,9 @@ def regions(sets: Sets, percent: int, want: int) -> list[tuple[np.ndarray, np.nd
 def pairs(sets: Sets, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(i, many j), each pair within the radius once, exactly."""
     sizes = sets.sizes
-    if len(sets) <= 64:
+    often = np.bincount(sets.flat, minlength=sets.universe) > 1
+    wide = int(often.sum())
+    if len(sets) <= 64 or len(sets) * wide > 8 * MOST_BYTES:
         for i in range(len(sets) - 1):
             both, other = sets.shared(i, i + 1), sizes[i + 1 :]
             close = np.flatnonzero(100 * both >= percent * (sizes[i] + other - both))
@@ -120,13 +124,11 @@ def pairs(sets: Sets, percent: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i, close + i + 1
         return
     # a line of bits for each set, over the elements that several sets hold, a bounded number of columns at a time
-    often = np.bincount(sets.flat, minlength=sets.universe) > 1
     number = np.cumsum(often) - 1
-    wide = int(often.sum())
     member = np.repeat(np.arange(len(sets)), sizes)
     known = often[sets.flat]
     column, line = number[sets.flat[known]], member[known]
-    step = max(64, (64_000_000 // len(sets)) // 64 * 64)
+    step = max(64, (MOST_BYTES // 4 // len(sets)) // 64 * 64)
     blocks = []
     for first in range(0, max(wide, 1), step):
         cells = np.zeros((len(sets), -(-min(step, max(wide - first, 1)) // 64) * 64), dtype=bool)

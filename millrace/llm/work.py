@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +13,28 @@ from pyspark.sql import functions as F
 
 from millrace.tables import Work, scratch
 
-__all__ = ["BitTable", "Work", "components", "fresh_name", "routed", "scratch", "texts_of"]
+__all__ = ["BitTable", "Work", "components", "fresh_name", "release", "routed", "scratch", "texts_of", "tidy"]
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers stay alive between tasks and would hold what the largest needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which a worker keeps no more memory than before."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return own
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
