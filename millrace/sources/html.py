@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A name of two to four words, with footnote marks.
+_PERSON = r"[A-ZÀ-ÖØ-Þ][\w.'’-]*(?:\s+[A-ZÀ-ÖØ-Þ][\w.'’-]*){1,3}\s*[\d*†,]*"
 _VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 
 
@@ -22,6 +24,7 @@ class _Page(HTMLParser):
         self.rows: list[dict] = []
         self.links: list[dict] = []
         self.blocks: list[dict] = []
+        self.named: dict[str, str] = {}
         self.open: list[tuple[str, str]] = []
         self.skip = 0
         self.feed(page or "")
@@ -58,6 +61,8 @@ class _Page(HTMLParser):
         if self.skip:
             return
         tags = {t for t, _ in self.open}
+        for name in {n for _, names in self.open for n in names.split()}:
+            self.named[name] = self.named.get(name, "") + data
         if self.rows and self.rows[-1]["cells"] and tags & {"td", "th"}:
             self.rows[-1]["cells"][-1] += data
         if "a" in tags and self.links:
@@ -112,11 +117,17 @@ def paper_link(page: str, base: str) -> str:
     return urljoin(base, hit) if hit else ""
 
 
-def detail(page: str) -> dict:
-    """Title (h1 to h3), abstract (longest free paragraph over 120 characters), and labelled paragraphs."""
+def detail(page: str, abstract_class: str = "paper-abstract", topic_class: str = "session-trackname") -> dict:
+    """Title (h1 to h3), abstract, authors, and labelled paragraphs.
+
+    The abstract is what stands in an element of ``abstract_class``, as on older pages, else the longest free
+    paragraph over 120 characters; a topic area may stand in one of ``topic_class``.  Authors stand in a paragraph
+    with raised marks, or, on pages of tables, in the first row of names.
+    """
     out = {"title": "", "abstract": "", "authors": "", "keywords": "", "topic_area": "", "presenter": ""}
     labels = {"Keywords:": "keywords", "Topic Area:": "topic_area", "Presenter:": "presenter", "Authors:": "authors"}
-    for block in _Page(page).blocks:
+    own = _Page(page)
+    for block in own.blocks:
         text = _one_space(block["text"])
         label = next((x for x in labels if text.startswith(x)), None)
         if block["tag"] != "p":
@@ -127,6 +138,11 @@ def detail(page: str) -> dict:
             out["authors"] = text
         elif len(text) > 120 and len(text) > len(out["abstract"]):
             out["abstract"] = text
+    out["abstract"] = _one_space(own.named.get(abstract_class, "")) or out["abstract"]
+    out["topic_area"] = out["topic_area"] or _one_space(own.named.get(topic_class, ""))
+    if not out["authors"]:
+        cells = (_one_space(c) for row in own.rows for c in row["cells"])
+        out["authors"] = next((c for c in cells if len(c) <= 700 and re.fullmatch(rf"{_PERSON}(?:\s*[,;&]\s*{_PERSON})+", c)), "")
     return out
 
 

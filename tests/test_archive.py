@@ -267,6 +267,8 @@ def test_sources(spark, tmp_path):
     assert html.listing(listing, "https://x.org/list/") == [{"id": "7", "poster_number": "A1", "title": "A & title", "presenter": "Jane", "topic": "Topic", "url": "https://x.org/poster/?id=7"}]
     page = f"<h2>Title</h2><p>Keywords: a, b</p><p>Presenter: P</p><p>Ann<sup>1</sup></p><script>x</script><p>{'long ' * 40}</p><p>{'word ' * 30}</p>"
     assert html.detail(page) == {"title": "Title", "abstract": ("long " * 40).strip(), "authors": "Ann1", "keywords": "a, b", "topic_area": "", "presenter": "P"}
+    older = "<h3>An old title</h3><table><tr><td>Poster 3, Hall B</td></tr><tr><td>Ada Lovelace 1, Alan Turing 2</td></tr></table><div class='session-trackname big'>Vision</div><div class='paper-abstract'>Short <b>abstract</b>.</div><p>" + "z " * 100 + "</p>"
+    assert html.detail(older) == {"title": "An old title", "abstract": "Short abstract.", "authors": "Ada Lovelace 1, Alan Turing 2", "keywords": "", "topic_area": "Vision", "presenter": ""}
     papers_ = '<table><tr><td>1</td><td><a href="abstract_12.pdf">T &amp; one</a></td><td>Ann</td><td>x</td></tr><tr><td><a href="abstract_13.pdf">y</a></td></tr></table>'
     assert html.paper_listing(papers_, "http://b.c/l/") == [{"id": "12", "title": "T & one", "authors": "Ann", "url": "http://b.c/l/abstract_12.pdf"}]
     assert html.paper_link('<a href="x.html">a</a><a href="../p.PDF?v=1">b</a>', "http://b.c/d/") == "http://b.c/p.PDF?v=1"
