@@ -172,6 +172,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     routed = text.withColumn("fp", F.xxhash64("norm")).where(may("fp"))
     equal = routed.groupBy("fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     equal = work.keep(equal.select("fp", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "equal")
+    work.drop(often)
     found = lean.join(equal, ["fp", "text_sha256"], "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))

@@ -555,13 +555,14 @@ def _voronoi(percent: int) -> Callable:
     return run
 
 
-def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shingles: int, cell: int) -> tuple[DataFrame, bool]:
-    """Rows of ``_join`` for all clouds, and whether any was cut between tasks."""
-    ready, depth = [], 0
+def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shingles: int, cell: int) -> tuple[DataFrame, list[DataFrame], bool]:
+    """Rows of ``_join`` for all clouds, the tables they read, and whether any was cut between tasks."""
+    ready, kept, depth = [], [], 0
     while True:
         size = members.groupBy("cloud").agg(F.count("*").alias("many"), F.sum("n").alias("mass"))
         share = F.greatest(F.col("many") / leaf, F.col("mass") / leaf_shingles)
         large = work.keep(size.where(share > 1).withColumn("share", share), "large")
+        kept.append(large)
         if not large.head(1):
             ready.append(members)
             break
@@ -578,6 +579,7 @@ def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shin
         both = own.unionByName(few, allowMissingColumns=True).repartition("cloud", "chunk").sortWithinPartitions("cloud", "chunk", F.desc("pivot"))
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.select(*_MEMBER).schema)
         pieces = work.keep(both.mapInArrow(tidy(_voronoi(percent)), f"{fields}, parent long"), "voronoi")
+        kept.append(pieces)
         # of a region without members at home nothing is asked
         now = pieces.groupBy("parent", "cloud").agg(F.count("*").alias("size"), F.max("home").alias("held")).where("held")
         grown = now.groupBy("parent").agg(F.max("size").alias("size"))
@@ -591,12 +593,12 @@ def _resolved(work: Work, members: DataFrame, percent: int, leaf: int, leaf_shin
         name = F.xxhash64("cloud", F.least("mine", "other"), F.greatest("mine", "other"))
         side = F.when(F.col("mine") != F.col("other"), (F.col("mine") > F.col("other")).cast("int"))
         ready.append(blocks.withColumns({"side": side, "cloud": name, "cut": F.lit(True)}).select(*_MEMBER))
-        members = work.keep(pieces.select(*_MEMBER), "members")
+        kept += [stuck, members := work.keep(pieces.select(*_MEMBER), "members")]
         depth += 1
     out = ready[0]
     for more in ready[1:]:
         out = out.unionByName(more)
-    return out.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(tidy(_join(percent, cell)), _LINKS), depth > 0
+    return out.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(tidy(_join(percent, cell)), _LINKS), kept, depth > 0
 
 
 def row_name(id_col: str, text_col: str) -> F.Column:
@@ -658,18 +660,21 @@ def jaccard_components(
     members = work.keep(members, "members")
     work.drop(wanted)
 
-    joined, cut = _resolved(work, members, percent, leaf, leaf_shingles, cell)
+    joined, read, cut = _resolved(work, members, percent, leaf, leaf_shingles, cell)
     result = work.keep(joined, "links")
-    work.drop(members)
+    work.drop(members, *read)
     whole = result.where("links is not null").select(F.col("a").alias("node"), "component", "links")
     if cut:
-        roots = components(work, result.where("b is not null").select("a", "b")).join(classes.select(F.col("uid").alias("node"), "least"), "node")
-        roots = work.keep(roots, "roots")
+        found = components(work, result.where("b is not null").select("a", "b"))
+        roots = work.keep(found.join(classes.select(F.col("uid").alias("node"), "least"), "node"), "roots")
+        work.drop(found)
         lowest = roots.groupBy("root").agg(F.min("least").alias("lowest"))
-        roots = roots.join(lowest, "root").select("node", "lowest")
+        by_root = roots.join(lowest, "root").select("node", "lowest")
         whole = whole.groupBy("node").agg(F.min("component").alias("component"), F.sum("links").alias("links"))
-        whole = whole.join(roots, "node", "left").select("node", F.coalesce("component", "lowest").alias("component"), "links")
-    full = known.select("doc_id", "row_name", "n", "node", "w", "least").join(work.keep(whole, "named"), "node", "left")
+        whole = whole.join(by_root, "node", "left").select("node", F.coalesce("component", "lowest").alias("component"), "links")
+    named_ = work.keep(whole, "named")
+    work.drop(result, classes, *([roots] if cut else []))
+    full = known.select("doc_id", "row_name", "n", "node", "w", "least").join(named_, "node", "left")
     full = full.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

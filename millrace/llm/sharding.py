@@ -98,6 +98,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
 
     placed = work.keep(with_ranks(work, groups, "kind", "group").select("group", place("kind", "rank").alias("shard")), "placed")
     sharded = work.keep(rows.join(placed, "group").select("doc_id", "size", "text_crc32", "uid", "shard"), "sharded")
+    work.drop(rows, groups, placed)
     return with_ranks(work, sharded, "shard", "uid", "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
