@@ -15,8 +15,8 @@ Where very many sets of one message stand under a shingle, leaders absorb sets o
 their sketch before anything is sent, and the region compares leaders only, with a
 bound widened by the triangle inequality by what leaders may have absorbed.
 
-*Voronoi regions.*  Every cloud is cut into regions of document pivots, with windows of
-twice the radius and an outer region, recursively, until cells are small (``voronoi``);
+*Voronoi regions.*  Every cloud, of two members or of thousands, is cut into regions of document
+pivots, with windows of twice the radius and an outer region, recursively, until cells are small (``voronoi``);
 both ends of each link meet in the home region of each, where they are compared exactly.
 Clouds too large for one task are cut the same way as tables first.  A region that
 windows do not thin, as its members all lie near each other, is compared in bounded blocks.

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Members of a region that are compared at once; larger ones are cut by pivots.
+#: Members of a region that are compared at once; larger ones, and whole sets of sets of any size, are cut by pivots.
 CELL = 8
 #: Pivots of one cut at most.
 PIVOTS = 32
@@ -178,10 +178,12 @@ def linked(sets: list[np.ndarray], percent: int, cell: int = CELL, cuts: Cuts |
     every = Sets.of(sets)
     cuts = Cuts() if cuts is None else cuts
     todo = [(np.arange(len(every)), np.ones(len(every), dtype=bool))]
+    first = True
     while todo:
         members, home = todo.pop()
         own = every if len(members) == len(every) else every.take(members)
-        if len(members) > cell:
+        if len(members) > (1 if first else cell):
+            first = False
             parts = regions(own, percent, min(PIVOTS, max(2, -(-len(members) // cell))))
             cuts.regions += len(parts)
             for inside, at_home in parts:

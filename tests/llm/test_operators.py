@@ -152,6 +152,22 @@ def test_voronoi_regions(percent, cell):
     assert (label == root).all()
 
 
+@pytest.mark.parametrize("size", [2, 3, 9, 40])
+def test_every_cloud_is_cut(size):
+    from millrace.llm import voronoi
+
+    rng = np.random.default_rng(size)
+    near, far = family(rng, 200, size, 3), family(rng, 200, size, 3)
+    for sets in (near, near[: size - 1] + far[:1], near + far):
+        if len(sets) > 1:
+            cuts = voronoi.Cuts()
+            voronoi.links_of(sets, 80, np.ones(len(sets), np.int64), cuts=cuts)
+            assert cuts.regions >= 2 and cuts.home >= len(sets)
+            # what is unrelated is replicated nowhere
+            both = voronoi.regions(voronoi.Sets.of(sets), 80, 2)
+            assert sum(len(m) for m, _ in both) <= 2 * len(sets)
+
+
 def test_leaders_of_hot_regions_stand_for_all_links():
     from millrace.llm.jaccard_join import LEADERS, _near, _sketches, leaders
 
