@@ -90,21 +90,23 @@ def title_score(title: str, name: str) -> float:
     return max(difflib.SequenceMatcher(None, fold(title), fold(stem)).ratio(), inside)
 
 
+#: Files that hold a word for each task that pairs them with titles; more are dealt to several tasks.
+FILES_OF_A_WORD = 10_000
+
+
 def papers_of_titles(titles: DataFrame, files: DataFrame, least: float = 0.5, most: int = 5) -> DataFrame:
     """(id, name, score, rank): up to ``most`` files for each title, best score first, then the shorter name.
 
-    Titles (id, title) and files (name) meet on words of over three letters that both hold, each
-    title on its words that fewest files hold: enough of them that a score of ``least`` by words must
-    share one.  Titles and names without such words match nothing.  Repeated names count once.
+    Titles (id, title) and files (name) meet on words of over three letters that both hold; what shares
+    no such word is not looked at.  A word that many files hold is dealt to as many tasks as it
+    takes.  Titles and names without such words match nothing.  Repeated names count once.
     """
-    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > 3))
-    names = files.select("name").distinct()
-    held = names.select("name", F.explode(split(F.regexp_replace("name", r"(?i)\.pdf$", ""))).alias("w"))
-    own = titles.select("id", "title", split(F.col("title")).alias("words")).withColumn("w", F.explode("words"))
-    often = held.groupBy("w").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("id", "title").orderBy("n", "w"))
-    asked = own.join(often, "w").withColumn("nth", rank).where(F.col("nth") <= F.size("words") - F.ceil(F.lit(least) * F.size("words")) + 1)
-    pairs = asked.select("id", "title", "w").join(held, "w").select("id", "title", "name").distinct()
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > 3)))
+    held = files.select("name").distinct().select("name", words(F.regexp_replace("name", r"(?i)\.pdf$", "")).alias("w"))
+    tasks = held.groupBy("w").agg(F.ceil(F.count("*") / FILES_OF_A_WORD).cast("int").alias("tasks"))
+    dealt = held.join(tasks, "w").withColumn("task", F.pmod(F.xxhash64("name"), "tasks").cast("int"))
+    asked = titles.select("id", "title", words(F.col("title")).alias("w")).join(tasks, "w").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    pairs = asked.join(dealt.drop("tasks"), ["w", "task"]).select("id", "title", "name").distinct()
 
     @F.pandas_udf("double")
     def score(title: pd.Series, name: pd.Series) -> pd.Series:
