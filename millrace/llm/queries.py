@@ -74,6 +74,12 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(_documents(spark, folder))
 
 
+def op11_cascading_release(spark: SparkSession, folder: str) -> DataFrame:
+    from millrace.llm.quarantine import replay
+
+    return replay(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.lexical_search import build_index, search
 
@@ -85,13 +91,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from millrace.llm import jaccard_join, lexical_search, license_scan, quality_rules, url_filter
+    from millrace.llm import jaccard_join, lexical_search, license_scan, quality_rules, quarantine, url_filter
 
     return {
         "op1_ngram_jaccard_join": jaccard_join.oracle(),
         "op6_quality_rules": quality_rules.oracle(),
         "op3_license_scan": license_scan.oracle(),
         "op5_url_filter": url_filter.ORACLE,
+        "op11_cascading_release": quarantine.oracle(),
         "op13_lexical_search": lexical_search.ORACLE,
         "op2_exact_dedup": r"""
             WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
