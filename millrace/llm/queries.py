@@ -80,6 +80,12 @@ def op11_cascading_release(spark: SparkSession, folder: str) -> DataFrame:
     return replay(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+def op12_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    from millrace.llm.pitman_yor import score
+
+    return score(_documents(spark, folder))
+
+
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.lexical_search import build_index, search
 
