@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from millrace.session import ready
 
 _OPEN: list[list[Work]] = []
+#: Spark's own setting by which the shuffle files of a query go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Work:
@@ -39,7 +41,12 @@ class Work:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         df = df.select(*[F.col(f"`{c}`") for c in df.columns])
-        df.write.parquet(at := f"{self.path}/{self.n:03d}-{name}")
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")  # what is written needs its shuffles no more
+        try:
+            df.write.parquet(at := f"{self.path}/{self.n:03d}-{name}")
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(at)
         kept.kept_at = at
         return kept
