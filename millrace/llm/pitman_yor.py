@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -262,7 +263,7 @@ def tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discou
 
 
 def _rows(table: pa.Table, kind: int) -> list[dict]:
-    found = table.filter(pa.compute.equal(table.column("kind"), kind)).to_pylist()
+    found = table.filter(pc.equal(table.column("kind"), kind)).to_pylist()
     return sorted(found, key=lambda r: (r["other"] is not None, r["other"]))
 
 
