@@ -62,7 +62,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([flat.dictionary.cast(pa.string()), pa.array(np.bincount(code, minlength=size)), pa.array(uses)], ["term", "df", "cf"])
 
 
-def _weighed(names: list[str], idf: np.ndarray) -> Callable:
+def _weighed(names: list[str], idf: np.ndarray, lists_only: bool = False) -> Callable:
+    """A row for each term of the vocabulary in each row, or (``lists_only``) one with all of them."""
     vocabulary = pa.array(names, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +77,29 @@ def _weighed(names: list[str], idf: np.ndarray) -> Callable:
             at, row = at[known], row[known]
             raw = (1 + np.log(batch.column("counts").flatten().to_numpy()[known])) * idf[at]
             norm = np.sqrt(np.bincount(row, raw * raw, minlength=batch.num_rows))
+            if lists_only:
+                edge = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+                both = [pa.ListArray.from_arrays(edge, values) for values in (vocabulary.take(pa.array(at)), pa.array(raw / norm[row]))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *both], [batch.schema.names[0], "terms", "weights"])
+                continue
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), vocabulary.take(pa.array(at)), pa.array(raw / norm[row])], [batch.schema.names[0], "term", "weight"])
 
     return run
 
 
+def _tfidf(docs: DataFrame, id_col: str, text_col: str, most: int, fewest: int, share: float, stop_words: tuple[str, ...], lists_only: bool) -> DataFrame:
+    work = Work(docs.sparkSession, "tfidf")
+    kind = docs.schema[id_col].dataType.simpleString()
+    counts = work.keep(docs.select(id_col, words(F.col(text_col)).alias("words")).mapInArrow(_counted(stop_words), f"`{id_col}` {kind}, terms array<string>, counts array<int>"), "counts")
+    total = counts.count()
+    each = counts.select("terms", "counts").mapInArrow(_frequencies, "term string, df long, cf long")
+    about = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    vocabulary = about.where((F.col("df") >= fewest) & (F.col("df") <= share * total)).orderBy(F.desc("cf"), "term").limit(most).select("term", "df").toPandas()
+    idf = np.log((1 + total) / (1 + vocabulary["df"].to_numpy(dtype=float))) + 1
+    schema = "terms array<string>, weights array<double>" if lists_only else "term string, weight double"
+    return counts.mapInArrow(_weighed(vocabulary["term"].tolist(), idf, lists_only), f"`{id_col}` {kind}, {schema}")
+
+
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS, fewest: int = FEWEST_DOCS, share: float = MOST_SHARE, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(id, term, weight): 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, each row to length 1.
 
@@ -92,15 +111,12 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     Null and empty texts have no terms and no rows in the result, but count as documents.  Very long texts are counted
     whole.  Null ids and repeated rows are rows of their own.  An empty table gives an empty result.
     """
-    work = Work(docs.sparkSession, "tfidf")
-    kind = docs.schema[id_col].dataType.simpleString()
-    counts = work.keep(docs.select(id_col, words(F.col(text_col)).alias("words")).mapInArrow(_counted(stop_words), f"`{id_col}` {kind}, terms array<string>, counts array<int>"), "counts")
-    total = counts.count()
-    each = counts.select("terms", "counts").mapInArrow(_frequencies, "term string, df long, cf long")
-    about = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-    vocabulary = about.where((F.col("df") >= fewest) & (F.col("df") <= share * total)).orderBy(F.desc("cf"), "term").limit(most).select("term", "df").toPandas()
-    idf = np.log((1 + total) / (1 + vocabulary["df"].to_numpy(dtype=float))) + 1
-    return counts.mapInArrow(_weighed(vocabulary["term"].tolist(), idf), f"`{id_col}` {kind}, term string, weight double")
+    return _tfidf(docs, id_col, text_col, most, fewest, share, stop_words, False)
+
+
+def tfidf_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS, fewest: int = FEWEST_DOCS, share: float = MOST_SHARE, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(id, terms, weights): ``tfidf`` as one row for each row of ``docs``, whose lists are empty where it has no terms."""
+    return _tfidf(docs, id_col, text_col, most, fewest, share, stop_words, True)
 
 
 # ------------------------------------------------------------------ neighbours

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import authors, keywords, text
-from millrace.operators import counts, fuzzy, merge, vectors
+from millrace.operators import cosine, counts, fuzzy, merge, umap, vectors
 from millrace.plans.archive import submissions, texts
 from millrace.plans.facets import FacetQuery, Vocabulary
 from millrace.plans.labels import LexicalClassifier, classify
@@ -470,9 +470,22 @@ def tfidf_terms(spark, folder):
     return weights.groupBy("term").agg(F.count("*").alias("docs"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
+@query(
+    "text_neighbours",
+    _TERMS + """,
+    u AS (SELECT doc_id, term, raw / norm AS weight FROM r JOIN z USING (doc_id)),
+    p AS (SELECT a.doc_id, b.doc_id AS other, round(sum(a.weight * b.weight), 9) AS similarity FROM u a JOIN u b USING (term) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, other) AS rank FROM p WHERE similarity > 0)
+    SELECT doc_id, CAST(rank AS INTEGER) AS rank, other, round(similarity, 6) AS similarity FROM o WHERE rank <= 15""",
+)
+def text_neighbours(spark, folder):
+    near = cosine.nearest_texts(vectors.tfidf_rows(_read(spark, folder, "documents")))
+    return near.select("doc_id", "rank", "other", F.round("similarity", 6).alias("similarity"))
+
+
 @query("embedding_layout")
 def embedding_layout(spark, folder):
-    return vectors.layout(vectors.tfidf(_read(spark, folder, "documents")))
+    return umap.spread(umap.embed(vectors.tfidf_rows(_read(spark, folder, "documents"))))
 
 
 def _points(spark, folder):
