@@ -163,6 +163,8 @@ def _pair_bucket(u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     values, starts = np.unique(bucket[order], return_index=True)
     for value, at in zip(values, np.split(order, starts[1:]), strict=True):
