@@ -28,7 +28,7 @@ from millrace.llm import shingles as sh
 from millrace.llm.work import Work, release, texts_of, tidy
 
 #: Bytes of text of a batch, and tokens of a bucket, about.
-BATCH, BUCKET = 16 << 20, 4_000_000
+BATCH, BUCKET = 16 << 20, 2_000_000
 #: Strength of the contexts' restaurants and of their parent; sweeps before the samples, and samples that are averaged.
 THETA, THETA_ROOT = 1.0, 1.0
 BURN, SAMPLES = 2, 3
@@ -471,7 +471,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     source = docs.select(doc_id.alias("doc_id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
     batches = work.keep(source.mapInArrow(tidy(_batched), _BATCHES), "batches")
     sizes = batches.select("sizes").mapInArrow(lambda rows: (pa.RecordBatch.from_arrays([pa.array([int(unpacked(s).sum()) for s in r.column(0).to_pylist()], pa.int64())], ["n"]) for r in rows), "n long")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    buckets = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // BUCKET))  # by the tokens alone: buckets send each other messages
 
     def step(rows: DataFrame, run: Callable, name: str) -> DataFrame:
         return work.keep(rows.groupBy("key").applyInArrow(run, _MESSAGE), name)
