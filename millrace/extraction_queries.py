@@ -300,13 +300,10 @@ def paper_list(spark, folder):
 
 @query("draw_order", "SELECT row_ord, CAST(row_number() OVER (ORDER BY row_ord IN (SELECT row_ord FROM sel), row_ord) - 1 AS BIGINT) AS place FROM s", lines=True)
 def draw_order(spark, folder):
-    from pyspark.sql import Window
+    from millrace.operators.ranks import numbered
 
-    drawn = FacetQuery(topics=("PROMO", "SMALL")).drawn_points(submissions(spark, folder))
-    # places by sorted counts: how many rows do not match, and each row's place among its like
-    own = F.row_number().over(Window.partitionBy("match").orderBy("row_ord")) - 1
-    before = drawn.groupBy().agg(F.count_if(~F.col("match")).alias("others"))
-    return drawn.withColumn("own", own).crossJoin(F.broadcast(before)).select("row_ord", (F.col("own") + F.when(F.col("match"), F.col("others")).otherwise(0)).cast("long").alias("place"))
+    drawn = submissions(spark, folder).select("row_ord", "topics", "year").withColumn("match", FacetQuery(topics=("PROMO", "SMALL")).matches())
+    return numbered(drawn.select("row_ord", "match"), [F.col("match"), F.col("row_ord")]).select("row_ord", "place")
 
 
 @query("keyword_top_50_by_year", ", f AS (SELECT year, keyword, count(*) AS n, min(row_ord * 1000 + kk.place) AS o FROM kk JOIN s USING (row_ord) GROUP BY 1, 2), r AS (SELECT year, keyword, n, CAST(row_number() OVER (PARTITION BY year ORDER BY n DESC, o) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 50", lines=True)

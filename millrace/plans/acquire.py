@@ -219,6 +219,13 @@ def update(existing: DataFrame, scraped: DataFrame, years: list[int]) -> DataFra
     return merged.drop("title_key")
 
 
+def whole_years(scraped: DataFrame, failed: DataFrame, years: list[int]) -> tuple[DataFrame, list[int]]:
+    """What was scraped of the years of which no page failed, and those years; of the others the archive keeps its own rows."""
+    lost = {r["year"] for r in failed.select("year").distinct().collect()}
+    whole = [y for y in dict.fromkeys(years) if y not in lost]
+    return scraped.where(F.col("year").isin(*whole)) if whole else scraped.limit(0), whole
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description="Scrape years of an archive into a payload.")
     parser.add_argument("sources", help="JSON list of {year, url, kind, link}")
@@ -237,9 +244,8 @@ def main() -> None:
         rows = refresh_keywords(old, years=asked.years, force=asked.force_keywords).drop("gained")
     else:
         rows, failed = scrape(spark, chosen)
-        lost = [r["year"] for r in failed.select("year").distinct().collect()]
         if old is not None:
-            rows = update(old, rows, [s.year for s in chosen if s.year not in lost])
+            rows = update(old, *whole_years(rows, failed, [s.year for s in chosen]))
     archive.write_payload(rows, asked.out)
 
 

@@ -12,7 +12,7 @@ from millrace.operators import cosine, counts, fuzzy, merge, umap, vectors
 from millrace.plans.archive import submissions, texts
 from millrace.plans.facets import FacetQuery, Vocabulary
 from millrace.plans.labels import LexicalClassifier, classify
-from millrace.sources import html
+from millrace.sources import crawl, html
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -319,6 +319,15 @@ def search_folded(spark, folder):
     return FacetQuery(search="élement").filtered(rows).select("doc_id")
 
 
+@query(
+    "request_plan",
+    r"""WITH u AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, CAST(CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 2 AS INTEGER) AS lane FROM pages WHERE url <> '')
+    SELECT url, host, lane, row_number() OVER (PARTITION BY host, lane ORDER BY url) - 1 AS turn, CAST((row_number() OVER (PARTITION BY host, lane ORDER BY url) - 1) * 0.5 AS DOUBLE) AS due FROM u""",
+)
+def request_plan(spark, folder):
+    return crawl.planned(_read(spark, folder, "pages"))
+
+
 @query("label_filter", "SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY lang")
 def label_filter(spark, folder):
     toxic = _read(spark, folder, "labels").where("toxic = 1").select("doc_id")
