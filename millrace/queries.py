@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import authors, keywords, text
 from millrace.operators import cosine, counts, fuzzy, merge, umap, vectors
+from millrace.operators.quadtree import nearest_points as nearest_of_taps
+from millrace.operators.trigrams import TrigramIndex
 from millrace.plans.archive import submissions, texts
 from millrace.plans.facets import FacetQuery, Vocabulary
 from millrace.plans.labels import LexicalClassifier, classify
@@ -328,6 +330,18 @@ def request_plan(spark, folder):
     return crawl.planned(_read(spark, folder, "pages"))
 
 
+@query(
+    "search_many",
+    r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS search_text FROM documents),
+    n AS (SELECT DISTINCT item_id, trim(regexp_replace(lower(strip_accents(left(text, 24))), '[^a-z0-9]+', ' ', 'g')) AS needle FROM benchmark)
+    SELECT item_id, doc_id FROM d JOIN n ON contains(search_text, needle) OR contains(search_text, replace(needle, ' ', '')) WHERE needle <> ''""",
+)
+def search_many(spark, folder):
+    rows = _read(spark, folder, "documents").select("doc_id", text.search_text_ascii(F.col("text")).alias("search_text"))
+    searches = _read(spark, folder, "benchmark").select("item_id", F.substring("text", 1, 24).alias("search"))
+    return TrigramIndex(rows).search(searches)
+
+
 @query("label_filter", "SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY lang")
 def label_filter(spark, folder):
     toxic = _read(spark, folder, "labels").where("toxic = 1").select("doc_id")
@@ -506,6 +520,18 @@ def nearest_point(spark, folder):
     return vectors.nearest(_points(spark, folder), 0.0, 0.0, 0.5, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "nearest_points",
+    """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS tx, embedding[4]::DOUBLE AS ty FROM embeddings),
+    d AS (SELECT t.vec_id AS tap_id, p.vec_id, sqrt((p.x - t.tx) * (p.x - t.tx) + (p.y - t.ty) * (p.y - t.ty)) AS distance FROM p, p t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY tap_id ORDER BY distance, vec_id) AS rank FROM d)
+    SELECT tap_id, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 6) AS distance FROM r WHERE rank <= 5""",
+)
+def nearest_points(spark, folder):
+    taps = _read(spark, folder, "embeddings").select(F.col("vec_id").alias("tap_id"), F.get("embedding", 2).cast("double").alias("x"), F.get("embedding", 3).cast("double").alias("y"))
+    return nearest_of_taps(taps, _points(spark, folder), 5).withColumn("distance", F.round("distance", 6))
+
+
 @query("embedding_extent", "SELECT axis, round(lo - 0.06 * (hi - lo), 6) AS low, round(hi + 0.06 * (hi - lo), 6) AS high FROM (SELECT 'x' AS axis, min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi FROM embeddings UNION ALL SELECT 'y', min(embedding[2]::DOUBLE), max(embedding[2]::DOUBLE) FROM embeddings)")
 def embedding_extent(spark, folder):
     ends = counts.extent(_points(spark, folder), "x", "y")
