@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import authors, keywords, text
 from millrace.operators import cosine, counts, fuzzy, merge, umap, vectors
+from millrace.operators.bitmaps import FacetBitmaps
 from millrace.operators.quadtree import nearest_points as nearest_of_taps
 from millrace.operators.trigrams import TrigramIndex
 from millrace.plans.archive import submissions, texts
@@ -52,6 +53,34 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- facet views
 
 
+def _bitmaps(spark: SparkSession, folder: str) -> FacetBitmaps:
+    return FacetBitmaps(submissions(spark, folder), ["row_ord"])
+
+
+@query("bitmap_topic_counts_include", "SELECT topic, count(*) AS n FROM st JOIN sel USING (row_ord) GROUP BY topic", lines=True)
+def bitmap_topic_counts_include(spark, folder):
+    bits = _bitmaps(spark, folder)
+    return bits.counts(bits.select(INCLUDE), "topic").withColumnRenamed("value", "topic")
+
+
+@query("bitmap_topic_counts_exclude", "SELECT topic, count(*) AS n FROM st WHERE row_ord NOT IN (SELECT row_ord FROM sel) GROUP BY topic", lines=True)
+def bitmap_topic_counts_exclude(spark, folder):
+    bits = _bitmaps(spark, folder)
+    return bits.counts(bits.select(EXCLUDE), "topic").withColumnRenamed("value", "topic")
+
+
+@query("bitmap_year_topics", "SELECT year, topic, count(*) AS n FROM st JOIN sel USING (row_ord) GROUP BY 1, 2", lines=True)
+def bitmap_year_topics(spark, folder):
+    bits = _bitmaps(spark, folder)
+    return bits.pivot(bits.select(INCLUDE))
+
+
+@query("bitmap_facet_rows", "SELECT row_ord, year FROM s WHERE year IN (1996, 1998) AND row_ord NOT IN (SELECT row_ord FROM sel)", lines=True)
+def bitmap_facet_rows(spark, folder):
+    bits = _bitmaps(spark, folder)
+    return bits.selected_rows(bits.select(FacetQuery(years=(1996, 1998), topics=EXCLUDE.topics, mode="exclude")))
+
+
 @query("topic_counts", "SELECT topic, count(*) AS n FROM st GROUP BY topic", lines=True)
 def topic_counts(spark, folder):
     return counts.topic_counts(submissions(spark, folder))
