@@ -42,6 +42,20 @@ def keyword_counts(rows: DataFrame, column: str, *by: str, ord: str = "row_ord")
     return words.groupBy(*by, "keyword").agg(F.count("*").alias("n"), F.min(F.struct(ord, "place")).alias("first_ord"))
 
 
+def keyword_tops(rows: DataFrame, column: str, overall: int, each: int, by: str = "year", ord: str = "row_ord") -> DataFrame:
+    """(by, keyword, n, rank): the ``overall`` most frequent keywords of all rows (``by`` null) and the ``each`` most frequent of each ``by``.
+
+    One scan: rows are counted by (``by``, keyword) before they are shuffled, and the totals over all are sums of those counts, so a
+    keyword that every row has is one number a task. Exact; ranks go by count, then by first encounter, and are cut in each partition before the last
+    shuffle. Rows without ``by`` count in the whole only; null and empty keywords are none; an empty table gives an empty result.
+    """
+    fine = keyword_counts(rows, column, by, ord=ord)
+    levels = F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast(rows.schema[by].dataType).alias(by)), F.struct(F.lit(False).alias("whole"), F.col(by).alias(by)))).alias("level")
+    summed = fine.select(levels, "keyword", "n", "first_ord").groupBy("level.whole", F.col(f"level.{by}").alias(by), "keyword").agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
+    kept = summed.where(F.col("whole") | F.col(by).isNotNull())
+    return ranked(kept, "whole", by, k=max(overall, each)).where(F.col("rank") <= F.when(F.col("whole"), overall).otherwise(each)).select(by, "keyword", "n", "rank")
+
+
 def cooccurrence(rows: DataFrame, column: str, ord: str = "row_ord") -> DataFrame:
     """(source, target, n, first_ord) of unordered pairs within a row's list; lists are short, so pairs stay in the row."""
     words = F.filter(F.array_distinct(column), lambda k: k != "")

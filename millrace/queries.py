@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions import authors, keywords, text
 from millrace.operators import cosine, counts, fuzzy, merge, umap, vectors
 from millrace.operators.bitmaps import FacetBitmaps
+from millrace.operators.phrases import phrase_hits as hits_of_phrases
+from millrace.operators.phrases import phrases_of
 from millrace.operators.quadtree import nearest_points as nearest_of_taps
 from millrace.operators.trigrams import TrigramIndex
 from millrace.plans.archive import submissions, texts
@@ -371,6 +373,29 @@ def search_many(spark, folder):
     return TrigramIndex(rows).search(searches)
 
 
+@query(
+    "phrase_hits",
+    r"""WITH b AS (SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark),
+    v AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM b),
+    d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+    g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM d)
+    SELECT phrase, count(DISTINCT doc_id) AS docs, count(*) AS uses FROM g JOIN v USING (phrase) GROUP BY phrase""",
+)
+def phrase_hits(spark, folder):
+    folded = lambda name, key: _read(spark, folder, name).select(key, text.search_text_ascii(F.col("text")).alias("search_text"))
+    found = hits_of_phrases(folded("documents", "doc_id"), phrases_of(folded("benchmark", "item_id")))
+    return found.groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("n").alias("uses"))
+
+
+@query(
+    "keyword_tops",
+    ", f AS (SELECT year, keyword, count(*) AS n, min(row_ord * 1000 + kk.place) AS o FROM kk JOIN s USING (row_ord) GROUP BY 1, 2 UNION ALL SELECT NULL, keyword, count(*), min(row_ord * 1000 + kk.place) FROM kk GROUP BY 2), r AS (SELECT year, keyword, n, CAST(row_number() OVER (PARTITION BY year ORDER BY n DESC, o) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= CASE WHEN year IS NULL THEN 100 ELSE 50 END",
+    lines=True,
+)
+def keyword_tops(spark, folder):
+    return counts.keyword_tops(submissions(spark, folder, keywords=True), "keywords", 100, 50)
+
+
 @query("label_filter", "SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY lang")
 def label_filter(spark, folder):
     toxic = _read(spark, folder, "labels").where("toxic = 1").select("doc_id")
