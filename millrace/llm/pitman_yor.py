@@ -306,9 +306,7 @@ def _merged(word_buckets: int) -> Callable:
                 out.append((REFS, bucket, row["other"], [_short(np.diff(mine, prepend=0)), _short(slot[of[edge[k] + mine]])], None))
         out += _asks(bucket, names, iu, iw, c - 1, word_buckets)
         out.append((STATS, bucket, None, [], [float((c - 1).sum()), float((total == 1).sum()), float((total == 2).sum())]))
-        found = _table(out)
-        release()
-        return found
+        return _table(out)
 
     return run
 
@@ -442,14 +440,29 @@ def _scored(now: Model, word_buckets: int, pair_buckets: int) -> Callable:
         begins = np.cumsum(own.sizes) - own.sizes
         columns = [pa.array(own.ids, pa.int64()), pa.array(own.held), pa.array(own.sizes), pa.array(np.add.reduceat((counts > 0)[own.tokens].astype(np.int64), begins))]
         columns += [pa.array(np.full(len(own.sizes), int(now["tokens"]))), pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(log, begins))]
-        out = pa.table(columns, names=[f.split()[0] for f in _SCORES.split(", ")])
-        del own, u, w, at, log, base
-        release()
-        return out
+        return pa.table(columns, names=[f.split()[0] for f in _SCORES.split(", ")])
 
     return run
 
 
+def _released(run: Callable) -> Callable:
+    """``run`` of one group, or of two that meet; afterwards the worker holds no more memory than its result needs."""
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    def two(key: tuple, table: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return run(key, table, other)
+        finally:
+            release()
+
+    return two if run.__code__.co_argcount == 3 else one
+
+
 def _discount(once: float, twice: float) -> float:
     return min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
 
@@ -472,9 +485,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     batches = work.keep(source.mapInArrow(tidy(_batched), _BATCHES), "batches")
     sizes = batches.select("sizes").mapInArrow(lambda rows: (pa.RecordBatch.from_arrays([pa.array([int(unpacked(s).sum()) for s in r.column(0).to_pylist()], pa.int64())], ["n"]) for r in rows), "n long")
     buckets = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // BUCKET))  # by the tokens alone: buckets send each other messages
+    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def step(rows: DataFrame, run: Callable, name: str) -> DataFrame:
-        return work.keep(rows.groupBy("key").applyInArrow(run, _MESSAGE), name)
+        return work.keep(rows.repartition(parts, "key").groupBy("key").applyInArrow(_released(run), _MESSAGE), name)
 
     def stats(table: DataFrame, n: int) -> list[float]:
         found = table.where(F.col("kind") == STATS).agg(*[F.sum(F.col("n")[k]) for k in range(n)]).first()
@@ -513,4 +527,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     work.drop(merged)
     more = step(of(words, WORD).unionByName(batches.mapInArrow(tidy(_word_messages(buckets)), _MESSAGE)), _word_answers(model), "rates")
     both = answers.unionByName(more).groupBy(F.col("key").alias("batch"))
-    return batches.groupBy("batch").cogroup(both).applyInArrow(_scored(model, buckets, buckets), _SCORES)
+    return batches.groupBy("batch").cogroup(both).applyInArrow(_released(_scored(model, buckets, buckets)), _SCORES)
