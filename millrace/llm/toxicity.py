@@ -34,12 +34,39 @@ _LOWER[0x41:0x5B] += 32
 _BITS = np.uint64(64 - 20)
 
 
+def _parts(text: bytes) -> Iterator[tuple[int, int]]:
+    """Where a text is cut between words into parts of a chunk at most; a longer word is in a part of its own size."""
+    at = 0
+    while at < len(text):
+        stop = min(at + sh.CHUNK, len(text))
+        if stop < len(text):
+            breaks = np.flatnonzero(~_WORD[np.frombuffer(text, dtype=np.uint8, count=stop - at, offset=at)])
+            if len(breaks):
+                stop = at + int(breaks[-1]) + 1
+            else:  # no break in a whole chunk: on to the next one
+                while stop < len(text):
+                    more = np.flatnonzero(~_WORD[np.frombuffer(text, dtype=np.uint8, count=min(sh.CHUNK, len(text) - stop), offset=stop)])
+                    stop += int(more[0]) + 1 if len(more) else min(sh.CHUNK, len(text) - stop)
+                    if len(more):
+                        break
+        yield at, stop
+        at = stop
+
+
 def hashed_terms(texts: list[bytes], keep: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Distinct buckets of each text's words and their prefixes, ASCII letters lower-cased.
 
     With ``keep`` (bucket -> term or -1), the distinct terms instead.
     """
     for lo, hi in sh.batches(texts, sh.CHUNK):
+        parts = list(_parts(texts[lo])) if hi == lo + 1 and len(texts[lo]) > sh.CHUNK else []
+        if len(parts) > 1:  # a long text: its parts are folded into one set of buckets
+            seen = np.zeros(BUCKETS, dtype=bool)
+            for a, b in parts:
+                for found in hashed_terms([texts[lo][a:b]], keep):
+                    seen[found] = True
+            yield np.flatnonzero(seen).astype(np.int32)
+            continue
         data = _LOWER[np.frombuffer(b"\n".join(texts[lo:hi]), dtype=np.uint8)]
         edge = np.diff(np.concatenate(([False], _WORD[data], [False])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
