@@ -17,6 +17,10 @@ SPELLINGS = (("licence", "license"), ("licencing", "licensing"), ("sub-licens",
 COPYRIGHT = r"(^|\n)[\x20\t*#/]*(copyright|\(c\)|©)[^\n]*"
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MARKS_OF_LINES = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+# What typesetting puts for marks and spaces, and characters without width, which stand inside words.
+TYPESET = r"[\x{A0}\x{AB}\x{B4}\x{B7}\x{BB}\x{2BC}\x{1680}\x{2000}-\x{200A}\x{200E}-\x{205F}\x{2061}-\x{206F}\x{3000}]"
+WIDTHLESS = r"[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
+EITHER = r"[\x{A0}\x{AB}\x{AD}\x{B4}\x{B7}\x{BB}\x{2BC}\x{1680}\x{2000}-\x{206F}\x{3000}\x{FEFF}]"
 # Lines of a licence's body that begin with the word or are its clause (c), and lines that state a copyright (year, sign or holder).
 BODY = r"(^|\n)[\x20\t*#/]*(copyright[\x20\t]+(notice|holder|owner|law|licen[cs]e)|\(c\)(?![^\n]*[12][0-9]{3}))"
 STATEMENT = r"(^|\n)[\x20\t*#/]*(\(c\)(?=[^\n]*[12][0-9]{3})|©|copyright(?=[^\n]*(\(c\)|©|[12][0-9]{3}))|copyright(?![\x20\t]+(notice|holder|owner|law|licen[cs]e)))[^\n]*"
@@ -95,6 +99,11 @@ def _canonical_lines(text: F.Column, copyright_lines: str = COPYRIGHT) -> F.Colu
     return F.transform(F.split(F.regexp_replace(text, MARKS_OF_LINES, " "), "\n"), lambda x: F.trim(x))
 
 
+def _plain(text: F.Column) -> F.Column:
+    """Text without characters of no width, with spaces for typeset marks and spaces."""
+    return F.regexp_replace(F.regexp_replace(text, WIDTHLESS, ""), TYPESET, " ")
+
+
 def _as_one(lines: F.Column) -> F.Column:
     """The canonical text of the whole, from that of its lines."""
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
@@ -121,10 +130,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, canonical_sha256, license, line_licenses, n_license_lines) for every row of ``docs``.
 
     ``license`` is the licence whose canonical text the whole text is, with or without a title, or is once only
-    copyright statements are removed, not body lines that begin with that word; else null.
+    copyright statements are removed, not body lines that begin with that word; else null.  Typeset quotes, dashes and
+    spaces, soft hyphens and byte order marks count as punctuation for licences and lines, not in ``canonical_sha256``.
     A line that is a known notice or text in whole counts in n_license_lines; line_licenses
     lists their licences, distinct and sorted, joined by commas.  The SQL looks only at lines that
-    hold "licen", and knows neither titles nor wrapped body lines; where neither matters both agree.
+    hold "licen", and knows neither titles, wrapped body lines nor typeset marks; where none of these matters both agree.
 
     Null text counts as empty and is no licence.  Null ids and repeated rows are
     reported like any other.  An empty table gives an empty result.  Other columns are
@@ -136,9 +146,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = sorted({len(canonical(t)) for t in [*texts.values(), *notices]} - {0})
     digests = [digest for digest, _ in known]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _canonical_lines(text).alias("lines"))
-    digest = F.sha2(_as_one(F.col("lines")), 256)
-    fine = F.when(F.lower("text").rlike(BODY), F.sha2(_as_one(_canonical_lines(F.col("text"), STATEMENT)), 256))
+    lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _canonical_lines(text).alias("own"), text.rlike(EITHER).alias("typeset"))
+    typeset = F.col("typeset")
+    lines = lines.withColumn("lines", F.when(typeset, _canonical_lines(_plain(F.col("text")))).otherwise(F.col("own")))
+    digest = F.sha2(_as_one(F.col("own")), 256)
+    fine = F.when(F.lower("text").rlike(BODY) | typeset, F.sha2(_as_one(_canonical_lines(_plain(F.col("text")), STATEMENT)), 256))
     rows = work.keep(
         lines.select(
             "uid",
