@@ -10,8 +10,8 @@ from millrace.operators import counts, merge
 from millrace.plans import build
 from millrace.plans.archive import submissions, texts
 from millrace.plans.facets import FacetQuery
-from millrace.queries import _read, query
-from millrace.sources import archive, html, papers
+from millrace.queries import SQL, _read, query
+from millrace.sources import archive, html, page_functions, papers
 
 _TITLES = "t AS (SELECT doc_id, lang, source, text, string_split(text, chr(10))[1] AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, length(string_split(text, chr(10))[1]) + 2) ELSE '' END AS abstract FROM documents)"
 
@@ -95,6 +95,48 @@ def keywords_shown(spark, folder):
     )
 
 
+#: Keywords that are cleaned away: what is not plausible, and what reads as a citation.
+_KEPT = f"lambda x: {_plausible_token('x')} AND NOT regexp_matches(x, '^doi.')"
+_JUDGED = f"""WITH {_TITLES}, w AS (SELECT *, {_tokens("text")} AS own, {_tokens("title")} AS tokens, {_TITLE_WORDS} AS derived, lower(abstract) AS low FROM t),
+    l AS (SELECT *, CASE WHEN lang = 'de' THEN list_filter(own[3:3], {_KEPT}) ELSE [] END AS a, CASE WHEN lang = 'es' THEN list_filter(list_slice(own, 5, 9), {_KEPT}) ELSE derived END AS e, list_slice(list_filter(list_slice(own, 1, 12), {_KEPT}), 1, 99) AS k0, CASE WHEN lang = 'fr' AND source = 'src2' THEN 'label' END AS label FROM w),
+    k AS (SELECT *, CASE WHEN len(k0) > {RULES.most_keywords} THEN [] ELSE k0 END AS k FROM l)"""
+
+
+def _low(c: str) -> str:
+    derived = f"(title <> '' AND ({c} = derived OR (len(tokens) > 0 AND len(list_filter({c}, lambda x: NOT list_contains(tokens, x))) = 0)))"
+    prose = f"(len({c}) >= {RULES.most_keywords} AND len(list_filter({c}, lambda x: contains(low, x))) >= greatest({RULES.prose_known}, len({c}) - 1))"
+    return f"(len({c}) > 0 AND ({derived} OR len(list_filter({c}, lambda x: regexp_matches(x, '[a-z]{{14,}}'))) > 0 OR {prose}))"
+
+
+def _judged(spark, folder):
+    """Documents with keywords of all kinds: of authors (one language), of the title or the text, a long mixed list, a label."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9-]{2,})"), F.lit(1)))
+    rows = texts(spark, folder).withColumn("own", tokens)
+    none, lang = F.array().cast("array<string>"), F.col("lang")
+    return rows.withColumns({
+        "a": F.when(lang == "de", F.slice("own", 3, 1)).otherwise(none),
+        "e": F.when(lang == "es", F.slice("own", 5, 5)).otherwise(keywords.title_keywords(F.col("title"))),
+        "k": F.slice("own", 1, 12),
+        "label": F.when((lang == "fr") & (F.col("source") == "src2"), F.lit("label")),
+    })
+
+
+@query(
+    "keywords_judged",
+    f"""{_JUDGED}, g AS (SELECT *, len(e) > 0 AND NOT {_low('e')} AS good_e, len(k) > 0 AND NOT {_low('k')} AS good_k, len(e) > 0 AND title <> '' AND (e = derived OR (len(tokens) > 0 AND len(list_filter(e, lambda x: NOT list_contains(tokens, x))) = 0)) AS from_title, len(k) > 0 AND title <> '' AND (k = derived OR (len(tokens) > 0 AND len(list_filter(k, lambda x: NOT list_contains(tokens, x))) = 0)) AS mixed_from_title FROM k)
+    SELECT doc_id, array_to_string(a, '|') AS author, CASE WHEN len(a) = 0 AND label IS NULL AND good_e THEN array_to_string(e, '|') ELSE '' END AS extracted,
+    array_to_string(CASE WHEN len(a) > 0 THEN a WHEN label IS NOT NULL THEN [label] WHEN good_e THEN e WHEN good_k THEN k ELSE [] END, '|') AS keywords,
+    array_to_string(CASE WHEN len(k) > 0 AND NOT mixed_from_title THEN k WHEN len(a) > 0 THEN a WHEN label IS NOT NULL THEN [label] WHEN len(e) > 0 AND NOT from_title THEN e ELSE [] END, '|') AS shown FROM g""",
+)
+def keywords_judged(spark, folder):
+    """Resolution and display over whole texts: lists of low quality or taken from the title give way to the next."""
+    c = {n: F.col(n) for n in ("a", "e", "k", "title", "abstract", "label")}
+    own = keywords.reconciled(c["a"], c["e"], c["k"], c["title"], c["abstract"], F.lit(""), c["label"])
+    shown = keywords.dashboard_keywords(c["a"], c["e"], c["k"], c["title"], c["label"])
+    joined = [F.array_join(own[f], "|").alias(n) for f, n in (("author_keywords", "author"), ("extracted_keywords", "extracted"), ("keywords", "keywords"))]
+    return _judged(spark, folder).select("doc_id", *joined, F.array_join(shown, "|").alias("shown"))
+
+
 _LONG = "SELECT conv_id, list(lower(w) ORDER BY turn, i) AS w FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations) GROUP BY 1"
 
 
@@ -176,81 +218,179 @@ def author_scores(spark, folder):
     return _fields(spark, folder).select("c_custkey", authors.block_score(F.col("field")).alias("score"), authors.authors_are_thin(F.col("field")).alias("thin"))
 
 
-@query("author_blocks", f"WITH {_FIELDS} SELECT c_custkey, c_custkey % 4 = 2 AS block, c_custkey % 7 = 0 AS noise FROM f")
+_NOISE = "lower(line) IN ('') OR contains(lower(line), 'search papers') OR contains(lower(line), 'extended abstract:') OR starts_with(lower(line), 'view pdf') OR starts_with(lower(line), 'view paper pdf') OR (contains(lower(line), 'poster session') AND NOT contains(lower(line), 'poster <')) OR (starts_with(lower(line), 'poster ') AND contains(lower(line), ' in ') AND length(line) < 180)"
+_BLOCK = r"line <> '' AND length(line) <= 700 AND NOT regexp_matches(line, '^(Presenter|Topic Area):') AND NOT regexp_matches(lower(line), 'abstract|keywords:|poster session') AND (regexp_matches(line, '(?i)\([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\)') OR (contains(line, ';') AND regexp_matches(line, '[A-Za-z]\s+\d+\s*,')) OR (contains(line, ',') AND len(regexp_extract_all(regexp_replace(line, '[\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2ff}\x{370}-\x{1fff}]', '_', 'g'), '\b[A-Z][A-Za-z''’\-]+(?:\s+[A-Z][A-Za-z''’\-]+){1,3}\b')) >= 2))"
+_LINES_OF = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '([a-z]{4,}) ([a-z]{4,})', 'Ada \1 1, Alan \2 2 ; 1 Uni', 'g') FROM documents UNION ALL SELECT doc_id, 'Poster ' || unnest(string_split(text, chr(10))) FROM documents)"
+
+
+def _document_lines(spark, folder):
+    """Lines of every text as they stand, with pairs of words as names with footnotes, and as lines of a poster."""
+    line = F.explode(F.split("text", "\n")).alias("line")
+    rows = _read(spark, folder, "documents").select("doc_id", line)
+    named = F.regexp_replace("line", "([a-z]{4,}) ([a-z]{4,})", "Ada $1 1, Alan $2 2 ; 1 Uni")
+    return rows.unionAll(rows.select("doc_id", named)).unionAll(rows.select("doc_id", F.concat(F.lit("Poster "), "line")))
+
+
+@query("author_blocks", f"WITH {_LINES_OF} SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({_BLOCK}) AS blocks, count(*) FILTER ({_NOISE}) AS noise FROM l GROUP BY doc_id")
 def author_blocks(spark, folder):
-    noise = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("Poster "), "c_name", F.lit(" in Hall"))).otherwise(F.col("field"))
-    return _fields(spark, folder).select("c_custkey", authors.is_author_block(F.col("field"), F.lit("<p>")).alias("block"), authors.is_noise_paragraph(noise).alias("noise"))
+    block, noise = authors.is_author_block(F.col("line"), F.lit("<p>")), authors.is_noise_paragraph(F.col("line"))
+    return _document_lines(spark, folder).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(block).alias("blocks"), F.count_if(noise).alias("noise"))
+
+
+#: Letters with accents as plain ones, for word borders in SQL.
+_ASCII = "regexp_replace(regexp_replace(line, '[À-ÖØ-Þ]', 'A', 'g'), '[ß-öø-ÿ]', 'a', 'g')"
 
 
-@query("author_tooltips", r"SELECT o_orderkey, array_to_string(list_transform(range(CAST(1 + o_orderkey % 6 AS BIGINT)), lambda k: 'Name ' || chr(65 + CAST(k AS INTEGER)) || 'x'), ', ') AS shown FROM orders")
+@query("author_evidence", rf"WITH {_LINES_OF} SELECT doc_id, sum({_score(_ASCII)}) AS score, count(*) FILTER (trim(line) = '' OR {_score(_ASCII)} < 4) AS thin FROM l GROUP BY doc_id")
+def author_evidence(spark, folder):
+    """Points of all lines of a text, and lines that are no list of authors."""
+    own = F.col("line")
+    return _document_lines(spark, folder).groupBy("doc_id").agg(F.sum(authors.block_score(own)).alias("score"), F.count_if(authors.authors_are_thin(own)).alias("thin"))
+
+
+@query(
+    "author_tooltips",
+    r"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) > 1) AS w FROM documents) SELECT doc_id, array_to_string(list_slice(w, 1, 6), ', ') || CASE WHEN len(w) > 6 THEN ', et al.' ELSE '' END AS shown FROM w",
+)
 def author_tooltips(spark, folder):
-    names = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 6).cast("int")), lambda k: F.concat(F.lit("Name "), F.chr(65 + k), F.lit("x "), k + 1))
-    return _read(spark, folder, "orders").select("o_orderkey", authors.tooltip(F.concat(F.array_join(names, ", "), F.lit(" ; 1 Uni"))).alias("shown"))
+    """The words of a text as names with footnotes, addresses and an affiliation."""
+    words = F.regexp_extract_all(F.col("text"), F.lit("([A-Za-z]+)"), F.lit(1))
+    field = F.concat(F.array_join(F.transform(words, lambda w, k: F.concat(w, F.lit(" "), k + 1, F.lit(" (a@b.edu)"))), ", "), F.lit(" ; 1 "), "source")
+    return _read(spark, folder, "documents").select("doc_id", authors.tooltip(field).alias("shown"))
+
 
+_PLACES = "|".join(sorted(authors.COUNTRIES))
+_AFFILIATED = rf"(regexp_matches(lower(trim(x, ' ()')), '^(the )?({_PLACES})$|^and |{'|'.join(authors.HINTS)}|\b({'|'.join(authors.ORG_WORDS)})\b') OR regexp_matches(x, '^([A-Z]{{2,6}}$|UC\b|CEA\b)'))"
 
-@query("affiliations", f"WITH {_FIELDS} SELECT c_custkey, c_custkey % 5 < 3 AS affiliation FROM f")
+
+@query(
+    "affiliations",
+    rf"""WITH d AS (SELECT doc_id, regexp_replace(text, '([^a-zA-Z ]|\s)+', ' ', 'g') AS t FROM documents),
+    w AS (SELECT doc_id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w, list_filter(string_split(upper(t), ' '), lambda x: x <> '') AS u, list_filter(string_split(replace(t, 'of ', 'of laboratories '), ' '), lambda x: x <> '') AS o FROM d)
+    SELECT doc_id, CAST(len(list_filter(w, lambda x: {_AFFILIATED})) AS INTEGER) AS written, CAST(len(list_filter(u, lambda x: {_AFFILIATED})) AS INTEGER) AS capitals, CAST(len(list_filter(o, lambda x: {_AFFILIATED})) AS INTEGER) AS hinted FROM w""",
+)
 def affiliations(spark, folder):
-    kinds = F.array(F.lit("MIT"), F.lit("the United States."), F.lit("Dept of Things"), F.lit("Ada Lovelace"), F.col("c_name"))
-    return _fields(spark, folder).select("c_custkey", authors.is_affiliation(F.get(kinds, (F.col("c_custkey") % 5).cast("int"))).alias("affiliation"))
+    """Words of whole texts that read as affiliations: as written, in capitals (acronyms), and with a hint among them."""
+    plain = F.regexp_replace("text", r"([^a-zA-Z ]|\s)+", " ")
+    found = lambda c: F.size(F.filter(F.split(c, " "), lambda x: (x != "") & authors.is_affiliation(x)))
+    rows = _read(spark, folder, "documents").select("doc_id", plain.alias("t"))
+    hinted = F.replace("t", F.lit("of "), F.lit("of laboratories "))
+    return rows.select("doc_id", found(F.col("t")).alias("written"), found(F.upper("t")).alias("capitals"), found(hinted).alias("hinted"))
 
 
 # ------------------------------------------------------------------ extraction
 
 
-def _papers(spark, folder):
-    body = F.concat(F.lit("A Title\nAda Lovelace (ada@x.edu), Grace Hopper 2 (g@y.org)\nAbstract: the "), "lang", F.lit(" text "), "doc_id", F.lit("\nof it. Keywords: "), "lang", F.lit(" nets; word"), "doc_id", F.lit("\n\nIntroduction rest"))
-    return _read(spark, folder, "documents").select("doc_id", "lang", body.alias("text"))
+_WORDS = r"list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda x: NOT regexp_matches(x, '^ma?c|^doi|" + "|".join((*authors.HINTS, *authors.ORG_WORDS, *RULES.suffixes)) + r"'))"
+_PAPER = rf"""w AS (SELECT doc_id, source, text, {_WORDS} AS every FROM documents), v AS (SELECT *, list_transform(range(0, 5), lambda k: coalesce(every[1 + k * 3], 'word' || chr(CAST(97 + k AS INTEGER)))) AS w FROM w),
+    c AS (SELECT *, list_transform(w, lambda x: upper(x[1]) || x[2:]) AS n FROM v)"""
 
 
-@query("paper_fields", "SELECT doc_id, 'the ' || lang || ' text ' || doc_id || ' of it.' AS abstract, lang || ' nets; word' || doc_id AS keywords FROM documents")
+def _papers(spark, folder):
+    """Every document as a paper: its words as authors and keywords, its first lines as the abstract, all of it as the body."""
+    odd = "|".join((*authors.HINTS, *authors.ORG_WORDS, *RULES.suffixes))
+    every = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)), lambda x: ~x.rlike(f"^ma?c|^doi|{odd}"))
+    rows = _read(spark, folder, "documents").select("doc_id", "source", "text", every.alias("every"))
+    w = [F.coalesce(F.get("every", F.lit(3 * k)), F.lit("word" + "abcde"[k])) for k in range(5)]
+    names = F.concat(F.initcap(w[0]), F.lit(" "), F.initcap(w[1]), F.lit(" 1 ("), w[0], F.lit("@x.edu), "), F.initcap(w[2]), F.lit(" "), F.initcap(w[3]), F.lit(" (b@y.org)"))
+    body = F.concat(F.lit("A Title\n"), names, F.lit("\nAbstract: "), F.array_join(F.slice(F.split("text", "\n"), 1, 2), "\n"), F.lit("\nKeywords: "), w[3], F.lit("learning; "), w[4], F.lit(" "), w[0], F.lit(";\n"), w[1], F.lit("-\n"), w[2], F.lit("\n\nIntroduction "), "text")
+    return rows.select("doc_id", body.alias("text"))
+
+
+@query(
+    "paper_fields",
+    rf"WITH {_PAPER}, a AS (SELECT *, 'Abstract: ' || array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) || chr(10) || 'Keywords:' AS head FROM c) SELECT doc_id, trim(regexp_replace(regexp_extract(head, '(?is)\babstract\s*:?\s*(.*?)\b(?:keywords|topic|introduction)\b', 1), '\s+', ' ', 'g')) AS abstract, w[4] || 'learning; ' || w[5] || ' ' || w[1] || '; ' || w[2] || '- ' || w[3] AS keywords FROM a",
+)
 def paper_fields(spark, folder):
     fields = html.pdf_fields(F.col("text"))
     return _papers(spark, folder).select("doc_id", fields["abstract"].alias("abstract"), fields["keywords"].alias("keywords"))
 
 
-@query("paper_keywords", "SELECT doc_id, lang || ' nets; word' || doc_id AS block, lang || ' nets|word' || doc_id AS keywords, 'Ada Lovelace, Grace Hopper' AS authors FROM documents")
+@query(
+    "paper_keywords",
+    f"WITH {_PAPER} SELECT doc_id, w[4] || 'learning; ' || w[5] || ' ' || w[1] || '; ' || w[2] || '- ' || w[3] AS block, array_to_string(list_transform(list_sort(list_transform(list_distinct([w[4] || ' learning', w[5] || ' ' || w[1], w[2] || w[3]]), lambda k: struct_pack(p := list_position([w[4] || ' learning', w[5] || ' ' || w[1], w[2] || w[3]], k), k := k))), lambda s: s.k), '|') AS keywords, CASE WHEN n[1] || ' ' || n[2] = n[3] || ' ' || n[4] THEN n[1] || ' ' || n[2] ELSE n[1] || ' ' || n[2] || ', ' || n[3] || ' ' || n[4] END AS authors FROM c",
+)
 def paper_keywords(spark, folder):
     own = F.col("text")
     return _papers(spark, folder).select("doc_id", papers.keywords_of(own).alias("block"), F.array_join(papers.keyword_lists(own), "|").alias("keywords"), papers.authors_of(own).alias("authors"))
 
 
-def _made_pages(spark, folder, page):
-    return _read(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), F.lit("http://x.org/list/").alias("url"), page.alias("html"))
+_LINK = '<li><a href="/([^"]*)">([^<]*)</a></li>'
+
+
+def _decoded(c: str) -> str:
+    """Text of HTML: named references read, white space collapsed."""
+    for name, mark in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{mark}')"
+    return rf"trim(regexp_replace({c}, '[\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
 
+_NAV = f"""a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS site, regexp_extract_all(html, '{_LINK}', 1) AS h, regexp_extract_all(html, '{_LINK}', 2) AS t FROM pages),
+    u AS (SELECT page_id, site, {_decoded('h')} AS h, {_decoded('t')} AS t, i FROM (SELECT page_id, site, unnest(h) AS h, unnest(t) AS t, generate_subscripts(h, 1) AS i FROM a))"""
 
-@query("listing_rows", "SELECT doc_id AS page_id, CAST(doc_id AS VARCHAR) AS id, 'P' || doc_id AS poster_number, 'A & title ' || doc_id AS title, 'Jane' AS presenter, lang AS topic, 'http://x.org/poster/?id=' || doc_id AS url FROM documents")
+
+def _pages(spark, folder, *changes):
+    """The pages with parts of their markup changed, as a view of the session's table functions."""
+    page = F.col("html")
+    for old, new in changes:
+        page = F.regexp_replace(page, old, new)
+    return _read(page_functions.register(spark), folder, "pages").select("page_id", "url", page.alias("html"))
+
+
+@query("listing_rows", rf"WITH {_NAV} SELECT page_id, regexp_extract(h, '^[\p{{L}}\p{{N}}_]+') AS id, t AS poster_number, t AS title, h AS presenter, t || ' ' || h AS topic, site || '/poster/?id=' || h AS url FROM u")
 def listing_rows(spark, folder):
-    page = F.concat(F.lit('<table class="listing"><tr><th>n</th></tr><tr><td>P'), "doc_id", F.lit('</td><td><a href="/poster/?id='), "doc_id", F.lit('">A &amp; title\n'), "doc_id", F.lit("</a></td><td>Jane</td><td>"), "lang", F.lit("</td></tr></table>"))
-    schema = "id string, poster_number string, title string, presenter string, topic string, url string"
-    return html.extracted(_made_pages(spark, folder, page).withColumnRenamed("url", "base").withColumn("url", F.col("base")), html.listing, schema)
+    """The navigation of every page as a table of posters."""
+    row = '<tr><td>$2</td><td><a href="/poster/?id=$1">$2</a></td><td>$1</td><td>$2\n$1</td></tr>'
+    pages = _pages(spark, folder, (_LINK, row), ("<(/?)ul>", "<$1table>"))
+    return spark.sql(r"SELECT p.page_id, r.* FROM {pages} p, LATERAL page_listing(p.html, p.url, '/poster/\\?id=', 3) r", pages=pages)
 
 
-@query("paper_listing_rows", "SELECT doc_id AS page_id, CAST(doc_id AS VARCHAR) AS id, 'T ' || doc_id AS title, 'Ann' AS authors, 'http://x.org/list/abstract_' || doc_id || '.pdf' AS url FROM documents")
+@query("paper_listing_rows", rf"WITH {_NAV} SELECT page_id, h AS id, arg_max(t, i) AS title, arg_max(t || ' ' || h, i) AS authors, arg_max(site || '/papers/abstract_' || h || '.pdf', i) AS url FROM u WHERE regexp_matches(h, '^[\p{{L}}\p{{N}}_]+$') GROUP BY page_id, h")
 def paper_listing_rows(spark, folder):
-    page = F.concat(F.lit('<table><tr><td>1</td><td><a href="abstract_'), "doc_id", F.lit('.pdf">T '), "doc_id", F.lit("</a></td><td>Ann</td><td>x</td></tr></table>"))
-    return html.extracted(_made_pages(spark, folder, page), html.paper_listing, "id string, title string, authors string, url string")
+    """The navigation of every page as a table of papers; addresses with other characters than letters and digits are none."""
+    row = '<tr><td>n</td><td>$2</td><td>$2\n$1</td><td><a href="/papers/abstract_$1.pdf">pdf</a></td></tr>'
+    pages = _pages(spark, folder, (_LINK, row), ("<(/?)ul>", "<$1table>"))
+    return spark.sql(r"SELECT p.page_id, r.* FROM {pages} p, LATERAL paper_listing(p.html, p.url, 'abstract_(\\w+)\\.pdf', 4) r", pages=pages)
+
 
+@query("anchor_rows", SQL["page_anchors"])
+def anchor_rows(spark, folder):
+    """``page_anchors`` by a table function."""
+    return spark.sql(r"SELECT p.page_id, r.* FROM {pages} p, LATERAL page_anchors(p.html, p.url, '/(\\w+)$', 1) r", pages=_pages(spark, folder))
 
-@query("detail_fields", "SELECT doc_id AS page_id, 'Title ' || doc_id AS title, rtrim(repeat('word' || doc_id || ' ', 40)) AS abstract, 'Ann1' AS authors, lang || ', two' AS keywords, 'Vision' AS topic_area, 'P' AS presenter, 'http://x.org/p' || doc_id || '.pdf' AS paper FROM documents")
+
+_DETAIL = f"""p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS site, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad, regexp_extract(html, '<footer>([^<]*)', 1) AS foot,
+      regexp_extract_all(html, '{_LINK}', 1) AS h, regexp_extract_all(html, '{_LINK}', 2) AS t, regexp_extract_all(regexp_replace(html, '</?b>|<br>', '', 'g'), '<p>([^<]*)', 1) AS ps FROM pages),
+    q AS (SELECT *, list_transform(ps, lambda x: {_decoded('x')}) AS free FROM p), m AS (SELECT *, list_max(list_transform(free, lambda x: length(x))) AS longest FROM q)"""
+
+
+@query(
+    "detail_fields",
+    f"""WITH {_DETAIL} SELECT page_id, {_decoded('title')} AS title, CASE WHEN longest > 120 THEN list_filter(free, lambda x: length(x) = longest)[1] ELSE '' END AS abstract,
+    CASE WHEN length({_decoded("list_aggregate(list_transform(t, lambda x: x || '1, '), 'string_agg', '')")}) <= 700 THEN {_decoded("list_aggregate(list_transform(t, lambda x: x || '1, '), 'string_agg', '')")} ELSE '' END AS authors,
+    {_decoded('ad')} AS keywords, {_decoded('foot')} AS topic_area, site || '/' || {_decoded('h[1]')} || '.pdf' AS paper FROM m""",
+)
 def detail_fields(spark, folder):
-    page = F.concat(F.lit("<h2>Title "), "doc_id", F.lit('</h2><script>p</script><a href="/p'), "doc_id", F.lit('.pdf">pdf</a><p>Keywords: '), "lang", F.lit(", two</p><p>Topic Area: Vision</p><p>Presenter: P</p><p>Ann<sup>1</sup></p><p>"), F.repeat(F.concat(F.lit("word"), "doc_id", F.lit(" ")), F.lit(40)), F.lit("</p>"))
-    own = lambda page, url: [html.detail(page) | {"paper": html.paper_link(page, url)}]
-    return html.extracted(_made_pages(spark, folder, page), own, "title string, abstract string, authors string, keywords string, topic_area string, presenter string, paper string")
+    """Every page as a detail page: its navigation as authors with papers, its advertisement as keywords, its footer as the topic."""
+    changes = (_LINK, '<a href="/$1.pdf">$2</a><sup>1</sup>, '), ("<nav><ul>", "<p>"), ("</ul></nav>", "</p>"), ('<div class="ad">', "<p>Keywords: "), ("</div>", "</p>"), ("<footer>", "<p>Topic Area: "), ("</footer>", "</p>")
+    return spark.sql("SELECT p.page_id, r.* FROM {pages} p, LATERAL page_detail(p.html, p.url) r", pages=_pages(spark, folder, *changes)).drop("presenter")
 
 
-@query("directory_papers", "SELECT page_id, string_agg(name, '|' ORDER BY name) AS names FROM (SELECT DISTINCT page_id, name FROM (SELECT page_id, unnest(['b' || page_id || '.pdf', 'a.PDF', 'b' || page_id || '.pdf']) AS name FROM pages)) GROUP BY page_id")
+@query("directory_papers", r"""SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(html, 'href="([^"]+)"', 1), lambda x: x <> ''), lambda x: x || '.PDF'))), '|') AS names FROM pages""")
 def directory_papers(spark, folder):
-    page = F.concat(F.lit('<a href="b'), "page_id", F.lit('.pdf">x</a><a href="up.html">y</a><a HREF="a.PDF">z</a><a href="b'), "page_id", F.lit('.pdf">x</a>'))
+    """Every page as a directory of papers."""
+    page = F.regexp_replace("html", 'href="([^"]+)"', 'HREF="$1.PDF"')
     return _read(spark, folder, "pages").select("page_id", F.array_join(html.pdf_links(page), "|").alias("names"))
 
 
 # ------------------------------------------------------------- rows and listings
 
 
-@query("announcements_removed", "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0")
+@query("announcements_removed", rf"WITH {_TITLES}, n AS (SELECT doc_id, regexp_replace(title, '^([^ ]+) ', '[\1 update] ') AS title FROM t) SELECT doc_id, title FROM n WHERE NOT (title LIKE '[% update]%' AND regexp_matches(split_part(title[2:], ' ', 1), '^[A-Za-z0-9_]+$'))")
 def announcements_removed(spark, folder):
-    title = F.when(F.col("doc_id") % 4 == 0, F.lit("[GAC update] news")).otherwise(F.lit("Update on news"))
-    return _read(spark, folder, "documents").where(~build.is_update(title)).select("doc_id")
+    """First lines whose first word stands as a mark of an announcement; a word with other characters than ASCII letters is none."""
+    rows = texts(spark, folder).select("doc_id", F.regexp_replace("title", "^([^ ]+) ", r"[$1 update] ").alias("title"))
+    return rows.where(~build.is_update(F.col("title")))
 
 
 @query("last_by_title", rf"WITH {_TITLES}, k AS (SELECT doc_id, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) AS title_key FROM t) SELECT max(doc_id) AS doc_id, title_key FROM k WHERE title_key <> '' GROUP BY title_key")
