@@ -137,6 +137,35 @@ def keywords_judged(spark, folder):
     return _judged(spark, folder).select("doc_id", *joined, F.array_join(shown, "|").alias("shown"))
 
 
+def _plausible_pair(x: str) -> str:
+    """Two tokens of three letters and more that read as a keyword."""
+    words = f"string_split({x}, ' ')"
+    short = f"length(w) <= CASE WHEN contains(w, '-') THEN {RULES.long_hyphenated} ELSE {RULES.long_word} END"
+    return f"(len({words}) = 2 AND {words}[1] NOT IN ({_quoted({*RULES.first_words, *RULES.particles})}) AND len(list_filter({words}, lambda w: w IN ({_quoted(RULES.verbs)}) OR NOT ({short}))) = 0 AND length({x}) <= {RULES.most_chars})"
+
+
+_MIXED = f"""WITH {_TITLES}, w AS (SELECT doc_id, {_tokens("text")} AS w FROM t),
+    l AS (SELECT doc_id, w, list_transform(range(1, 1 + least(14, len(w) - len(w) % 2), 2), lambda k: w[k] || ' ' || w[k + 1]) AS pairs, list_slice(w, 15, 15 + len(w) % 6) AS singles FROM w),
+    k AS (SELECT doc_id, list_concat(pairs, singles) AS own, len(singles) AS n, list_filter(singles, lambda x: NOT {_plausible_token('x')}) AS odd_single, list_filter(pairs, lambda x: NOT {_plausible_pair('x')} OR length(x) > {RULES.corrupted_chars}) AS odd_pair, list_slice(list_filter(pairs, lambda x: {_plausible_pair('x')} AND length(x) <= {RULES.phrase_chars}), 1, {RULES.most_keywords}) AS few FROM l),
+    c AS (SELECT *, len(own) > {RULES.most_keywords} AND (n >= {RULES.corrupted_singles} * len(own) OR len(odd_single) + len(odd_pair) > 0) AS corrupted, list_filter(own, lambda x: NOT (contains(x, ' ') AND (string_split(x, ' ')[1] IN ({_quoted(RULES.particles)}) AND NOT contains(x, '-') OR string_split(x, ' ')[1] IN ({_quoted(RULES.first_names)}) AND regexp_matches(x, '^[a-z]{{2,14}} [a-z]{{2,14}}$')))) AS nameless FROM k)"""
+
+
+@query(
+    "keyword_lists_mended",
+    f"""{_MIXED} SELECT doc_id, corrupted, array_to_string(CASE WHEN NOT corrupted THEN list_slice(own, 1, {RULES.most_keywords}) WHEN len(few) >= 2 THEN few ELSE [] END, '|') AS compacted,
+    array_to_string(CASE WHEN len(own) >= {RULES.names_from} AND len(nameless) >= {RULES.names_leave} THEN nameless ELSE own END, '|') AS nameless FROM c""",
+)
+def keyword_lists_mended(spark, folder):
+    """Lists of seven pairs and up to six single words of every text: corrupted ones keep phrases only, long ones lose persons."""
+    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9-]{2,})"), F.lit(1)))
+    rows = texts(spark, folder).select("doc_id", F.slice(w, 1, 20).alias("w"), (F.size(w) % 6).alias("more"))
+    pair = lambda k: F.concat(F.get("w", 2 * k), F.lit(" "), F.get("w", 2 * k + 1))
+    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), pair), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", F.concat(pairs, F.slice("w", F.lit(15), F.col("more") + 1)).alias("own"))
+    own = F.col("own")
+    return rows.select("doc_id", keywords.looks_corrupted(own).alias("corrupted"), F.array_join(keywords.compacted(own), "|").alias("compacted"), F.array_join(keywords.without_names(own), "|").alias("nameless"))
+
+
 _LONG = "SELECT conv_id, list(lower(w) ORDER BY turn, i) AS w FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations) GROUP BY 1"
 
 
