@@ -273,8 +273,8 @@ _ASCII = "regexp_replace(regexp_replace(line, '[À-ÖØ-Þ]', 'A', 'g'), '[ß-ö
 @query("author_evidence", rf"WITH {_LINES_OF} SELECT doc_id, sum({_score(_ASCII)}) AS score, count(*) FILTER (trim(line) = '' OR {_score(_ASCII)} < 4) AS thin FROM l GROUP BY doc_id")
 def author_evidence(spark, folder):
     """Points of all lines of a text, and lines that are no list of authors."""
-    own = F.col("line")
-    return _document_lines(spark, folder).groupBy("doc_id").agg(F.sum(authors.block_score(own)).alias("score"), F.count_if(authors.authors_are_thin(own)).alias("thin"))
+    rows = _document_lines(spark, folder).select("doc_id", "line", authors.block_score(F.col("line")).alias("points"))
+    return rows.groupBy("doc_id").agg(F.sum("points").alias("score"), F.count_if(authors.authors_are_thin(F.col("line"), F.col("points"))).alias("thin"))
 
 
 @query(
