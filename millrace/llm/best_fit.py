@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from millrace.llm.work import Work, texts_of, tidy
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 1024, 2
 
-#: Pieces and gaps that one task packs, about; share of its pieces and of its gaps that a task hands on, those of its emptiest sequences.
-LANE, AGAIN = 65_536, 0.25
+#: Pieces and gaps of one range of a sweep, about.
+LANE = 65_536
 #: Lengths of one band differ by this factor at most; longer bands are placed first.
 BAND = 2
 
@@ -47,112 +48,202 @@ def _pieces(capacity: int, end: int) -> Callable:
     return run
 
 
-def best_fit(lengths: np.ndarray, room: np.ndarray, capacity: int, band: float = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(sequence, offset) of each document, the room of each sequence afterwards, and the number of sweeps.
-
-    Bulk-synchronous best fit.  Documents are sorted by length, longest first (their
-    rank), gaps by room.  In a sweep each document of the band asks for its successor, the
-    smallest room that holds it; of those that ask for gaps of one room as many as there are gaps
-    get one each, by rank; the gaps shrink; the others sweep again.  When none of the
-    band finds a gap, as many sequences are opened as its tokens fill.
-    """
-    room, sweeps = room.astype(np.int64), 0
-    order = np.argsort(-lengths, kind="stable")
-    ranked = -lengths[order]
-    sequence, offset = np.full(len(lengths), -1, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-    done = 0
-    while done < len(order):
-        stop = int(np.searchsorted(ranked, ranked[done] / band, side="right"))
-        todo = order[done:stop]
-        done = stop
-        while len(todo):
-            sweeps += 1
-            gaps = np.bincount(room, minlength=capacity + 1)
-            held = np.where(gaps > 0, np.arange(capacity + 1), capacity + 1)
-            successor = np.minimum.accumulate(held[::-1])[::-1][lengths[todo]]
-            asks = successor <= capacity
-            if not asks.any():
-                room = np.append(room, np.full(-(-int(lengths[todo].sum()) // capacity), capacity))
-                continue
-            who, where = todo[asks], successor[asks]
-            by = np.argsort(where, kind="stable")
-            who, where = who[by], where[by]
-            turn = np.arange(len(who)) - np.searchsorted(where, where, side="left")
-            first = turn < gaps[where]
-            who, where, turn = who[first], where[first], turn[first]
-            at = np.argsort(room, kind="stable")[(np.cumsum(gaps) - gaps)[where] + turn]
-            sequence[who], offset[who] = at, capacity - room[at]
-            room[at] -= lengths[who]
-            todo = todo[sequence[todo] < 0]
-    return sequence, offset, room, sweeps
-
-
-_LANE = pa.schema(
-    [("doc_id", pa.int64()), ("uid", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("room", pa.int64()), ("again", pa.bool_())]
+_SWEPT = pa.schema(
+    [(c, pa.int32() if c in ("piece", "range") else pa.int64()) for c in ("doc_id", "uid", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "room", "range", "rank")]
 )
+_SWEPT_DDL = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'long'}" for f in _SWEPT)
+_ITEM = _SWEPT.names[:-2]
+
+
+class Take(NamedTuple):
+    """``pieces`` pieces of one run, from ``piece_from`` on, go into gaps of another, from ``gap_from`` on, ``each`` into a gap (the last may get fewer)."""
+
+    piece_run: int
+    piece_from: int
+    gap_run: int
+    gap_from: int
+    pieces: int
+    each: int
 
+    @property
+    def gaps(self) -> int:
+        return -(-self.pieces // self.each)
 
-def _packed(capacity: int, level: int, last: bool, share: float) -> Callable:
-    """A lane: its pieces (room is null) placed into its gaps (length is null) and into sequences of its own.
 
-    Unless it is the last, the pieces of its own emptiest sequences are handed on,
-    and so are the widest gaps of the other sequences.
+def successors(runs: Iterable[tuple[bool, int, int]]) -> Iterator[Take]:
+    """What one sweep places.  ``runs`` are (is a gap, size, count), by size, largest first, gaps before pieces of their size.
+
+    Every piece asks for its successor, the smallest gap before it that no longer piece has got.
+    Of the pieces of one length that ask for gaps of one room, each gap gets as many as it holds, by
+    rank; the others ask for the next larger gap.  No gap is served twice in a sweep.
     """
+    free: list[list[int]] = []  # run, room, first, count; the smallest room is the last
+    for run, (gap, size, count) in enumerate(runs):
+        if gap:
+            free.append([run, size, 0, count])
+            continue
+        done = 0
+        while done < count and free:
+            at, room, first, left = free[-1]
+            take = Take(run, done, at, first, min(count - done, left * (room // size)), room // size)
+            yield take
+            done += take.pieces
+            free[-1][2:] = first + take.gaps, left - take.gaps
+            if not free[-1][3]:
+                free.pop()
+
+
+def _swept(capacity: int) -> Callable:
+    """One range of a sweep: pieces that find a gap in it are placed, gaps shrink; what is left is ranked within its size."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        gap = table.column("length").is_null()
-        pieces, gaps = table.filter(pc.invert(gap)).sort_by("uid"), table.filter(gap).sort_by("sequence_id")
-        names, old = gaps.column("sequence_id").to_numpy(), gaps.num_rows
-        lengths = pieces.column("length").to_numpy()
-        sequence, offset, room, _ = best_fit(lengths, gaps.column("room").to_numpy(), capacity)
-        names = np.append(names, (level << 56) + (key[0].as_py() << 32) + np.arange(len(room) - old))
-        again, hand_on = np.zeros(len(room), dtype=bool), np.zeros(0, dtype=np.int64)
-        if not last:
-            own = old + np.argsort(-room[old:], kind="stable")
-            held = np.cumsum(np.bincount(sequence, minlength=len(room))[own])
-            again[own[(held <= share * len(lengths)) & (room[own] > 0)]] = True
-            wide = np.argsort(np.where(again, 0, -room), kind="stable")[: int(share * len(lengths))]
-            hand_on = wide[(room[wide] > 0) & ~again[wide]]
-        moved = again[sequence] if len(sequence) else np.zeros(0, dtype=bool)
-        placed = pieces.select(["doc_id", "uid", "piece", "start", "length", "ids_crc32"])
-        for name, column in (("sequence_id", pa.array(names[sequence] if len(sequence) else sequence, mask=moved)), ("offset", pa.array(offset, mask=moved)), ("room", pa.nulls(len(moved), pa.int64())), ("again", pa.array(moved))):
-            placed = placed.append_column(name, column)
-        columns = {"sequence_id": pa.array(names[hand_on]), "room": pa.array(room[hand_on]), "again": pa.array(np.ones(len(hand_on), dtype=bool))}
-        left = pa.table([columns.get(f.name, pa.nulls(len(hand_on), f.type)) for f in _LANE], schema=_LANE)
-        return pa.concat_tables([placed.cast(_LANE), left])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, _SWEPT)
+        if not table.num_rows:
+            return
+        numbers = {c: table.column(c).fill_null(0).to_numpy().copy() for c in ("length", "room", "offset", "sequence_id")}
+        gap = table.column("length").is_null().to_numpy()
+        size = np.where(gap, numbers["room"], numbers["length"])
+        first = np.flatnonzero(np.r_[True, (size[1:] != size[:-1]) | (gap[1:] != gap[:-1])])
+        count = np.diff(np.r_[first, len(size)])
+        left = np.ones(len(size), dtype=bool)
+        for take in successors(zip(gap[first].tolist(), size[first].tolist(), count.tolist(), strict=True)):
+            rank = np.arange(take.pieces)
+            piece = first[take.piece_run] + take.piece_from + rank
+            into = first[take.gap_run] + take.gap_from + rank // take.each
+            length = int(size[piece[0]])
+            numbers["sequence_id"][piece] = numbers["sequence_id"][into]
+            numbers["offset"][piece] = capacity - size[into] + rank % take.each * length
+            held = np.bincount(rank // take.each) * length
+            numbers["room"][into[:: take.each]] -= held
+            left[piece] = left[into] = False
+        before = np.cumsum(left) - left
+        rank = before - np.repeat(before[first], count)
+        columns = {
+            "sequence_id": pa.array(numbers["sequence_id"], mask=left & ~gap),
+            "offset": pa.array(numbers["offset"], mask=left | gap),
+            "room": pa.array(numbers["room"], mask=~gap),
+            "range": pa.array(np.full(len(size), TaskContext.get().partitionId(), dtype=np.int32)),
+            "rank": pa.array(rank, mask=~left),
+        }
+        for name, column in columns.items():
+            table = table.set_column(_SWEPT.get_field_index(name), _SWEPT.field(name), column)
+        yield from table.to_batches(max_chunksize=10_000)
 
     return run
 
 
+def _carried(work: Work, swept: DataFrame, runs: list, takes: list[Take], capacity: int) -> DataFrame:
+    """What a sweep left in its ranges, after gaps of one range have met pieces of later ones: rows as of the sweep, without range and rank."""
+    rows, number = [], 0
+    for t in takes:
+        (_, length, _, piece_range), (_, room, _, gap_range) = runs[t.piece_run], runs[t.gap_run]
+        rows.append((piece_range, length, t.piece_from, t.pieces, t.each, gap_range, room, t.gap_from, t.gaps, number))
+        number += t.gaps
+    names = "t_range int, t_length long, t_from long, t_pieces long, t_each long, g_range int, g_room long, g_from long, g_gaps long, t_number long"
+    plan = work.spark.createDataFrame(rows, names)
+    left = swept.where("rank is not null")
+    asked = left.where("length is not null").join(
+        plan.select("t_range", "t_length", "t_from", "t_pieces", "t_each", "t_number"),
+        F.expr("range = t_range and length = t_length and rank >= t_from and rank < t_from + t_pieces"),
+        "left",
+    )
+    asked = asked.withColumns({"_turn": F.expr("(rank - t_from) % t_each"), "_gap": F.coalesce(F.col("t_number") + F.expr("(rank - t_from) div t_each"), -1 - F.col("uid"))})
+    given = left.where("length is null").join(
+        plan.select("g_range", "g_room", "g_from", "g_gaps", "t_length", "t_pieces", "t_each", "t_number"),
+        F.expr("range = g_range and room = g_room and rank >= g_from and rank < g_from + g_gaps"),
+        "left",
+    )
+    turn = F.col("rank") - F.col("g_from")
+    held = F.coalesce(F.least("t_each", F.col("t_pieces") - turn * F.col("t_each")) * F.col("t_length"), F.lit(0))
+    gaps = given.select(*[F.col(c) for c in _ITEM if c != "room"], (F.col("room") - held).alias("room"))
+    found = given.where("t_number is not null").select((F.col("t_number") + turn).alias("_gap"), F.col("sequence_id").alias("_sequence"), (capacity - F.col("room")).alias("_at"))
+    pieces = asked.join(found, "_gap", "left").withColumns({"sequence_id": F.col("_sequence"), "offset": F.col("_at") + F.col("_turn") * F.col("length")})
+    return pieces.select(*_ITEM).unionByName(gaps.select(*_ITEM))
+
+
+def needed(pieces: Counter, gaps: Counter, capacity: int) -> int:
+    """Sequences that have to be opened for pieces of some lengths, whatever the packing: never more than needed, and one at least where a piece fits no gap."""
+    widest = max(gaps, default=0)
+    least = min(pieces)
+    volume = sum(n * k for n, k in pieces.items()) - sum(r * k for r, k in gaps.items() if r >= least)
+    longer = {n: k for n, k in pieces.items() if n > widest}
+    by_count = -(-sum(longer.values()) // (capacity // min(longer))) if longer else 0
+    wide = sum(k for n, k in pieces.items() if 2 * n > capacity) - sum(k for r, k in gaps.items() if 2 * r > capacity)
+    return max(-(-volume // capacity), by_count, wide, 0)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, lane: int = LANE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of ``docs``.
 
     A document is its ids and ``end``.  One of more than ``capacity`` tokens is cut
     into pieces of ``capacity``, the first of which may be shorter; full pieces
-    fill a sequence each, with negative numbers.  All other pieces are dealt to lanes of
-    about ``lane`` by a hash, so each lane holds all lengths.  In a superstep every lane sorts
-    its pieces and gaps and sweeps them (``best_fit``); pieces of the emptiest sequences and the widest
-    gaps, a quarter at most, meet in fewer lanes in the next one, until one lane is left:
-    no task ever holds more than a lane, and supersteps grow with the logarithm of the corpus.
+    fill a sequence each, with negative numbers.  All other pieces are packed by bulk-synchronous best
+    fit, a band of lengths after another, longest first.  In a sweep the pieces of the band and the gaps that
+    hold any of them are sorted by size over ranges of about ``lane`` rows, a frequent size over several;
+    each range matches its pieces with their successors (``successors``), counts of what is left by range
+    and size tell which gaps of a range meet pieces of later ones, and only these move.  Gaps
+    shrink, and what found none sweeps again; sequences are opened when the band cannot do without (``needed``).
+    The same stages run at every size, and no task holds more than a range.
 
     Null text counts as empty: one piece that holds ``end`` alone.  A very long text is many
     pieces.  Null ids and repeated rows are packed like any other row.  An empty table gives an
     empty result.  Other columns are ignored.
     """
-    work = Work(docs.sparkSession, "pack")
+    spark = docs.sparkSession
+    work = Work(spark, "pack")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = work.keep(source.mapInArrow(tidy(_pieces(capacity, end)), _PIECE), "pieces")
-    none = F.lit(None).cast("long")
-    todo = pieces.where(F.col("length") < capacity).withColumns({"sequence_id": none, "offset": none, "room": none})
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    full = pieces.where(F.col("length") == capacity).select(*columns[:-2], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    schema = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'boolean' if f.type == pa.bool_() else 'long'}" for f in _LANE)
-    out, level, lanes = full, 0, None
-    while lanes != 1:
-        lanes = max(1, -(-todo.count() // lane))
-        key = F.pmod(F.xxhash64(F.coalesce("uid", "sequence_id"), F.lit(level)), F.lit(lanes)).alias("lane")
-        step = work.keep(todo.withColumn("lane", key).groupBy("lane").applyInArrow(_packed(capacity, level, lanes == 1, AGAIN), schema), f"step{level}")
-        out = out.unionByName(step.where("not again").select(*columns))
-        todo = step.where("again").drop("again")
-        level += 1
+    out = pieces.where(F.col("length") == capacity).select(*columns[:-2], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    waiting = Counter({r["length"]: r["count"] for r in pieces.where(F.col("length") < capacity).groupBy("length").count().collect()})
+    blank = {c: F.lit(None).cast("int" if c in ("piece", "range") else "long").alias(c) for c in _SWEPT.names}
+    fill = lambda rows, names: rows.select(*[F.col(c) if c in names else blank[c] for c in _SWEPT.names])
+    rooms: Counter = Counter()
+    gaps, todo, opened = None, None, 0
+    band: Counter = Counter()
+    while waiting or band:
+        if not band:
+            longest = max(waiting)
+            band = Counter({n: k for n, k in waiting.items() if n * BAND > longest})
+            waiting -= band
+            todo = pieces.where(F.col("length").between(min(band), longest))
+        least = min(band)
+        more = needed(band, rooms, capacity)
+        items = fill(todo, _SWEPT.names[:6])
+        if gaps is not None:
+            items = items.unionByName(fill(gaps.where(F.col("room") >= least), ["sequence_id", "room"]))
+        if more:
+            items = items.unionByName(spark.range(opened, opened + more).select(*[blank[c] if c not in ("sequence_id", "room") else F.col("id").alias(c) if c == "sequence_id" else F.lit(capacity).cast("long").alias(c) for c in _SWEPT.names]))
+            opened += more
+            rooms[capacity] += more
+        taking = sum(band.values()) + sum(k for r, k in rooms.items() if r >= least)
+        order = [F.coalesce("room", "length").desc(), F.col("length").isNotNull(), F.xxhash64(F.coalesce("uid", "sequence_id"))]
+        ranged = items.repartitionByRange(max(1, -(-taking // lane)), *order).sortWithinPartitions(*order)
+        swept = work.keep(ranged.mapInArrow(tidy(_swept(capacity)), _SWEPT_DDL), "swept")
+        summary = swept.where("room is not null or rank is not null").groupBy(
+            F.when(F.col("rank").isNotNull(), F.col("range")).alias("range"), F.col("length").isNull().alias("gap"), F.coalesce("room", "length").alias("size")
+        ).count().collect()
+        left = sorted((r for r in summary if r["range"] is not None), key=lambda r: (r["range"], r["gap"], -r["size"]))
+        runs = [(r["gap"], r["size"], r["count"], r["range"]) for r in left]
+        takes = list(successors((g, n, k) for g, n, k, _ in runs))
+        rooms = Counter({r: k for r, k in rooms.items() if r < least})
+        band = Counter()
+        for r in summary:
+            (rooms if r["gap"] else band)[r["size"]] += r["count"]
+        for t in takes:
+            length, room = runs[t.piece_run][1], runs[t.gap_run][1]
+            band[length] -= t.pieces
+            rooms[room] -= t.gaps
+            rooms[room - t.each * length] += t.pieces // t.each
+            if t.pieces % t.each:
+                rooms[room - t.pieces % t.each * length] += 1
+        band, rooms = +band, +rooms
+        after = _carried(work, swept, runs, takes, capacity)
+        if gaps is not None:
+            after = after.unionByName(fill(gaps.where(F.col("room") < least), ["sequence_id", "room"]).select(*_ITEM))
+        carried = work.keep(after, "carried")
+        both = swept.where("rank is null").select(*_ITEM).unionByName(carried)
+        out = out.unionByName(both.where("length is not null and sequence_id is not null").select(*columns))
+        gaps = both.where("room > 0").select("sequence_id", "room")
+        todo = carried.where("length is not null and sequence_id is null").select(*_SWEPT.names[:6])
     return out

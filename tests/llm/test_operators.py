@@ -603,7 +603,7 @@ def check_packing(got, rows, tokenizer, capacity=1024):
 
 
 def test_best_fit_takes_the_smallest_gap():
-    from millrace.llm.best_fit import best_fit
+    from plain_packing import best_fit
 
     rng = random.Random(3)
     lengths = [rng.randint(1, 100) for _ in range(3000)]
@@ -627,14 +627,51 @@ def test_best_fit_takes_the_smallest_gap():
     assert sequence.tolist() == [0, 2, 1] and room.tolist() == [20, 0, 71]
 
 
-def test_packing_in_lanes(spark):
+def test_packing_over_ranges(spark):
+    """A frequent length lies in several ranges; gaps of one range meet pieces of later ones; ranges of any size pack alike."""
     from millrace.llm.best_fit import pack
     from millrace.llm.vocabulary import tokenizer
+    from plain_packing import best_fit
 
-    rows = made() + [(4000 + k, "tok " * (k * 7 % 500)) for k in range(900)]
-    got = pack(table(spark, rows).repartition(5), lane=100).collect()
-    check_packing(got, rows, tokenizer())
-    assert len({r.sequence_id >> 56 for r in got if r.sequence_id >= 0}) > 1
+    rows = made() + [(4000 + k, "tok " * (k * 7 % 500)) for k in range(900)] + [(9000 + k, "tok " * 90) for k in range(400)]
+    counts = []
+    for lane in (100, 65_536):
+        got = pack(table(spark, rows).repartition(5), lane=lane).collect()
+        check_packing(got, rows, tokenizer())
+        counts.append(len({r.sequence_id for r in got}))
+    lengths = np.array([r.length for r in got if r.length < 1024])
+    plain = len(best_fit(lengths, np.zeros(0, np.int64), 1024)[2]) + sum(r.length == 1024 for r in got)
+    assert counts[0] == counts[1] and counts[0] <= plain + 1
+
+
+def test_successors_and_what_is_needed():
+    """One sweep against a plain one that serves each gap once with as many of one length as fit."""
+    from collections import Counter
+
+    from millrace.llm.best_fit import needed, successors
+
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes = [(rng.random() < 0.5, rng.randint(1, 12), rng.randint(1, 6)) for _ in range(rng.randint(0, 12))]
+        runs = sorted(sizes, key=lambda r: (-r[1], not r[0]))
+        free = [[k, r, j] for k, (g, r, n) in enumerate(runs) if g for j in range(n)]
+        want = Counter()
+        for k, (g, size, n) in enumerate(runs):
+            while not g and n and (fits := [f for f in free if f[1] >= size and f[0] < k]):
+                best = min(fits, key=lambda f: (f[1], -f[0], f[2]))
+                free.remove(best)
+                want[k, best[0]] += min(n, best[1] // size)
+                n -= min(n, best[1] // size)
+        got, pieces, gaps = Counter(), set(), set()
+        for t in successors(runs):
+            got[t.piece_run, t.gap_run] += t.pieces
+            new = {(t.piece_run, t.piece_from + j) for j in range(t.pieces)}, {(t.gap_run, t.gap_from + j) for j in range(t.gaps)}
+            assert not new[0] & pieces and not new[1] & gaps
+            pieces, gaps = pieces | new[0], gaps | new[1]
+        assert got == want
+    assert list(successors([])) == []
+    assert needed(Counter({600: 3}), Counter(), 1024) == 3 and needed(Counter({600: 3}), Counter({700: 2}), 1024) == 1
+    assert needed(Counter({300: 7}), Counter(), 1024) == 3 and needed(Counter({300: 2}), Counter({299: 9, 700: 1}), 1024) == 0
 
 
 def test_secret_scan(spark):
