@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -52,7 +53,21 @@ _SWEPT = pa.schema(
     [(c, pa.int32() if c in ("piece", "range") else pa.int64()) for c in ("doc_id", "uid", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "room", "range", "rank")]
 )
 _SWEPT_DDL = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'long'}" for f in _SWEPT)
-_ITEM = _SWEPT.names[:-2]
+_PIECES, _ITEM = _SWEPT.names[:6], _SWEPT.names[:-2]
+
+
+def _filled(names: list[str]) -> list[F.Column]:
+    """The columns of a sweep for rows that have only some of them."""
+    return [F.col(f.name) if f.name in names else F.lit(None).cast("int" if f.type == pa.int32() else "long").alias(f.name) for f in _SWEPT]
+
+
+def _states(sweeps: list[tuple[DataFrame, DataFrame | None]]) -> DataFrame:
+    """Rows as sweeps left them, in one read: of a sweep some of whose rows met others across ranges, those that did not, and the others from their own table."""
+    read = sweeps[0][0].sparkSession.read.schema(_SWEPT_DDL).parquet
+    whole = [s.kept_at for s, c in sweeps if c is None] + [c.kept_at for _, c in sweeps if c is not None]
+    if served := [s.kept_at for s, c in sweeps if c is not None]:
+        return read(*whole).unionByName(read(*served).where("rank is null"))
+    return read(*whole)
 
 
 class Take(NamedTuple):
@@ -132,15 +147,15 @@ def _swept(capacity: int) -> Callable:
     return run
 
 
-def _carried(work: Work, swept: DataFrame, runs: list, takes: list[Take], capacity: int) -> DataFrame:
-    """What a sweep left in its ranges, after gaps of one range have met pieces of later ones: rows as of the sweep, without range and rank."""
+def _carried(swept: DataFrame, runs: list, takes: list[Take], capacity: int) -> DataFrame:
+    """What a sweep left in its ranges, after gaps of one range have met pieces of later ones."""
     rows, number = [], 0
     for t in takes:
         (_, length, _, piece_range), (_, room, _, gap_range) = runs[t.piece_run], runs[t.gap_run]
         rows.append((piece_range, length, t.piece_from, t.pieces, t.each, gap_range, room, t.gap_from, t.gaps, number))
         number += t.gaps
     names = "t_range int, t_length long, t_from long, t_pieces long, t_each long, g_range int, g_room long, g_from long, g_gaps long, t_number long"
-    plan = work.spark.createDataFrame(rows, names)
+    plan = swept.sparkSession.createDataFrame(rows, names)
     left = swept.where("rank is not null")
     asked = left.where("length is not null").join(
         plan.select("t_range", "t_length", "t_from", "t_pieces", "t_each", "t_number"),
@@ -158,7 +173,7 @@ def _carried(work: Work, swept: DataFrame, runs: list, takes: list[Take], capaci
     gaps = given.select(*[F.col(c) for c in _ITEM if c != "room"], (F.col("room") - held).alias("room"))
     found = given.where("t_number is not null").select((F.col("t_number") + turn).alias("_gap"), F.col("sequence_id").alias("_sequence"), (capacity - F.col("room")).alias("_at"))
     pieces = asked.join(found, "_gap", "left").withColumns({"sequence_id": F.col("_sequence"), "offset": F.col("_at") + F.col("_turn") * F.col("length")})
-    return pieces.select(*_ITEM).unionByName(gaps.select(*_ITEM))
+    return pieces.select(*_filled(_ITEM)).unionByName(gaps.select(*_filled(_ITEM)))
 
 
 def needed(pieces: Counter, gaps: Counter, capacity: int) -> int:
@@ -178,11 +193,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     A document is its ids and ``end``.  One of more than ``capacity`` tokens is cut
     into pieces of ``capacity``, the first of which may be shorter; full pieces
     fill a sequence each, with negative numbers.  All other pieces are packed by bulk-synchronous best
-    fit, a band of lengths after another, longest first.  In a sweep the pieces of the band and the gaps that
+    fit, longest first: each sweep takes a further band of lengths.  In a sweep the pieces not yet placed and the gaps that
     hold any of them are sorted by size over ranges of about ``lane`` rows, a frequent size over several;
     each range matches its pieces with their successors (``successors``), counts of what is left by range
     and size tell which gaps of a range meet pieces of later ones, and only these move.  Gaps
-    shrink, and what found none sweeps again; sequences are opened when the band cannot do without (``needed``).
+    shrink, and what found none sweeps again; sequences are opened when the pieces cannot do without (``needed``).
+    Sent to the driver are counts by range and size, at most 1,024 sizes and one more for each range and kind.
     The same stages run at every size, and no task holds more than a range.
 
     Null text counts as empty: one piece that holds ``end`` alone.  A very long text is many
@@ -194,56 +210,52 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = work.keep(source.mapInArrow(tidy(_pieces(capacity, end)), _PIECE), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    out = pieces.where(F.col("length") == capacity).select(*columns[:-2], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full_pieces = pieces.where(F.col("length") == capacity).select(*columns[:-2], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     waiting = Counter({r["length"]: r["count"] for r in pieces.where(F.col("length") < capacity).groupBy("length").count().collect()})
-    blank = {c: F.lit(None).cast("int" if c in ("piece", "range") else "long").alias(c) for c in _SWEPT.names}
-    fill = lambda rows, names: rows.select(*[F.col(c) if c in names else blank[c] for c in _SWEPT.names])
-    rooms: Counter = Counter()
-    gaps, todo, opened = None, None, 0
-    band: Counter = Counter()
+    rooms, band, opened, lowest = Counter(), Counter(), 0, capacity
+    sweeps: list[tuple[DataFrame, DataFrame | None]] = []
     while waiting or band:
-        if not band:
+        # what the last sweep left, and the next band
+        items = []
+        if sweeps:
+            last = _states(sweeps[-1:])
+            items = [last.where(F.col("length").isNotNull() & F.col("sequence_id").isNull()), last.where(F.col("room") >= lowest)]
+        if waiting:
             longest = max(waiting)
-            band = Counter({n: k for n, k in waiting.items() if n * BAND > longest})
-            waiting -= band
-            todo = pieces.where(F.col("length").between(min(band), longest))
-        least = min(band)
-        more = needed(band, rooms, capacity)
-        items = fill(todo, _SWEPT.names[:6])
-        if gaps is not None:
-            items = items.unionByName(fill(gaps.where(F.col("room") >= least), ["sequence_id", "room"]))
-        if more:
-            items = items.unionByName(spark.range(opened, opened + more).select(*[blank[c] if c not in ("sequence_id", "room") else F.col("id").alias(c) if c == "sequence_id" else F.lit(capacity).cast("long").alias(c) for c in _SWEPT.names]))
-            opened += more
-            rooms[capacity] += more
+            new = Counter({n: k for n, k in waiting.items() if n * BAND > longest})
+            waiting, band = waiting - new, band + new
+            items.append(pieces.where(F.col("length").between(min(new), longest)).select(*_filled(_PIECES)))
+        # gaps wait in the table of their sweep until a piece is as short as they are
+        least = min(lowest, min(band))
+        if sweeps and least < lowest:
+            items.append(_states(sweeps).where((F.col("room") >= least) & (F.col("room") < lowest)))
+        if more := needed(band, rooms, capacity):
+            new_gaps = spark.range(opened, opened + more).withColumnsRenamed({"id": "sequence_id"}).withColumn("room", F.lit(capacity).cast("long"))
+            items.append(new_gaps.select(*_filled(["sequence_id", "room"])))
+            opened, rooms[capacity] = opened + more, rooms[capacity] + more
         taking = sum(band.values()) + sum(k for r, k in rooms.items() if r >= least)
         order = [F.coalesce("room", "length").desc(), F.col("length").isNotNull(), F.xxhash64(F.coalesce("uid", "sequence_id"))]
-        ranged = items.repartitionByRange(max(1, -(-taking // lane)), *order).sortWithinPartitions(*order)
+        ranged = reduce(DataFrame.unionByName, items).repartitionByRange(max(1, -(-taking // lane)), *order).sortWithinPartitions(*order)
         swept = work.keep(ranged.mapInArrow(tidy(_swept(capacity)), _SWEPT_DDL), "swept")
-        summary = swept.where("room is not null or rank is not null").groupBy(
-            F.when(F.col("rank").isNotNull(), F.col("range")).alias("range"), F.col("length").isNull().alias("gap"), F.coalesce("room", "length").alias("size")
-        ).count().collect()
-        left = sorted((r for r in summary if r["range"] is not None), key=lambda r: (r["range"], r["gap"], -r["size"]))
+        # counts of what is left by range and size, and of the gaps that were served by size
+        where = F.when(F.col("rank").isNotNull(), F.col("range")).alias("range")
+        found = swept.where("room is not null or rank is not null").groupBy(where, F.col("length").isNull().alias("gap"), F.coalesce("room", "length").alias("size")).count().collect()
+        left = sorted((r for r in found if r["range"] is not None), key=lambda r: (r["range"], r["gap"], -r["size"]))
         runs = [(r["gap"], r["size"], r["count"], r["range"]) for r in left]
-        takes = list(successors((g, n, k) for g, n, k, _ in runs))
-        rooms = Counter({r: k for r, k in rooms.items() if r < least})
-        band = Counter()
-        for r in summary:
+        takes = list(successors(run[:3] for run in runs))
+        rooms, band, lowest = Counter({r: k for r, k in rooms.items() if r < least}), Counter(), least
+        for r in found:
             (rooms if r["gap"] else band)[r["size"]] += r["count"]
         for t in takes:
             length, room = runs[t.piece_run][1], runs[t.gap_run][1]
+            full, rest = divmod(t.pieces, t.each)
             band[length] -= t.pieces
             rooms[room] -= t.gaps
-            rooms[room - t.each * length] += t.pieces // t.each
-            if t.pieces % t.each:
-                rooms[room - t.pieces % t.each * length] += 1
+            rooms[room - t.each * length] += full
+            rooms[room - rest * length] += rest > 0
         band, rooms = +band, +rooms
-        after = _carried(work, swept, runs, takes, capacity)
-        if gaps is not None:
-            after = after.unionByName(fill(gaps.where(F.col("room") < least), ["sequence_id", "room"]).select(*_ITEM))
-        carried = work.keep(after, "carried")
-        both = swept.where("rank is null").select(*_ITEM).unionByName(carried)
-        out = out.unionByName(both.where("length is not null and sequence_id is not null").select(*columns))
-        gaps = both.where("room > 0").select("sequence_id", "room")
-        todo = carried.where("length is not null and sequence_id is null").select(*_SWEPT.names[:6])
-    return out
+        sweeps.append((swept, work.keep(_carried(swept, runs, takes, capacity), "carried") if takes else None))
+    if not sweeps:
+        return full_pieces
+    placed = _states(sweeps).where(F.col("length").isNotNull() & F.col("sequence_id").isNotNull())
+    return full_pieces.unionByName(placed.select(*columns))
