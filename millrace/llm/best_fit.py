@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -149,13 +150,14 @@ def _swept(capacity: int) -> Callable:
 
 def _carried(swept: DataFrame, runs: list, takes: list[Take], capacity: int) -> DataFrame:
     """What a sweep left in its ranges, after gaps of one range have met pieces of later ones."""
+    names = ("t_range", "t_length", "t_from", "t_pieces", "t_each", "g_range", "g_room", "g_from", "g_gaps", "t_number")
     rows, number = [], 0
     for t in takes:
         (_, length, _, piece_range), (_, room, _, gap_range) = runs[t.piece_run], runs[t.gap_run]
-        rows.append((piece_range, length, t.piece_from, t.pieces, t.each, gap_range, room, t.gap_from, t.gaps, number))
+        values = (piece_range, length, t.piece_from, t.pieces, t.each, gap_range, room, t.gap_from, t.gaps, number)
+        rows.append(dict(zip(names, values, strict=True)))
         number += t.gaps
-    names = "t_range int, t_length long, t_from long, t_pieces long, t_each long, g_range int, g_room long, g_from long, g_gaps long, t_number long"
-    plan = swept.sparkSession.createDataFrame(rows, names)
+    plan = swept.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<" + ",".join(f"{n}:bigint" for n in names) + ">>")))
     left = swept.where("rank is not null")
     asked = left.where("length is not null").join(
         plan.select("t_range", "t_length", "t_from", "t_pieces", "t_each", "t_number"),
