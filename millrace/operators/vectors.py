@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -53,13 +54,59 @@ def _counted(stop_words: tuple[str, ...]) -> Callable:
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, rows, uses) summed over each batch; a term stands once in a row."""
+#: Sums of uses kept while terms are counted: as many, in blocks of so many.
+SUMS, SUM_BLOCK = 1 << 20, 1 << 16
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, sums) of a task: uses of all terms that a hash puts together."""
+    sums = np.zeros(SUMS, np.int64)
+    for batch in batches:
+        sums += np.bincount(batch.column("at").flatten().to_numpy(), batch.column("counts").flatten().to_numpy(), minlength=SUMS).astype(np.int64)
+    blocks = [k for k in range(SUMS // SUM_BLOCK) if sums[k * SUM_BLOCK : (k + 1) * SUM_BLOCK].any()]
+    for k in blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([sums[k * SUM_BLOCK : (k + 1) * SUM_BLOCK].tobytes()])], ["block", "sums"])
+
+
+def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SUM_BLOCK, np.int64)
     for batch in batches:
-        flat = batch.column("terms").flatten().dictionary_encode()
-        code, size = flat.indices.to_numpy(), len(flat.dictionary)
-        uses = np.bincount(code, batch.column("counts").flatten().to_numpy(), minlength=size).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([flat.dictionary.cast(pa.string()), pa.array(np.bincount(code, minlength=size)), pa.array(uses)], ["term", "df", "cf"])
+        for sums in batch.column("sums"):
+            total += np.frombuffer(sums.as_py(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()])], ["block", "sums"])
+
+
+def _frequencies(wanted: np.ndarray) -> Callable:
+    """(term, rows, uses) summed over each batch, of terms whose sum is ``wanted``; a term stands once in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = wanted[batch.column("at").flatten().to_numpy()]
+            flat = batch.column("terms").flatten().filter(pa.array(use)).dictionary_encode()
+            code, size = flat.indices.to_numpy(), len(flat.dictionary)
+            uses = np.bincount(code, batch.column("counts").flatten().to_numpy()[use], minlength=size).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([flat.dictionary.cast(pa.string()), pa.array(np.bincount(code, minlength=size)), pa.array(uses)], ["term", "df", "cf"])
+
+    return run
+
+
+def _vocabulary(counts: DataFrame, total: int, most: int, fewest: int, share: float) -> pd.DataFrame:
+    """(term, df) of the ``most`` terms of highest corpus frequency.
+
+    No term has more uses than its sum, so terms whose sum stays below a floor need not be shuffled.  The floor is a guess
+    from the sums; where fewer than ``most`` terms reach it, it is lowered, to 0 at last, so the result is exact.
+    """
+    own = counts.select("terms", "counts", F.transform("terms", lambda t: F.xxhash64(t).bitwiseAND(F.lit(SUMS - 1)).cast("int")).alias("at"))
+    sums = np.zeros(SUMS, np.int64)
+    for row in own.select("at", "counts").mapInArrow(_uses, "block long, sums binary").groupBy("block").applyInArrow(_added, "block long, sums binary").toLocalIterator():
+        sums[row.block * SUM_BLOCK : (row.block + 1) * SUM_BLOCK] = np.frombuffer(row.sums, np.int64)
+    floor = int(max(0, 0.9 * (np.sort(sums)[-min(most, SUMS)] - 2 * np.median(sums))))
+    while True:
+        about = own.mapInArrow(_frequencies(sums >= max(floor, 1)), "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        found = about.where((F.col("cf") >= floor) & (F.col("df") >= fewest) & (F.col("df") <= share * total)).orderBy(F.desc("cf"), "term").limit(most).select("term", "df").toPandas()
+        if len(found) >= most or not floor:
+            return found
+        floor = floor // 4 if floor > 8 else 0
 
 
 def _weighed(names: list[str], idf: np.ndarray, lists_only: bool = False) -> Callable:
@@ -92,19 +139,19 @@ def _tfidf(docs: DataFrame, id_col: str, text_col: str, most: int, fewest: int,
     kind = docs.schema[id_col].dataType.simpleString()
     counts = work.keep(docs.select(id_col, words(F.col(text_col)).alias("words")).mapInArrow(_counted(stop_words), f"`{id_col}` {kind}, terms array<string>, counts array<int>"), "counts")
     total = counts.count()
-    each = counts.select("terms", "counts").mapInArrow(_frequencies, "term string, df long, cf long")
-    about = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-    vocabulary = about.where((F.col("df") >= fewest) & (F.col("df") <= share * total)).orderBy(F.desc("cf"), "term").limit(most).select("term", "df").toPandas()
+    vocabulary = _vocabulary(counts, total, most, fewest, share)
     idf = np.log((1 + total) / (1 + vocabulary["df"].to_numpy(dtype=float))) + 1
     schema = "terms array<string>, weights array<double>" if lists_only else "term string, weight double"
-    return counts.mapInArrow(_weighed(vocabulary["term"].tolist(), idf, lists_only), f"`{id_col}` {kind}, {schema}")
+    out = counts.mapInArrow(_weighed(vocabulary["term"].tolist(), idf, lists_only), f"`{id_col}` {kind}, {schema}")
+    out.kept_at = counts.kept_at
+    return out
 
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS, fewest: int = FEWEST_DOCS, share: float = MOST_SHARE, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(id, term, weight): 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, each row to length 1.
 
     Texts are read once: each row's terms are counted inside it and written below the working folder;
-    only (term, rows, uses) is shuffled.  The vocabulary holds the ``most`` terms of highest
+    only (term, rows, uses) of terms that may be in the vocabulary is shuffled.  The vocabulary holds the ``most`` terms of highest
     corpus frequency among those of medium document frequency, so it is small enough to be sent to
     all tasks, and weights and lengths come from one row each.
 
@@ -115,7 +162,7 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
 
 
 def tfidf_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS, fewest: int = FEWEST_DOCS, share: float = MOST_SHARE, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(id, terms, weights): ``tfidf`` as one row for each row of ``docs``, whose lists are empty where it has no terms."""
+    """(id, terms, weights): ``tfidf`` as one row for each row of ``docs``, whose lists are empty where it has no terms; it reads a working table (``kept_at``)."""
     return _tfidf(docs, id_col, text_col, most, fewest, share, stop_words, True)
 
 
