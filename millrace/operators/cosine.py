@@ -11,11 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.tables import Work
+from millrace.operators.ranks import numbered
+from millrace.tables import Work, scratch
 
 NEIGHBOURS = 15
-#: Rows of a block, about; sampled pivots at most; blocks whose bounds are sent to tasks at one time; rows of a tile.
-BLOCK, PIVOTS, BOUNDS, TILE = 2000, 256, 256, 500
+#: Rows of a block, about, and of a tile's side; sampled pivots at most; blocks whose bounds are sent to tasks at one time; rows and numbers of a product.
+BLOCK, SIDE, PIVOTS, BOUNDS, TILE, NUMBERS = 2000, 8000, 256, 256, 1000, 4_000_000
+#: How often a round of tiles sends each block, on average; blocks that any round may send.
+COPIES, FEW = 2, 32
 #: Similarities are rounded to so many digits; equal ones are ties.
 DIGITS = 9
 
@@ -72,66 +75,148 @@ def bounds(rows: Sparse, blocks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndar
     return out
 
 
-def products(a: Sparse, b: Sparse) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Cosines of tiles of rows of ``a`` and of ``b``, rounded, over the terms that both have."""
-    for lo in range(0, len(a), TILE):
-        hi = min(lo + TILE, len(a))
-        own = np.unique(a.term[a.edge[lo] : a.edge[hi]])
-        for at in range(0, len(b), TILE):
-            stop = min(at + TILE, len(b))
-            shared = np.intersect1d(own, b.term[b.edge[at] : b.edge[stop]])
-            yield lo, at, np.round(a.dense(shared, lo, hi) @ b.dense(shared, at, stop).T, DIGITS)
+def _best(k: int, row: np.ndarray, other: np.ndarray, similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` entries of each row of highest similarity, equal ones by ``other``, sorted by row."""
+    order = np.lexsort((other, -similarity, row))
+    row = row[order]
+    use = np.arange(len(row)) - np.searchsorted(row, row) < k
+    kept, order = row[use], order[use]
+    return kept, other[order], similarity[order]
+
+
+class _Near:
+    """The nearest others found for the rows of a block, and the similarity that a further one has to reach."""
+
+    def __init__(self, rows: int, k: int, floor: np.ndarray | None = None):
+        self.k, self.floor = k, np.zeros(rows) if floor is None else floor.copy()
+        self.row, self.other, self.similarity = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, row: np.ndarray, other: np.ndarray, similarity: np.ndarray) -> None:
+        use = (similarity > 0) & (similarity >= self.floor[row])
+        parts = (self.row, row[use]), (self.other, other[use]), (self.similarity, similarity[use])
+        self.row, self.other, self.similarity = _best(self.k, *map(np.concatenate, parts))
+        last = np.flatnonzero(np.arange(len(self.row)) - np.searchsorted(self.row, self.row) == self.k - 1)
+        self.floor[self.row[last]] = np.maximum(self.floor[self.row[last]], self.similarity[last])
+
+
+class _Block:
+    """Rows of a block with their terms as codes of the block's own terms."""
+
+    def __init__(self, rows: Sparse, cids: np.ndarray):
+        self.rows, self.cids = rows, cids
+        self.terms, self.code = np.unique(rows.term, return_inverse=True)
+        self.row = np.repeat(np.arange(len(rows)), np.diff(rows.edge))
+        self.most = np.zeros(len(self.terms))
+        np.maximum.at(self.most, self.code, rows.weight)
+
+    def reach(self, own: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """``bounds`` of each row in a block with which it shares the terms ``own``, whose largest weights are ``most``."""
+        by_code = np.zeros(len(self.terms))
+        by_code[own] = most
+        weight, hit = self.rows.weight, (by_code > 0)[self.code]
+        sums = [np.bincount(self.row, x, minlength=len(self.rows)) for x in (weight * by_code[self.code], np.where(hit, weight * weight, 0.0))]
+        return np.minimum(sums[0], np.sqrt(sums[1]))
+
+    def dense(self, column: np.ndarray, width: int, rows: np.ndarray) -> np.ndarray:
+        """Some rows over ``width`` columns; ``column`` tells that of each code, -1 for none."""
+        place = np.full(len(self.rows), -1)
+        place[rows] = np.arange(len(rows))
+        row, at = place[self.row], column[self.code]
+        hit = (row >= 0) & (at >= 0)
+        out = np.zeros((len(rows), width))
+        out[row[hit], at[hit]] = self.rows.weight[hit]
+        return out
 
 
-class _Top:
-    """The ``k`` columns of highest value of each row, by value and then by order; values at or below the floor do not count."""
+def _reaching(value: np.ndarray, floor: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Where values, each within ``slack`` of the truth, may be among the ``k`` highest of their row and reach its floor."""
+    hit = (value > 0) & (value >= (floor - slack)[:, None].astype(np.float32))
+    if (many := np.flatnonzero(hit.sum(axis=1) > 4 * k)).size:
+        least = np.partition(value[many], -k, axis=1)[:, -k]
+        hit[many] &= value[many] >= (least - 2 * np.float32(slack))[:, None]
+    return hit
 
-    def __init__(self, rows: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor
-        self.value, self.column = np.full((rows, k), -1.0), np.full((rows, k), -1, dtype=np.int64)
 
-    def add(self, lo: int, columns: np.ndarray, values: np.ndarray) -> None:
-        """``columns`` of ascending order, later than those before."""
-        part = slice(lo, lo + len(values))
-        value = np.hstack([self.value[part], np.where(values > 0, values, -1.0)])
-        column = np.hstack([self.column[part], np.broadcast_to(columns, values.shape)])
-        best = np.argsort(-value, axis=1, kind="stable")[:, : self.k]
-        self.value[part], self.column[part] = np.take_along_axis(value, best, 1), np.take_along_axis(column, best, 1)
+def _multiplied(a: _Block, b: _Block, of_a: _Near, of_b: _Near | None, rows: tuple[np.ndarray, np.ndarray], columns: tuple[np.ndarray, np.ndarray, int]) -> None:
+    """Cosines of some rows of two blocks: products in single precision tell what may count, which is computed in double precision.
 
-    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, at = np.nonzero((self.value > 0) & (self.value >= self.floor[:, None]))
-        return row, self.column[row, at], self.value[row, at]
+    ``of_b`` is None for a block with itself, where no row is its own neighbour.
+    """
+    width = columns[2]
+    step = int(max(16, min(TILE, NUMBERS // max(width, 1))))
+    slack = (width + 2) * 2.0**-22 + 10.0**-DIGITS  # twice what rounding of rows of length 1 and of their products can add up to
+    for at in range(0, len(rows[1]), step):
+        right = rows[1][at : at + step]
+        y = b.dense(columns[1], width, right)
+        y32 = y.astype(np.float32)
+        for lo in range(0, len(rows[0]), step):
+            left = rows[0][lo : lo + step]
+            x = a.dense(columns[0], width, left)
+            value = x.astype(np.float32) @ y32.T
+            if of_b is None:
+                value[left[:, None] == right[None]] = -1.0
+            hit = _reaching(value, of_a.floor[left], of_a.k, slack)
+            if of_b is not None:
+                hit |= _reaching(value.T, of_b.floor[right], of_b.k, slack).T
+            i, j = np.nonzero(hit)
+            each = max(1, NUMBERS // max(width, 1))
+            exact = [np.einsum("ij,ij->i", x[i[s : s + each]], y[j[s : s + each]]) for s in range(0, len(i), each)]
+            exact = np.round(np.concatenate([np.zeros(0), *exact]), DIGITS)
+            of_a.add(left[i], b.cids[right[j]], exact)
+            if of_b is not None:
+                of_b.add(right[j], a.cids[left[i]], exact)
+
+
+def _meet(a: _Block, b: _Block, of_a: _Near, of_b: _Near) -> None:
+    """Two blocks: rows whose bound in the other block reaches what they have already, against all of the other."""
+    _, at_a, at_b = np.intersect1d(a.terms, b.terms, assume_unique=True, return_indices=True)
+    need = [x.reach(own, y.most[other]) >= np.maximum(of.floor - 10.0**-DIGITS, 1e-300) for x, own, y, other, of in ((a, at_a, b, at_b, of_a), (b, at_b, a, at_a, of_b))]
+    columns = [np.full(len(x.terms), -1) for x in (a, b)]
+    for c, at in zip(columns, (at_a, at_b), strict=True):
+        c[at] = np.arange(len(at))
+    whole = np.arange(len(b.rows))
+    for rows in ((np.flatnonzero(need[0]), whole), (np.flatnonzero(~need[0]), np.flatnonzero(need[1]))):
+        if len(rows[0]) and len(rows[1]):
+            _multiplied(a, b, of_a, of_b, rows, (*columns, len(at_a)))
 
 
 _FOUND = "cid long, other long, similarity double"
-_BLOCK = "block long, cids array<long>, edge array<long>, terms array<long>, weights array<double>, least array<double>, bound_terms array<long>, bounds array<double>"
+_BLOCK = "block long, cids array<long>, edge array<long>, terms array<long>, weights array<double>, bound_terms array<long>, bounds array<double>"
+_NEAR = "block long, cids array<long>, row array<long>, other array<long>, similarity array<double>, floor array<double>"
+_KINDS = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
-def _rows_of(row: dict) -> Sparse:
-    return Sparse(*(np.array(row[c], dtype=t) for c, t in (("edge", np.int64), ("terms", np.int64), ("weights", np.float64))))
+def _table(schema: str, rows: list[list]) -> pa.Table:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    return pa.table([pa.array([r[k] for r in rows], _KINDS[kind]) for k, kind in enumerate(kinds)], names=list(names))
 
 
-def _pairs(cids: list[np.ndarray], found: tuple) -> pa.Table:
-    row, column, value = found
-    return pa.table([pa.array(cids[0][row]), pa.array(cids[1][column]), pa.array(value)], names=[f.split()[0] for f in _FOUND.split(", ")])
+def _list(table: pa.Table, name: str, row: int) -> np.ndarray:
+    return table.column(name)[row].values.to_numpy(zero_copy_only=False)
 
 
-def _home(k: int):
-    """A block: its rows, the k-th similarity of each inside it, and its bounds."""
+def _block_of(table: pa.Table, row: int) -> _Block:
+    return _Block(Sparse(*(_list(table, c, row) for c in ("edge", "terms", "weights"))), _list(table, "cids", row))
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("place").combine_chunks()
-        rows = Sparse.of(table.column("t").combine_chunks(), table.column("w").combine_chunks())
-        top = _Top(len(rows), k, np.zeros(len(rows)))
-        for lo, at, value in products(rows, rows):
-            if lo == at:
-                np.fill_diagonal(value, -1.0)
-            top.add(lo, np.arange(at, at + value.shape[1]), value)
-        terms, most = rows.largest()
-        least = np.maximum(top.value[:, -1], 0.0)
-        values = [key[0].as_py(), table.column("cid").to_pylist(), rows.edge, rows.term, rows.weight, least, terms, most]
-        kinds = [pa.int64(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())]]
-        return pa.table([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=[f.split()[0] for f in _BLOCK.split(", ")])
+
+def _gathered(key: tuple, table: pa.Table) -> pa.Table:
+    """A block of its rows, in order of ``cid``."""
+    table = table.sort_by("cid").combine_chunks()
+    rows = Sparse.of(table.column("t").combine_chunks(), table.column("w").combine_chunks())
+    return _table(_BLOCK, [[key[0].as_py(), table.column("cid").to_numpy(), rows.edge, rows.term, rows.weight, *rows.largest()]])
+
+
+def _within(k: int):
+    """The nearest others of each row inside its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for at in range(len(table)):
+                own = _block_of(table, at)
+                near, every = _Near(len(own.rows), k), np.arange(len(own.rows))
+                _multiplied(own, own, near, None, (every, every), (*[np.arange(len(own.terms))] * 2, len(own.terms)))
+                yield from _table(_NEAR, [[table.column("block")[at].as_py(), own.cids, near.row, near.other, near.similarity, near.floor]]).to_batches()
 
     return run
 
@@ -141,48 +226,55 @@ def _wanted(blocks: list[tuple[int, np.ndarray, np.ndarray]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                need = (bounds(_rows_of(row), [b[1:] for b in blocks]) >= np.maximum(np.array(row["least"])[:, None] - 10.0**-DIGITS, 1e-300)).any(axis=0)
-                pairs = [(min(row["block"], b[0]), max(row["block"], b[0])) for b, wanted in zip(blocks, need, strict=True) if wanted and b[0] != row["block"]]
-                yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs], pa.int64()) for j in (0, 1)], ["a", "b"])
+            table, pairs = pa.Table.from_batches([batch]), []
+            for at in range(len(table)):
+                own, name, floor = _block_of(table, at), table.column("block")[at].as_py(), _list(table, "floor", at)
+                for block, terms, most in blocks:
+                    _, mine, other = np.intersect1d(own.terms, terms, assume_unique=True, return_indices=True)
+                    if block != name and (own.reach(mine, most[other]) >= np.maximum(floor - 10.0**-DIGITS, 1e-300)).any():
+                        pairs.append((min(name, block), max(name, block)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _within(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows, cids = _rows_of(row), np.array(row["cids"], dtype=np.int64)
-                top = _Top(len(rows), k, np.array(row["least"]))
-                for lo, at, value in products(rows, rows):
-                    if lo == at:
-                        np.fill_diagonal(value, -1.0)
-                    top.add(lo, np.arange(at, at + value.shape[1]), value)
-                yield from _pairs([cids, cids], top.found()).to_batches()
+def _tile(k: int):
+    """The pairs of blocks of a tile: for each of its blocks the others found that may be among the nearest."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        names = table.column("block").to_pylist()
+        filled = pc.is_valid(table.column("terms")).to_pylist()
+        blocks = {names[at]: _block_of(table, at) for at in range(len(table)) if filled[at]}
+        nears = {names[at]: _Near(len(blocks[names[at]].rows), k, _list(table, "floor", at)) for at in range(len(table)) if not filled[at]}
+        pairs = sorted({(min(n, o), max(n, o)) for at, n in enumerate(names) if filled[at] for o in table.column("meets")[at].as_py()})
+        for a, b in pairs:
+            _meet(blocks[a], blocks[b], nears[a], nears[b])
+        return _table(_NEAR, [[n, blocks[n].cids, near.row, near.other, near.similarity, near.floor] for n, near in nears.items()])
 
     return run
 
 
-def _between(k: int):
-    """Of two blocks, for each row of either the rows of the other that reach its k-th similarity so far."""
+def _merged(k: int):
+    """What was found for a block before and in the tiles of a round."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sides = [row["one"], row["two"]]
-                a, b = map(_rows_of, sides)
-                cids = [np.array(s["cids"], dtype=np.int64) for s in sides]
-                tops = [_Top(len(x), k, np.array(s["least"])) for x, s in zip((a, b), sides, strict=True)]
-                for lo, at, value in products(a, b):
-                    tops[0].add(lo, np.arange(at, at + value.shape[1]), value)
-                    tops[1].add(at, np.arange(lo, lo + value.shape[0]), value.T)
-                yield from _pairs(cids, tops[0].found()).to_batches()
-                yield from _pairs(cids[::-1], tops[1].found()).to_batches()
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        cids = _list(table, "cids", 0)
+        near = _Near(len(cids), k)
+        near.add(*(np.concatenate([_list(table, c, at) for at in range(len(table))]) for c in ("row", "other", "similarity")))
+        return _table(_NEAR, [[key[0].as_py(), cids, near.row, near.other, near.similarity, near.floor]])
 
     return run
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for at in range(len(table)):
+            cids = _list(table, "cids", at)
+            yield pa.RecordBatch.from_arrays([pa.array(cids[_list(table, "row", at)]), pa.array(_list(table, "other", at)), pa.array(_list(table, "similarity", at))], [f.split()[0] for f in _FOUND.split(", ")])
+
+
 def _dealt(pivots: list[tuple[np.ndarray, np.ndarray]]):
     terms = np.unique(np.concatenate([t for t, _ in pivots])) if pivots else np.zeros(0, np.int64)
     matrix = np.zeros((len(terms), len(pivots)), dtype=np.float32)
@@ -198,65 +290,116 @@ def _dealt(pivots: list[tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def nearest_texts(rows: DataFrame, id_col: str = "doc_id", k: int = NEIGHBOURS, block: int = BLOCK, seed: int = 42) -> DataFrame:
+def _rounds(sizes: list[tuple[int, int]], pairs: list[tuple[int, int]], block: int) -> list[list[tuple[int, int, list[int]]]]:
+    """Rounds of (block, tile, blocks it meets there): the pairs of blocks that each tile of two runs of neighbouring blocks holds.
+
+    A run has about ``SIDE`` rows, so a block is sent once for each ``SIDE`` rows of those it meets; a round ends when it has
+    sent every block ``COPIES`` times on average, so what it shuffles is in proportion to the table.
+    """
+    total, run_of, rows, run = sum(n for _, n in sizes), {}, 0, 0
+    side = min(SIDE * block // BLOCK, max(block, total // 8))
+    for name, n in sizes:
+        if rows and rows + n > side:
+            rows, run = 0, run + 1
+        run_of[name], rows = run, rows + n
+    runs, tiles = run + 1, {}
+    for a, b in pairs:
+        tiles.setdefault((run_of[a], run_of[b]), []).append((a, b))
+    out, sent = [[]], 0
+    # tiles of one sum of runs share no run, so they are spread evenly over the blocks
+    for tile in sorted(tiles, key=lambda t: ((t[0] + t[1]) % runs, t)):
+        meets: dict[int, list[int]] = {}
+        for a, b in tiles[tile]:
+            meets.setdefault(a, []).append(b)
+            meets.setdefault(b, [])
+        if sent and sent + len(meets) > max(COPIES * len(sizes), FEW):
+            out, sent = [*out, []], 0
+        out[-1] += [(name, tile[0] * runs + tile[1], other) for name, other in meets.items()]
+        sent += len(meets)
+    return [r for r in out if r]
+
+
+def _between(work: Work, blocks: DataFrame, near: DataFrame, k: int, block: int) -> DataFrame:
+    """``near`` (what each block found inside itself) with what the other blocks hold, in rounds of tiles."""
+    spark, sizes = work.spark, [(r.block, r.n) for r in blocks.select("block", F.size("cids").alias("n")).orderBy("block").collect()]
+    wanted = []
+    for lo in range(0, len(sizes), BOUNDS):
+        chunk = blocks.where(F.col("block").isin([name for name, _ in sizes[lo : lo + BOUNDS]])).select("block", "bound_terms", "bounds").collect()
+        sent = [(r.block, np.array(r.bound_terms), np.array(r.bounds)) for r in chunk]
+        floors = near.select("block", "floor")
+        wanted.append(work.keep(blocks.select("block", "cids", "edge", "terms", "weights").join(floors, "block").mapInArrow(_wanted(sent), "a long, b long"), "wanted"))
+    pairs = sorted({(r.a, r.b) for kept in wanted for r in kept.distinct().collect()})
+    for sends in _rounds(sizes, pairs, block):
+        plan = work.keep(spark.createDataFrame(sends, "block long, tile long, meets array<long>"), "plan")
+        rows = blocks.select("block", "cids", "edge", "terms", "weights", F.lit(None).cast("array<double>").alias("floor"))
+        floors = near.select("block", *[F.lit(None).cast(t).alias(c) for c, t in (("cids", "array<long>"), ("edge", "array<long>"), ("terms", "array<long>"), ("weights", "array<double>"))], "floor")
+        tiles = rows.join(plan, "block").unionByName(floors.join(plan, "block"))
+        dealt = tiles.repartition(2 * len({tile for _, tile, _ in sends}), "tile")  # a tile is much work on few bytes
+        found = dealt.groupBy("tile").applyInArrow(_tile(k), _NEAR)
+        found = work.keep(found, "found")
+        merged = work.keep(near.unionByName(found).groupBy("block").applyInArrow(_merged(k), _NEAR), "near")
+        work.drop(plan, found, near)
+        near = merged
+    return near
+
+
+def nearest_texts(rows: DataFrame, id_col: str = "doc_id", k: int = NEIGHBOURS, block: int = BLOCK, seed: int = 42, once: bool = False) -> DataFrame:
     """(uid, id, rank, other_uid, other, similarity): for every row of (id, terms, weights) the ``k`` others of highest cosine above 0.
 
     Exact, whatever the number of rows.  Equal rows are one class, of which the first ``k + 1`` members by id are kept, so a group of copies
     of any size is compared once.  Classes are dealt to blocks of about ``block`` near a sampled pivot (which costs time where it errs, never a
     neighbour).  Each block first finds its rows' neighbours inside it; the k-th similarity of a row is then the
-    least that another block must offer.  Two blocks meet only where the bounds of one allow that to a row of the other,
-    which keeps apart what shares few or light terms (languages, say); the others are multiplied in tiles, a pair of blocks to a task.
+    least that another block must offer.  Two blocks meet only where the bounds of one allow that to a row of the other, and there only such rows are multiplied,
+    which keeps apart what shares few or light terms (languages, say).  Blocks meet in tiles, a bounded number of rows on either side; tiles are worked off in rounds, each of which
+    shuffles the table a fixed number of times and keeps ``k`` others a row, so disk grows with the table, while time grows with the square of what bounds can't tell apart.
 
     Weights must be 0 or more, rows of length 1 at most, terms distinct in a row.  Equal similarities (to ``DIGITS`` digits) rank by id, then by place in the table. Null ids come last.
     Repeated rows are rows of their own and neighbours of each other; rows without terms have no neighbours and are none.  An empty table gives an
-    empty result.  Other columns are ignored.
+    empty result.  Other columns are ignored.  With ``once`` the working table that ``rows`` comes from (``kept_at``) is deleted when it has been read.
     """
+    out = Work(rows.sparkSession, "neighbours")
+    with scratch():
+        return _nearest(out, rows, id_col, k, block, seed, once)
+
+
+def _nearest(out: Work, rows: DataFrame, id_col: str, k: int, block: int, seed: int, once: bool) -> DataFrame:
     work = Work(rows.sparkSession, "cosine")
-    kind = rows.schema[id_col].dataType.simpleString()
     entry = F.array_sort(F.arrays_zip(F.transform("terms", lambda x: F.xxhash64(x)).alias("t"), F.col("weights").alias("w")))
     own = rows.where(F.size("terms") > 0).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), entry.alias("v"))
     hashed = F.transform("v", lambda x: F.struct(x.t, F.round(x.w, DIGITS)))
-    own = work.keep(own.withColumns({"h1": F.xxhash64(hashed), "h2": F.xxhash64(F.lit(seed), hashed)}), "rows")
+    full = work.keep(own.withColumns({"h1": F.xxhash64(hashed), "h2": F.xxhash64(F.lit(seed), hashed)}), "rows")
+    if once:
+        work.drop(rows)
+    own = out.keep(full.select("h1", "h2", "id", "uid"), "rows")
     first = Window.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("id"), "uid")
-    few = work.keep(own.select("h1", "h2", "id", "uid").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1), "members")
-    heads = few.where("n = 1").select("h1", "h2", F.col("uid").alias("cid"), F.col("id").alias("first_id"))
-    members = few.join(heads, ["h1", "h2"]).select("cid", "id", "uid")
-    vectors = own.join(few.where("n = 1").select("uid", F.col("id").alias("_id")), "uid").select(F.col("uid").alias("cid"), F.col("_id").alias("id"), F.transform("v", lambda x: x.t).alias("t"), F.transform("v", lambda x: x.w).alias("w"))
+    few = work.keep(own.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1), "members")
+    # classes are named by their place by id, so ties go by name
+    heads = out.keep(numbered(few.where("n = 1").select("h1", "h2", "id", "uid"), [F.asc_nulls_last("id"), F.col("uid")], "cid"), "heads")
+    members = few.join(heads.select("h1", "h2", "cid"), ["h1", "h2"]).select("cid", "id", "uid")
+    vectors = full.join(heads.select("uid", "cid"), "uid").select("cid", F.transform("v", lambda x: x.t).alias("t"), F.transform("v", lambda x: x.w).alias("w"))
     vectors = work.keep(vectors, "classes")
+    work.drop(full)
     total = vectors.count()
     want = max(1, min(PIVOTS, -(-total // block)))
     pivots = vectors.orderBy(F.xxhash64("cid", F.lit(seed)), "cid").limit(want).select("t", "w").collect()
-    dealt = vectors.mapInArrow(_dealt([(np.array(p.t), np.array(p.w)) for p in pivots]), f"cid long, id {kind}, t array<long>, w array<double>, cell long")
+    dealt = vectors.mapInArrow(_dealt([(np.array(p.t), np.array(p.w)) for p in pivots]), "cid long, t array<long>, w array<double>, cell long")
     dealt = work.keep(dealt, "dealt")
+    work.drop(vectors)
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
-    # a cell's rows are numbered by id inside a part, so ties go by id whatever its type
     parted = dealt.join(F.broadcast(sizes), "cell").withColumn("block", F.col("cell") * (1 << 40) + F.pmod(F.xxhash64("cid"), "parts"))
-    placed = parted.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(F.asc_nulls_last("id"), "cid")))
-    blocks = work.keep(placed.select("block", "cid", "place", "t", "w").groupBy("block").applyInArrow(_home(k), _BLOCK), "blocks")
-    found = blocks.select("block", "cids", "edge", "terms", "weights", "least").mapInArrow(_within(k), _FOUND)
-    names = [r.block for r in blocks.select("block").orderBy("block").collect()]
-    pairs = None
-    for lo in range(0, len(names), BOUNDS):
-        chunk = blocks.where(F.col("block").isin(names[lo : lo + BOUNDS])).select("block", "bound_terms", "bounds").collect()
-        sent = [(r.block, np.array(r.bound_terms), np.array(r.bounds)) for r in chunk]
-        more = blocks.select("block", "edge", "terms", "weights", "least").mapInArrow(_wanted(sent), "a long, b long")
-        pairs = more if pairs is None else pairs.unionByName(more)
-    if pairs is not None and len(names) > 1:
-        pairs = work.keep(pairs.distinct(), "pairs")
-        side = F.struct("cids", "edge", "terms", "weights", "least")
-        met = pairs.join(blocks.select(F.col("block").alias("a"), side.alias("one")).hint("merge"), "a").join(blocks.select(F.col("block").alias("b"), side.alias("two")).hint("merge"), "b")
-        spread = met.repartition(max(1, len(names)), F.xxhash64("a", "b")).select("one", "two")
-        found = found.unionByName(spread.mapInArrow(_between(k), _FOUND))
-    firsts = heads.select(F.col("cid").alias("other"), "first_id")
-    nearest = Window.partitionBy("cid").orderBy(F.desc("similarity"), F.asc_nulls_last("first_id"), "other")
-    found = work.keep(found, "found")
-    best = found.join(firsts, "other").withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).select("cid", "other", "similarity")
+    blocks = work.keep(parted.select("block", "cid", "t", "w").groupBy("block").applyInArrow(_gathered, _BLOCK), "blocks")
+    work.drop(dealt)
+    spread = blocks.select("block", "cids", "edge", "terms", "weights")
+    near = work.keep(spread.repartition(max(1, blocks.count()), "block").mapInArrow(_within(k), _NEAR), "near")
+    best = _between(work, blocks, near, k, block).select("cids", "row", "other", "similarity").mapInArrow(_listed, _FOUND)
+    best = work.keep(best, "best")
+    work.drop(blocks)
     both = best.unionByName(heads.select("cid", F.col("cid").alias("other"), F.lit(1.0).alias("similarity")))
     listed = both.join(members.withColumnsRenamed({"cid": "other", "id": "other_id", "uid": "other_uid"}), "other")
     each = Window.partitionBy("cid").orderBy(F.desc("similarity"), F.asc_nulls_last("other_id"), "other_uid")
     listed = listed.withColumn("n", F.row_number().over(each)).where(F.col("n") <= k + 1)
-    listed = work.keep(listed.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "other_id", "other_uid", "similarity"))).alias("near")), "near")
-    of_row = own.select("h1", "h2", "id", "uid").join(heads.select("h1", "h2", "cid"), ["h1", "h2"]).join(listed, "cid")
+    listed = out.keep(listed.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "other_id", "other_uid", "similarity"))).alias("near")), "near")
+    of_row = own.join(heads.select("h1", "h2", "cid"), ["h1", "h2"]).join(listed, "cid")
     others = F.slice(F.filter("near", lambda x: x.other_uid != F.col("uid")), 1, k)
     spread = of_row.select("uid", F.col("id").alias(id_col), F.posexplode(others).alias("at", "x"))
     return spread.select("uid", id_col, (F.col("at") + 1).alias("rank"), F.col("x.other_uid").alias("other_uid"), F.col("x.other_id").alias("other"), F.col("x.similarity").alias("similarity"))
