@@ -148,7 +148,7 @@ def _pushed(sample: np.ndarray, a: float, b: float, rate: float):
     return run
 
 
-def embed(rows: DataFrame, id_col: str = "doc_id", k: int = NEIGHBOURS, close: float = CLOSE, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+def embed(rows: DataFrame, id_col: str = "doc_id", k: int = NEIGHBOURS, close: float = CLOSE, seed: int = SEED, rounds: int = ROUNDS, once: bool = False) -> DataFrame:
     """(id, x, y): a map of (id, terms, weights) in which neighbours by cosine lie close, for every row with terms.
 
     Exact neighbours; a local scale for each row, by bisection; the fuzzy union of both directions; a spectral start by
@@ -157,16 +157,22 @@ def embed(rows: DataFrame, id_col: str = "doc_id", k: int = NEIGHBOURS, close: f
     split; the pushing sample (``SAMPLE`` points, seeded) is all that tasks are sent.
 
     Equal rows are one point.  Rows without neighbours stay where the start puts them, at the origin.  Null ids and repeated rows are rows of their own;
-    rows without terms are not in the result; an empty table gives an empty result.  Other columns are ignored.
+    rows without terms are not in the result; an empty table gives an empty result.  Other columns are ignored.  With ``once`` the working table
+    that ``rows`` comes from (``kept_at``) is deleted when it has been read.
     """
     work = Work(rows.sparkSession, "umap")
     entry = F.array_sort(F.arrays_zip(F.col("terms").alias("t"), F.col("weights").alias("w")))
     hashed = F.transform(entry, lambda x: F.struct(x.t, F.round(x.w, DIGITS)))
     own = rows.where(F.size("terms") > 0).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("i"), "terms", "weights", F.xxhash64(hashed).alias("h1"), F.xxhash64(F.lit(seed), hashed).alias("h2"))
-    own = work.keep(own, "rows")
+    full = work.keep(own, "rows")
+    if once:
+        work.drop(rows)
+    own = work.keep(full.select("id", "i", "h1", "h2"), "own")
     heads = own.groupBy("h1", "h2").agg(F.min("i").alias("i"))
-    points = work.keep(own.join(heads.select("i"), "i").select("i", "terms", "weights"), "points")
-    near = nearest_texts(points, "i", k, seed=seed).drop("uid", "other_uid").withColumnsRenamed({"i": "uid", "other": "other_uid"})
+    listed = work.keep(full.join(heads.select("i"), "i").select("i", "terms", "weights"), "listed")
+    work.drop(full)
+    points = work.keep(listed.select("i"), "points")
+    near = nearest_texts(listed, "i", k, seed=seed, once=True).drop("uid", "other_uid").withColumnsRenamed({"i": "uid", "other": "other_uid"})
     graph = work.keep(fuzzy_graph(near, k), "graph")
     degrees = work.keep(graph.groupBy("i").agg(F.sum("w").alias("degree")), "degrees")
     if not degrees.count():

@@ -556,13 +556,13 @@ def tfidf_terms(spark, folder):
     SELECT doc_id, CAST(rank AS INTEGER) AS rank, other, round(similarity, 6) AS similarity FROM o WHERE rank <= 15""",
 )
 def text_neighbours(spark, folder):
-    near = cosine.nearest_texts(vectors.tfidf_rows(_read(spark, folder, "documents")))
+    near = cosine.nearest_texts(vectors.tfidf_rows(_read(spark, folder, "documents")), once=True)
     return near.select("doc_id", "rank", "other", F.round("similarity", 6).alias("similarity"))
 
 
 @query("embedding_layout")
 def embedding_layout(spark, folder):
-    return umap.spread(umap.embed(vectors.tfidf_rows(_read(spark, folder, "documents"))))
+    return umap.spread(umap.embed(vectors.tfidf_rows(_read(spark, folder, "documents")), once=True))
 
 
 def _points(spark, folder):
