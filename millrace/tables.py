@@ -17,6 +17,18 @@ _OPEN: list[list[Work]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Parts for each core, of rows that are much work.
+PARTS_A_CORE = 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores: a file of narrow rows is few tasks, however much work a row is.
+
+    For rows of few and short columns, as all of them are shuffled once.
+    """
+    return rows.repartition(PARTS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 class Work:
     """A folder of Parquet tables under ``spark.checkpoint.dir``.
 
