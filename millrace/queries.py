@@ -18,6 +18,7 @@ from millrace.plans.archive import submissions, texts
 from millrace.plans.facets import FacetQuery, Vocabulary
 from millrace.plans.labels import LexicalClassifier, classify
 from millrace.sources import crawl, html
+from millrace.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -457,20 +458,20 @@ def mojibake_repaired(spark, folder):
            4 + 2 + 3 + 1 + CASE WHEN pairs >= 2 THEN 5 WHEN pairs = 1 THEN 1 ELSE 0 END + CAST(least(length(field) // 40, 6) AS INTEGER) AS score, TRUE AS thin FROM c""",
 )
 def author_normalise(spark, folder):
-    rows = _read(spark, folder, "customer").join(_read(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = spread(_read(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")).join(_read(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     field = F.concat(F.lower("c_name"), F.lit(" 1 ( a@b.edu ), Jane o'neil 2 ; 1 University of "), F.col("n_name"))
     return rows.select("c_custkey", authors.normalize_authors(field).alias("authors"), authors.first_author(field).alias("first"), authors.block_score(field).alias("score"), authors.authors_are_thin(F.col("c_name")).alias("thin"))
 
 
 @query("keyword_sanitise", "SELECT p_partkey, lower(p_name) || '|' || lower(p_brand) || '|' || lower(p_type) AS keywords FROM part")
 def keyword_sanitise(spark, folder):
-    rows = _read(spark, folder, "part")
+    rows = spread(_read(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type"))
     return rows.select("p_partkey", F.array_join(keywords.sanitize_keywords(F.array("p_name", "p_brand", F.lower("p_type"), F.lit("the poster"))), "|").alias("keywords"))
 
 
 @query("keyword_parse", "SELECT p_partkey, lower(p_name) || '|' || lower(p_brand) || '|' || lower(p_type) AS keywords FROM part")
 def keyword_parse(spark, folder):
-    rows = _read(spark, folder, "part")
+    rows = spread(_read(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type"))
     return rows.select("p_partkey", F.array_join(keywords.parse_keywords(F.concat_ws("; ", "p_name", "p_brand", "p_type")), "|").alias("keywords"))
 
 
