@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from millrace.operators.ranks import numbered
 from millrace.plans.facets import FacetQuery
@@ -18,14 +19,10 @@ from millrace.tables import Work
 BYTES = 4096
 
 
-def _pairwise(name: str):
-    @F.pandas_udf("binary")
-    def both(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, BYTES) for s in (a, b))
-        found = x & y if name == "and" else x & ~y
-        return pd.Series([row.tobytes() for row in found])
-
-    return both
+@F.pandas_udf(BinaryType())
+def _without(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The bits of ``a`` that ``b`` lacks, pair by pair."""
+    return pd.Series([(np.frombuffer(x, np.uint8) & ~np.frombuffer(y, np.uint8)).tobytes() for x, y in zip(a, b, strict=True)], dtype=object)
 
 
 class FacetBitmaps:
@@ -61,33 +58,37 @@ class FacetBitmaps:
         found = self.of("all").select("bucket", "bits")
         if query.years:
             years = self.of("year").where(F.col("value").isin(*map(str, query.years)))
-            found = self._met(found, years.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("other")), "and")
+            found = self._met(found, years.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("other")))
         if query.topics:
             named = set(query.topics)
             some = self.of("topic").where(F.col("value").isin(*named)).groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("other"), F.count("*").alias("n"))
             every = some.where(F.col("n") == len(named)).drop("n")
             if query.mode == "include":
-                found = self._met(found, every, "and")
+                found = self._met(found, every)
             else:
                 left = found.join(every, "bucket", "left")
-                found = left.where("other is not null").select("bucket", _pairwise("not")("bits", "other").alias("bits")).unionByName(left.where("other is null").drop("other"))
+                found = left.where("other is not null").select("bucket", _without("bits", "other").alias("bits")).unionByName(left.where("other is null").drop("other"))
         if places is not None:
-            found = self._met(found, self._built(places.select((F.col("place") + 1).alias("at"))).withColumnRenamed("bits", "other"), "and")
+            found = self._met(found, self._built(places.select((F.col("place") + 1).alias("at"))).withColumnRenamed("bits", "other"))
         return found
 
     @staticmethod
-    def _met(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-        return a.join(b, "bucket").withColumn("bits", _pairwise(how)("bits", "other")).drop("other")
+    def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+        """``a`` (one row for each bucket and what its further columns say) with the bits that ``b`` has too, where ``b`` has the bucket; no bitmap goes to Python."""
+        named = [c for c in a.columns if c != "bits"]
+        by = [*named, *(c for c in b.columns if c not in ("bucket", "other"))]
+        each = a.join(b, "bucket").select(*by, F.explode(F.array("bits", "other")).alias("bits"))
+        return each.groupBy(*by).agg(F.bitmap_and_agg("bits").alias("bits"))
 
     def counts(self, selected: DataFrame, kind: str) -> DataFrame:
         """(value, n): selected rows of each year or topic that has any."""
-        met = self._met(self.of(kind), selected.withColumnRenamed("bits", "other"), "and")
+        met = self._met(self.of(kind), selected.withColumnRenamed("bits", "other"))
         return met.groupBy("value").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("n > 0")
 
     def pivot(self, selected: DataFrame) -> DataFrame:
         """(year, topic, n): selected rows of each year and topic that has any."""
-        years = self._met(self.of("year"), selected.withColumnRenamed("bits", "other"), "and").where(F.bitmap_count("bits") > 0)
-        met = self._met(years.withColumnRenamed("value", "year"), self.of("topic").withColumnsRenamed({"value": "topic", "bits": "other"}), "and")
+        years = self._met(self.of("year"), selected.withColumnRenamed("bits", "other")).where(F.bitmap_count("bits") > 0)
+        met = self._met(years.withColumnRenamed("value", "year"), self.of("topic").withColumnsRenamed({"value": "topic", "bits": "other"}))
         return met.groupBy(F.col("year").cast("int").alias("year"), "topic").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("n > 0")
 
     @staticmethod
