@@ -79,20 +79,29 @@ def best_titles(left: DataFrame, right: DataFrame, cutoff: float = CUTOFF) -> Da
     band = cutoff / (2 - cutoff)
 
     def prefix(rows: DataFrame, key: str, name: str) -> DataFrame:
-        """The rarest runs of each title: those it may lack to a partner of the least length, and one more."""
+        """The rarest runs of each title: those it may lack to a partner of the least length, and one more.
+
+        Runs that no asked title has come first in the order; they meet nothing, so they are only counted.
+        """
         own = rows.select(F.xxhash64(key).alias(name), F.length(key).alias(f"{name}_n"), _runs(key).alias("runs")).where(F.col(f"{name}_n") * (1 + 1 / band) > short)
-        each = own.select(name, f"{name}_n", F.explode("runs").alias("run")).join(often, "run", "left")
-        ranked = each.groupBy(name, f"{name}_n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))).alias("p"))
+        each = own.select(name, f"{name}_n", F.size("runs").alias("size"), F.explode("runs").alias("run")).join(often, "run")
+        ranked = each.groupBy(name, f"{name}_n", "size").agg(F.array_sort(F.collect_list(F.struct("n", "run"))).alias("p"))
         need = F.greatest(F.ceil(F.lit(loss * (1 + band)) * F.col(f"{name}_n") - 2 - 1e-9).cast("int"), F.lit(1))
-        return ranked.select(name, f"{name}_n", F.explode(F.slice(F.col("p.run"), F.lit(1), F.greatest(F.size("p") - need + 1, F.lit(1)))).alias("run"))
-
-    often = keys.select(F.explode(_runs("right_key")).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+        left_of = F.greatest(F.col("size") - need + 1, F.lit(1)) - (F.col("size") - F.size("p"))
+        return ranked.where(left_of > 0).select(name, f"{name}_n", F.explode(F.slice(F.col("p.run"), F.lit(1), left_of)).alias("run"))
+
+    # titles too long or too short for every asked one are not looked at; only runs of asked titles are ordered, by how often the others have them
+    bounds = asked.agg(F.min(F.length("title_key")).alias("low"), F.max(F.length("title_key")).alias("high"))
+    fitting = keys.select("right_key").join(F.broadcast(bounds), F.length("right_key").between(F.col("low") * F.lit(band) - 1, F.col("high") / F.lit(band) + 1)).select("right_key")
+    known = asked.select(F.explode(_runs("title_key")).alias("run")).distinct()
+    counted = fitting.select(F.explode(_runs("right_key")).alias("run")).join(known, "run").groupBy("run").agg(F.count("*").alias("n"))
+    often = known.join(counted, "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("n"))
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(band - 1e-9)
-    met = prefix(asked, "title_key", "a").join(prefix(keys, "right_key", "b"), "run").where(near(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+    met = prefix(asked, "title_key", "a").join(prefix(fitting, "right_key", "b"), "run").where(near(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
     # names are hashes: titles that share one are all compared
     pairs = met.join(asked.withColumn("a", F.xxhash64("title_key")), "a").join(keys.select("right_key", F.xxhash64("right_key").alias("b")), "b").select("title_key", "right_key")
     few = lambda rows, key: rows.where(F.length(key) * (1 + band) <= short).select(key, F.explode(_shorter(depth)(F.col(key))).alias("less"))
-    close = few(asked, "title_key").join(few(keys.select("right_key"), "right_key"), "less").where(near(F.length("title_key"), F.length("right_key"))).select("title_key", "right_key").distinct()
+    close = few(asked, "title_key").join(few(fitting, "right_key"), "less").where(near(F.length("title_key"), F.length("right_key"))).select("title_key", "right_key").distinct()
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
