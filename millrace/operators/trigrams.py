@@ -1,9 +1,10 @@
-"""Substring search of many needles at once, by posting lists of trigrams."""
+"""Substring search of many needles at once: in one pass over the texts, or by posting lists of trigrams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,8 +21,12 @@ BLOCK, RAREST = 4096, 4
 MOST_BLOCKS = 1000
 #: Characters of a trigram: of letters, digits and space.
 SIZE = 37
-#: Bytes of a text whose trigrams are taken at one time.
+#: Characters of a text that are looked through at one time.
 SLICE = 1 << 20
+#: Characters of searches that are looked for in one pass; more of them are looked up in an index.
+ONE_PASS = 2_000_000
+#: Hits of a batch that leaves a task, about.
+HITS = 1 << 16
 
 _CODE = np.full(256, 0, dtype=np.int64)
 _CODE[ord("0") : ord("9") + 1] = np.arange(1, 11)
@@ -62,6 +67,79 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["trigram", "block", "rows", "places"])
 
 
+def needles_of(searches: DataFrame, key_col: str, search_col: str) -> DataFrame:
+    """(key, needle) of what each search may be found as: folded, and without spaces; nothing of an empty search."""
+    kind = searches.schema[key_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            folded = [normalize_search(s) if isinstance(s, str) else "" for s in frame["search"]]
+            yield pd.DataFrame({"key": frame["key"], "needle": [[n, n.replace(" ", "")] if n else [] for n in folded]})
+
+    found = searches.select(F.col(key_col).alias("key"), F.col(search_col).cast("string").alias("search")).mapInPandas(run, f"key {kind}, needle array<string>")
+    return found.select("key", F.explode("needle").alias("needle")).distinct()
+
+
+def _automaton(asked: list[list[str]]) -> tuple[ahocorasick.Automaton, int]:
+    """Finds, at the end of each needle, the numbers of those who ask for it; and how long the longest needle is."""
+    askers: dict[str, list[int]] = {}
+    for k, needles in enumerate(asked):
+        for needle in needles:
+            askers.setdefault(needle, []).append(k)
+    made = ahocorasick.Automaton()
+    for needle, numbers in askers.items():
+        made.add_word(needle, (needle, numbers))
+    made.make_automaton()
+    return made, max(map(len, askers), default=0)
+
+
+def _asking(text: str, automaton: ahocorasick.Automaton, longest: int) -> list[int]:
+    """Numbers of those who ask for anything in ``text``, ascending; slices overlap by what a needle may reach over."""
+    found = {}
+    for lo in range(0, len(text), SLICE):
+        found.update(hit for _, hit in automaton.iter(text[lo : lo + SLICE + longest - 1]))
+    return sorted({k for numbers in found.values() for k in numbers})
+
+
+def search_many(rows: DataFrame, searches: DataFrame, id_col: str = "doc_id", text_col: str = "search_text", key_col: str = "item_id", search_col: str = "search") -> DataFrame:
+    """(key, id) as ``TrigramIndex(rows).search(searches)`` gives it, for texts that are searched this once.
+
+    An index pays for texts that are searched again and again: it writes and shuffles all of them.  Here the searches, up to ``ONE_PASS``
+    characters of them, are sent to tasks as one automaton, and each text passes through it where it is read, long ones in slices; nothing of the
+    texts is written or shuffled, and searches add work by what they hit.  Searches beyond that are looked up in an index.
+    """
+    work = Work(rows.sparkSession, "searches")
+    needles = work.keep(needles_of(searches, key_col, search_col), "needles")
+    fits = (needles.agg(F.sum(F.length("needle"))).first()[0] or 0) <= ONE_PASS
+    known = needles.groupBy("key").agg(F.collect_list("needle").alias("needles")).toArrow() if fits else None
+    work.close()
+    if known is None:
+        return TrigramIndex(rows, id_col, text_col).search(searches, key_col, search_col)
+    keys, asked = known.column("key").combine_chunks(), known.column("needles").to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, longest = _automaton(asked)
+
+        def hits(ids: pa.Array, row: list[int], who: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(who, pa.int64())), ids.take(pa.array(row, pa.int64()))], [key_col, id_col])
+
+        for batch in batches:
+            row, who = [], []
+            for n, text in enumerate(batch.column("search_text").to_pylist()):
+                found = _asking(text or "", automaton, longest)
+                row += [n] * len(found)
+                who += found
+                if len(who) >= HITS:
+                    yield hits(batch.column("id"), row, who)
+                    row, who = [], []
+            if who:
+                yield hits(batch.column("id"), row, who)
+
+    kinds = [f"`{name}` {of.schema[name].dataType.simpleString()}" for of, name in ((searches, key_col), (rows, id_col))]
+    source = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("search_text"))  # a filter here would fold each text twice
+    return (source if asked else source.limit(0)).mapInArrow(run, ", ".join(kinds))
+
+
 class TrigramIndex:
     """Texts by block and place, and for each trigram and block the places whose text has it, sorted by trigram on disk."""
 
@@ -76,16 +154,7 @@ class TrigramIndex:
         self.sizes = self.work.keep(self.postings.groupBy("trigram").agg(F.sum("rows").alias("rows")), "sizes")
 
     def needles(self, searches: DataFrame, key_col: str, search_col: str) -> DataFrame:
-        """(key, needle) of what each search may be found as: folded, and without spaces; nothing of an empty search."""
-        kind = searches.schema[key_col].dataType.simpleString()
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                folded = [normalize_search(s) if isinstance(s, str) else "" for s in frame["search"]]
-                yield pd.DataFrame({"key": frame["key"], "needle": [[n, n.replace(" ", "")] if n else [] for n in folded]})
-
-        found = searches.select(F.col(key_col).alias("key"), F.col(search_col).cast("string").alias("search")).mapInPandas(run, f"key {kind}, needle array<string>")
-        return found.select("key", F.explode("needle").alias("needle")).distinct()
+        return needles_of(searches, key_col, search_col)
 
     def candidates(self, needles: DataFrame) -> DataFrame:
         """(needle, block, place) of all rows that have the rarest trigrams of a needle of three characters and more."""

@@ -13,7 +13,7 @@ from millrace.operators.bitmaps import FacetBitmaps
 from millrace.operators.phrases import phrase_hits as hits_of_phrases
 from millrace.operators.phrases import phrases_of
 from millrace.operators.quadtree import nearest_points as nearest_of_taps
-from millrace.operators.trigrams import TrigramIndex
+from millrace.operators.trigrams import search_many as searched
 from millrace.plans.archive import submissions, texts
 from millrace.plans.facets import FacetQuery, Vocabulary
 from millrace.plans.labels import LexicalClassifier, classify
@@ -371,7 +371,7 @@ def request_plan(spark, folder):
 def search_many(spark, folder):
     rows = _read(spark, folder, "documents").select("doc_id", text.search_text_ascii(F.col("text")).alias("search_text"))
     searches = _read(spark, folder, "benchmark").select("item_id", F.substring("text", 1, 24).alias("search"))
-    return TrigramIndex(rows).search(searches)
+    return searched(rows, searches)
 
 
 @query(
