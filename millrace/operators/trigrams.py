@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -23,8 +24,8 @@ MOST_BLOCKS = 1000
 SIZE = 37
 #: Characters of a text that are looked through at one time.
 SLICE = 1 << 20
-#: Characters of searches that are looked for in one pass; more of them are looked up in an index.
-ONE_PASS = 2_000_000
+#: Characters of searches that are looked for in one pass, about, and passes over the texts; more searches are looked up in an index.
+ONE_PASS, MOST_PASSES = 2_000_000, 8
 #: Hits of a batch that leaves a task, about.
 HITS = 1 << 16
 
@@ -104,40 +105,46 @@ def _asking(text: str, automaton: ahocorasick.Automaton, longest: int) -> list[i
 def search_many(rows: DataFrame, searches: DataFrame, id_col: str = "doc_id", text_col: str = "search_text", key_col: str = "item_id", search_col: str = "search") -> DataFrame:
     """(key, id) as ``TrigramIndex(rows).search(searches)`` gives it, for texts that are searched this once.
 
-    An index pays for texts that are searched again and again: it writes and shuffles all of them.  Here the searches, up to ``ONE_PASS``
-    characters of them, are sent to tasks as one automaton, and each text passes through it where it is read, long ones in slices; nothing of the
-    texts is written or shuffled, and searches add work by what they hit.  Searches beyond that are looked up in an index.
+    An index pays for texts that are searched again and again: it writes and shuffles all of them.  Here the searches are sent to tasks as one
+    automaton, and each text passes through it where it is read, long ones in slices; nothing of the texts is written or shuffled, and searches
+    add work by what they hit.  Beyond ``ONE_PASS`` characters of searches, keys are dealt by a hash to further passes (the searches of one key
+    stay together), beyond ``MOST_PASSES`` of these all are looked up in an index.
     """
     work = Work(rows.sparkSession, "searches")
     needles = work.keep(needles_of(searches, key_col, search_col), "needles")
-    fits = (needles.agg(F.sum(F.length("needle"))).first()[0] or 0) <= ONE_PASS
-    known = needles.groupBy("key").agg(F.collect_list("needle").alias("needles")).toArrow() if fits else None
+    passes = -(-(needles.agg(F.sum(F.length("needle"))).first()[0] or 0) // ONE_PASS)
+    dealt = F.pmod(F.xxhash64("key"), F.lit(max(passes, 1)))
+    parts = [needles.where(dealt == n).groupBy("key").agg(F.collect_list("needle").alias("needles")).toArrow() for n in range(max(passes, 1) if passes <= MOST_PASSES else 0)]
     work.close()
-    if known is None:
+    if not parts:
         return TrigramIndex(rows, id_col, text_col).search(searches, key_col, search_col)
-    keys, asked = known.column("key").combine_chunks(), known.column("needles").to_pylist()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, longest = _automaton(asked)
-
-        def hits(ids: pa.Array, row: list[int], who: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([keys.take(pa.array(who, pa.int64())), ids.take(pa.array(row, pa.int64()))], [key_col, id_col])
+    kinds = ", ".join(f"`{name}` {of.schema[name].dataType.simpleString()}" for of, name in ((searches, key_col), (rows, id_col)))
+    source = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("search_text"))  # a filter here would fold each text twice
 
-        for batch in batches:
-            row, who = [], []
-            for n, text in enumerate(batch.column("search_text").to_pylist()):
-                found = _asking(text or "", automaton, longest)
-                row += [n] * len(found)
-                who += found
-                if len(who) >= HITS:
+    def one_pass(known: pa.Table) -> DataFrame:
+        keys, asked = known.column("key").combine_chunks(), known.column("needles").to_pylist()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, longest = _automaton(asked)
+
+            def hits(ids: pa.Array, row: list[int], who: list[int]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(who, pa.int64())), ids.take(pa.array(row, pa.int64()))], [key_col, id_col])
+
+            for batch in batches:
+                row, who = [], []
+                for n, text in enumerate(batch.column("search_text").to_pylist()):
+                    found = _asking(text or "", automaton, longest)
+                    row += [n] * len(found)
+                    who += found
+                    if len(who) >= HITS:
+                        yield hits(batch.column("id"), row, who)
+                        row, who = [], []
+                if who:
                     yield hits(batch.column("id"), row, who)
-                    row, who = [], []
-            if who:
-                yield hits(batch.column("id"), row, who)
 
-    kinds = [f"`{name}` {of.schema[name].dataType.simpleString()}" for of, name in ((searches, key_col), (rows, id_col))]
-    source = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("search_text"))  # a filter here would fold each text twice
-    return (source if asked else source.limit(0)).mapInArrow(run, ", ".join(kinds))
+        return (source if asked else source.limit(0)).mapInArrow(run, kinds)
+
+    return reduce(DataFrame.unionByName, map(one_pass, parts))
 
 
 class TrigramIndex:

@@ -27,11 +27,12 @@ def test_the_query_writes_and_shuffles_no_texts(spark):
     assert plan.count("regexp_replace") == 1  # each text is folded once
 
 
-@pytest.mark.parametrize(("slice_of", "one_pass", "hits"), [(1 << 20, 2_000_000, 1 << 16), (40, 2_000_000, 3), (1 << 20, 10, 1 << 16)])
-def test_search_many(spark, monkeypatch, slice_of, one_pass, hits):
-    """Short, missing, compact, shared, nested and repeated searches; null, empty, long and repeated texts; null keys and ids; slices, batches of hits, and more searches than one pass takes."""
+@pytest.mark.parametrize(("slice_of", "one_pass", "passes", "hits"), [(1 << 20, 2_000_000, 8, 1 << 16), (40, 2_000_000, 8, 3), (1 << 20, 60, 99, 1 << 16), (1 << 20, 10, 1, 1 << 16)])
+def test_search_many(spark, monkeypatch, slice_of, one_pass, passes, hits):
+    """Short, missing, compact, shared, nested and repeated searches; null, empty, long and repeated texts; null keys and ids; slices, batches of hits, several passes, and more searches than these take."""
     monkeypatch.setattr(trigrams, "SLICE", slice_of)
     monkeypatch.setattr(trigrams, "ONE_PASS", one_pass)
+    monkeypatch.setattr(trigrams, "MOST_PASSES", passes)
     monkeypatch.setattr(trigrams, "HITS", hits)
     rng = random.Random(5)
     rows = [(k, folded(rng, rng.choice([1, 4, 30]))) for k in range(200)] + [(7, "abc ab1"), (7, "abc ab1"), (None, "cab cab"), (301, None), (302, ""), (303, "zz " * 3000 + "needle")]
