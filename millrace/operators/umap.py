@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.cosine import DIGITS, nearest_texts
@@ -76,76 +76,212 @@ def fuzzy_graph(near: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return both.groupBy("i", "j").agg((s - (s * s - q) / 2).alias("w"))  # a + b - ab; of one alone itself
 
 
-def _spectral(work: Work, graph: DataFrame, degrees: DataFrame, seed: int, width: int, rounds: int) -> DataFrame:
-    """(i, x, y): the first two axes of the graph's normalised adjacency after the trivial one, by subspace iteration.
+#: Points of a part, about.
+PART = 8192
+_LINKED = "part int, ids binary, row binary, at binary, w binary, targets binary, edge binary, out binary, degree double, most double"
+_SENT = "part int, source int, values binary, told binary"
 
-    Each round is one pass over the links and one small matrix of sums; columns that have become dependent are left out.
+
+def _linked(key: tuple, table: pa.Table) -> pa.Table:
+    """The links of a part's points as lists: the point of each link by its place in the part, the other end by its place among what other parts send, and what the part sends to each."""
+    i, j, w, other = (table.column(c).to_numpy() for c in ("i", "j", "w", "other"))
+    ids, row = np.unique(i, return_inverse=True)
+    order = np.lexsort((j, other))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(other[order]) != 0) | (np.diff(j[order]) != 0)
+    at = np.empty(len(order), np.int32)
+    at[order] = np.cumsum(new) - 1
+    # links have both directions, so the points that another part needs are those that have a link to it, in its order
+    pair = np.unique(other.astype(np.int64) * len(ids) + row)
+    targets, first = np.unique(pair // len(ids), return_index=True)
+    held = (ids.astype(np.int64), row.astype(np.int32), at, w, targets.astype(np.int32), np.append(first, len(pair)).astype(np.int32), (pair % len(ids)).astype(np.int32))
+    kinds = _LINKED.split(", ")
+    values = [[key[0].as_py()], *[[x.tobytes()] for x in held], [float(w.sum())], [float(w.max())]]
+    return pa.table([pa.array(v, pa.binary() if "binary" in kind else pa.float64() if "double" in kind else pa.int32()) for v, kind in zip(values, kinds, strict=True)], names=[x.split()[0] for x in kinds])
+
+
+class _Part:
+    """The points of a part with their links, what they hold (a row of numbers for each), and what other parts have sent."""
+
+    def __init__(self, linked: dict, sent: list[tuple[int, bytes]]):
+        self.part, kinds = linked["part"], {"ids": np.int64, "row": np.int32, "at": np.int32, "w": np.float64, "targets": np.int32, "edge": np.int32, "out": np.int32}
+        self.ids, self.row, self.at, self.w, self.targets, self.edge, self.out = (np.frombuffer(linked[c], kind) for c, kind in kinds.items())
+        by_source = {source: values for source, values in sent}
+        own = by_source.pop(-1, b"")
+        self.own = np.frombuffer(own).reshape(len(self.ids), -1)
+        self.inbox = np.frombuffer(b"".join(by_source[n] for n in sorted(by_source))).reshape(-1, max(1, self.own.shape[1]))
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """For each point the sum of a number of each of its links."""
+        return np.bincount(self.row, values, minlength=len(self.ids))
+
+    def random(self, seed: int) -> np.ndarray:
+        """A number from 0 to 1 for each point, by its id."""
+        x = self.ids.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (x ^ (x >> np.uint64(31))) / 2.0**64
+
+    def sends(self, values: np.ndarray, told: np.ndarray, last: bool = False) -> pa.RecordBatch:
+        """What the points hold now, what the driver is told, and what goes to other parts."""
+        values = np.ascontiguousarray(values)
+        rows = [(self.part, -1, values.tobytes(), np.ascontiguousarray(told, float).tobytes())]
+        if not last:
+            rows += [(int(t), self.part, values[self.out[lo:hi]].tobytes(), None) for t, lo, hi in zip(self.targets, self.edge, self.edge[1:], strict=False)]
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [f.split()[0] for f in _SENT.split(", ")])
+
+
+class _Rounds:
+    """Points in parts, worked on in rounds: a part gets what other parts sent to it, and sends anew."""
+
+    def __init__(self, work: Work, graph: DataFrame, points: int):
+        parts = max(1, -(-points // PART))
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+        own = graph.select(of("i").alias("part"), "i", "j", "w", of("j").alias("other"))
+        self.work, self.points, self.parts, self.sent, self.sample = work, points, parts, None, np.zeros((0, 2))
+        self.linked = work.keep(own.groupBy("part").applyInArrow(_linked, _LINKED), "parts")
+        self.total, self.most = self.linked.agg(F.sum("degree"), F.max("most")).first()
+
+    def _run(self, step: Callable[[_Part], pa.RecordBatch], schema: str) -> DataFrame:
+        both = self.linked.select("part", *[f.split()[0] for f in _LINKED.split(", ")[1:8]], F.lit(None).cast("int").alias("source"), F.lit(None).cast("binary").alias("values"))
+        if self.sent is not None:
+            both = both.unionByName(self.sent.select("part", "source", "values"), allowMissingColumns=True)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            linked, sent = {}, {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["source"] is None:
+                        linked[row["part"]] = row
+                    else:
+                        sent.setdefault(row["part"], []).append((row["source"], row["values"]))
+            for part in sorted(linked):
+                yield step(_Part(linked[part], sent.pop(part, [])))
+
+        return both.repartitionById(self.parts, F.col("part")).mapInArrow(run, schema)
+
+    def turn(self, step: Callable[[_Part], pa.RecordBatch], name: str) -> list[np.ndarray]:
+        """One round; what its parts tell."""
+        before, self.sent = self.sent, self.work.keep(self._run(step, _SENT), name)
+        if before is not None:
+            self.work.drop(before)
+        return [np.frombuffer(r.told) for r in self.sent.where("source = -1").select("part", "told").orderBy("part").collect()]
+
+    def listed(self) -> DataFrame:
+        """(i, x, y) of what the points hold."""
+
+        def rows(part: _Part) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(part.own[:, 0]), pa.array(part.own[:, 1])], ["i", "x", "y"])
+
+        return self._run(rows, "i long, x double, y double")
+
+
+def _evened(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(turn, shift) by which columns become orthonormal and the trivial axis, the first of ``gram``, is projected out; columns that have become dependent are left out."""
+    clean = gram[1:, 1:] - np.outer(gram[0, 1:], gram[0, 1:])
+    value, vector = np.linalg.eigh(clean)
+    keep = value > 1e-9 * max(value[-1], 1e-300)
+    turn = vector[:, keep] / np.sqrt(value[keep])
+    return turn, -gram[0, 1:] @ turn
+
+
+def _spectral(rounds: _Rounds, seed: int, width: int, steps: int) -> None:
+    """Leaves with each point its place on the first two axes of the graph's normalised adjacency after the trivial one, by subspace iteration.
+
+    Each round is one pass over the links and one small matrix of sums from each part.
     """
-    names = [f"x{c}" for c in range(width)]
-    random = lambda c: (F.pmod(F.xxhash64("i", F.lit(seed), F.lit(c)), F.lit(2_000_003)) / 1_000_001 - 1).alias(f"x{c}")
-    total = degrees.agg(F.sum("degree")).first()[0]
-    root = F.sqrt(F.col("degree") / F.lit(total))
-    now = work.keep(degrees.select("i", "degree", root.alias("t"), *map(random, range(width))), "start")
-    axes = np.zeros((width, 2))
-    for step in range(rounds + 1):
-        # project the trivial axis out, and make the columns orthonormal: both are one linear map, found from sums
-        columns = ["t", *names]
-        sums = now.agg(*[F.sum(F.col(a) * F.col(b)) for k, a in enumerate(columns) for b in columns[k:]]).first()
-        gram = np.zeros((len(columns), len(columns)))
-        gram[np.triu_indices(len(columns))] = sums
-        gram = gram + np.triu(gram, 1).T
-        clean = gram[1:, 1:] - np.outer(gram[0, 1:], gram[0, 1:])
-        value, vector = np.linalg.eigh(clean)
-        keep = value > 1e-9 * max(value[-1], 1e-300)
-        turn = vector[:, keep] / np.sqrt(value[keep])
-        lowered = turn.shape[1]
-        onto = lambda k: sum((F.col(n) * float(turn[c, k]) for c, n in enumerate(names)), F.col("t") * float(-gram[0, 1:] @ turn[:, k]))  # noqa: B023, E731
-        names = [f"x{c}" for c in range(lowered)]
-        even = work.keep(now.select("i", "degree", "t", *[onto(k).alias(n) for k, n in enumerate(names)]), "even")
-        work.drop(now)
-        if step == rounds:
-            break
-        other = even.select(F.col("i").alias("j"), F.col("degree").alias("dj"), *[F.col(n).alias(f"o{n}") for n in names])
-        sent = graph.join(other, "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(f"o{n}") / F.sqrt("dj")).alias(f"s{n}") for n in names])
-        moved = even.join(sent, "i")
-        now = work.keep(moved.select("i", "degree", "t", *[((F.col(n) + F.col(f"s{n}") / F.sqrt("degree")) / 2).alias(n) for n in names]), "moved")
-        if step == rounds - 1:  # the axes of largest eigenvalue inside the subspace
-            pairs = moved.agg(*[F.sum(F.col(a) * (F.col(b) + F.col(f"s{b}") / F.sqrt("degree")) / 2) for a in names for b in names]).first()
-            inside = np.array(list(pairs), dtype=float).reshape(lowered, lowered)
-            axes = np.linalg.eigh((inside + inside.T) / 2)[1][:, ::-1][:, :2]
-            if axes.shape[1] < 2:
-                axes = np.hstack([axes, np.zeros((lowered, 2 - axes.shape[1]))])
-            now = work.keep(now.select("i", "degree", "t", *[sum((F.col(n) * float(axes[c, k]) for c, n in enumerate(names)), F.lit(0.0)).alias(f"x{k}") for k in range(2)]), "axes")
-            names = ["x0", "x1"]
-        work.drop(even)
-    out = even.select("i", *[(F.col(names[k]) if k < len(names) else F.lit(0.0)).alias(c) for k, c in enumerate("xy")])
-    most = [m or 1.0 for m in out.agg(*[F.max(F.abs(c)) for c in "xy"]).first()]
-    jitter = lambda c: F.pmod(F.xxhash64("i", F.lit(seed), F.lit(c)), F.lit(1001)) / 1e4
-    return work.keep(out.select("i", *[(F.col(c) / m * 10 + jitter(c)).alias(c) for c, m in zip("xy", most, strict=True)]), "spectral")
-
-
-def _clipped(value: Column) -> Column:
-    return F.greatest(F.least(value, F.lit(STEP)), F.lit(-STEP))
-
-
-def _pushed(sample: np.ndarray, a: float, b: float, rate: float):
-    """Each point moves by what pulls it and by the mean push of the sampled points, as often as it is pulled."""
+    total, points = rounds.total, rounds.points
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, pull, pulls = (np.column_stack([batch.column(c).to_numpy() for c in names]) for names in (("x", "y"), ("px", "py"), ("pulls",)))
-            push = np.zeros_like(x)
-            for lo in range(0, len(x), 4096):
-                gap = x[lo : lo + 4096, None] - sample[None]
-                square = (gap**2).sum(axis=2)
-                force = np.where(square > 0, 2 * b / ((0.001 + square) * (1 + a * square**b)), 0.0)
-                push[lo : lo + 4096] = np.clip(force[:, :, None] * gap, -STEP, STEP).mean(axis=1)
-            step = pull + PUSHES * pulls * push
+    def sums(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+        columns = np.column_stack([root / np.sqrt(total), x])
+        return columns.T @ columns
+
+    def start(part: _Part) -> pa.RecordBatch:
+        root = np.sqrt(part.summed(part.w))
+        x = np.column_stack([2 * part.random(seed * 1000 + c) - 1 for c in range(width)])
+        return part.sends(np.column_stack([root, x]), sums(root, x))
+
+    gram = sum(rounds.turn(start, "start")).reshape(width + 1, width + 1)
+    for step in range(steps):
+        turn, shift = _evened(gram)
+
+        def moved(part: _Part, turn: np.ndarray = turn, shift: np.ndarray = shift) -> pa.RecordBatch:
+            even, there = (x[:, 1:] @ turn + x[:, :1] / np.sqrt(total) * shift for x in (part.own, part.inbox))
+            there = there / part.inbox[:, :1]
+            root = part.own[:, 0]
+            pulled = np.column_stack([part.summed(part.w * there[part.at, c]) for c in range(there.shape[1])])
+            x = (even + pulled / root[:, None]) / 2
+            return part.sends(np.column_stack([root, x]), np.concatenate([sums(root, x).ravel(), (even.T @ x).ravel()]))
+
+        told, kept = sum(rounds.turn(moved, "moved")), turn.shape[1]
+        gram, inside = told[: (kept + 1) ** 2].reshape(kept + 1, kept + 1), told[(kept + 1) ** 2 :].reshape(kept, kept)
+    axes = np.linalg.eigh((inside + inside.T) / 2)[1][:, ::-1][:, :2]  # of largest eigenvalue inside the subspace
+    onto = np.zeros((kept + 1, axes.shape[1] + 1))
+    onto[0, 0], onto[1:, 1:] = 1, axes
+    turn, shift = _evened(onto.T @ gram @ onto)
+    turn = np.hstack([axes @ turn, np.zeros((kept, 2 - turn.shape[1]))])
+    shift = np.append(shift, np.zeros(2 - len(shift)))
+
+    def placed(part: _Part) -> pa.RecordBatch:
+        out = part.own[:, 1:] @ turn + part.own[:, :1] / np.sqrt(total) * shift
+        return part.sends(out, np.abs(out).max(axis=0, initial=0.0), last=True)
+
+    most = np.max(rounds.turn(placed, "axes"), axis=0)
+    most[most == 0] = 1.0
+
+    def spread_out(part: _Part) -> pa.RecordBatch:
+        jitter = np.column_stack([part.random(seed * 1000 + width + c) / 10 for c in range(2)])
+        return part.sends(part.own / most * 10 + jitter, _sampled(part, part.own / most * 10 + jitter, seed, points))
+
+    rounds.sample = _chosen(rounds.turn(spread_out, "spectral"))
+
+
+def _sampled(part: _Part, places: np.ndarray, seed: int, points: int) -> np.ndarray:
+    """(number, x, y) of points whose seeded number is low: of all parts together more than ``SAMPLE``, if there are as many."""
+    number = part.random(seed)
+    low = number < min(1.0, 2 * SAMPLE / max(1, points))
+    return np.column_stack([number[low], places[low]])
+
+
+def _chosen(told: list[np.ndarray]) -> np.ndarray:
+    """The sample: the ``SAMPLE`` of lowest number."""
+    rows = np.concatenate([x.reshape(-1, 3) for x in told])
+    return rows[np.argsort(rows[:, 0], kind="stable")[:SAMPLE], 1:]
+
+
+def _pushed(places: np.ndarray, sample: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The mean push of the sampled points on each place."""
+    push = np.zeros_like(places)
+    for lo in range(0, len(places), 256):
+        gap = places[lo : lo + 256, None] - sample[None]
+        square = gap[:, :, 0] ** 2 + gap[:, :, 1] ** 2
+        force = np.where(square > 0, 2 * b / ((0.001 + square) * (1 + a * square**b)), 0.0)
+        push[lo : lo + 256] = np.clip(force[:, :, None] * gap, -STEP, STEP).mean(axis=1)
+    return push
+
+
+def _drawn(rounds: _Rounds, a: float, b: float, seed: int, steps: int) -> None:
+    """Each point moves by what its links pull and by the mean push of the sampled points, as often as it is pulled."""
+    most, points = rounds.most, rounds.points
+    for step in range(steps):
+
+        def moved(part: _Part, sample: np.ndarray = rounds.sample, rate: float = 1.0 - step / steps, next_seed: int = seed + step + 1) -> pa.RecordBatch:
+            # links too weak to be drawn once in all rounds are left out, as each round draws every link by its weight
+            w = np.where(part.w >= most / 500, part.w / most, 0.0)
+            x = part.own
+            gap = x[part.row] - part.inbox[part.at]
+            square = gap[:, 0] ** 2 + gap[:, 1] ** 2
+            near = np.where(square > 0, square, 1.0)
+            power = near**b
+            force = np.where(square > 0, -2 * a * b * (power / near) / (1 + a * power), 0.0)
+            pull = np.column_stack([part.summed(w * np.clip(force * gap[:, c], -STEP, STEP)) for c in range(2)])
+            pulls = part.summed(w)[:, None]
             # a step sums what single pulls and pushes would do one by one, so it is scaled to what one turn of each may do
-            moved = x + rate * step / np.maximum(pulls, 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(moved[:, 0]), pa.array(moved[:, 1])], ["i", "x", "y"])
+            x = x + rate * (pull + PUSHES * pulls * _pushed(x, sample, a, b)) / np.maximum(pulls, 1.0)
+            return part.sends(x, _sampled(part, x, next_seed, points))
 
-    return run
+        rounds.sample = _chosen(rounds.turn(moved, "placed"))
 
 
 def embed(rows: DataFrame, id_col: str = "doc_id", k: int = NEIGHBOURS, close: float = CLOSE, seed: int = SEED, rounds: int = ROUNDS, once: bool = False) -> DataFrame:
@@ -153,8 +289,9 @@ def embed(rows: DataFrame, id_col: str = "doc_id", k: int = NEIGHBOURS, close: f
 
     Exact neighbours; a local scale for each row, by bisection; the fuzzy union of both directions; a spectral start by
     subspace iteration; then rounds in which every link pulls its ends together and sampled points push all others away, with a rate that
-    falls to 0.  A round is one join of links with places on either side, summed before it is shuffled, so a point of any number of links is
-    split; the pushing sample (``SAMPLE`` points, seeded) is all that tasks are sent.
+    falls to 0.  Points are dealt to parts of about ``PART``, each with the links of its points; in a round a part gets the places that other parts
+    send to it, as one list from each, and sends its own anew.  Numbers only: a point of very many links makes its part longer, 16 bytes a link.
+    The pushing sample (``SAMPLE`` points, seeded) is all that tasks are sent.
 
     Equal rows are one point.  Rows without neighbours stay where the start puts them, at the origin.  Null ids and repeated rows are rows of their own;
     rows without terms are not in the result; an empty table gives an empty result.  Other columns are ignored.  With ``once`` the working table
@@ -174,27 +311,15 @@ def embed(rows: DataFrame, id_col: str = "doc_id", k: int = NEIGHBOURS, close: f
     points = work.keep(listed.select("i"), "points")
     near = nearest_texts(listed, "i", k, seed=seed, once=True).drop("uid", "other_uid").withColumnsRenamed({"i": "uid", "other": "other_uid"})
     graph = work.keep(fuzzy_graph(near, k), "graph")
-    degrees = work.keep(graph.groupBy("i").agg(F.sum("w").alias("degree")), "degrees")
-    if not degrees.count():
+    linked = graph.select("i").distinct().count()
+    if not linked:
         now = points.select("i", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     else:
-        now = _spectral(work, graph, degrees, seed, WIDTH, STARTS)
-        a, b = curve(close)
-        # links too weak to be drawn once in all rounds are left out, as each round draws every link by its weight
-        most = graph.agg(F.max("w")).first()[0]
-        links = work.keep(graph.where(F.col("w") >= most / 500).withColumn("w", F.col("w") / most), "links")
-        for step in range(rounds):
-            sample = np.array([(r.x, r.y) for r in now.orderBy(F.xxhash64("i", F.lit(seed + step)), "i").limit(SAMPLE).collect()])
-            here, there = (now.select(*[F.col(c).alias(p + c) for c in "ixy"]) for p in "ab")
-            met = links.join(here, F.col("i") == F.col("ai")).join(there, F.col("j") == F.col("bi"))
-            dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-            square = dx * dx + dy * dy
-            force = F.when(square > 0, -2 * a * b * F.pow(square, F.lit(b - 1)) / (1 + a * F.pow(square, F.lit(b)))).otherwise(0.0)
-            pull = met.groupBy("i").agg(*[F.sum(F.col("w") * _clipped(force * g)).alias(n) for n, g in (("px", dx), ("py", dy))], F.sum("w").alias("pulls"))
-            rate = 1.0 - step / rounds
-            moved = work.keep(now.join(pull, "i", "left").select("i", "x", "y", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("px", "py", "pulls")]).mapInArrow(_pushed(sample, a, b, rate), "i long, x double, y double"), "placed")
-            work.drop(now)
-            now = moved
+        parts = _Rounds(work, graph, linked)
+        work.drop(graph)
+        _spectral(parts, seed, WIDTH, STARTS)
+        _drawn(parts, *curve(close), seed, rounds)
+        now = work.keep(parts.listed(), "map")
     all_points = points.select("i").join(now, "i", "left")
     placed = own.join(heads.withColumnRenamed("i", "head"), ["h1", "h2"]).join(all_points.withColumnRenamed("i", "head"), "head")
     return placed.select(F.col("id").alias(id_col), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in "xy"])
