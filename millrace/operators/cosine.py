@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -118,7 +119,7 @@ class _Block:
     def __init__(self, rows: Sparse, cids: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None):
         """``known``: all terms and the largest weight of each, where the terms of ``rows`` are codes of them."""
         self.rows, self.cids = rows, cids
-        self.row = np.repeat(np.arange(len(rows)), np.diff(rows.edge))
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(rows.edge))
         if known:
             (self.terms, self.most), self.code = known, rows.term
         else:
@@ -152,14 +153,17 @@ class _Block:
         return np.minimum(sums[0], np.sqrt(sums[1]))
 
     def dense(self, column: np.ndarray, width: int, rows: np.ndarray) -> np.ndarray:
-        """Some rows over ``width`` columns; ``column`` tells that of each code, -1 for none."""
-        place = np.full(len(self.rows), -1)
-        place[rows] = np.arange(len(rows))
-        at = column[self.code]
-        hit = np.flatnonzero(at >= 0)
-        row, at = place[self.row[hit]], at[hit]
+        """Some rows, in order, over ``width`` columns; ``column`` tells that of each code, -1 for none."""
         out = np.zeros((len(rows), width), np.float32)
-        out[row[row >= 0], at[row >= 0]] = self.rows.weight[hit[row >= 0]]
+        for lo in range(0, len(rows) if width else 0, TILE):
+            mine = rows[lo : lo + TILE]
+            first, last = mine[0], mine[-1] + 1
+            part = slice(self.rows.edge[first], self.rows.edge[last])
+            place = np.full(last - first, -1)
+            place[mine - first] = np.arange(lo, lo + len(mine))
+            row, at = place[self.row[part] - first], column[self.code[part]]
+            hit = np.flatnonzero((row >= 0) & (at >= 0))
+            out[row[hit], at[hit]] = self.rows.weight[part][hit]
         return out
 
 
@@ -231,7 +235,8 @@ def _multiplied(a: _Block, b: _Block, of_a: _Near, of_b: _Near | None, rows: np.
     code = lists[a.code]
     listed = np.flatnonzero(code >= 0)
     edge, code, weight = np.searchsorted(listed, a.rows.edge), code[listed], a.rows.weight[listed]
-    times, code = b.uses[code], code.tolist()
+    del listed
+    times = b.uses[code]
     held, bits = b.postings if len(tails) else ([], 1)
     low, high, unit = np.uint32((1 << bits) - 1), np.uint32(bits), 1 / ((1 << 32 - bits) - 1)
     total = np.concatenate(([0.0], np.cumsum(weight)))[edge]
@@ -244,7 +249,7 @@ def _multiplied(a: _Block, b: _Block, of_a: _Near, of_b: _Near | None, rows: np.
         value = a.dense(columns[0], len(heads), left) @ y
         for own, r in zip(value, left, strict=True):
             if (first := edge[r]) < (last := edge[r + 1]):
-                entry = np.concatenate([held[c] for c in code[first:last]])
+                entry = np.concatenate([held[c] for c in code[first:last].tolist()])
                 own += np.bincount(entry & low, (entry >> high) * np.repeat(weight[first:last], times[first:last]), minlength=len(own))
         if of_b is None:
             value[np.arange(len(left)), left] = -1.0
@@ -281,6 +286,22 @@ _NEAR = "block long, cids binary, row binary, other binary, similarity binary, f
 _KINDS = {"cids": np.int64, "edge": np.int64, "code": np.int32, "weights": np.float64, "terms": np.int64, "bounds": np.float64, "row": np.int32, "other": np.int64, "similarity": np.float64, "floor": np.float64}
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow or applyInArrow, after which a worker gives memory back: workers stay alive and would hold what the largest task needed."""
+
+    def own(*given: object) -> Iterator:
+        try:
+            yield from run(*given)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not the GNU C library
+                pass
+
+    return own
+
+
 def _table(schema: str, rows: list[list]) -> pa.Table:
     names = [f.split()[0] for f in schema.split(", ")]
     held = [[r[k] if name not in _KINDS else np.ascontiguousarray(r[k], _KINDS[name]).tobytes() for r in rows] for k, name in enumerate(names)]
@@ -385,14 +406,14 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _dealt(pivots: list[tuple[np.ndarray, np.ndarray]]):
     terms = np.unique(np.concatenate([t for t, _ in pivots])) if pivots else np.zeros(0, np.int64)
-    matrix = np.zeros((len(terms), len(pivots)), dtype=np.float32)
+    matrix = np.zeros((len(terms), len(pivots)))
     for k, (t, w) in enumerate(pivots):
         matrix[np.searchsorted(terms, t), k] = w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = Sparse.of(batch.column("t"), batch.column("w"))
-            cell = [np.argmax(rows.dense(terms, lo, min(lo + TILE, len(rows))) @ matrix, axis=1) for lo in range(0, len(rows), TILE)]
+            cell = [np.argmax(rows.dense(terms, lo, min(lo + FIRST, len(rows))) @ matrix, axis=1) for lo in range(0, len(rows), FIRST)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *cell]))], [*batch.schema.names, "cell"])
 
     return run
@@ -440,7 +461,7 @@ def _between(work: Work, blocks: DataFrame, near: DataFrame, sizes: list[tuple[i
         chunk = blocks.where(F.col("block").isin([name for name, _ in sizes[lo : lo + BOUNDS]])).select("block", "terms", "bounds").collect()
         sent = [(r.block, np.frombuffer(r.terms, np.int64), np.frombuffer(r.bounds)) for r in chunk]
         floors = near.select("block", "floor")
-        wanted.append(work.keep(_each(blocks.join(floors, "block"), sizes).mapInArrow(_wanted(sent), "a long, b long"), "wanted"))
+        wanted.append(work.keep(_each(blocks.join(floors, "block"), sizes).mapInArrow(lean(_wanted(sent)), "a long, b long"), "wanted"))
     pairs = sorted({(r.a, r.b) for kept in wanted for r in kept.distinct().collect()})
     kinds = [("cids", "binary"), ("edge", "binary"), ("code", "binary"), ("weights", "binary"), ("terms", "binary"), ("bounds", "binary")]
     for sends in _rounds(sizes, pairs, block):
@@ -449,7 +470,7 @@ def _between(work: Work, blocks: DataFrame, near: DataFrame, sizes: list[tuple[i
         rows = blocks.withColumn("floor", F.lit(None).cast("binary"))
         floors = near.select("block", *[F.lit(None).cast(t).alias(c) for c, t in kinds], "floor")
         dealt = rows.join(plan, "block").unionByName(floors.join(plan, "block")).repartitionById(len(tiles), F.col("tile"))  # a tile is much work on few bytes
-        found = work.keep(dealt.mapInArrow(_tile(k), _NEAR), "found")
+        found = work.keep(dealt.mapInArrow(lean(_tile(k)), _NEAR), "found")
         merged = work.keep(near.unionByName(found).groupBy("block").applyInArrow(_merged(k), _NEAR), "near")
         work.drop(found, near)
         near = merged
@@ -496,7 +517,7 @@ def _nearest(out: Work, rows: DataFrame, id_col: str, k: int, block: int, seed:
     block = min(block, max(block // 4, -(-total // FEWEST)))
     want = max(1, min(PIVOTS, -(-total // block)))
     pivots = vectors.orderBy(F.xxhash64("cid", F.lit(seed)), "cid").limit(want).select("t", "w").collect()
-    dealt = vectors.mapInArrow(_dealt([(np.array(p.t), np.array(p.w)) for p in pivots]), "cid long, t array<long>, w array<double>, cell long")
+    dealt = vectors.mapInArrow(lean(_dealt([(np.array(p.t), np.array(p.w)) for p in pivots])), "cid long, t array<long>, w array<double>, cell long")
     dealt = work.keep(dealt, "dealt")
     work.drop(vectors)
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
@@ -504,8 +525,8 @@ def _nearest(out: Work, rows: DataFrame, id_col: str, k: int, block: int, seed:
     blocks = work.keep(parted.select("block", "cid", "t", "w").groupBy("block").applyInArrow(_gathered, _BLOCK), "blocks")
     work.drop(dealt)
     sizes = [(r.block, r.n) for r in blocks.select("block", (F.octet_length("cids") / 8).cast("long").alias("n")).orderBy("block").collect()]
-    near = work.keep(_each(blocks, sizes).mapInArrow(_within(k), _NEAR), "near")
-    best = _between(work, blocks, near, sizes, k, block).select("cids", "row", "other", "similarity").mapInArrow(_listed, _FOUND)
+    near = work.keep(_each(blocks, sizes).mapInArrow(lean(_within(k)), _NEAR), "near")
+    best = _between(work, blocks, near, sizes, k, block).select("cids", "row", "other", "similarity").mapInArrow(lean(_listed), _FOUND)
     best = work.keep(best, "best")
     work.drop(blocks)
     both = best.unionByName(heads.select("cid", F.col("cid").alias("other"), F.lit(1.0).alias("similarity")))

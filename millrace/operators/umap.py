@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.cosine import DIGITS, nearest_texts
+from millrace.operators.cosine import DIGITS, lean, nearest_texts
 from millrace.tables import Work
 
 NEIGHBOURS, CLOSE, SEED = 15, 0.12, 42
@@ -70,7 +70,7 @@ def fuzzy_graph(near: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(i, j, w) of both directions of every link of (uid, other_uid, rank, similarity), by fuzzy union of the memberships of its two ends."""
     listed = near.groupBy(F.col("uid").alias("i")).agg(F.array_sort(F.collect_list(F.struct("rank", "other_uid", (1 - F.col("similarity")).alias("far")))).alias("n"))
     own = listed.select("i", F.transform("n", lambda x: x.other_uid).alias("others"), F.transform("n", lambda x: F.greatest(x.far, F.lit(0.0))).alias("far"))
-    one = own.mapInArrow(_memberships(k), "i long, j long, w double")
+    one = own.mapInArrow(lean(_memberships(k)), "i long, j long, w double")
     both = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     s, q = F.sum("w"), F.sum(F.col("w") * F.col("w"))
     return both.groupBy("i", "j").agg((s - (s * s - q) / 2).alias("w"))  # a + b - ab; of one alone itself
@@ -159,7 +159,7 @@ class _Rounds:
             for part in sorted(linked):
                 yield step(_Part(linked[part], sent.pop(part, [])))
 
-        return both.repartitionById(self.parts, F.col("part")).mapInArrow(run, schema)
+        return both.repartitionById(self.parts, F.col("part")).mapInArrow(lean(run), schema)
 
     def turn(self, step: Callable[[_Part], pa.RecordBatch], name: str) -> list[np.ndarray]:
         """One round; what its parts tell."""
